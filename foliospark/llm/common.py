@@ -142,8 +142,9 @@ def shingle_hashes(words: np.ndarray, size: int = 5) -> np.ndarray:
         return words
     size_here = min(size, n)
     out = np.zeros(n - size_here + 1, dtype=np.uint64)
+    factors = mix64(np.arange(1, size_here + 1, dtype=np.uint64)) | np.uint64(1)
     for k in range(size_here):
-        out += words[k : k + len(out)] * np.uint64(0xD6E8FEB86659FD93 * (2 * k + 1) & (1 << 64) - 1)
+        out += words[k : k + len(out)] * factors[k]
     return np.unique(mix64(out + np.uint64(size_here)))
 
 

@@ -1,10 +1,11 @@
 """The queries of this package, and DuckDB SQL for those that SQL can express."""
 
-from . import exact_dedup, mixing, packing
+from . import exact_dedup, mixing, near_dedup, packing
 
 QUERIES = {
+    "op2_near_dedup": near_dedup.op2_near_dedup,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
 }
-SQL = {"op6_source_mixing": mixing.OP6_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+SQL = {"op2_near_dedup": near_dedup.OP2_SQL, "op6_source_mixing": mixing.OP6_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
