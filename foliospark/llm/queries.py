@@ -1,9 +1,10 @@
 """The queries of this package, and DuckDB SQL for those that SQL can express."""
 
-from . import exact_dedup, mixing, near_dedup, packing
+from . import exact_dedup, mixing, near_dedup, packing, quality
 
 QUERIES = {
     "op2_near_dedup": near_dedup.op2_near_dedup,
+    "op3_quality_resampling": quality.op3_quality_resampling,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
