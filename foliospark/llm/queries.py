@@ -1,10 +1,11 @@
 """The queries of this package, and DuckDB SQL for those that SQL can express."""
 
-from . import exact_dedup, mixing, near_dedup, packing, quality, toxicity
+from . import exact_dedup, katz, mixing, near_dedup, packing, quality, toxicity
 
 QUERIES = {
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_quality_resampling": quality.op3_quality_resampling,
+    "op4_katz": katz.op4_katz,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_source_mixing": mixing.op6_source_mixing,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
