@@ -1,6 +1,6 @@
 """The queries of this package, and DuckDB SQL for those that SQL can express."""
 
-from . import exact_dedup, katz, mixing, near_dedup, packing, pii, quality, toxicity
+from . import ann, exact_dedup, katz, mixing, near_dedup, packing, pii, quality, toxicity
 
 QUERIES = {
     "op2_near_dedup": near_dedup.op2_near_dedup,
@@ -8,6 +8,7 @@ QUERIES = {
     "op4_katz": katz.op4_katz,
     "op5_toxicity": toxicity.op5_toxicity,
     "op6_source_mixing": mixing.op6_source_mixing,
+    "op7_neighbours": ann.op7_neighbours,
     "op8_pii": pii.op8_pii,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
