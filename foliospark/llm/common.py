@@ -39,10 +39,12 @@ class Scratch:
     def __init__(self, spark: SparkSession):
         self.spark, self.top = spark, f"{scratch_root(spark)}/foliospark-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
+        self.made = 0
         atexit.register(self._clean)
 
     def write(self, name: str, df: DataFrame) -> DataFrame:
-        path = self.paths[name] = f"{self.top}/{name}-{len(self.paths)}"
+        self.made += 1
+        path = self.paths[name] = f"{self.top}/{self.made:03d}-{name}"
         df.write.mode("overwrite").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 

@@ -7,10 +7,10 @@ registers and agree in a register about as often as the sets overlap. Bands of r
 candidates; the registers' joint likelihood gives the overlap's estimate, which drops those far from
 the threshold; what is left is confirmed on the full sets.
 
-Equal sets are one class from the start. Within a band's bucket each class is first held against the
-bucket's hub alone, which joins the members of a large group by a number of pairs that grows with
-the group, not with its square. Only pairs of classes that share a bucket and that this leaves in
-different components are then held against each other, all of them.
+Equal sets are one class from the start. Within a band's bucket classes are first held against a hub
+alone, in a few turns with hubs of different components; this joins the members of a large group by a
+number of pairs that grows with the group, not with its square. Only pairs of classes that share a bucket
+and that are then still in different components are held against each other, all of them.
 """
 
 import numpy as np
@@ -27,6 +27,8 @@ M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Candidates are dropped where their estimate is over six standard errors under the threshold.
 SLACK = 0.25
+#: Times that a bucket's members are held against a hub of it before all that are left are held against each other.
+HUB_TURNS = 4
 #: Up to this many ids are broadcast; more go through a shuffled join.
 BROADCAST_ROWS = 1 << 20
 
@@ -135,25 +137,41 @@ def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(keep, "a binary, b binary")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Scratch, percent: int) -> DataFrame:
-    """Of pairs (a, b) of classes, those that link, on the full sets of one document each."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
-    wanted = scratch.write("wanted", wanted.join(classes, "set_id").select("k").distinct())
-    if wanted.count() <= BROADCAST_ROWS:
-        wanted = F.broadcast(wanted)
+class Sets:
+    """Full sets of classes, made from the texts of one document each, once for each class that is asked for."""
 
-    def sets(batches):
-        import pyarrow as pa
+    def __init__(self, docs: DataFrame, classes: DataFrame, scratch: Scratch, repeats: bool):
+        self.docs, self.classes, self.scratch, self.repeats = docs, classes, scratch, repeats
+        self.made: DataFrame | None = None
+
+    def of(self, pairs: DataFrame) -> DataFrame:
+        """set_id and shingles of at least the classes in pairs (a, b)."""
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
+        if self.made is not None:
+            wanted = wanted.join(self.made.select("set_id"), "set_id", "left_anti")
+        wanted = self.scratch.write("wanted", wanted.join(self.classes, "set_id").select("k").distinct())
+        n = wanted.count()
+        if n:
+            new = _keyed(self.docs).join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "k", "left_semi").mapInArrow(_full_sets, "set_id binary, shingles binary")
+            if self.repeats:
+                new = new.dropDuplicates(["set_id"])
+                new = new if self.made is None else new.join(self.made.select("set_id"), "set_id", "left_anti")
+            new = self.scratch.write("full", new)
+            self.made = new if self.made is None else self.made.union(new)
+        return self.made
+
+
+def _full_sets(batches):
+    import pyarrow as pa
+
+    hasher = word_hasher()
+    for batch in batches:
+        found = [shingle_hashes(hasher(raw), SHINGLE) for raw in raw_texts(batch["text"])]
+        yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())], names=["set_id", "shingles"])
 
-        hasher = word_hasher()
-        for batch in batches:
-            found = [shingle_hashes(hasher(raw), SHINGLE) for raw in raw_texts(batch["text"])]
-            yield pa.RecordBatch.from_arrays([pa.array([_set_id(h) for h in found], pa.binary()), pa.array([h.tobytes() for h in found], pa.binary())], names=["set_id", "shingles"])
 
-    full = _keyed(docs).join(wanted, "k", "left_semi").mapInArrow(sets, "set_id binary, shingles binary")
-    full = scratch.write("full", full)
-    if full.count() > full.select("set_id").distinct().count():  # rows repeat an id
-        full = scratch.write("full", full.dropDuplicates(["set_id"]))
+def confirmed(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes, those that link, on their full sets."""
 
     def link(batches):
         import pyarrow as pa
@@ -161,13 +179,15 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, scratch: Sc
         for batch in batches:
             good = []
             for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist(), strict=True):
-                p, q = np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)
-                both = np.concatenate((p, q))
+                both = np.concatenate((np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)))
                 both.sort()
                 shared = int((both[1:] == both[:-1]).sum())
                 good.append(100 * shared >= percent * (len(both) - shared))
             yield pa.RecordBatch.from_arrays([batch["a"], batch["b"]], names=["a", "b"]).filter(pa.array(good, pa.bool_()))
 
+    full = sets.of(pairs)
+    if full is None:
+        return pairs
     both = pairs.join(full.select(F.col("set_id").alias("a"), F.col("shingles").alias("x")), "a").join(full.select(F.col("set_id").alias("b"), F.col("shingles").alias("y")), "b")
     return both.mapInArrow(link, "a binary, b binary")
 
@@ -202,25 +222,42 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     width = 2 * ROWS
     keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", width * i + 1, width)) for i in range(BANDS)])).alias("key")
     bands = classes.select("set_id", keys)
-    hubs = scratch.write("hubs", bands.groupBy("key").agg(F.min("set_id").alias("hub"), F.count("*").alias("n")).where("n > 1").select("key", "hub"))
-    bands = scratch.write("bands", bands.join(hubs, "key"))
-    tried = scratch.write("tried", bands.where("hub < set_id").select(F.col("hub").alias("a"), F.col("set_id").alias("b")).distinct())
-    maybe = scratch.write("maybe", likely(tried, classes, percent))
-    links = scratch.write("links", confirmed(maybe, docs, classes, scratch, percent))
-    labels = components(links, scratch)
-
-    # What the hubs leave apart: buckets whose members are in different components.
-    labelled = bands.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("key", "set_id", F.coalesce("label", "set_id").alias("label"))
-    labelled = scratch.write("labelled", labelled)
-    mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-    open_rows = scratch.write("open", labelled.join(mixed, "key"))
-    left, right = open_rows.select("key", F.col("set_id").alias("a"), F.col("label").alias("x")), open_rows.select("key", F.col("set_id").alias("b"), F.col("label").alias("y"))
-    across = left.join(right, "key").where("a < b and x <> y").select("a", "b").distinct().join(tried, ["a", "b"], "left_anti")
-    more = scratch.write("more", likely(across, classes, percent))
-    if not more.isEmpty():
-        new = scratch.write("links2", confirmed(more, docs, classes, scratch, percent))
-        if not new.isEmpty():
-            links = links.union(new)
+    shared = scratch.write("shared", bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    bands = scratch.write("bands", bands.join(shared, "key"))
+    # Who shares the most buckets with the most others is likely to be in the middle of a group.
+    degree = scratch.write("degree", bands.groupBy("set_id").agg(F.sum("n").alias("degree")))
+    bands = scratch.write("bands", bands.drop("n").join(degree, "set_id"))
+    sets = Sets(docs, classes, scratch, not rows.groupBy("k").count().where("count > 1").isEmpty())
+    tried = links = labels = hubs = None
+    for turn in range(HUB_TURNS + 1):
+        if labels is None:
+            labelled = bands.withColumn("label", F.col("set_id"))
+        else:
+            labelled = bands.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+            labelled = scratch.write("labelled", labelled)
+            # Only buckets that hold several components are open.
+            mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
+            labelled = scratch.write("open", labelled.join(mixed, "key"))
+        if turn < HUB_TURNS:
+            eligible = labelled
+            if hubs is not None:  # the next hub is from another component than the last
+                last = hubs.join(labels.withColumnRenamed("v", "hub"), "hub", "left").select("key", F.coalesce("label", "hub").alias("last"))
+                eligible = labelled.join(last, "key").where("label <> last")
+            hubs = eligible.groupBy("key").agg(F.max(F.struct("degree", "set_id", "label")).alias("h")).select("key", F.col("h.set_id").alias("hub"), F.col("h.label").alias("hub_label"))
+            hubs = scratch.write("hubs", hubs)
+            pairs = labelled.join(hubs, "key").where("label <> hub_label").select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
+            hubs = hubs.select("key", "hub")
+        else:
+            left, right = labelled.select("key", F.col("set_id").alias("a"), F.col("label").alias("x")), labelled.select("key", F.col("set_id").alias("b"), F.col("label").alias("y"))
+            pairs = left.join(right, "key").where("a < b and x <> y").select("a", "b").distinct()
+        if tried is not None:
+            pairs = pairs.join(tried, ["a", "b"], "left_anti")
+        pairs = scratch.write("tried", pairs)
+        tried = pairs if tried is None else tried.union(pairs)
+        maybe = scratch.write("maybe", likely(pairs, classes, percent))
+        new = scratch.write("links", confirmed(maybe, sets, percent))
+        links = new if links is None else links.union(new)
+        if labels is None or not new.isEmpty():
             labels = components(links, scratch)
 
     named = classes.select("set_id", "k").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("set_id", "k", F.coalesce("label", "set_id").alias("label"))

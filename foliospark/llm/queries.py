@@ -1,8 +1,9 @@
 """The queries of this package, and DuckDB SQL for those that SQL can express."""
 
-from . import ann, exact_dedup, katz, mixing, near_dedup, packing, pii, quality, toxicity
+from . import ann, exact_dedup, fixity, katz, mixing, near_dedup, packing, pii, quality, toxicity
 
 QUERIES = {
+    "op1_fixity_audit": fixity.op1_fixity_audit,
     "op2_near_dedup": near_dedup.op2_near_dedup,
     "op3_quality_resampling": quality.op3_quality_resampling,
     "op4_katz": katz.op4_katz,
@@ -13,4 +14,4 @@ QUERIES = {
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
 }
-SQL = {"op2_near_dedup": near_dedup.OP2_SQL, "op6_source_mixing": mixing.OP6_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+SQL = {"op1_fixity_audit": fixity.OP1_SQL, "op2_near_dedup": near_dedup.OP2_SQL, "op6_source_mixing": mixing.OP6_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
