@@ -1,5 +1,7 @@
 """Imports the modules that register queries."""
 
+from . import q_graph, q_retrieval  # noqa: F401
+
 
 def load() -> dict:
     return {}
