@@ -1,6 +1,6 @@
 """Imports the modules that register queries."""
 
-from . import q_graph, q_retrieval  # noqa: F401
+from . import q_corpus, q_graph, q_retrieval  # noqa: F401
 
 
 def load() -> dict:
