@@ -30,7 +30,7 @@ def scan_vault(spark: SparkSession, folder: str, ignored: list[str] | None = Non
     parts = F.split("relative_path", "/")
     bad = F.exists(parts, lambda p: p.isin(*IGNORED) | F.startswith(p, F.lit(".")))
     for pattern in ignored or []:
-        bad = bad | F.exists(parts, lambda p, x=pattern: p == x) | F.col("relative_path").rlike(pattern)
+        bad = bad | F.array_contains(parts, pattern) | F.col("relative_path").rlike(pattern)
     return out.where(~bad)
 
 
