@@ -177,3 +177,10 @@ def with_descendants(tree_rows: DataFrame, hit: Column) -> DataFrame:
     hits = tree_rows.where(hit).select(F.split("path", "/").alias("parts"))
     above = hits.select(F.explode(F.transform(F.sequence(F.lit(1), F.size("parts")), lambda k: F.array_join(F.slice(F.col("parts"), 1, k), "/"))).alias("path")).distinct()
     return tree_rows.join(above, "path", "left_semi")
+
+
+def community_members(edges: DataFrame, found: DataFrame, community: str, most: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The first most nodes of a community (node, community), and the edges among them."""
+    members = cut(found.where(F.col("community") == community).orderBy("node").limit(most).select("node"))
+    inside = edges.join(members.select(F.col("node").alias("a")), "a", "left_semi").join(members.select(F.col("node").alias("b")), "b", "left_semi")
+    return members, inside

@@ -125,3 +125,45 @@ def read_step(text: str) -> dict:
         except ValueError:
             pass
     return {"answer": text}
+
+
+def hash_embedding(text, width: int = 64):
+    """A column of vectors made from hashes of a text's terms: a stand-in for a model, the same on every run."""
+    from ..functions.text import terms
+
+    parts = F.transform(terms(text), lambda t: F.xxhash64(t))
+    return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(parts, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(width)) == i, F.signum(F.shiftright(h, 7).cast("double"))).otherwise(0.0)).cast("float"))
+
+
+def find(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, keys: list[str], k: int = 10, lexical: bool = True) -> DataFrame:
+    """The best k chunks (keys, content) for each of questions (query_id, text, query): hybrid, or by vectors alone.
+
+    vectors (keys, embedding) holds those of chunks. Both sides fetch max(5 k, 50) candidates.
+    """
+    from ..operators import search
+
+    wide = max(5 * k, 50)
+    numbered = vectors.withColumn("vec_id", F.struct(*keys))
+    dense = search.exact_nearest(numbered, questions.select("query_id", "query"), wide if lexical else k)
+    dense = dense.select("query_id", "vec_id.*", "score", "rank")
+    if not lexical:
+        return dense
+    sparse = search.bm25(chunks, questions.select("query_id", "text"), keys, wide)
+    return search.hybrid(dense.select("query_id", *keys, "rank"), sparse.select("query_id", *keys, "rank"), chunks.select(*keys, "content"), questions.select("query_id", "text"), keys, k)
+
+
+def entity_context(mentions: DataFrame, documents: DataFrame, text: str, related: int = 15) -> dict[str, DataFrame]:
+    """Of entities whose name contains text: themselves, their documents with a first excerpt, related entities, and tags.
+
+    mentions (doc_id, chunk_index, name, excerpt), documents (doc_id, title, tags).
+    """
+    named = mentions.where(filters.has(F.col("name"), text))
+    entities = named.groupBy("name").agg(F.count("*").alias("occurrences"))
+    first = named.groupBy("doc_id").agg(F.min(F.struct("chunk_index", "excerpt")).alias("x"))
+    found = first.join(documents, "doc_id").select("doc_id", "title", F.col("x.excerpt").alias("excerpt"), "tags")
+    near = graph.cooccurrence(mentions.join(named.select("doc_id", "chunk_index").distinct(), ["doc_id", "chunk_index"], "left_semi"), ["doc_id", "chunk_index"], "name")
+    one, other = filters.has(F.col("e1"), text), filters.has(F.col("e2"), text)
+    pairs = near.where(one & ~other).select(F.col("e2").alias("name"), "weight").union(near.where(other & ~one).select("e1", "weight"))
+    ranked = pairs.groupBy("name").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "name").limit(related)
+    tags = found.select(F.explode("tags").alias("tag")).distinct().orderBy("tag")
+    return {"entities": entities, "documents": found, "related": ranked, "tags": tags}

@@ -43,3 +43,23 @@ def listing(spark: SparkSession, pattern: str) -> DataFrame:
     """name, lastOpenedAt of the configurations that pattern matches, last opened first; unreadable ones are skipped."""
     files = spark.read.text(pattern, wholetext=True).select(F.from_json("value", "name string, lastOpenedAt string").alias("w"))
     return files.where("w.name is not null").select("w.*").orderBy(F.desc_nulls_last("lastOpenedAt"), "name")
+
+
+def update(spark: SparkSession, folder: str, **changes) -> Workspace:
+    """The workspace with some of its settings replaced, written in the newest layout."""
+    found = load(spark, folder)
+    for key, value in changes.items():
+        if key not in Workspace.__dataclass_fields__:
+            raise ValueError(f"{key} is no setting of a workspace")
+        setattr(found, key, value)
+    create(spark, folder, found)
+    return found
+
+
+def delete(spark: SparkSession, folder: str) -> bool:
+    """Removes the configurations of a folder, and nothing else in it."""
+    jvm, gone = spark.sparkContext._jvm, False
+    for place in PLACES:
+        path = jvm.org.apache.hadoop.fs.Path(f"{folder.rstrip('/')}/{place}")
+        gone = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, False) or gone
+    return gone

@@ -49,3 +49,15 @@ def ingest_stream(stream: DataFrame, ingest, checkpoint: str, every: str = "2 se
 def counts_by_type(events: DataFrame, late: str = "10 minutes", window: str = "1 hour") -> DataFrame:
     """Progress of a stream of events (ts, event_type): numbers in each window."""
     return events.withWatermark("ts", late).groupBy(F.window("ts", window), "event_type").agg(F.count("*").alias("n"))
+
+
+def latest(spark: SparkSession, store, names: list[str]) -> dict[str, DataFrame]:
+    """The newest whole version of each of a store's tables, for a batch that starts now."""
+    return {n: store.read(n) for n in names}
+
+
+def progress(query) -> DataFrame:
+    """batch, rows, and seconds of what a streaming query has done lately."""
+    spark = query.sparkSession if hasattr(query, "sparkSession") else SparkSession.getActiveSession()
+    rows = [(int(p["batchId"]), int(p["numInputRows"]), float(p["durationMs"].get("triggerExecution", 0)) / 1000) for p in query.recentProgress]
+    return spark.createDataFrame(rows, "batch long, rows long, seconds double")
