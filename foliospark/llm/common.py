@@ -33,6 +33,21 @@ def scratch_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Rows of small tables that a task handles.
+TASK_ROWS = 10_000
+#: Rows and bytes that a Python worker gets at once.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Bounds what Python workers hold, whatever the rows' length, unless the session asks for less."""
+    for key, most in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{key}"
+        now = spark.conf.get(key, None)
+        if now is None or not now.isdigit() or not 0 < int(now) <= most:
+            spark.conf.set(key, str(most))
+
+
 class Scratch:
     """Written tables in the shared folder. They cut lineage and outlive lost executors."""
 
@@ -40,9 +55,14 @@ class Scratch:
         self.spark, self.top = spark, f"{scratch_root(spark)}/foliospark-{uuid.uuid4().hex}"
         self.paths: dict[str, str] = {}
         self.made = 0
+        bound_batches(spark)
         atexit.register(self._clean)
 
-    def write(self, name: str, df: DataFrame) -> DataFrame:
+    def write(self, name: str, df: DataFrame, rows: int | None = None) -> DataFrame:
+        """df, written and read again. rows, where given, is as many as it has at most: a small table then
+        needs few tasks and files."""
+        if rows is not None:
+            df = df.coalesce(max(1, -(-rows // TASK_ROWS)))
         self.made += 1
         path = self.paths[name] = f"{self.top}/{self.made:03d}-{name}"
         df.write.mode("overwrite").parquet(path)

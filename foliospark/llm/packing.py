@@ -11,7 +11,7 @@ import zlib
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import bound_batches, table
 
 MAX_LEN = 1024
 END_ID = 0
@@ -87,6 +87,7 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None,
     if max_len & max_len - 1 or max_len < 1:
         raise ValueError("max_len must be a power of two")
     path = tokenizer or default_tokenizer()
+    bound_batches(docs.sparkSession)
 
     def cut(batches):
         import numpy as np
