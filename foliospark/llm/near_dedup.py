@@ -7,14 +7,16 @@ registers and agree in a register about as often as the sets overlap. Bands of r
 candidates; the registers' joint likelihood gives the overlap's estimate, which drops those far from
 the threshold; what is left is confirmed on the full sets.
 
-Equal sets are one class from the start. Within a band's bucket classes are first held against a hub
-alone, in a few turns with hubs of different components; this joins the members of a large group by a
-number of pairs that grows with the group, not with its square. Only pairs of classes that share a bucket
-and that are then still in different components are held against each other, all of them.
+Equal sets are one class from the start. Within a band's bucket classes are first held against one hub,
+the member that shares most buckets; this joins large groups by a number of pairs that grows with the
+group, not with its square. Of classes that share a bucket and are then in different components, the
+members outside the bucket's commonest component are held against the others. Where these are many, as with
+a passage that very many documents share, pairs come from an exact filter instead: sets that link share
+one of their rarest shingles.
 """
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, raw_texts, shingle_hashes, table, word_hasher
@@ -27,8 +29,8 @@ M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Candidates are dropped where their estimate is over six standard errors under the threshold.
 SLACK = 0.25
-#: Times that a bucket's members are held against a hub of it before all that are left are held against each other.
-HUB_TURNS = 4
+#: Buckets with more members than this outside their commonest component are paired by rare shingles.
+DENSE = 32
 #: Up to this many ids are broadcast; more go through a shuffled join.
 BROADCAST_ROWS = 1 << 20
 
@@ -192,6 +194,60 @@ def confirmed(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
     return both.mapInArrow(link, "a binary, b binary")
 
 
+def majorities(rows: DataFrame, by: str) -> DataFrame:
+    """by, major, others of rows (by, set_id, label): of each group with several labels the commonest, and how many rows have another."""
+    n = rows.groupBy(by, "label").agg(F.count("*").alias("n"))
+    g = n.groupBy(by).agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("total"), F.count("*").alias("labels"))
+    return g.where("labels > 1").select(by, F.col("m.label").alias("major"), (F.col("total") - F.col("m.n")).alias("others"))
+
+
+def crossing(rows: DataFrame, groups: DataFrame, by: str, more: list[str] | None = None, fits=None) -> DataFrame:
+    """Pairs (a, b) of set_ids with different labels in one of groups (by, major): each has an end outside the
+    commonest label, so that only such rows are held against their group's."""
+    cols = ["set_id", "label", *(more or [])]
+    inside = rows.join(groups.select(by, "major"), by)
+    few = inside.where("label <> major").select(by, *[F.col(c).alias(f"x_{c}") for c in cols])
+    every = inside.select(by, "major", *[F.col(c).alias(f"y_{c}") for c in cols])
+    # Of two rows outside the commonest label one order is enough.
+    where = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("major")) | (F.col("x_set_id") < F.col("y_set_id")))
+    found = few.join(every, by).where(where if fits is None else where & fits)
+    return found.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b"))
+
+
+def rare_pairs(dense: DataFrame, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
+    """All pairs (a, b) of dense (set_id, label, n_shingles) with different labels that may link, exactly.
+
+    Sets' shingles are put in order, those of the fewest sets first. Two sets that link share a shingle among
+    the first n - ceil(percent * n) + 1 of either, and the places of the first that they share leave room for
+    the overlap that a link needs. Passages that very many sets share come last, and pair none of them.
+    """
+    full = sets.of(dense.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")))
+    few = scratch.write("numbered", dense.withColumn("vid", F.xxhash64("set_id")))  # shorter to shuffle
+
+    def explode(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            for vid, raw in zip(batch["vid"].to_pylist(), batch["shingles"].to_pylist(), strict=True):
+                h = np.frombuffer(raw, dtype=np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), vid), pa.int64()), pa.array(h)], names=["vid", "shingle"])
+
+    rows = few.select("set_id", "vid").join(full, "set_id").select("vid", "shingles").mapInArrow(explode, "vid long, shingle long")
+    rows = scratch.write("shingles", rows)
+    df = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
+    by_df = Window.partitionBy("vid").orderBy("df", "shingle")
+    shared = rows.join(df, "shingle").withColumn("place", F.row_number().over(by_df)).withColumn("n_shared", F.count("*").over(Window.partitionBy("vid")))
+    n = F.col("n_shingles")
+    # Shingles of one set alone come before all others.
+    placed = shared.join(few, "vid").withColumn("place", F.col("place") + n - F.col("n_shared"))
+    first = placed.where(F.col("place") <= n - F.ceil(n * percent / 100) + 1).select("shingle", "set_id", "label", "n_shingles", "place")
+    first = scratch.write("first", first)
+    x, y = F.col("x_n_shingles"), F.col("y_n_shingles")
+    room = 1 + F.least(x - F.col("x_place"), y - F.col("y_place"))
+    fits = (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (room * (100 + percent) >= percent * (x + y))
+    return crossing(first, majorities(first, "shingle"), "shingle", ["n_shingles", "place"], fits).distinct()
+
+
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, label) for the ends of links (a, b): the least end reachable. Labels spread and jump until none changes."""
     arcs = scratch.write("arcs", links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select("b", "a")).distinct())
@@ -228,37 +284,28 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     degree = scratch.write("degree", bands.groupBy("set_id").agg(F.sum("n").alias("degree")))
     bands = scratch.write("bands", bands.drop("n").join(degree, "set_id"))
     sets = Sets(docs, classes, scratch, not rows.groupBy("k").count().where("count > 1").isEmpty())
-    tried = links = labels = hubs = None
-    for turn in range(HUB_TURNS + 1):
-        if labels is None:
-            labelled = bands.withColumn("label", F.col("set_id"))
-        else:
-            labelled = bands.join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-            labelled = scratch.write("labelled", labelled)
-            # Only buckets that hold several components are open.
-            mixed = labelled.groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x <> y").select("key")
-            labelled = scratch.write("open", labelled.join(mixed, "key"))
-        if turn < HUB_TURNS:
-            eligible = labelled
-            if hubs is not None:  # the next hub is from another component than the last
-                last = hubs.join(labels.withColumnRenamed("v", "hub"), "hub", "left").select("key", F.coalesce("label", "hub").alias("last"))
-                eligible = labelled.join(last, "key").where("label <> last")
-            hubs = eligible.groupBy("key").agg(F.max(F.struct("degree", "set_id", "label")).alias("h")).select("key", F.col("h.set_id").alias("hub"), F.col("h.label").alias("hub_label"))
-            hubs = scratch.write("hubs", hubs)
-            pairs = labelled.join(hubs, "key").where("label <> hub_label").select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
-            hubs = hubs.select("key", "hub")
-        else:
-            left, right = labelled.select("key", F.col("set_id").alias("a"), F.col("label").alias("x")), labelled.select("key", F.col("set_id").alias("b"), F.col("label").alias("y"))
-            pairs = left.join(right, "key").where("a < b and x <> y").select("a", "b").distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = scratch.write("tried", pairs)
-        tried = pairs if tried is None else tried.union(pairs)
-        maybe = scratch.write("maybe", likely(pairs, classes, percent))
-        new = scratch.write("links", confirmed(maybe, sets, percent))
-        links = new if links is None else links.union(new)
-        if labels is None or not new.isEmpty():
-            labels = components(links, scratch)
+    # First each bucket's members against the one of them that is most in the middle.
+    hubs = bands.groupBy("key").agg(F.max(F.struct("degree", "set_id")).alias("h")).select("key", F.col("h.set_id").alias("hub"))
+    pairs = bands.join(hubs, "key").where("hub <> set_id").select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
+    tried = scratch.write("tried", pairs)
+    maybe = scratch.write("maybe", likely(tried, classes, percent))
+    links = scratch.write("links", confirmed(maybe, sets, percent))
+    labels = components(links, scratch)
+
+    # Then what is in different components of one bucket.
+    labelled = bands.select("key", "set_id").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    labelled = scratch.write("labelled", labelled)
+    counts = scratch.write("counts", majorities(labelled, "key"))
+    across = crossing(labelled, counts.where(F.col("others") <= DENSE), "key")
+    dense = labelled.join(counts.where(F.col("others") > DENSE).select("key"), "key", "left_semi").select("set_id", "label").distinct()
+    dense = scratch.write("dense", dense.join(classes.select("set_id", "n_shingles"), "set_id"))
+    if not dense.isEmpty():
+        across = across.union(rare_pairs(dense, sets, percent, scratch))
+    pairs = scratch.write("across", across.distinct().join(tried, ["a", "b"], "left_anti"))
+    maybe = scratch.write("maybe", likely(pairs, classes, percent))
+    new = scratch.write("links", confirmed(maybe, sets, percent))
+    if not new.isEmpty():
+        labels = components(links.union(new), scratch)
 
     named = classes.select("set_id", "k").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("set_id", "k", F.coalesce("label", "set_id").alias("label"))
     named = scratch.write("named", named)
