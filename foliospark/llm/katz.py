@@ -24,7 +24,8 @@ from .common import Scratch, raw_texts, table, word_hasher
 #: Good-Turing discounts apply to counts up to K.
 K = 5
 #: Text bytes of a block.
-BLOCK = 24 << 20
+BLOCK = 6 << 20
+BLOCKS_AT_ONCE = 1
 START, END = np.uint64(1), np.uint64(2)
 
 BLOCKS = "g long, words binary, counts binary, doc_ids array<long>, held array<boolean>, lengths binary, tokens binary"
@@ -104,6 +105,15 @@ def _i4(x) -> np.ndarray:
     return np.frombuffer(x, dtype="<i4")
 
 
+def _pack(x: np.ndarray) -> bytes:
+    """Small whole numbers, which most counts are, in about a byte each."""
+    return zlib.compress(x.astype("<i8").tobytes(), 1)
+
+
+def _unpack(x: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(x), dtype="<i8")
+
+
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
     return ((h >> np.uint64(7)) % np.uint64(buckets)).astype(np.int64)
 
@@ -158,7 +168,7 @@ def count_words(asked: DataFrame) -> DataFrame:
         total = np.bincount(at, weights=np.concatenate([_i4(n) for n in counts]), minlength=len(known)).astype("<i8")
         answer = total[at]
         ends = np.cumsum(sizes)
-        rows = [(ANSWERS, x, bucket, answer[e - s : e].tobytes(), None, None) for x, s, e in zip(g, sizes, ends, strict=True)]
+        rows = [(ANSWERS, x, bucket, _pack(answer[e - s : e]), None, None) for x, s, e in zip(g, sizes, ends, strict=True)]
         return _answers([*rows, (TALLY, -1, bucket, _tally(total), None, None)])
 
     return asked.groupBy("bucket").applyInArrow(count, ANSWER)
@@ -180,10 +190,10 @@ class Block:
 
     def __init__(self, words: bytes, lengths: bytes, tokens: bytes, held: list, buckets: int):
         self.words, self.buckets = np.concatenate((_u64(words), [START])), buckets
-        self.lengths, self.tokens = _i4(lengths).astype(np.int64), _i4(tokens).astype(np.int64)
+        self.lengths, self.tokens = _i4(lengths).astype(np.int64), _i4(tokens)
         self.held = np.array(held, dtype=bool)
         self.ends = np.cumsum(self.lengths)
-        self.before = np.concatenate(([0], self.tokens[:-1]))
+        self.before = np.concatenate((np.zeros(1, dtype=np.int32), self.tokens[:-1]))
         self.before[self.ends - self.lengths] = len(self.words) - 1
 
     def read_words(self, answers) -> None:
@@ -192,24 +202,24 @@ class Block:
         order, parts = _by_bucket(_bucket(self.words[:n], self.buckets))
         found = {r["bucket"]: r["a"] for r in answers}
         for k, a, b in parts:
-            self.c[order[a:b]] = np.frombuffer(found[k], dtype="<i8")
+            self.c[order[a:b]] = _unpack(found[k])
         # As many texts start as end.
         self.c[n] = self.c[np.flatnonzero(self.words[:n] == END)[0]]
 
     def find_pairs(self, total: int) -> None:
         """Distinct pairs in a fixed order: by bucket, then by word before."""
         width = len(self.words)
-        pair, self.at = np.unique(self.before * width + self.tokens, return_inverse=True)
-        first, second = pair // width, pair % width
+        pair, at = np.unique(self.before.astype(np.int64) * width + self.tokens, return_inverse=True)
+        first, second = (pair // width).astype(np.int32), (pair % width).astype(np.int32)
         h, w = self.words[first], self.words[second]
         spread = np.maximum(1, self.c[first] * 4 * self.buckets // max(1, total) + 1)
         salt = np.where(spread > 1, (w >> np.uint64(9)) % spread.astype(np.uint64), 0).astype(np.uint64)
         bucket = _bucket(h + salt * np.uint64(0x9E3779B97F4A7C80), self.buckets)
         order, self.parts = _by_bucket(bucket)
         self.first, self.second = first[order], second[order]
-        place = np.empty(len(order), dtype=np.int64)
-        place[order] = np.arange(len(order))
-        self.at = place[self.at]
+        place = np.empty(len(order), dtype=np.int32)
+        place[order] = np.arange(len(order), dtype=np.int32)
+        self.at = place[at]
 
     def wanted_weights(self):
         """Words that a held-out text may back off from, by bucket."""
@@ -235,7 +245,7 @@ def ask_pairs(blocks: DataFrame, buckets: int, total: int) -> DataFrame:
                     new = np.concatenate(([True], h[1:] != h[:-1]))
                     runs = np.diff(np.concatenate((np.flatnonzero(new), [j - i]))).astype("<i4")
                     w = b.second[i:j]
-                    rows.append((k, g, b.words[h[new]].tobytes(), runs.tobytes(), b.words[w].tobytes(), n[i:j].tobytes(), b.c[w].tobytes()))
+                    rows.append((k, g, b.words[h[new]].tobytes(), _pack(runs), b.words[w].tobytes(), _pack(n[i:j]), _pack(b.c[w])))
                 names = ["bucket", "g", "before", "runs", "words", "counts", "word_counts"]
                 kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
@@ -250,15 +260,15 @@ def count_pairs(asked: DataFrame, buckets: int, unigrams: Unigrams) -> DataFrame
         g, before, runs, words, counts, word_counts = (found[c].to_pylist() for c in ("g", "before", "runs", "words", "counts", "word_counts"))
         bucket = found["bucket"][0].as_py()
         sizes = [len(w) // 8 for w in words]
-        h, h_at = np.unique(np.concatenate([np.repeat(_u64(x), _i4(r)) for x, r in zip(before, runs, strict=True)]), return_inverse=True)
+        h, h_at = np.unique(np.concatenate([np.repeat(_u64(x), _unpack(r)) for x, r in zip(before, runs, strict=True)]), return_inverse=True)
         w, w_at = np.unique(np.concatenate([_u64(x) for x in words]), return_inverse=True)
         c_w = np.zeros(len(w), dtype=np.int64)
-        c_w[w_at] = np.concatenate([np.frombuffer(x, dtype="<i8") for x in word_counts])
+        c_w[w_at] = np.concatenate([_unpack(x) for x in word_counts])
         pair, at = np.unique(h_at * len(w) + w_at, return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([_i4(x) for x in counts]), minlength=len(pair)).astype("<i8")
+        total = np.bincount(at, weights=np.concatenate([_unpack(x) for x in counts]), minlength=len(pair)).astype("<i8")
         answer = total[at]
         ends = np.cumsum(sizes)
-        rows = [(ANSWERS, x, bucket, answer[e - s : e].tobytes(), None, None) for x, s, e in zip(g, sizes, ends, strict=True)]
+        rows = [(ANSWERS, x, bucket, _pack(answer[e - s : e]), None, None) for x, s, e in zip(g, sizes, ends, strict=True)]
         rows.append((TALLY, -1, bucket, _tally(total), None, None))
         seen = total > 0
         of, c = (pair // len(w))[seen], total[seen]
@@ -325,7 +335,7 @@ def score_blocks(blocks: DataFrame, buckets: int, total: int, types: int, unigra
                 b.read_words(word_counts)
                 b.find_pairs(total)
                 found = {r["bucket"]: r["a"] for r in pair_counts}
-                c = np.concatenate([np.frombuffer(found[k], dtype="<i8") for k, _, _ in b.parts])
+                c = np.concatenate([_unpack(found[k]) for k, _, _ in b.parts])
                 free, p_seen = np.zeros(len(b.words)), np.zeros(len(b.words))
                 if weights:
                     mine, parts = b.wanted_weights()
@@ -364,7 +374,18 @@ def katz_scores(docs: DataFrame, held_out_mod: int = 7, held_out_at: int = 2, bl
     made = make_blocks(docs, held_out_mod, held_out_at, block_bytes)
     # Bucketed by block: the joins below don't move the blocks.
     made.write.option("path", f"{scratch.top}/blocks").option("compression", "zstd").bucketBy(buckets, "g").format("parquet").saveAsTable(name)
-    blocks = spark.table(name)
+    # Blocks are long rows: Python gets a few at once.
+    rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    usual = spark.conf.get(rows)
+    spark.conf.set(rows, str(BLOCKS_AT_ONCE))
+    try:
+        return _scores(spark.table(name), scratch, buckets)
+    finally:
+        spark.conf.set(rows, usual)
+        spark.sql(f"DROP TABLE {name}")
+
+
+def _scores(blocks: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
     words = scratch.write("words", count_words(ask_words(blocks, buckets)))
     counted = tally(words)
     total, types = int(counted[0]), int(counted[1])
@@ -375,7 +396,6 @@ def katz_scores(docs: DataFrame, held_out_mod: int = 7, held_out_at: int = 2, bl
     weights = scratch.write("weights", answer_weights(pairs, ask_weights(blocks, buckets), off))
     full = known.join(answered(pairs, "pair_counts"), "g").join(answered(weights, "weights"), "g", "left")
     scores = scratch.write("scores", score_blocks(full, buckets, total, types, unigrams, off))
-    spark.sql(f"DROP TABLE {name}")
     scratch.drop("words", "pairs", "weights")
     return scores
 
