@@ -29,8 +29,8 @@ M = BANDS * ROWS
 BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 #: Candidates are dropped where their estimate is over six standard errors under the threshold.
 SLACK = 0.25
-#: Buckets with more members than this outside their commonest component are paired by rare shingles.
-DENSE = 32
+#: Buckets where members outside the commonest component would meet others in more pairs than this are paired by rare shingles.
+DENSE = 1024
 #: Up to this many ids are broadcast; more go through a shuffled join.
 BROADCAST_ROWS = 1 << 20
 
@@ -151,7 +151,7 @@ class Sets:
         wanted = pairs.select(F.explode(F.array("a", "b")).alias("set_id")).distinct()
         if self.made is not None:
             wanted = wanted.join(self.made.select("set_id"), "set_id", "left_anti")
-        wanted = self.scratch.write("wanted", wanted.join(self.classes, "set_id").select("k").distinct())
+        wanted = self.scratch.write("wanted", wanted.join(self.classes, "set_id").select("k").distinct(), 2 * pairs.count())
         n = wanted.count()
         if n:
             new = _keyed(self.docs).join(F.broadcast(wanted) if n <= BROADCAST_ROWS else wanted, "k", "left_semi").mapInArrow(_full_sets, "set_id binary, shingles binary")
@@ -195,10 +195,10 @@ def confirmed(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
 
 
 def majorities(rows: DataFrame, by: str) -> DataFrame:
-    """by, major, others of rows (by, set_id, label): of each group with several labels the commonest, and how many rows have another."""
+    """by, major, meetings of rows (by, set_id, label): of each group with several labels the commonest, and the rows of others times all."""
     n = rows.groupBy(by, "label").agg(F.count("*").alias("n"))
     g = n.groupBy(by).agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("total"), F.count("*").alias("labels"))
-    return g.where("labels > 1").select(by, F.col("m.label").alias("major"), (F.col("total") - F.col("m.n")).alias("others"))
+    return g.where("labels > 1").select(by, F.col("m.label").alias("major"), ((F.col("total") - F.col("m.n")) * F.col("total")).alias("meetings"))
 
 
 def crossing(rows: DataFrame, groups: DataFrame, by: str, more: list[str] | None = None, fits=None) -> DataFrame:
@@ -222,7 +222,7 @@ def rare_pairs(dense: DataFrame, sets: Sets, percent: int, scratch: Scratch) ->
     the overlap that a link needs. Passages that very many sets share come last, and pair none of them.
     """
     full = sets.of(dense.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")))
-    few = scratch.write("numbered", dense.withColumn("vid", F.xxhash64("set_id")))  # shorter to shuffle
+    few = dense.withColumn("vid", F.xxhash64("set_id"))  # shorter to shuffle
 
     def explode(batches):
         import pyarrow as pa
@@ -234,6 +234,7 @@ def rare_pairs(dense: DataFrame, sets: Sets, percent: int, scratch: Scratch) ->
 
     rows = few.select("set_id", "vid").join(full, "set_id").select("vid", "shingles").mapInArrow(explode, "vid long, shingle long")
     rows = scratch.write("shingles", rows)
+    total = rows.count()
     df = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
     by_df = Window.partitionBy("vid").orderBy("df", "shingle")
     shared = rows.join(df, "shingle").withColumn("place", F.row_number().over(by_df)).withColumn("n_shared", F.count("*").over(Window.partitionBy("vid")))
@@ -241,7 +242,7 @@ def rare_pairs(dense: DataFrame, sets: Sets, percent: int, scratch: Scratch) ->
     # Shingles of one set alone come before all others.
     placed = shared.join(few, "vid").withColumn("place", F.col("place") + n - F.col("n_shared"))
     first = placed.where(F.col("place") <= n - F.ceil(n * percent / 100) + 1).select("shingle", "set_id", "label", "n_shingles", "place")
-    first = scratch.write("first", first)
+    first = scratch.write("first", first, total)
     x, y = F.col("x_n_shingles"), F.col("y_n_shingles")
     room = 1 + F.least(x - F.col("x_place"), y - F.col("y_place"))
     fits = (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (room * (100 + percent) >= percent * (x + y))
@@ -250,13 +251,14 @@ def rare_pairs(dense: DataFrame, sets: Sets, percent: int, scratch: Scratch) ->
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
     """(v, label) for the ends of links (a, b): the least end reachable. Labels spread and jump until none changes."""
-    arcs = scratch.write("arcs", links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select("b", "a")).distinct())
-    labels = scratch.write("labels", arcs.groupBy("v").agg(F.least(F.first("v"), F.min("w")).alias("label")))
+    n = 2 * links.count()
+    arcs = scratch.write("arcs", links.select(F.col("a").alias("v"), F.col("b").alias("w")).union(links.select("b", "a")).distinct(), n)
+    labels = scratch.write("labels", arcs.groupBy("v").agg(F.least(F.first("v"), F.min("w")).alias("label")), n)
     while True:
         near = arcs.join(labels.select(F.col("v").alias("w"), "label"), "w").groupBy("v").agg(F.min("label").alias("near"))
-        new = scratch.write("spread", labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        new = labels.join(near, "v").select("v", F.col("label").alias("old"), F.least("label", "near").alias("label"))
         jump = new.join(new.select(F.col("v").alias("label"), F.col("label").alias("next")), "label")
-        moved = scratch.write("labels", jump.select("v", "old", F.col("next").alias("label")))
+        moved = scratch.write("labels", jump.select("v", "old", F.col("next").alias("label")), n)
         if moved.where("label <> old").isEmpty():
             return moved.select("v", "label")
         labels = moved.select("v", "label")
@@ -274,43 +276,42 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     rows = scratch.write("rows", sketch(docs))
     classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("k").alias("k"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
-    classes = scratch.write("classes", classes)
+    classes = scratch.write("classes", classes, rows.count())
     width = 2 * ROWS
     keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", width * i + 1, width)) for i in range(BANDS)])).alias("key")
     bands = classes.select("set_id", keys)
-    shared = scratch.write("shared", bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     bands = scratch.write("bands", bands.join(shared, "key"))
     # Who shares the most buckets with the most others is likely to be in the middle of a group.
-    degree = scratch.write("degree", bands.groupBy("set_id").agg(F.sum("n").alias("degree")))
-    bands = scratch.write("bands", bands.drop("n").join(degree, "set_id"))
+    n = bands.count()
+    bands = scratch.write("bands", bands.drop("n").join(bands.groupBy("set_id").agg(F.sum("n").alias("degree")), "set_id"), n)
     sets = Sets(docs, classes, scratch, not rows.groupBy("k").count().where("count > 1").isEmpty())
     # First each bucket's members against the one of them that is most in the middle.
     hubs = bands.groupBy("key").agg(F.max(F.struct("degree", "set_id")).alias("h")).select("key", F.col("h.set_id").alias("hub"))
     pairs = bands.join(hubs, "key").where("hub <> set_id").select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
-    tried = scratch.write("tried", pairs)
-    maybe = scratch.write("maybe", likely(tried, classes, percent))
-    links = scratch.write("links", confirmed(maybe, sets, percent))
+    tried = scratch.write("tried", pairs, n)
+    maybe = scratch.write("maybe", likely(tried, classes, percent), tried.count())
+    links = scratch.write("links", confirmed(maybe, sets, percent), maybe.count())
     labels = components(links, scratch)
 
     # Then what is in different components of one bucket.
     labelled = bands.select("key", "set_id").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    labelled = scratch.write("labelled", labelled)
-    counts = scratch.write("counts", majorities(labelled, "key"))
-    across = crossing(labelled, counts.where(F.col("others") <= DENSE), "key")
-    dense = labelled.join(counts.where(F.col("others") > DENSE).select("key"), "key", "left_semi").select("set_id", "label").distinct()
-    dense = scratch.write("dense", dense.join(classes.select("set_id", "n_shingles"), "set_id"))
+    labelled = scratch.write("labelled", labelled, n)
+    counts = scratch.write("counts", majorities(labelled, "key"), n)
+    across = crossing(labelled, counts.where(F.col("meetings") <= DENSE), "key")
+    dense = labelled.join(counts.where(F.col("meetings") > DENSE).select("key"), "key", "left_semi").select("set_id", "label").distinct()
+    dense = scratch.write("dense", dense.join(classes.select("set_id", "n_shingles"), "set_id"), n)
     if not dense.isEmpty():
         across = across.union(rare_pairs(dense, sets, percent, scratch))
     pairs = scratch.write("across", across.distinct().join(tried, ["a", "b"], "left_anti"))
-    maybe = scratch.write("maybe", likely(pairs, classes, percent))
-    new = scratch.write("links", confirmed(maybe, sets, percent))
+    maybe = scratch.write("maybe", likely(pairs, classes, percent), pairs.count())
+    new = scratch.write("links", confirmed(maybe, sets, percent), maybe.count())
     if not new.isEmpty():
         labels = components(links.union(new), scratch)
 
     named = classes.select("set_id", "k").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("set_id", "k", F.coalesce("label", "set_id").alias("label"))
-    named = scratch.write("named", named)
     smallest = named.groupBy("label").agg(F.min("k").alias("component"))
-    of_set = scratch.write("of_set", named.join(smallest, "label").select("set_id", "component"))
+    of_set = scratch.write("of_set", named.join(smallest, "label").select("set_id", "component"), classes.count())
     none = F.lit(-(2**63))
     out = rows.select("k", "n_shingles", "set_id").join(of_set, "set_id", "left").withColumn("component", F.coalesce("component", "k"))
     return out.select(F.when(F.col("k") != none, F.col("k")).alias("doc_id"), "n_shingles", F.when(F.col("component") != none, F.col("component")).alias("component_id"), (F.col("k") == F.col("component")).alias("kept"))
