@@ -24,15 +24,21 @@ BASE = {
     "card": r"[0-9](?:[\x20-]?+[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
-_AT, _DOT = r"\x20?[\[({<]?(?:at|AT|@)[\])}>]?\x20?", r"\x20?[\[({<]?(?:dot|DOT|\.)[\])}>]?\x20?"
+# Written-out words stand apart or in capitals: the "at" and "dot" inside of words, as in "database", say nothing.
+_OPEN, _CLOSE = r"(?:\x20?[\[({<]|\x20)", r"(?:[\])}>]\x20?|\x20)"
+_AT, _DOT = (
+    rf"(?:\x20?[\[({{<]?{sign}[\])}}>]?\x20?|{_OPEN}(?:{word.lower()}|{word}){_CLOSE}|(?<=[a-z0-9]){word}(?=[a-z0-9]))" for sign, word in (("@", "AT"), (r"\.", "DOT"))
+)
+#: What sets an address written with words apart from a sentence such as "we met at noon. Then".
+MARKED = r"[@\[({<]|\x20(?:dot|DOT)\x20|[a-z0-9](?:AT|DOT)[a-z0-9]"
 WIDE = {
     "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,64}}(?:{_DOT}[A-Za-z0-9-]{{2,64}}){{1,5}}",
     "ip": r"(?<![0-9])[0-9]{1,3}(?:\x20?[\[({]?\.[\])}]?\x20?[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){11,18}(?![0-9])",
     "phone": r"(?<![0-9])(?:00|\+)?\(?[0-9]{2,4}\)?[\x20./-]{0,2}\(?[0-9]{2,4}\)?(?:[\x20./-]{0,2}[0-9]{2,4}){1,4}(?![0-9])",
 }
-#: What a text must hold for a pattern of the kind to be tried at all.
-NEEDS = {"email": "[@]|(?:dot|DOT)", "ip": "[0-9]", "card": "[0-9]", "phone": "[0-9]"}
+#: What a text must hold, each of them, for a wide pattern of the kind to be tried at all; base patterns need no less.
+NEEDS = {"email": ("at|AT|@", r"dot|DOT|\."), "ip": ("[0-9]",), "card": ("[0-9]",), "phone": ("[0-9]",)}
 
 # Last labels of mail domains, calling codes and card prefixes in common use, and cue words.
 DOMAINS = "com|org|net|edu|gov|int|info|biz|io|de|fr|es|it|uk|us|eu|ch|at|nl|be|ca|mx|ar|br|ru|cn|jp|in"
@@ -93,24 +99,25 @@ def vote(c: DataFrame) -> DataFrame:
     """The labelers' votes on candidates: 1 for, -1 against, 0 for none."""
     k, hit, d = F.col("kind"), F.col("hit"), digits(F.col("hit"))
     n, before, after = F.length(d), F.lower("before"), F.col("after")
-    plain = F.regexp_replace(F.regexp_replace(hit, r"\x20?[\[({<]?(?:at|AT|@)[\])}>]?\x20?", "@"), r"\x20?[\[({<]?(?:dot|DOT|\.)[\])}>]?\x20?", ".")
+    plain = F.regexp_replace(F.regexp_replace(hit, _AT, "@"), _DOT, ".")
+    marked = hit.rlike(MARKED)
     octets = F.regexp_replace(hit, r"[^0-9.]", "")
     yes, no, none = F.lit(1), F.lit(-1), F.lit(0)
     by_kind = lambda e, i, c, p: F.when(k == "email", e).when(k == "ip", i).when(k == "card", c).otherwise(p)
     either = lambda cond, other=no: F.when(cond, yes).otherwise(other)
+    cue = reduce(lambda a, x: a | x, [(k == kind) & before.rlike(rf"(?:^|[^a-z])(?:e-?)?(?:{words})") for kind, words in CUES.items()])
     form = by_kind(
-        either(plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$")),
+        either(plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$") & (marked | ~hit.rlike(r"\.\x20"))),
         either(valid(F.lit("ip"), octets)),
         either(F.when(n.between(12, 19), luhn(d)).otherwise(False)),
         either(n.between(9, 15)),
     )
     listed = by_kind(
-        either(F.lower(plain).rlike(rf"\.(?:{DOMAINS})$")),
+        either(F.lower(plain).rlike(rf"\.(?:{DOMAINS})$"), F.when(marked | cue, none).otherwise(no)),
         F.when(octets.rlike(r"^(?:0|127|255)\."), no).when(octets.rlike(r"^(?:[0-9]\.){3}[0-9]$"), no).otherwise(none),
         either(d.rlike(rf"^(?:{CARDS})$"), none),
         either(d.rlike(rf"^(?:00)?(?:{CALLING})[0-9]{{8,11}}$"), none),
     )
-    cue = reduce(lambda a, x: a | x, [(k == kind) & before.rlike(rf"(?:^|[^a-z])(?:e-?)?(?:{words})") for kind, words in CUES.items()])
     cued = F.when(cue, yes).when(before.rlike(rf"(?:^|[^a-z])(?:{AGAINST})[^a-z]*$"), no).otherwise(none)
     edged = F.when(before.rlike(r"[A-Za-z0-9_=\"'#$€£-]$") | after.rlike(r"^[A-Za-z0-9_\"'%$€£]"), no).otherwise(yes)
     separators = F.regexp_replace(hit, "[0-9]", "")
@@ -175,7 +182,7 @@ def find(docs: DataFrame) -> DataFrame:
     scratch = Scratch(docs.sparkSession)
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     plain = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", text.alias("text"))
-    trial = lambda k, pattern: F.when(F.col("text").rlike(NEEDS[k]), matches(F.col("text"), pattern))
+    trial = lambda k, pattern: F.when(reduce(lambda a, b: a & b, [F.col("text").rlike(x) for x in NEEDS[k]]), matches(F.col("text"), pattern))
     found = scratch.write("found", plain.select("row_id", "doc_id", *[trial(k, BASE[k]).alias(f"base_{k}") for k in KINDS], *[trial(k, WIDE[k]).alias(f"wide_{k}") for k in KINDS]))
     base = spans(found, "base").where(valid(F.col("kind"), F.col("hit"))).select("row_id", "kind", "start", "stop", F.lit(True).alias("base"))
     base = scratch.write("base", base)

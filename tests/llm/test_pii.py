@@ -54,3 +54,26 @@ def test_added(spark):
 
 def test_empty(spark):
     assert pii.find(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def added(spark, texts):
+    """The texts of added spans, by row."""
+    got = check(spark, [(k, t, None) for k, t in enumerate(texts)])
+    mine = {k: {f"{x}:{s}:{e}" for s, _, e, x in base(t)} for k, t in enumerate(texts)}
+    cut = lambda t, span: t[int(span.split(":")[1]) : int(span.split(":")[2])]
+    return {r.doc_id: [cut(texts[r.doc_id], x) for x in r.spans.split(",") if x and x not in mine[r.doc_id]] for r in got}
+
+
+def test_spelled_at_alone(spark):
+    hits = ["anna.schmidt [at] example.com", "natalie [at] data.org", "jan (at) firma.pl", "mia (at) skola (dot) se"]
+    texts = [f"please ask {h}, thanks" for h in hits for _ in range(5)]
+    for few in (texts[:1], texts):
+        got = added(spark, few)
+        assert all(got[k] == [hits[k // 5]] for k in range(len(few))), got
+
+
+def test_prose_is_no_address(spark):
+    prose = ["We met at noon. Then we left.", "She was at home. It rained.", "look at this. In the end", "he is at node.js now", "see database.com today", "that anecdotes tell", "Look at this.The end"]
+    for texts in (prose, prose * 20, [f"{t} Ask jo [at] firma.pl, thanks" for t in prose] + prose * 20):
+        got = added(spark, texts)
+        assert not any(set(got[k]) - {"jo [at] firma.pl"} for k in got), got
