@@ -154,10 +154,15 @@ def neighbours(vectors: DataFrame, is_query, top: int = TOP, trees: int = TREES,
             q, c = _matrix(queries["v"].combine_chunks()), _matrix(candidates["v"].combine_chunks())
             q_ids, c_ids = queries["id"].to_numpy(), candidates["id"].to_numpy()
             q_norm, c_norm = np.linalg.norm(q, axis=1), np.linalg.norm(c, axis=1)
+            # The cut at top counts ids: where some stand on several rows, each by its nearest.
+            order = np.argsort(c_ids, kind="stable")
+            starts = np.flatnonzero(np.diff(c_ids[order], prepend=c_ids[order[0]] - 1))
+            starts = starts if len(starts) < len(c_ids) else None
             for at in range(0, len(q), 256):
                 near = (q[at : at + 256] / q_norm[at : at + 256, None]) @ (c / c_norm[:, None]).T
                 near[q_ids[at : at + 256, None] == c_ids[None, :]] = -np.inf
-                cut = np.partition(near, -min(top, near.shape[1]), axis=1)[:, -min(top, near.shape[1])] - 1e-9
+                by_id = near if starts is None else np.maximum.reduceat(near[:, order], starts, axis=1)
+                cut = np.partition(by_id, -min(top, by_id.shape[1]), axis=1)[:, -min(top, by_id.shape[1])] - 1e-9
                 for j, (row, least_here) in enumerate(zip(near, cut, strict=True)):
                     likely = np.flatnonzero((row >= least_here) & np.isfinite(row))
                     # The same sum for the same vectors, wherever they stand.

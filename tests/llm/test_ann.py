@@ -55,3 +55,10 @@ def test_recall(spark):
     got, want = run(spark, rows, sample=2048, leaf=32, least=1), brute(rows)
     assert len(got) == len(want)
     assert len({r[::2][:2] for r in got} & {r[::2][:2] for r in want}) >= 0.9 * len(want)
+
+
+def test_repeated_rows_leave_room_for_others(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, rng.standard_normal(8).astype("f4").tolist()) for k in range(120)]
+    got, want = run(spark, rows * 6, leaf=1024), brute(rows)
+    assert [r[:3] for r in got] == [r[:3] for r in want] and len(want) == 15
