@@ -48,7 +48,7 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Sequences of at most 1024 ids, with the ids."""
-    return pack(docs, with_ids=True)
+    return pack(docs, with_ids=True, added_tokens=True)
 
 
 STAGES = [("quality classifier", quality), ("exact dedup", exact), ("near dedup", near), ("mixing", mixed), ("packing", packed)]

@@ -32,10 +32,11 @@ class Ids:
     """A text's ids as little-endian 32-bit bytes, by the byte-level BPE of a tokenizers file.
 
     The pieces that merges can't leave are looked up in a bounded cache; tests hold the ids against
-    the tokenizers library's own. Special tokens' strings in a text are ordinary text.
+    the tokenizers library's own. The strings of added tokens in a text are ordinary text, or with
+    added_tokens their ids, as the library's encode() has them by default.
     """
 
-    def __init__(self, path: str, cached: int = 300_000):
+    def __init__(self, path: str, cached: int = 300_000, added_tokens: bool = False):
         import json
 
         import tiktoken
@@ -48,6 +49,11 @@ class Ids:
         byte_of = {chr(b): b for b in shown} | {chr(256 + k): b for k, b in enumerate(hidden)}
         ranks = {bytes(byte_of[c] for c in token): i for token, i in vocabulary.items() if token not in special}
         self.encoding = tiktoken.Encoding("byte-bpe", pat_str=_PATTERN, mergeable_ranks=ranks, special_tokens={})
+        self.added = {x["content"]: x["id"].to_bytes(4, "little") for x in saved["added_tokens"]} if added_tokens else {}
+        if any(x[k] for x in saved["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")) and added_tokens:
+            raise ValueError("added tokens that take in or depend on what surrounds them are not supported")
+        # Of two that begin at one place the longest is meant.
+        self.apart = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")") if self.added else None
         self.pieces, self.strange = re.compile(_FAST).findall, re.compile("[^\x00-ſ]").search
         one, most = self.encoding._core_bpe.encode_single_piece, cached
 
@@ -63,6 +69,11 @@ class Ids:
         self.find = Cache().__getitem__
 
     def __call__(self, text: str) -> bytes:
+        if self.apart and len(parts := self.apart.split(text)) > 1:
+            return b"".join([self.added[x] if k % 2 else self.ordinary(x) for k, x in enumerate(parts)])
+        return self.ordinary(text)
+
+    def ordinary(self, text: str) -> bytes:
         if self.strange(text):
             import numpy as np
 
@@ -76,13 +87,13 @@ def lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
     return out + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None, with_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
     """One row per piece of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, bucket,
     and sequence_id and offset of its place; with_ids adds the ids themselves as an array.
 
     max_len is a power of two. A null text is empty: its document is the end id alone. Rows that
     repeat an id are packed each on their own. An empty table gives no pieces; other columns are not
-    read. The tokenizer's file must be at the same path on each executor.
+    read. The tokenizer's file must be at the same path on each executor. added_tokens: see Ids.
     """
     if max_len & max_len - 1 or max_len < 1:
         raise ValueError("max_len must be a power of two")
@@ -93,7 +104,7 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None,
         import numpy as np
         import pyarrow as pa
 
-        to_ids, end = Ids(path), END_ID.to_bytes(4, "little")
+        to_ids, end = Ids(path, added_tokens=added_tokens), END_ID.to_bytes(4, "little")
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", *["ids"] * with_ids]
         for batch in batches:
             out: tuple = ([], [], [], [], [], [])
@@ -116,4 +127,4 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None,
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"))
+    return pack(table(spark, sf_dir, "documents"), added_tokens=True)

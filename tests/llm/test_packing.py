@@ -42,3 +42,22 @@ def test_pieces(spark):
     assert p.pack(df.limit(0)).count() == 0
     with pytest.raises(ValueError):
         p.pack(df, max_len=1000)
+
+
+def test_added_tokens_are_found_in_texts(spark, tmp_path):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(p.default_tokenizer())
+    texts = [x or "" for x in TEXTS] + ["a <|endoftext|> b", "<|endoftext|><|endoftext|>", "x<|endoftext|>日本 ", " <|endoftext", "  \n<|endoftext|>\n  it's"]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[len(TEXTS)] == [64, 220, 50256, 275]
+    ids = p.Ids(p.default_tokenizer(), added_tokens=True)
+    assert [np.frombuffer(ids(x), "<u4").tolist() for x in texts] == want
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {}
+    for r in p.op10_packing(spark, str(tmp_path)).collect():
+        got.setdefault(r.doc_id, []).append((r.start, r.length, r.ids_crc32, r.doc_tokens))
+    for k, x in enumerate(want):
+        raw = np.array([*x, p.END_ID], dtype="<u4").tobytes()
+        assert all((zlib.crc32(raw[4 * a : 4 * (a + n)]), len(x) + 1) == (crc, total) for a, n, crc, total in got[k])
+        assert sum(r[1] for r in got[k]) == len(x) + 1
