@@ -91,23 +91,31 @@ def neighbourhood(edges: DataFrame, start: str, depth: int = 2, most: int = 100)
     return kept, ends
 
 
-def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int = 10) -> DataFrame:
-    """start, target, length, path of pairs (start, target) that a path of at most depth edges joins; of equal ones the first in order."""
+def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int | None = None) -> DataFrame:
+    """start, target, length, path of pairs (start, target) that a path joins, of at most depth edges if that is given; of equal ones the first in order.
+
+    A pair is searched until its target is found or nothing new can be reached.
+    """
     both = arcs(edges)
     left = pairs.distinct()
     frontier = cut(left.select("start", "target", F.col("start").alias("node"), F.array("start").alias("path")))
-    done, seen = [frontier.where("node = target")], frontier.select("start", "target", "node")
-    for _ in range(depth):
-        over = done[-1].select("start", "target").distinct()
+    hits = frontier.where("node = target")
+    done, seen, step = hits, frontier.select("start", "target", "node"), 0
+    while depth is None or step < depth:
+        step += 1
+        over = hits.select("start", "target").distinct()
         frontier = frontier.join(over, ["start", "target"], "left_anti")
         ahead = frontier.join(both, F.col("node") == F.col("from")).groupBy("start", "target", F.col("to").alias("node")).agg(F.min("path").alias("path"))
         ahead = ahead.join(seen, ["start", "target", "node"], "left_anti")
         frontier = cut(ahead.withColumn("path", F.concat("path", F.array("node"))))
         if frontier.isEmpty():
             break
-        seen = seen.union(frontier.select("start", "target", "node"))
-        done.append(frontier.where("node = target"))
-    return reduce(DataFrame.unionAll, done).select("start", "target", (F.size("path") - 1).alias("length"), "path")
+        hits = frontier.where("node = target")
+        seen, done = seen.union(frontier.select("start", "target", "node")), done.union(hits)
+        if step % 8 == 0:  # long searches: plans stay short, and found pairs take no more room
+            done = cut(done)
+            seen = cut(seen.join(done.select("start", "target"), ["start", "target"], "left_anti"))
+    return done.select("start", "target", (F.size("path") - 1).alias("length"), "path")
 
 
 def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:

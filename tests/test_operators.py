@@ -157,6 +157,22 @@ def test_traversal_cases(spark):
     assert {(r.start, r.target): (r.length, r.path) for r in graph.shortest_paths(edges, pairs).collect()} == {("a", "d"): (3, ["a", "b", "c", "d"]), ("a", "a"): (0, ["a"])}
 
 
+def test_paths_have_no_longest_length(spark, tmp_path):
+    from foliospark.plans import q_graph
+
+    rows = [(f"n{i:02}", f"n{i + 1:02}") for i in range(21)] + [("n00", "m"), ("x", "y")]
+    edges = spark.createDataFrame(rows, "a string, b string")
+    pairs = spark.createDataFrame([("n00", "n21"), ("n03", "n05"), ("n00", "x"), ("y", "x"), ("m", "m")], "start string, target string")
+    got = {(r.start, r.target): r.path for r in graph.shortest_paths(edges, pairs).collect()}
+    assert got == {("n00", "n21"): [f"n{i:02}" for i in range(22)], ("n03", "n05"): ["n03", "n04", "n05"], ("y", "x"): ["y", "x"], ("m", "m"): ["m"]}
+    # Pages 0, 2, 3, 4, 5, 1 in a chain, each sharing a word with the next: ten steps from page 0 to page 1.
+    chain = [0, 2, 3, 4, 5, 1]
+    words = {p: [w for w in (k - 1, k) if 0 <= w < 5] for k, p in enumerate(chain)}
+    html = [(p, f"u{p}", "".join(f'<a href="/w{w}">w{w}</a>' for w in ws)) for p, ws in words.items()]
+    spark.createDataFrame(html, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert [tuple(r) for r in q_graph.shortest_path(spark, str(tmp_path)).collect()] == [("p0", "p1", 10)]
+
+
 def test_communities_split_two_cliques(spark):
     rows = [(f"{s}{i}", f"{s}{j}", 1) for s in "xy" for i in range(5) for j in range(i)] + [("x0", "y0", 1)]
     edges = spark.createDataFrame(rows, "a string, b string, weight int")
