@@ -10,9 +10,12 @@ the threshold; what is left is confirmed on the full sets.
 Equal sets are one class from the start. Within a band's bucket classes are first held against one hub,
 the member that shares most buckets; this joins large groups by a number of pairs that grows with the
 group, not with its square. Of classes that share a bucket and are then in different components, the
-members outside the bucket's commonest component are held against the others. Where these are many, as with
-a passage that very many documents share, pairs come from an exact filter instead: sets that link share
-one of their rarest shingles.
+members outside the bucket's commonest component are held against the others. Where these are many, they
+meet one more hub of the commonest component in each bucket; pairs of what is left, as with a passage that
+very many documents share, come from an exact filter: sets that link share one of their rarest shingles.
+
+Bands miss a pair at exactly the threshold with a probability of about 5e-6; shingles are told apart by
+64-bit hashes.
 """
 
 import numpy as np
@@ -31,7 +34,13 @@ BASE, RATE, TOP = 1.001, 20.0, (1 << 16) - 1
 SLACK = 0.25
 #: Buckets where members outside the commonest component would meet others in more pairs than this are paired by rare shingles.
 DENSE = 1024
-#: Up to this many ids are broadcast; more go through a shuffled join.
+#: In the order of shingles those of more sets than this come last, by their number of sets.
+COMMON = 16
+#: At most this many of them, 16 bytes each, are sent to all tasks; where there might be more, COMMON rises.
+COMMON_ROWS = 1 << 20
+#: Rows of a bucket or a shingle that meet others in one group.
+PART = 1024
+#: Up to this many ids or groups are broadcast; more go through a shuffled join.
 BROADCAST_ROWS = 1 << 20
 
 
@@ -195,58 +204,86 @@ def confirmed(pairs: DataFrame, sets: Sets, percent: int) -> DataFrame:
 
 
 def majorities(rows: DataFrame, by: str) -> DataFrame:
-    """by, major, meetings of rows (by, set_id, label): of each group with several labels the commonest, and the rows of others times all."""
+    """by, major, meetings, parts of rows (by, set_id, label): of each group with several labels the commonest, the
+    rows of others times all, and the parts into which all are dealt."""
     n = rows.groupBy(by, "label").agg(F.count("*").alias("n"))
     g = n.groupBy(by).agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("total"), F.count("*").alias("labels"))
-    return g.where("labels > 1").select(by, F.col("m.label").alias("major"), ((F.col("total") - F.col("m.n")) * F.col("total")).alias("meetings"))
+    return g.where("labels > 1").select(by, F.col("m.label").alias("major"), ((F.col("total") - F.col("m.n")) * F.col("total")).alias("meetings"), F.expr(f"cast((total - 1) div {PART} + 1 as int)").alias("parts"))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """df, for a join: broadcast if a count shows that it is small."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def crossing(rows: DataFrame, groups: DataFrame, by: str, more: list[str] | None = None, fits=None) -> DataFrame:
-    """Pairs (a, b) of set_ids with different labels in one of groups (by, major): each has an end outside the
-    commonest label, so that only such rows are held against their group's."""
+    """Pairs (a, b) of set_ids with different labels in one of groups (by, major, parts), a written table: each has
+    an end outside the commonest label, so that only such rows are held against their group's, part by part."""
     cols = ["set_id", "label", *(more or [])]
-    inside = rows.join(groups.select(by, "major"), by)
-    few = inside.where("label <> major").select(by, *[F.col(c).alias(f"x_{c}") for c in cols])
-    every = inside.select(by, "major", *[F.col(c).alias(f"y_{c}") for c in cols])
+    inside = rows.join(_small(groups.select(by, "major", "parts")), by)
+    few = inside.where("label <> major").select(by, F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), *[F.col(c).alias(f"x_{c}") for c in cols])
+    every = inside.select(by, F.pmod(F.xxhash64("set_id"), F.col("parts")).cast("int").alias("part"), "major", *[F.col(c).alias(f"y_{c}") for c in cols])
     # Of two rows outside the commonest label one order is enough.
     where = (F.col("x_label") != F.col("y_label")) & ((F.col("y_label") == F.col("major")) | (F.col("x_set_id") < F.col("y_set_id")))
-    found = few.join(every, by).where(where if fits is None else where & fits)
-    return found.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b"))
+    found = few.join(every, [by, "part"]).where(where if fits is None else where & fits)
+    return found.select(F.least("x_set_id", "y_set_id").alias("a"), F.greatest("x_set_id", "y_set_id").alias("b")).distinct()
+
+
+def second_hubs(labelled: DataFrame, groups: DataFrame) -> DataFrame:
+    """Pairs (a, b): in each of groups (key, major), a written table, the rows outside the commonest label with one
+    row of it, which differs from bucket to bucket."""
+    inside = labelled.join(_small(groups.select("key", "major")), "key")
+    hubs = inside.where("label = major").groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "set_id").alias("h"), "set_id")).alias("h")).select("key", F.col("h.set_id").alias("hub"))
+    return inside.where("label <> major").join(hubs, "key").select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
+
+
+def common_shingles(full: DataFrame, bar: int) -> DataFrame:
+    """shingle and n, its number of sets, of the shingles that more than bar of full (shingles) hold."""
+
+    def count(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            h, n = np.unique(np.frombuffer(b"".join(batch["shingles"].to_pylist()), dtype=np.int64), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(h), pa.array(n.astype(np.int64))], names=["shingle", "n"])
+
+    return full.select("shingles").mapInArrow(count, "shingle long, n long").groupBy("shingle").agg(F.sum("n").alias("n")).where(F.col("n") > bar)
 
 
 def rare_pairs(dense: DataFrame, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
     """All pairs (a, b) of dense (set_id, label, n_shingles) with different labels that may link, exactly.
 
-    Sets' shingles are put in order, those of the fewest sets first. Two sets that link share a shingle among
-    the first n - ceil(percent * n) + 1 of either, and the places of the first that they share leave room for
-    the overlap that a link needs. Passages that very many sets share come last, and pair none of them.
+    Any order of all shingles will do: two sets that link share a shingle among the first n - ceil(percent * n) + 1
+    of either, and the places of the first that they share leave room for the overlap that a link needs. Here
+    common shingles come last, by their number of sets, so that passages that very many sets share pair none of them.
     """
     full = sets.of(dense.select(F.col("set_id").alias("a"), F.col("set_id").alias("b")))
-    few = dense.withColumn("vid", F.xxhash64("set_id"))  # shorter to shuffle
+    full = scratch.write("dense_full", dense.join(full, "set_id"))
+    bar = max(COMMON, (full.agg(F.sum("n_shingles")).first()[0] or 0) // COMMON_ROWS)
+    found = common_shingles(full, bar).orderBy("shingle").toArrow()  # at most COMMON_ROWS rows
+    shared = full.sparkSession.sparkContext.broadcast((found["shingle"].to_numpy(), found["n"].to_numpy()))
 
-    def explode(batches):
+    def first(batches):
         import pyarrow as pa
 
+        known, held_by = shared.value
         for batch in batches:
-            for vid, raw in zip(batch["vid"].to_pylist(), batch["shingles"].to_pylist(), strict=True):
-                h = np.frombuffer(raw, dtype=np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), vid), pa.int64()), pa.array(h)], names=["vid", "shingle"])
-
-    rows = few.select("set_id", "vid").join(full, "set_id").select("vid", "shingles").mapInArrow(explode, "vid long, shingle long")
-    rows = scratch.write("shingles", rows)
-    total = rows.count()
-    df = rows.groupBy("shingle").agg(F.count("*").alias("df")).where("df > 1")
-    by_df = Window.partitionBy("vid").orderBy("df", "shingle")
-    shared = rows.join(df, "shingle").withColumn("place", F.row_number().over(by_df)).withColumn("n_shared", F.count("*").over(Window.partitionBy("vid")))
-    n = F.col("n_shingles")
-    # Shingles of one set alone come before all others.
-    placed = shared.join(few, "vid").withColumn("place", F.col("place") + n - F.col("n_shared"))
-    first = placed.where(F.col("place") <= n - F.ceil(n * percent / 100) + 1).select("shingle", "set_id", "label", "n_shingles", "place")
-    first = scratch.write("first", first, total)
-    x, y = F.col("x_n_shingles"), F.col("y_n_shingles")
+            for set_id, label, raw in zip(*[batch[c].to_pylist() for c in ("set_id", "label", "shingles")], strict=True):
+                h = np.sort(np.frombuffer(raw, dtype=np.int64))
+                n = np.zeros(len(h), dtype=np.int64)
+                if len(known):
+                    at = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                    n = np.where(known[at] == h, held_by[at], 0)
+                m = len(h) - -(-len(h) * percent // 100) + 1
+                h = h[np.argsort(n, kind="stable")[:m]]
+                yield pa.RecordBatch.from_arrays([pa.array(h), pa.array([set_id] * m, pa.binary()), pa.array([label] * m, pa.binary()), pa.array([len(raw) // 8] * m, pa.int32()), pa.array(np.arange(1, m + 1, dtype=np.int32))], names=["shingle", "set_id", "label", "n", "place"])
+
+    rows = scratch.write("first", full.select("set_id", "label", "shingles").mapInArrow(first, "shingle long, set_id binary, label binary, n int, place int"))
+    groups = scratch.write("groups", majorities(rows, "shingle"))
+    x, y = F.col("x_n"), F.col("y_n")
     room = 1 + F.least(x - F.col("x_place"), y - F.col("y_place"))
     fits = (100 * F.least(x, y) >= percent * F.greatest(x, y)) & (room * (100 + percent) >= percent * (x + y))
-    return crossing(first, majorities(first, "shingle"), "shingle", ["n_shingles", "place"], fits).distinct()
+    return crossing(rows, groups, "shingle", ["n", "place"], fits)
 
 
 def components(links: DataFrame, scratch: Scratch) -> DataFrame:
@@ -264,6 +301,19 @@ def components(links: DataFrame, scratch: Scratch) -> DataFrame:
         labels = moved.select("v", "label")
 
 
+def _links(pairs: DataFrame, classes: DataFrame, sets: Sets, percent: int, scratch: Scratch) -> DataFrame:
+    """Of pairs, a written table, those that link: by their registers' estimate, then on full sets."""
+    maybe = scratch.write("maybe", likely(pairs, classes, percent), pairs.count())
+    return scratch.write("links", confirmed(maybe, sets, percent), maybe.count())
+
+
+def _labelled(bands: DataFrame, labels: DataFrame, n: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The n rows of bands with their component's label, and the buckets that hold several."""
+    rows = bands.select("key", "set_id").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
+    rows = scratch.write("labelled", rows, n)
+    return rows, scratch.write("counts", majorities(rows, "key"), n)
+
+
 def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -290,22 +340,25 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     hubs = bands.groupBy("key").agg(F.max(F.struct("degree", "set_id")).alias("h")).select("key", F.col("h.set_id").alias("hub"))
     pairs = bands.join(hubs, "key").where("hub <> set_id").select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
     tried = scratch.write("tried", pairs, n)
-    maybe = scratch.write("maybe", likely(tried, classes, percent), tried.count())
-    links = scratch.write("links", confirmed(maybe, sets, percent), maybe.count())
+    links = _links(tried, classes, sets, percent, scratch)
     labels = components(links, scratch)
 
     # Then what is in different components of one bucket.
-    labelled = bands.select("key", "set_id").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").withColumn("label", F.coalesce("label", "set_id"))
-    labelled = scratch.write("labelled", labelled, n)
-    counts = scratch.write("counts", majorities(labelled, "key"), n)
-    across = crossing(labelled, counts.where(F.col("meetings") <= DENSE), "key")
-    dense = labelled.join(counts.where(F.col("meetings") > DENSE).select("key"), "key", "left_semi").select("set_id", "label").distinct()
-    dense = scratch.write("dense", dense.join(classes.select("set_id", "n_shingles"), "set_id"), n)
-    if not dense.isEmpty():
-        across = across.union(rare_pairs(dense, sets, percent, scratch))
-    pairs = scratch.write("across", across.distinct().join(tried, ["a", "b"], "left_anti"))
-    maybe = scratch.write("maybe", likely(pairs, classes, percent), pairs.count())
-    new = scratch.write("links", confirmed(maybe, sets, percent), maybe.count())
+    labelled, counts = _labelled(bands, labels, n, scratch)
+    if not (crowded := counts.where(F.col("meetings") > DENSE)).isEmpty():
+        more = scratch.write("tried", second_hubs(labelled, crowded).join(tried, ["a", "b"], "left_anti"), n)
+        tried, new = tried.union(more), _links(more, classes, sets, percent, scratch)
+        if not new.isEmpty():
+            links = links.union(new)
+            labels = components(links, scratch)
+            labelled, counts = _labelled(bands, labels, n, scratch)
+    across = crossing(labelled, scratch.write("thin", counts.where(F.col("meetings") <= DENSE), n), "key")
+    crowded = counts.where(F.col("meetings") > DENSE).select("key")
+    if not crowded.isEmpty():
+        dense = labelled.join(crowded, "key", "left_semi").select("set_id", "label").distinct()
+        dense = scratch.write("dense", dense.join(classes.select("set_id", "n_shingles"), "set_id"), n)
+        across = across.union(rare_pairs(dense, sets, percent, scratch)).distinct()
+    new = _links(scratch.write("across", across.join(tried, ["a", "b"], "left_anti")), classes, sets, percent, scratch)
     if not new.isEmpty():
         labels = components(links.union(new), scratch)
 

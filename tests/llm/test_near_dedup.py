@@ -42,9 +42,12 @@ def test_odd_rows(spark):
     assert nd.near_dedup(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
 
-@pytest.mark.parametrize("dense", [0, 3, nd.DENSE])
-def test_groups_of_near_copies(spark, monkeypatch, dense):
+@pytest.mark.parametrize(("dense", "common", "part"), [(0, 2, 7), (3, 0, 7), (3, 10**6, nd.PART), (nd.DENSE, nd.COMMON, nd.PART)])
+def test_groups_of_near_copies(spark, monkeypatch, dense, common, part):
+    """By pairs in buckets, and by rare shingles in any order of them and in one or many parts."""
     monkeypatch.setattr(nd, "DENSE", dense)
+    monkeypatch.setattr(nd, "COMMON", common)
+    monkeypatch.setattr(nd, "PART", part)
     rng = random.Random(1)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(5))
     shared = [word() for _ in range(60)]
