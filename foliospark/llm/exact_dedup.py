@@ -55,7 +55,7 @@ def terms(raw: bytes, after: int, powers: list[np.ndarray]) -> list[int]:
 PART = "row_id long, doc_id long, n_bytes long, text_sha256 string, fp1 long, fp2 long, after long, chunk binary"
 
 
-def fingerprint_parts(docs: DataFrame, huge: int = HUGE) -> DataFrame:
+def fingerprint_parts(docs: DataFrame, huge: int = HUGE, row: str | None = None) -> DataFrame:
     """Per document one row with its fingerprint; per huge document also its chunks, not yet hashed."""
 
     def parts(batches):
@@ -81,7 +81,7 @@ def fingerprint_parts(docs: DataFrame, huge: int = HUGE) -> DataFrame:
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), schema.types, strict=True)], schema=schema)
 
-    return docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(parts, PART)
+    return docs.select((F.monotonically_increasing_id() if row is None else F.col(row)).alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(parts, PART)
 
 
 def hash_chunks(parts: DataFrame) -> DataFrame:
@@ -125,16 +125,17 @@ def compare_chunkwise(docs: DataFrame, repeated: DataFrame, small: bool) -> Data
     return chunks.groupBy(*KEY, "k").agg(F.min("chunk").alias("a"), F.max("chunk").alias("b")).where("a <> b").select(*KEY).distinct()
 
 
-def exact_dedup(docs: DataFrame, huge: int = HUGE) -> DataFrame:
+def exact_dedup(docs: DataFrame, huge: int = HUGE, row: str | None = None) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, keep_id, group_size, kept, text_sha256, n_bytes.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. Of equal texts the
     row with the largest doc_id stays (a null id is the smallest); of rows that repeat an id and a
-    text exactly one is kept. Empty tables give an empty result; other columns are not read.
+    text exactly one is kept. Empty tables give an empty result; other columns are not read. row names
+    a column of docs, a long that differs on every row, which the result then has as well.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    parts = scratch.write("parts", fingerprint_parts(docs, huge))
+    parts = scratch.write("parts", fingerprint_parts(docs, huge, row))
     rows = parts.where("chunk is null").drop("after", "chunk")
     if not parts.where("chunk is not null").isEmpty():
         whole = rows.join(hash_chunks(parts), "row_id", "left")
@@ -154,6 +155,7 @@ def exact_dedup(docs: DataFrame, huge: int = HUGE) -> DataFrame:
         F.coalesce(F.col("keep_row") == F.col("row_id"), F.lit(True)).alias("kept"),
         "text_sha256",
         "n_bytes",
+        *([] if row is None else [F.col("row_id").alias(row)]),
     )
 
 

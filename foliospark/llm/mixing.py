@@ -43,18 +43,18 @@ def targets(by_source: DataFrame, weights=WEIGHTS, share: float = SHARE, most: f
     return t.withColumn("final", level).select("source", "source_size", F.when(F.col("final").isNotNull(), F.least(F.col("final") * F.col("weight"), F.col("cap"))).otherwise(F.col("cap")).alias("target"))
 
 
-def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0) -> DataFrame:
+def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MOST, seed: int = 0, prefix: str = "") -> DataFrame:
     """The columns of docs (doc_id, text, source) with size, source_size, target, taken and copies.
 
     A document is taken whole, floor(target / source_size) times, and once more below its source's
     hash threshold: the largest at which the source's words stay within its target, to a single
     document. Documents of one hash stand or fall together. Null texts have size 0 and are taken with
-    the rest; null sources form one source, the last. Columns of docs that clash with the added ones
-    are replaced. Reruns agree. An empty table gives an empty result.
+    the rest; null sources form one source, the last. Columns of docs that clash with the added ones,
+    whose names prefix begins, are replaced. Reruns agree. An empty table gives an empty result.
     """
     scratch = Scratch(docs.sparkSession)
-    clash = {"size", "source_size", "target", "taken", "copies", "_hash", "_threshold", "_full"}
-    d = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in clash])
+    added = ["size", "source_size", "target", "copies", "taken"]
+    d = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {prefix + x for x in added}])
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
     # The text is read once here; the passes below work on three narrow columns.
     narrow = scratch.write("narrow", docs.select("source", size.alias("size"), hash48(seed).alias("h")))
@@ -78,10 +78,11 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
         joined = state.join(step, F.col("source").eqNullSafe(F.col("s")), "left")
         # Without a bucket that overflows all fits: the threshold is then the end of the prefix.
         state = scratch.write(f"state{k}", joined.select("source", "source_size", "target", "full", (F.col("left") - F.coalesce("used", F.lit(0))).alias("left"), F.coalesce("bucket", (F.col("prefix") + 1) * (1 << BITS)).alias("prefix")))
-    found = state.select(F.col("source").alias("_s"), "source_size", "target", F.col("full").alias("_full"), F.col("prefix").alias("_threshold"))
-    out = d.withColumn("size", size).withColumn("_hash", hash48(seed)).join(found, F.col("source").eqNullSafe(F.col("_s")), "left")
-    copies = (F.col("_full") + (F.col("_hash") < F.col("_threshold")).cast("long")).alias("copies")
-    return out.select(*d.columns, "size", F.col("source_size").cast("long").alias("source_size"), "target", copies).withColumn("taken", F.col("copies") * F.col("size"))
+    found = state.select(F.col("source").alias("_mix_s"), *[F.col(c).alias(f"_mix_{c}") for c in ("source_size", "target", "full", "prefix")])
+    out = d.join(found, F.col("source").eqNullSafe(F.col("_mix_s")), "left")
+    copies = F.col("_mix_full") + (hash48(seed) < F.col("_mix_prefix")).cast("long")
+    values = [size, F.col("_mix_source_size").cast("long"), F.col("_mix_target"), copies, copies * size]
+    return out.select(*[F.col(f"`{c}`") for c in d.columns], *[v.alias(prefix + c) for v, c in zip(values, added, strict=True)])
 
 
 def op6_source_mixing(spark, sf_dir: str) -> DataFrame:

@@ -107,8 +107,9 @@ def _set_id(h: np.ndarray) -> bytes:
     return hashlib.blake2b(h.tobytes(), digest_size=16).digest()
 
 
-def sketch(docs: DataFrame) -> DataFrame:
-    """k (the id; the least long for null), n_shingles, set_id and regs (both null for empty sets)."""
+def sketch(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """k (the id; the least long for null), n_shingles, set_id and regs (both null for empty sets), and the column row."""
+    more = [] if row is None else [row]
 
     def rows(batches):
         import pyarrow as pa
@@ -121,13 +122,13 @@ def sketch(docs: DataFrame) -> DataFrame:
                 n.append(len(h))
                 ids.append(_set_id(h) if len(h) else None)
                 regs.append(registers(h).tobytes() if len(h) else None)
-            yield pa.RecordBatch.from_arrays([batch["k"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary())], names=["k", "n_shingles", "set_id", "regs"])
+            yield pa.RecordBatch.from_arrays([batch["k"], pa.array(n, pa.int64()), pa.array(ids, pa.binary()), pa.array(regs, pa.binary()), *[batch[c] for c in more]], names=["k", "n_shingles", "set_id", "regs", *more])
 
-    return _keyed(docs).mapInArrow(rows, "k long, n_shingles long, set_id binary, regs binary")
+    return _keyed(docs, more).mapInArrow(rows, ", ".join(["k long, n_shingles long, set_id binary, regs binary", *[f"`{c}` long" for c in more]]))
 
 
-def _keyed(docs: DataFrame) -> DataFrame:
-    return docs.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), F.col("text").cast("string").alias("text"))
+def _keyed(docs: DataFrame, more: list[str] | None = None) -> DataFrame:
+    return docs.select(*(more or []), F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63))).alias("k"), F.col("text").cast("string").alias("text"))
 
 
 def likely(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -314,17 +315,19 @@ def _labelled(bands: DataFrame, labels: DataFrame, n: int, scratch: Scratch) ->
     return rows, scratch.write("counts", majorities(rows, "key"), n)
 
 
-def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept.
+def near_dedup(docs: DataFrame, percent: int = PERCENT, row: str | None = None) -> DataFrame:
+    """One row per row of docs (doc_id, text): doc_id, n_shingles, component_id, kept, group_id.
 
     Words are the runs without ASCII white space, A-Z lower-cased; a text of fewer than five words is
     one shingle; a null text or one without words has none and links with nothing. component_id is the
     smallest doc_id reachable by links, kept is doc_id = component_id. Rows that repeat an id share a
-    component when their texts do. A null id is the smallest of all and gives a null component_id.
-    An empty table gives an empty result; other columns are not read.
+    component when their texts do; group_id, null where there are no words, tells components apart even
+    then. A null id is the smallest of all and gives a null component_id. An empty table gives an empty
+    result; other columns are not read. row names a column of docs, a long, which the result then has as
+    well. A pair at exactly the threshold is missed with a probability of about 5e-6 (see above).
     """
     scratch = Scratch(docs.sparkSession)
-    rows = scratch.write("rows", sketch(docs))
+    rows = scratch.write("rows", sketch(docs, row))
     classes = rows.where("set_id is not null").groupBy("set_id").agg(F.min("k").alias("k"), F.first("n_shingles").alias("n_shingles"), F.first("regs").alias("regs"))
     classes = scratch.write("classes", classes, rows.count())
     width = 2 * ROWS
@@ -364,14 +367,14 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     named = classes.select("set_id", "k").join(labels.withColumnRenamed("v", "set_id"), "set_id", "left").select("set_id", "k", F.coalesce("label", "set_id").alias("label"))
     smallest = named.groupBy("label").agg(F.min("k").alias("component"))
-    of_set = scratch.write("of_set", named.join(smallest, "label").select("set_id", "component"), classes.count())
+    of_set = scratch.write("of_set", named.join(smallest, "label").select("set_id", "component", F.hex("label").alias("group_id")), classes.count())
     none = F.lit(-(2**63))
-    out = rows.select("k", "n_shingles", "set_id").join(of_set, "set_id", "left").withColumn("component", F.coalesce("component", "k"))
-    return out.select(F.when(F.col("k") != none, F.col("k")).alias("doc_id"), "n_shingles", F.when(F.col("component") != none, F.col("component")).alias("component_id"), (F.col("k") == F.col("component")).alias("kept"))
+    out = rows.drop("regs").join(of_set, "set_id", "left").withColumn("component", F.coalesce("component", "k"))
+    return out.select(F.when(F.col("k") != none, F.col("k")).alias("doc_id"), "n_shingles", F.when(F.col("component") != none, F.col("component")).alias("component_id"), (F.col("k") == F.col("component")).alias("kept"), "group_id", *([] if row is None else [row]))
 
 
 def op2_near_dedup(spark, sf_dir: str) -> DataFrame:
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents")).drop("group_id")
 
 
 OP2_SQL = r"""

@@ -1,8 +1,9 @@
 """Quality by importance resampling.
 
-Hashed word and word-pair counts make two generative models, one of texts labelled good and one of all
+Hashed counts of words and word pairs make two generative models, one of texts labelled good and one of all
 texts. A text's importance is the ratio of its probabilities under them. Gumbel noise on the log
-importances and a cut at the k-th largest draw k texts without replacement in proportion to it.
+importances and a cut at the k-th largest draw k texts without replacement in proportion to it. k is a
+share of all texts.
 """
 
 import math
@@ -14,10 +15,11 @@ from pyspark.sql import functions as F
 from .common import Scratch, mix64, raw_texts, table, word_hasher
 
 BUCKETS = 10_000
-#: k is the sum of min(1, importance ** (1 / SOFT)): what is as likely among good texts counts whole.
-SOFT = 10.0
-#: Occurrences that the share of good texts is smoothed by.
-PRIOR = 20.0
+#: Weight of the raw model in the target's: what few labelled texts have missed is not held to be impossible.
+PRIOR = 0.2
+#: Added to the share of good texts among the labelled ones where no share to keep is given, so that noise at the
+#: cut costs few good ones.
+SPARE = 0.02
 SEED = 7
 #: Up to this many labels are broadcast; more go through a shuffled join.
 BROADCAST_ROWS = 1 << 20
@@ -31,33 +33,33 @@ def grams(raw: bytes, buckets: int) -> np.ndarray:
 
 
 def count_grams(docs: DataFrame, buckets: int) -> DataFrame:
-    """bucket, raw, labelled, target: counts over all texts of docs (text, good), those with a label and the good ones."""
+    """bucket, raw, target: counts over all texts of docs (text, good) and over the good ones."""
 
     def counts(batches):
         import pyarrow as pa
 
-        sums = np.zeros((3, buckets), dtype=np.int64)
+        sums = np.zeros((2, buckets), dtype=np.int64)
         for batch in batches:
-            for raw, good in zip(raw_texts(batch["text"]), batch["good"].to_pylist(), strict=True):
-                found = np.bincount(grams(raw, buckets), minlength=buckets)
-                sums[: 1 if good is None else 2 + good] += found
+            found = [grams(raw, buckets) for raw in raw_texts(batch["text"])]
+            good = [x for x, y in zip(found, batch["good"].to_pylist(), strict=True) if y]
+            for k, some in enumerate((found, good)):
+                if some:
+                    sums[k] += np.bincount(np.concatenate(some), minlength=buckets)
         at = np.flatnonzero(sums[0])
-        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[pa.array(x[at]) for x in sums]], names=["bucket", "raw", "labelled", "target"])
+        yield pa.RecordBatch.from_arrays([pa.array(at, pa.int64()), *[pa.array(x[at]) for x in sums]], names=["bucket", "raw", "target"])
 
-    names = ("raw", "labelled", "target")
-    return docs.select("text", "good").mapInArrow(counts, "bucket long, raw long, labelled long, target long").groupBy("bucket").agg(*[F.sum(x).alias(x) for x in names])
+    return docs.select("text", "good").mapInArrow(counts, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
 
 
 class Importance:
-    """log (p_target / p_raw) of each bucket.
+    """log (p_target / p_raw) of each bucket, and the share of good texts among those with a label.
 
-    p_raw are the frequencies over all texts. p_target are these, times the share of good texts among the
-    labelled occurrences of a bucket (smoothed by PRIOR occurrences of the overall share), normalised. So
-    few labels, or languages that they happen to miss, leave a bucket's ratio near 1.
+    p_raw are the frequencies over all texts, each count raised by one; p_target those over good texts, mixed
+    with PRIOR parts of p_raw.
     """
 
-    def __init__(self, ratios: np.ndarray):
-        self.ratios = ratios
+    def __init__(self, ratios: np.ndarray, good_share: float):
+        self.ratios, self.good_share = ratios, good_share
 
     @classmethod
     def fit(cls, docs: DataFrame, labels: DataFrame, buckets: int = BUCKETS) -> "Importance":
@@ -66,15 +68,15 @@ class Importance:
         if labels.count() <= BROADCAST_ROWS:
             marked = F.broadcast(marked)
         both = docs.select("doc_id", F.col("text").cast("string").alias("text")).join(marked, F.col("doc_id") == F.col("_labelled"), "left")
-        raw, labelled, target = np.zeros(buckets), np.zeros(buckets), np.zeros(buckets)
+        labelled, good = both.agg(F.count("good"), F.count(F.when(F.col("good"), 1))).first()
+        if not good:
+            return cls(np.zeros(buckets), 1.0)
+        raw, target = np.zeros(buckets), np.zeros(buckets)
         for r in count_grams(both, buckets).collect():  # at most one row a bucket
-            raw[r.bucket], labelled[r.bucket], target[r.bucket] = r.raw, r.labelled, r.target
-        if not target.any():
-            return cls(np.zeros(buckets))
-        overall = target.sum() / labelled.sum()
+            raw[r.bucket], target[r.bucket] = r.raw, r.target
         p_raw = (raw + 1) / (raw.sum() + buckets)
-        p_target = p_raw * (target + PRIOR * overall) / (labelled + PRIOR)
-        return cls(np.log(p_target / p_target.sum()) - np.log(p_raw))
+        p_target = (1 - PRIOR) * target / target.sum() + PRIOR * p_raw if target.any() else p_raw
+        return cls(np.log(p_target) - np.log(p_raw), good / labelled)
 
     def column(self, text):
         """The log importance of a text; 0 for empty texts and null."""
@@ -116,16 +118,16 @@ def kth_largest(df: DataFrame, column: str, k: int, bins: int = 4096) -> int | N
             return low
 
 
-def _scored(docs: DataFrame, model: Importance, seed: int) -> DataFrame:
-    key = F.col("log_importance") + gumbel(seed)
-    # Fixed point: keys are compared as whole numbers of millionths.
-    return docs.withColumn("log_importance", model.column(F.col("text"))).withColumn("gumbel_key", F.round(F.greatest(F.lit(-1e12), F.least(F.lit(1e12), key)) * 1e6).cast("long"))
+def _key(log_importance, seed: int):
+    """Fixed point: keys are compared as whole numbers of millionths."""
+    return F.round(F.greatest(F.lit(-1e12), F.least(F.lit(1e12), log_importance + gumbel(seed))) * 1e6).cast("long")
 
 
-def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, soft: float = SOFT, buckets: int = BUCKETS):
+def resample(docs: DataFrame, labels: DataFrame, share: float | None = None, seed: int = SEED, buckets: int = BUCKETS):
     """(scores, keep): scores has doc_id, log_importance, gumbel_key and kept for each row of docs
-    (doc_id, text); keep(docs) filters rows by the same cut.
+    (doc_id, text); keep(docs) filters rows by the same cut and leaves their columns as they are.
 
+    k is share times the rows of docs; by default the share of good texts among labelled ones, and SPARE.
     labels (doc_id, good) tells good texts from bad ones; where an id has several, one good one is enough,
     and null ids and labels don't count. Null and empty texts have importance 1. Rows that repeat an id
     share their noise; rows at the cut all stay. Without good texts nothing is rejected; an empty table
@@ -134,15 +136,16 @@ def resample(docs: DataFrame, labels: DataFrame, seed: int = SEED, soft: float =
     labels = labels.where("doc_id is not null and good is not null").groupBy("doc_id").agg(F.max("good").alias("good"))
     scratch = Scratch(docs.sparkSession)
     model = Importance.fit(docs, scratch.write("labels", labels), buckets)
-    scores = scratch.write("scores", _scored(docs.select("doc_id", "text"), model, seed).drop("text"))
-    total = scores.agg(F.sum(F.exp(F.least(F.col("log_importance"), F.lit(0.0)) / soft))).first()[0] or 0.0
-    cut = kth_largest(scores, "gumbel_key", math.ceil(round(total, 3)))
-    kept = F.col("gumbel_key") >= F.lit(cut) if cut is not None else F.lit(True)
+    scores = docs.select("doc_id", model.column(F.col("text")).alias("log_importance"))
+    scores = scratch.write("scores", scores.withColumn("gumbel_key", _key(F.col("log_importance"), seed)))
+    share = min(1.0, model.good_share + SPARE) if share is None else share
+    cut = kth_largest(scores, "gumbel_key", math.ceil(round(share * scores.count(), 6)))
+    kept = lambda key: key >= F.lit(cut) if cut is not None else F.lit(True)
 
     def keep(d: DataFrame) -> DataFrame:
-        return _scored(d, model, seed).where(kept).select(*[F.col(f"`{c}`") for c in d.columns])
+        return d.where(kept(_key(model.column(F.col("text")), seed)))
 
-    return scores.withColumn("kept", kept), keep
+    return scores.withColumn("kept", kept(F.col("gumbel_key"))), keep
 
 
 def quality_labels(spark, sf_dir: str) -> DataFrame:

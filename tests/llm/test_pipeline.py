@@ -31,13 +31,33 @@ def test_run(spark, sf_dir):
     assert cp.run(spark, sf_dir).count() > 0
 
 
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, copies int, size string, target string, taken string, log_importance string, gumbel_key string, group_id string"
+MINE = ("size", "target", "taken", "log_importance", "gumbel_key", "group_id")
+
+
+def rows_of(spark, found):
+    return spark.createDataFrame([(i, t, "en", s, 0, None, 7, *MINE) for i, t, s in found], SCHEMA)
+
+
 def test_odd_rows(spark, sf_dir):
-    schema = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, copies int"
-    rows = [(None, None, None, None, None, True, 1), (1, "", "en", "s", 0, None, None), (2, "one two three four five six", "en", "s", 1, None, None), (2, "one two three four five six", "en", "s", 1, None, None), (3, "One two three four five six", "en", None, 1, None, None)]
-    docs = spark.createDataFrame(rows, schema)
+    docs = rows_of(spark, [(None, None, None), (1, "", "s"), (2, "one two three four five six", "s"), (2, "one two three four five six", "s"), (3, "One two three four five six", None)])
     for _, stage in cp.STAGES[:-1]:
-        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), schema)
+        docs = spark.createDataFrame(stage(spark, docs, sf_dir).collect(), SCHEMA)
+        assert all((r.copies, *r[7:]) == (7, *MINE) for r in docs.collect())
     assert {r.doc_id for r in docs.collect()} <= {None, 1, 3}
-    empty = spark.createDataFrame([], schema)
+    empty = spark.createDataFrame([], SCHEMA)
     for _, stage in cp.STAGES:
         assert stage(spark, empty, sf_dir).count() == 0
+
+
+def test_rows_that_repeat_ids_are_decided_one_by_one(spark, sf_dir):
+    a, b, c = ("same old words again and again " * 9).strip(), "quite another text that stands on its own here", "third text of which there is one only in all"
+    near_a = a + " end"
+    get = lambda d: sorted((-1 if r.doc_id is None else r.doc_id, r.text or "") for r in d.collect())
+    docs = rows_of(spark, [(1, a, "s"), (2, a, "s"), (1, b, "s"), (2, a, "s"), (3, c, "s"), (3, c, "s"), (3, b.upper(), "s"), (None, None, "s"), (None, "", "s")])
+    exact = get(cp.exact(spark, docs, sf_dir))
+    assert exact[0][0] == -1 and exact[1:] == [(2, a), (3, b.upper()), (3, c)]
+    docs = rows_of(spark, [(1, a, "s"), (5, near_a, "s"), (5, b, "s"), (5, b, "s"), (1, near_a, "s"), (6, c, "s"), (6, "", "s"), (6, None, "s")])
+    near = get(cp.near(spark, docs, sf_dir))
+    assert [x for x in near if x[1] in (a, near_a)] in ([(1, a)], [(1, near_a)])
+    assert [x for x in near if x[1] not in (a, near_a)] == [(5, b), (6, ""), (6, ""), (6, c)]
