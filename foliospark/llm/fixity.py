@@ -6,14 +6,18 @@ subtrees of one tree, whose root speaks for everything. Two replicas are compare
 level by level, and only below nodes that differ.
 """
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
 FANOUT = 16
-#: Consecutive ids whose records share a shard.
-SHARD_IDS = 1024
+#: Ids that agree but for their last bits share a shard.
+SHARD_BITS = 10
+#: While at most this many nodes are open, the files of the next level are read by their children's ranges alone.
+NARROW = 256
 
 
 def warc_record(page_id, url, html):
@@ -26,28 +30,37 @@ def warc_record(page_id, url, html):
     return F.concat(head, body, F.lit("\r\n\r\n")).cast("binary")
 
 
-def manifest(pages: DataFrame) -> DataFrame:
-    """shard, seq, page_id, offset, length and digest of each record of pages (page_id, url, html).
+def manifest(pages: DataFrame, more: list[str] | None = None) -> DataFrame:
+    """shard, seq, page_id, offset, length and digest of each record of pages (page_id, url, html), and columns more.
 
-    A shard's records lie in the order of id, address and digest. Null ids form a shard of their own, -1.
+    A shard's records lie in the order of id, digest and address. Null ids lie in shard -1. Positions are added up
+    in two steps, over the records of one id and one beginning of digests and over these groups, so that an id of
+    very many records, or none, is spread.
     """
+    more = more or []
     record = warc_record(F.col("page_id"), F.col("url"), F.col("html"))
-    shard = F.coalesce(F.floor(F.col("page_id") / SHARD_IDS), F.lit(-1)).cast("long")
-    r = pages.select(shard.alias("shard"), F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"))
-    order = Window.partitionBy("shard").orderBy("page_id", "url", "digest")
-    before = F.coalesce(F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
-    return r.select("shard", (F.row_number().over(order) - 1).cast("long").alias("seq"), "page_id", before.alias("offset"), "length", "digest")
-
-
-def leaves(records: DataFrame, depth: int, first_shard: int, digest: str = "digest") -> DataFrame:
-    """Level 0: node numbers such that a shard is one node of level depth. A lost record has the digest ''."""
+    shard = F.coalesce(F.shiftright(F.col("page_id").cast("long"), SHARD_BITS), F.lit(-1).cast("long"))
+    r = pages.select(shard.alias("shard"), F.col("page_id").cast("long").alias("page_id"), F.coalesce(F.col("url").cast("string"), F.lit("")).alias("url"), F.octet_length(record).cast("long").alias("length"), F.sha2(record, 256).alias("digest"), *more)
+    r = r.withColumn("_begins", F.substring("digest", 1, 2))
+    group = ["shard", "page_id", "_begins"]
+    before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("long")
+    by_shard, inside = Window.partitionBy("shard").orderBy("page_id", "_begins"), Window.partitionBy(*group).orderBy("digest", "url")
+    sums = r.groupBy(*group).agg(F.count("*").alias("_n"), F.sum("length").alias("_bytes"))
+    sums = sums.select(F.col("shard").alias("_s"), F.col("page_id").alias("_p"), F.col("_begins").alias("_b"), before(by_shard, "_n").alias("_seq"), before(by_shard, "_bytes").alias("_offset"))
+    r = r.withColumn("_k", (F.row_number().over(inside) - 1).cast("long")).withColumn("_at", before(inside, "length"))
+    both = r.join(sums, (F.col("shard") == F.col("_s")) & F.col("page_id").eqNullSafe(F.col("_p")) & (F.col("_begins") == F.col("_b")))
+    return both.select("shard", (F.col("_seq") + F.col("_k")).alias("seq"), "page_id", (F.col("_offset") + F.col("_at")).alias("offset"), "length", "digest", *more)
+
+
+def leaves(records: DataFrame, depth: int, first_shard: int) -> DataFrame:
+    """Level 0: node numbers such that a shard is one node of level depth."""
     node = (F.col("shard") - first_shard) * FANOUT**depth + F.col("seq")
-    return records.select(node.alias("node"), "length", F.coalesce(digest, F.lit("")).alias("digest"))
+    return records.select(node.alias("node"), "length", "digest")
 
 
 def parents(nodes: DataFrame) -> DataFrame:
     """The next level. A node's digest covers its children's numbers, offset ranges and digests."""
-    up = nodes.groupBy(F.floor(F.col("node") / FANOUT).cast("long").alias("parent")).agg(F.sort_array(F.collect_list(F.struct("node", "length", "digest"))).alias("c"))  # at most FANOUT
+    up = nodes.groupBy(F.expr(f"node div {FANOUT}").alias("parent")).agg(F.sort_array(F.collect_list(F.struct("node", "length", "digest"))).alias("c"))  # at most FANOUT
     ranged = F.aggregate(
         "c",
         F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("text")),
@@ -57,38 +70,48 @@ def parents(nodes: DataFrame) -> DataFrame:
 
 
 def tree(level: DataFrame, height: int, scratch: Scratch, name: str) -> list[DataFrame]:
-    """All levels, leaves first, root last."""
-    out = [scratch.write(f"{name}0", level)]
-    for k in range(height):
-        out.append(scratch.write(f"{name}{k + 1}", parents(out[-1])))
+    """All levels, leaves first, root last. Files hold ranges of nodes in order, so that few of them hold a node's children."""
+    out = []
+    for k in range(height + 1):
+        level = parents(out[-1]) if k else level
+        out.append(scratch.write(f"{name}{k}", level.repartitionByRange("node").sortWithinPartitions("node")))
     return out
 
 
+def _below(level: DataFrame, above: DataFrame, n: int) -> DataFrame:
+    """The children, in level, of the n nodes above."""
+    if n <= NARROW:
+        ranges = [F.col("node").between(r["node"] * FANOUT, r["node"] * FANOUT + FANOUT - 1) for r in above.collect()]
+        return level.where(reduce(lambda a, b: a | b, ranges))
+    return level.join(above.withColumnRenamed("node", "parent"), F.expr(f"node div {FANOUT}") == F.col("parent"), "left_semi")
+
+
 def differing_leaves(one: list[DataFrame], other: list[DataFrame], scratch: Scratch) -> DataFrame:
-    """Numbers of leaves that differ, found from the roots down; only children of differing nodes are compared."""
-    open_nodes = None
+    """Numbers of leaves that differ, found from the roots down; only children of differing nodes are read and compared."""
+    open_nodes = n = None
     for k in range(len(one) - 1, -1, -1):
         a, b = one[k], other[k]
         if open_nodes is not None:
-            above = open_nodes.withColumnRenamed("node", "parent")
-            a, b = (x.join(above, F.floor(x["node"] / FANOUT) == above["parent"], "left_semi") for x in (a, b))
+            a, b = _below(a, open_nodes, n), _below(b, open_nodes, n)
         both = a.select("node", F.struct("length", "digest").alias("x")).join(b.select("node", F.struct("length", "digest").alias("y")), "node", "full_outer")
         open_nodes = scratch.write(f"open{k}", both.where(~F.col("x").eqNullSafe(F.col("y"))).select("node"))
-        if open_nodes.isEmpty():
+        n = open_nodes.count()
+        if n == 0:
             break
     return open_nodes
 
 
 def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
-    """The records that a replica has lost or holds with other bytes.
+    """The records that a replica has lost, holds with other bytes, or holds beyond the manifest.
 
-    records is a manifest; replica (shard, seq, replica_digest) has the digests of the bytes that the
-    replica holds in the manifest's ranges, null where it holds none. Returns shard, seq, page_id, offset,
-    length, digest, replica_digest; nothing where the roots agree, and for empty manifests.
+    records and replica are manifests, each of what is held in its place. Returns shard, seq, page_id, offset, length,
+    digest, and replica_digest: null for a lost record; digest is null for a surplus one, whose other columns are the
+    replica's. Nothing where the roots agree, and for two empty manifests. shard and seq name a record once.
     """
     scratch = Scratch(records.sparkSession)
-    records = scratch.write("records", records)
-    most, first, last = records.agg(F.max("seq"), F.min("shard"), F.max("shard")).first()
+    columns = ["shard", "seq", "page_id", "offset", "length", "digest"]
+    records, replica = (scratch.write(name, x.select(*columns)) for name, x in (("records", records), ("replica", replica)))
+    most, first, last = records.union(replica).agg(F.max("seq"), F.min("shard"), F.max("shard")).first()
     if most is None:
         return records.withColumn("replica_digest", F.lit(None).cast("string"))
     depth = height = 0
@@ -96,21 +119,26 @@ def audit(records: DataFrame, replica: DataFrame) -> DataFrame:
         depth += 1
     while FANOUT**height <= (last - first + 1) * FANOUT**depth - 1:
         height += 1
-    replica = scratch.write("replica", records.select("shard", "seq", "length").join(replica.select("shard", "seq", "replica_digest"), ["shard", "seq"], "left"))
-    one = tree(leaves(records, depth, first), height, scratch, "one")
-    other = tree(leaves(replica, depth, first, "replica_digest"), height, scratch, "other")
-    bad = differing_leaves(one, other, scratch).select((F.floor(F.col("node") / FANOUT**depth) + first).cast("long").alias("shard"), (F.col("node") % FANOUT**depth).alias("seq"))
-    return records.join(bad, ["shard", "seq"]).join(replica.select("shard", "seq", "replica_digest"), ["shard", "seq"]).select("shard", "seq", "page_id", "offset", "length", "digest", "replica_digest")
+    one, other = (tree(leaves(x, depth, first), height, scratch, name) for name, x in (("one", records), ("other", replica)))
+    width = FANOUT**depth
+    bad = differing_leaves(one, other, scratch).select((F.expr(f"node div {width}") + first).alias("shard"), (F.col("node") % width).alias("seq"))
+    here, there = (x.join(bad, ["shard", "seq"], "left_semi") for x in (records, replica))
+    both = here.withColumn("_here", F.lit(True)).join(there.select("shard", "seq", *[F.col(c).alias(f"_{c}") for c in columns[2:]]), ["shard", "seq"], "full_outer")
+    mine = lambda c: F.when(F.col("_here"), F.col(c)).otherwise(F.col(f"_{c}")).alias(c)
+    return both.select("shard", "seq", mine("page_id"), mine("offset"), mine("length"), "digest", F.col("_digest").alias("replica_digest"))
 
 
 def op1_fixity_audit(spark, sf_dir: str) -> DataFrame:
-    """A replica of pages in which a byte of some records has changed and others are lost."""
+    """A replica of pages in which a byte of some records has changed and others are lost, by a hash of the id.
+
+    Rows that repeat an id or lack one are records like others; those without an id are neither changed nor lost.
+    """
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
-    fate = F.substring(F.md5(F.col("page_id").cast("string").cast("binary")), 1, 2)
-    held = manifest(pages)
+    fate = F.substring(F.md5(F.coalesce(F.col("page_id").cast("string"), F.lit("")).cast("binary")), 1, 2)
     rotten = F.when(fate == "0d", F.concat(F.lit("#"), F.substring("html", 2, 1 << 30))).otherwise(F.col("html"))
-    copied = pages.select("page_id", F.when(fate != "0e", F.sha2(warc_record(F.col("page_id"), F.col("url"), rotten), 256)).alias("replica_digest"))
-    replica = held.select("shard", "seq", "page_id").join(copied, "page_id")
+    copy = warc_record(F.col("page_id"), F.col("url"), rotten)
+    held = manifest(pages.withColumn("copy_digest", F.when(fate != "0e", F.sha2(copy, 256))).withColumn("copy_length", F.octet_length(copy).cast("long")), ["copy_digest", "copy_length"])
+    replica = held.where("copy_digest is not null").select("shard", "seq", "page_id", "offset", F.col("copy_length").alias("length"), F.col("copy_digest").alias("digest"))
     return audit(held, replica)
 
 
