@@ -38,7 +38,8 @@ _SPACES = bytes.maketrans(_PUNCTUATION, b" " * len(_PUNCTUATION))
 _UPPER = bytes(range(65, 91))
 _LETTERS = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
 _DIGITS = bytes(range(48, 58))
-_LEETED = re.compile(rb"[a-z0-9@$!]*[a-z][0-9@$!]+[a-z][a-z0-9@$!]*")
+# Begins where a run of these characters begins and looks through it once, so that long runs take linear time.
+_LEETED = re.compile(rb"(?<![a-z0-9@$!])(?=[a-z0-9@$!]*?[a-z][0-9@$!]+[a-z])[a-z0-9@$!]+")
 _SPELLED = re.compile(rb"(?<![a-z])(?:[a-z][ .*_-]){3,}[a-z](?![a-z])")
 _STRETCHED = re.compile(rb"([a-z])\1\1")
 _CAPS = re.compile(rb"(?<![A-Za-z])[A-Z]{3,}(?![A-Za-z])")
@@ -76,7 +77,8 @@ class Lexicon:
         hidden = [w.translate(LEET) for w in _LEETED.findall(low)]
         hidden += [re.sub(rb"[^a-z]", b"", w) for w in _SPELLED.findall(low)]
         found = sum(1 for w in hidden if w in known or self.begins(w))
-        letters = size - len(raw.translate(None, _LETTERS))
+        count = lambda kept: len(raw) - len(raw.translate(None, kept))
+        letters = count(_LETTERS)
         run = best = 0
         previous = None
         for w in words:
@@ -88,8 +90,8 @@ class Lexicon:
         return [
             math.log1p(len(words)), float(len(exact)), len(exact) / n, float(len(begun)), len(begun) / n,
             len(hits & marked) / n, len(you) / n, float(found), len(hidden) / n,
-            (size - len(raw.translate(None, _UPPER))) / max(1, letters), len(_CAPS.findall(raw)) / n,
-            raw.count(b"!") / n, raw.count(b"?") / n, (size - len(raw.translate(None, _PUNCTUATION))) / size, (size - len(raw.translate(None, _DIGITS))) / size,
+            count(_UPPER) / max(1, letters), len(_CAPS.findall(raw)) / n,
+            raw.count(b"!") / n, raw.count(b"?") / n, count(_PUNCTUATION) / size, count(_DIGITS) / size,
             len(_STRETCHED.findall(low)) / n, sum(map(len, words)) / n, best / n,
         ]
 

@@ -1,3 +1,12 @@
+import itertools
+import math
+import random
+import re
+import time
+from collections import Counter
+
+import pytest
+from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import functions as F
 
 from foliospark.llm import toxicity as t
@@ -35,3 +44,58 @@ def test_features_see_hidden_words():
     assert f("You IDIOT!")["word_hits"] == 1 and f("You IDIOT!")["near_you"] > 0
     assert f("an id1ot")["hidden_hits"] == 1 and f("i.d.i.o.t")["hidden_hits"] == 1 and f("morons")["start_hits"] == 1
     assert f("")["word_hits"] == 0
+
+
+def plain_features(text, words, starts):
+    """The features, each from its definition."""
+    raw, low = text.encode(), text.encode().lower()
+    cut = re.split(rb"[\x00-\x20!-/:-@[-`{-~\x7f]+", low)
+    cut = [w for w in cut if w]
+    n, size = max(1, len(cut)), max(1, len(raw))
+    begins = lambda w: any(len(w) > len(x) and w.startswith(x) for x in starts)
+    exact, begun, you = ([f(w) for w in cut] for f in (lambda w: w in words, begins, lambda w: w in t.SECOND))
+    near = sum((exact[i] or begun[i]) and any(you[max(0, i - 5) : i + 6]) for i in range(len(cut)))
+    runs = re.findall(rb"[a-z0-9@$!]+", low)
+    hidden = [w.translate(t.LEET) for w in runs if re.search(rb"[a-z][0-9@$!]+[a-z]", w)]
+    hidden += [bytes(c for c in m if 97 <= c <= 122) for m in re.findall(rb"(?<![a-z])(?:[a-z][ .*_-]){3,}[a-z](?![a-z])", low)]
+    count = lambda test: sum(map(test, raw))
+    letter = lambda c: 65 <= c <= 90 or 97 <= c <= 122 or c >= 128
+    longest = max((len(list(g)) for _, g in itertools.groupby(cut)), default=0)
+    return [
+        math.log1p(len(cut)), sum(exact), sum(exact) / n, sum(begun), sum(begun) / n, near / n, sum(you) / n, sum(w in words or begins(w) for w in hidden), len(hidden) / n,
+        count(lambda c: 65 <= c <= 90) / max(1, count(letter)), len(re.findall(rb"(?<![A-Za-z])[A-Z]{3,}(?![A-Za-z])", raw)) / n, raw.count(b"!") / n, raw.count(b"?") / n,
+        count(lambda c: 33 <= c < 127 and not chr(c).isalnum()) / size, count(lambda c: 48 <= c <= 57) / size, len(re.findall(rb"([a-z])\1\1", low)) / n, sum(map(len, cut)) / n, longest / n,
+    ]
+
+
+def test_features_by_brute_force(spark, sf_dir):
+    texts = [r.text for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()] + ["", "YOU id1ot!! sooo b@d, i d i o t s", "a1a 1a1 a!b@c $x$ 0o0o0"]
+    seen = Counter(w for x in texts for w in set(x.encode().lower().split()) if w.isalpha())
+    words, starts = {w for w, n in seen.items() if n % 7 == 3}, {w[:4] for w, n in seen.items() if n % 5 == 2 and len(w) > 4} | {w[:6] for w, n in seen.items() if n % 5 == 3 and len(w) > 6}
+    lexicon = t.Lexicon(words, starts)
+    for x in texts:
+        assert lexicon.features(x.encode()) == pytest.approx(plain_features(x, words, starts), abs=1e-12), x
+
+
+def test_isotonic_step_by_brute_force(spark):
+    rng = random.Random(4)
+    pairs = [(rng.random(), 0.0) for _ in range(300)]
+    pairs = [(x, float(rng.random() < x)) for x, _ in pairs]
+    blocks = []
+    for x, y in sorted(pairs):
+        blocks.append([y, 1, [x]])
+        while len(blocks) > 1 and blocks[-2][0] / blocks[-2][1] > blocks[-1][0] / blocks[-1][1]:
+            s, n, xs = blocks.pop()
+            blocks[-1] = [blocks[-1][0] + s, blocks[-1][1] + n, blocks[-1][2] + xs]
+    want = {x: s / n for s, n, xs in blocks for x in xs}
+    df = spark.createDataFrame(pairs, "raw double, label double")
+    got = IsotonicRegression(featuresCol="raw", labelCol="label", predictionCol="score").fit(df).transform(df).collect()
+    assert all(abs(r.score - want[r.raw]) < 1e-9 for r in got)
+
+
+def test_long_texts_take_linear_time():
+    lexicon = t.Lexicon({b"idiot"}, {b"moro"})
+    for x in ("a" * 1_000_000, "a1" * 500_000, "1" * 1_000_000, "a.b." * 250_000, "AB" * 500_000, "a" + "1" * 1_000_000, "you idiot " * 100_000):
+        began = time.time()
+        lexicon.features(x.encode())
+        assert time.time() - began < 10
