@@ -2,11 +2,14 @@
 
 Trees are fitted on a bounded sample: each node splits at the median of a random projection. Every row is
 then put into one leaf of each tree. A query walks all trees through one priority queue, nearest margins
-first, until the leaves that it has reached hold a set share of all rows. Leaves meet their queries in
-groups that are cut to a bounded size; there candidates are ranked by their exact cosine.
+first, until the leaves that it has reached hold a share of all rows. The share is measured on the sample:
+there exact neighbours of some rows are known, and with them how far a walk must go to reach nearly all.
+Clustered vectors need little, vectors without clusters much. Leaves meet their queries in groups that are
+cut to a bounded size; there candidates are ranked by their exact cosine.
 """
 
 import heapq
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame, Window
@@ -14,10 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, table
 
-TREES, SAMPLE, LEAF = 8, 16_384, 128
-#: Rows in the leaves that a query reaches, as a share of all rows; a row counts once a tree. At least LEAST rows.
-#: The share suits vectors without clusters, whose neighbours are hardly nearer than others; clustered ones need less.
-SHARE, LEAST = 0.75, 4096
+TREES, SAMPLE, LEAF = 8, 16_384, 64
+#: Of the neighbours of PROBES rows of the sample, walks must reach this part; and LEAST rows in any case.
+RECALL, PROBES, LEAST = 0.94, 256, 4096
 #: Rows of a leaf that meet queries in one group.
 GROUP = 2048
 TOP = 5
@@ -63,6 +65,32 @@ class Tree:
         return out
 
 
+def share_needed(sample: np.ndarray, trees: list[Tree], top: int, recall: float, probes: int) -> float:
+    """The rows, as a share of the sample (of rows of length 1), in the leaves that walks must reach to meet a part
+    recall of the top nearest others of evenly chosen rows. A row counts once a tree."""
+    n = len(sample)
+    leaf = [t.assign(sample) for t in trees]
+    sizes = [np.bincount(x, minlength=t.leaves) for x, t in zip(leaf, trees, strict=True)]
+    needed = []
+    for i in np.unique(np.linspace(0, n - 1, min(n, probes)).astype(int)):
+        near = sample @ sample[i]
+        near[i] = -np.inf
+        wanted = {int(j) for j in np.argsort(-near, kind="stable")[: min(top, n - 1)]}
+        at: dict = {}
+        for j in wanted:
+            for k in range(len(trees)):
+                at.setdefault((k, int(leaf[k][j])), set()).add(j)
+        got = 0
+        for k, x in reach(sample[i], trees, sizes, float("inf")):
+            got += int(sizes[k][x])
+            hit = at.get((k, x), set()) & wanted
+            needed += [got] * len(hit)
+            wanted -= hit
+            if not wanted:
+                break
+    return float(np.quantile(needed, recall, method="higher")) / n if needed else 1.0
+
+
 def reach(x: np.ndarray, trees: list[Tree], sizes: list[np.ndarray], wanted: float) -> list[tuple[int, int]]:
     """(tree, leaf) in the order of a shared priority queue, until their sizes add up to wanted."""
     margins = [t.directions @ x - np.array(t.cuts) if t.cuts else None for t in trees]
@@ -87,29 +115,39 @@ def _matrix(column) -> np.ndarray:
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """id and embedding as doubles, without those that take no part: no id, null, zero, null or non-finite parts, or another length than most."""
+    """id and embedding as doubles, without those that take no part: no id, null, zero, null or non-finite parts."""
     v = vectors.select(F.col("vec_id").cast("long").alias("id"), F.col("embedding").cast("array<double>").alias("v")).where("id is not null and v is not null")
-    v = v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
-    width = v.groupBy(F.size("v").alias("width")).count().orderBy(F.desc("count"), "width").first()
-    return v.where(F.size("v") == F.lit(width["width"] if width else 0))
+    return v.where(F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0))
 
 
-def neighbours(vectors: DataFrame, is_query, top: int = TOP, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, share: float = SHARE, least: int = LEAST, seed: int = 5) -> DataFrame:
+def neighbours(vectors: DataFrame, is_query, top: int = TOP, **how) -> DataFrame:
     """query_id, rank, vec_id, score: for each row of vectors (vec_id, embedding) with is_query, a condition
     on id, its nearest others by cosine, in double precision.
 
-    Ties go to the smaller vec_id. Rows without id or embedding, zero vectors, those with null or non-finite
-    parts and those of another length than most take no part. An id on several rows is never its own
-    neighbour and is listed once, by its nearest row. A query with fewer candidates gets all. An empty
-    table gives an empty result; other columns are not read.
+    Ties go to the smaller vec_id. Rows without id or embedding, zero vectors and those with null or non-finite
+    parts take no part; vectors are compared with those of their own length, in a search for each length that
+    there is. An id on several rows is never its own neighbour and is listed once, by its nearest row. A query
+    with fewer candidates gets all. An empty table gives an empty result; other columns are not read. how: see
+    search.
     """
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     rows = scratch.write("rows", usable(vectors))
-    n = rows.count()
-    schema = "query_id long, rank int, vec_id long, score double"
-    if n == 0:
-        return spark.createDataFrame([], schema)
+    widths = {r["width"]: r["count"] for r in rows.groupBy(F.size("v").alias("width")).count().collect()}
+    if not widths:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    found = [search(rows.where(F.size("v") == w), n, is_query, scratch, top, **how) for w, n in sorted(widths.items())]
+    best = reduce(DataFrame.unionAll, found).groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
+    return best.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def search(rows: DataFrame, n: int, is_query, scratch: Scratch, top: int, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, recall: float = RECALL, share: float | None = None, least: int = LEAST, seed: int = 5) -> DataFrame:
+    """query_id, vec_id, score: at least the top best found of the n written rows (id, v), of one length, for those with is_query.
+
+    Trees are fitted on about sample rows and split leaves of more than leaf of them. share sets the rows that a
+    query reaches, as a share of all; by default it is measured so that a part recall of neighbours is met.
+    """
     part = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
     some = rows.where(part < F.lit(int((1 << 30) * min(1.0, sample / n)))).select("v").toPandas()["v"] if n > sample else rows.select("v").toPandas()["v"]
     fitted_on = np.stack(some.to_numpy()) if len(some) else np.ones((1, 1))
@@ -126,6 +164,8 @@ def neighbours(vectors: DataFrame, is_query, top: int = TOP, trees: int = TREES,
             for k, tree in enumerate(forest):
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k), pa.int32()), pa.array(tree.assign(u), pa.int32()), batch["id"], batch["v"]], names=["tree", "leaf", "id", "v"])
 
+    if share is None:
+        share = share_needed(fitted_on, forest, top, recall, PROBES)
     index = scratch.write("index", rows.mapInArrow(place, "tree int, leaf int, id long, v array<double>"))
     sizes = [np.zeros(t.leaves, dtype=np.int64) for t in forest]
     for r in index.groupBy("tree", "leaf").count().collect():  # one row a leaf, of a number that the sample bounds
@@ -179,11 +219,7 @@ def neighbours(vectors: DataFrame, is_query, top: int = TOP, trees: int = TREES,
                                 break
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    met = probes.groupBy("tree", "leaf", "g").cogroup(index.withColumn("g", g).groupBy("tree", "leaf", "g")).applyInArrow(meet, "query_id long, vec_id long, score double")
-    best = met.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return best.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
-
+    return probes.groupBy("tree", "leaf", "g").cogroup(index.withColumn("g", g).groupBy("tree", "leaf", "g")).applyInArrow(meet, "query_id long, vec_id long, score double")
 
 def op7_neighbours(spark, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)

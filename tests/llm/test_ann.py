@@ -44,17 +44,44 @@ def test_odd_rows(spark):
     rows += [(200 + k, rows[0][1]) for k in range(30)]
     got, want = run(spark, rows, leaf=4), brute([r for r in rows if r[0] != 104])
     assert [r[:3] for r in got] == [r[:3] for r in want]
+    # Vectors of another length are compared with their like.
+    short = [(400 + k, [1.0, float(k)]) for k in range(4)]
+    assert [r[:3] for r in run(spark, rows + short, leaf=4)] == sorted([r[:3] for r in want] + [r[:3] for r in brute(short)])
+    assert run(spark, [(0, [1.0, 2.0]), (1, [2.0])]) == []
+    df = spark.createDataFrame([(0, [1.0, 2.0], 9.0, 1, "x"), (1, [2.0, 1.0], 9.0, 1, "x")], "vec_id long, embedding array<double>, score double, id int, v string")
+    assert [r[:3] for r in map(tuple, ann.neighbours(df, F.col("id") % 50 == 0).collect())] == [(0, 1, 1)]
     assert run(spark, []) == [] and run(spark, [(0, [1.0, 2.0])]) == []
     (found,) = run(spark, [(0, [1.0, 2.0]), (1, [2.0, 1.0])])
     assert found[:3] == (0, 1, 1) and abs(found[3] - 0.8) < 1e-12
 
 
+def exact_pairs(x):
+    x = x / np.linalg.norm(x, axis=1, keepdims=True)
+    near = x[::50] @ x.T
+    near[np.arange(len(near)), np.arange(0, len(x), 50)] = -2
+    return {(50 * q, int(j)) for q, found in enumerate(np.argsort(-near, axis=1)[:, :5]) for j in found}
+
+
 def test_recall(spark):
+    """With the query's own parameters, on vectors without clusters, which are the hardest, and on clustered ones."""
     rng = np.random.default_rng(1)
-    rows = [(k, rng.standard_normal(32).astype("f4").tolist()) for k in range(6000)]
-    got, want = run(spark, rows, sample=2048, leaf=32, least=1), brute(rows)
-    assert len(got) == len(want)
-    assert len({r[::2][:2] for r in got} & {r[::2][:2] for r in want}) >= 0.9 * len(want)
+    centres = rng.standard_normal((200, 64))
+    for x in (rng.standard_normal((20_000, 64)), centres[rng.integers(0, 200, 20_000)] + 0.3 * rng.standard_normal((20_000, 64))):
+        df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)], "vec_id long, embedding array<double>")
+        got = {(r.query_id, r.vec_id) for r in ann.neighbours(df, F.col("id") % 50 == 0).collect()}
+        want = exact_pairs(x)
+        assert len(got) == len(want) and len(got & want) >= 0.9 * len(want)
+
+
+def test_share_of_rows_follows_the_data():
+    rng = np.random.default_rng(3)
+    share = {}
+    for name, x in (("plain", rng.standard_normal((8000, 64))), ("clustered", rng.standard_normal((200, 64))[rng.integers(0, 200, 8000)] + 0.2 * rng.standard_normal((8000, 64)))):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        forest = [ann.Tree(x, ann.LEAF, rng) for _ in range(ann.TREES)]
+        share[name] = ann.share_needed(x, forest, 5, ann.RECALL, 64)
+        assert ann.share_needed(x, forest, 5, 0.5, 64) < share[name]
+    assert share["clustered"] < 0.1 < share["plain"] < 2
 
 
 def test_repeated_rows_leave_room_for_others(spark):
