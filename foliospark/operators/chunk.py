@@ -31,17 +31,19 @@ def chunk_words(docs: DataFrame, sizes: ChunkSizes = STANDARD, keep_tail: bool =
     unless keep_tail is set. All in columns: no window depends on another.
     """
     stride = sizes.most - sizes.overlap
-    d = docs.select("id", words(F.col("text")).alias("w")).withColumn("n", F.size("w")).where("n > 0")
-    d = d.select("id", "w", "n", F.explode(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {stride} as int)"))).alias("chunk_index"))
+    d = docs.select("id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
+    # Each window takes its own words, and the one after, along: a row is as long as a window, not as its text.
+    # No expression below names the words' split again.
+    windows = F.transform(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {stride} as int)")), lambda i: F.struct(i.alias("i"), F.slice("w", i * stride + 1, F.lit(sizes.most + 1)).alias("w")))
+    d = d.select("id", "n", F.explode(windows).alias("x")).select("id", "n", F.col("x.i").alias("chunk_index"), "x.w")
     d = d.withColumn("start_word", F.col("chunk_index") * stride).withColumn("cap", F.least(F.col("start_word") + sizes.most, F.col("n")))
-    look = F.sequence(F.greatest(F.col("start_word"), F.col("cap") - 50) + 1, F.col("cap"))
-    stop = F.array_max(F.filter(look, lambda j: F.get(F.col("w"), j).rlike(r"[.!?;]\z")))
-    d = d.withColumn("end_word", F.when(F.col("cap") < F.col("n"), F.coalesce(stop + 1, F.col("cap"))).otherwise(F.col("cap")))
-    size = F.col("end_word") - F.col("start_word")
+    at = F.col("cap") - F.col("start_word")
+    stop = F.array_max(F.filter(F.sequence(F.greatest(F.lit(0), at - 50) + 1, at), lambda j: F.get(F.col("w"), j).rlike(r"[.!?;]\z")))
+    d = d.withColumn("size", F.when(F.col("cap") < F.col("n"), F.coalesce(stop + 1, at)).otherwise(at))
     if not keep_tail:
-        d = d.where((F.col("chunk_index") == 0) | (size >= sizes.least))
-    content = F.array_join(F.slice("w", F.col("start_word") + 1, F.col("end_word") - F.col("start_word")), " ")
-    return d.select("id", F.concat_ws("-", F.col("id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", "start_word", "end_word", content.alias("content"))
+        d = d.where((F.col("chunk_index") == 0) | (F.col("size") >= sizes.least))
+    content = F.array_join(F.slice("w", F.lit(1), F.col("size")), " ")
+    return d.select("id", F.concat_ws("-", F.col("id").cast("string"), F.col("chunk_index").cast("string")).alias("chunk_id"), "chunk_index", "start_word", (F.col("start_word") + F.col("size")).alias("end_word"), content.alias("content"))
 
 
 def _cut_pages(pages: list[tuple[int, str]], sizes: ChunkSizes):

@@ -84,11 +84,16 @@ def reachable(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
 
 
 def neighbourhood(edges: DataFrame, start: str, depth: int = 2, most: int = 100) -> tuple[DataFrame, DataFrame]:
-    """Nodes within depth (at most 5) of start, the nearest most of them, and the edges among all that were reached."""
+    """Nodes (node, distance) within depth (at most 5) of start, the nearest most of them, and the edges by which a
+    search in that order finds nodes: for each node found from one of these, that to the first node before it."""
     found = reachable(edges, edges.sparkSession.createDataFrame([(start,)], "start string"), min(depth, 5)).select("node", "distance")
-    kept = found.orderBy("distance", "node").limit(most)
-    ends = edges.join(found.select(F.col("node").alias("a")), "a", "left_semi").join(found.select(F.col("node").alias("b")), "b", "left_semi")
-    return kept, ends
+    kept = cut(found.orderBy("distance", "node").limit(most))
+    above = found.select(F.col("node").alias("from"), F.col("distance").alias("above"))
+    steps = arcs(edges).join(above, "from").join(found, F.col("to") == F.col("node")).where("distance = above + 1")
+    tree_edges = steps.groupBy("node").agg(F.min("from").alias("from")).join(kept.select(F.col("node").alias("from")), "from", "left_semi")
+    ends = tree_edges.select(F.least("from", "node").alias("x"), F.greatest("from", "node").alias("y"))
+    same = (F.least("a", "b") == F.col("x")) & (F.greatest("a", "b") == F.col("y"))
+    return kept, edges.join(ends, same, "left_semi")
 
 
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int | None = None) -> DataFrame:

@@ -1,13 +1,30 @@
-"""Cuts lineage in iterative operators."""
+"""Cuts lineage in iterative operators, and names the folder for tables that operators write."""
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names. Where none is set a local session gets a temporary one; on a
+    cluster, whose machines would not see it, that is an error."""
+    sc = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        by_hand = sc._jsc.sc().getCheckpointDir()
+        root = by_hand.get() if by_hand.isDefined() else None
+    if not root:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="foliospark-")
+        sc.setCheckpointDir(root)
+    return root.rstrip("/")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the folder that spark.checkpoint.dir names; a temporary one where none is set."""
+    """df, written to the shared folder."""
     sc = df.sparkSession.sparkContext
+    root = shared_folder(df.sparkSession)
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="foliospark-"))
+        sc.setCheckpointDir(root)
     return df.checkpoint()

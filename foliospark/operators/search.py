@@ -1,68 +1,111 @@
-"""Lexical, dense and hybrid retrieval. Indexes are tables derived from chunks; queries come many at a time."""
+"""Dense and hybrid retrieval; queries come many at a time. The lexical side is in index.py."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import exact_hit, keywords, terms
-from ..functions.vectors import cosine, finite
+from ..functions.text import exact_hit, keywords
+from ..functions.vectors import finite
 
 # BM25's and the fusion's constants.
 K1, B = 1.5, 0.75
 RRF_K, DENSE, SPARSE, BOOST = 60, 0.6, 0.4, 2.0
 
 
-def token_rows(chunks: DataFrame, keys: list[str]) -> DataFrame:
-    """keys and terms of chunks (keys, content)."""
-    return chunks.select(*keys, terms(F.col("content")).alias("terms"))
+def top(df: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
+    """The first k rows of each group, with their zero-based rank."""
+    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).where(F.col(rank) < k)
 
 
-def postings(tokens: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, term, tf."""
-    return tokens.select(*keys, F.explode("terms").alias("term")).groupBy(*keys, "term").agg(F.count("*").alias("tf"))
+def valid_vectors(vectors: DataFrame, width: int) -> DataFrame:
+    """Rows of vectors (embedding) of the right length with finite parts only."""
+    return vectors.where((F.size("embedding") == width) & finite(F.col("embedding")))
 
 
-def document_frequencies(posts: DataFrame, n: int | Column) -> DataFrame:
-    """term, df, idf of postings over n chunks."""
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    return df.withColumn("idf", F.log((n - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1))
+#: Queries that meet a batch of vectors at once, and vectors that meet a block of queries where queries are many.
+QUERIES, VECTORS = 256, 16_384
+
+
+def _unit_rows(column):
+    """Row numbers and unit vectors of an Arrow column of lists, by length. Null, zero and non-finite ones are left out."""
+    import numpy as np
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    column = column.combine_chunks() if isinstance(column, pa.ChunkedArray) else column
+    sizes = pc.fill_null(pc.list_value_length(column), -1).to_numpy(zero_copy_only=False)
+    for width in np.unique(sizes[sizes > 0]):
+        at = np.flatnonzero(sizes == width)
+        flat = column.take(pa.array(at)).flatten()
+        v = flat.to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(at), width)
+        norm = np.sqrt((v * v).sum(axis=1))
+        good = np.isfinite(norm) & (norm > 0)
+        yield int(width), at[good], v[good] / norm[good, None]
+
+
+def _meet(queries, vectors, k: int, schema):
+    """The k best rows of vectors for each of queries (Arrow tables), by similarity to six digits and then by id."""
+    import numpy as np
+    import pyarrow as pa
+
+    plain = lambda x: tuple(x.values()) if isinstance(x, dict) else x
+    score = np.zeros((queries.num_rows, vectors.num_rows))
+    of_vectors = {w: (at, v) for w, at, v in _unit_rows(vectors["embedding"])}
+    for width, at, q in _unit_rows(queries["query"]):
+        if width in of_vectors:
+            there, v = of_vectors[width]
+            score[np.ix_(at, there)] = q @ v.T
+    score = np.sign(score) * np.floor(np.abs(score) * 1e6 + 0.5) / 1e6
+    ids, which, best = vectors["vec_id"].to_pylist(), [], []
+    for row in score:
+        if len(row) > k:
+            near = np.flatnonzero(row >= np.partition(row, -k)[-k])
+        else:
+            near = np.arange(len(row))
+        best.append(sorted(near.tolist(), key=lambda j: (-row[j], plain(ids[j])))[:k])
+        which.append([float(row[j]) for j in best[-1]])
+    at = [j for found in best for j in found]
+    q = [i for i, found in enumerate(best) for _ in found]
+    return pa.table([queries["query_id"].take(pa.array(q, pa.int64())), vectors["vec_id"].take(pa.array(at, pa.int64())), pa.array([x for w in which for x in w], pa.float64())], schema=schema)
 
 
-def top(df: DataFrame, k: int, by: list[str], order: list[Column], rank: str = "rank") -> DataFrame:
-    """The first k rows of each group, with their zero-based rank."""
-    return df.withColumn(rank, F.row_number().over(Window.partitionBy(*by).orderBy(*order)) - 1).where(F.col(rank) < k)
+def exact_nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
+    """query_id, vec_id, score, rank: the k most similar of vectors (vec_id, embedding) to each of queries (query_id, query).
 
+    Batches of vectors meet all queries where a count shows these to be few; else blocks of queries meet blocks of
+    vectors. Each keeps k rows a query, so that what is ranked at last grows with neither side's product. The
+    similarity to null, zero, non-finite or otherwise long vectors is 0.
+    """
+    q, v = queries.select("query_id", "query"), vectors.select("vec_id", "embedding")
+    kinds = f"query_id {q.schema['query_id'].dataType.simpleString()}, vec_id {v.schema['vec_id'].dataType.simpleString()}, score double"
 
-def bm25(chunks: DataFrame, queries: DataFrame, keys: list[str], k: int = 10) -> DataFrame:
-    """query_id, keys, score, rank: the k best chunks (keys, content) for each of queries (query_id, text).
+    def schema(a, b):
+        import pyarrow as pa
 
-    A term that a query repeats counts as often. Postings of other terms are dropped where they arise, before
-    any shuffle; tokens are made once for the corpus figures and once for the postings.
-    """
-    tokens = token_rows(chunks, keys)
-    asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
-    corpus = tokens.agg(F.count("*").alias("n"), F.avg(F.size("terms")).alias("avgdl"))
-    wanted = asked.select("term").distinct()
-    held = tokens.select(*keys, F.size("terms").alias("len"), F.explode("terms").alias("term")).join(wanted, "term", "left_semi")
-    posts = held.groupBy(*keys, "len", "term").agg(F.count("*").alias("tf"))
-    df = posts.groupBy("term").agg(F.count("*").alias("df"))
-    idf = df.crossJoin(corpus).select("term", "avgdl", F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1).alias("idf"))
-    norm = F.col("tf") + K1 * ((1 - B) + B * F.col("len") / F.col("avgdl"))
-    hits = posts.join(idf, "term").join(asked, "term").withColumn("part", F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm)
-    scored = hits.groupBy("query_id", *keys).agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
-    return top(scored, k, ["query_id"], [F.desc("score"), *keys])
+        return pa.schema([("query_id", a.field("query_id").type), ("vec_id", b.field("vec_id").type), ("score", pa.float64())])
 
+    if queries.limit(QUERIES + 1).count() <= QUERIES:
+        asked = q.toArrow().combine_chunks()
 
-def valid_vectors(vectors: DataFrame, width: int) -> DataFrame:
-    """Rows of vectors (embedding) of the right length with finite parts only."""
-    return vectors.where((F.size("embedding") == width) & finite(F.col("embedding")))
+        def near(batches):
+            import pyarrow as pa
 
+            for batch in batches:
+                if batch.num_rows and asked.num_rows:
+                    yield from _meet(asked, pa.Table.from_batches([batch]), k, schema(asked.schema, batch.schema)).to_batches()
 
-def exact_nearest(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, vec_id, score, rank: the k most similar of vectors (vec_id, embedding) to each of queries (query_id, query)."""
-    scored = vectors.crossJoin(queries).select("query_id", "vec_id", F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
-    return top(scored, k, ["query_id"], [F.desc("score"), "vec_id"])
+        found = v.mapInArrow(near, kinds)
+    else:
+        blocks, parts = (-(-n // size) for n, size in ((q.count(), QUERIES), (max(1, v.count()), VECTORS)))
+        deal = lambda df, column, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64(F.col(column).cast("string")), F.lit(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(m - 1))))
+        left, right = deal(q, "query_id", "block", blocks, "part", parts), deal(v, "vec_id", "part", parts, "block", blocks)
+
+        def near_blocks(asked, held):
+            return _meet(asked, held, k, schema(asked.schema, held.schema))
+
+        found = left.groupBy("block", "part").cogroup(right.groupBy("block", "part")).applyInArrow(near_blocks, kinds)
+    return top(found, k, ["query_id"], [F.desc("score"), "vec_id"])
 
 
 def nearest_then_filter(vectors: DataFrame, queries: DataFrame, k: int, keep: Column) -> DataFrame:

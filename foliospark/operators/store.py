@@ -6,7 +6,7 @@ that is complete. Writers add a version and readers see whole ones only.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Tables, their columns, and what hangs on what.
@@ -38,14 +38,22 @@ def empty_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns(out)
 
 
-def upsert(old: DataFrame, new: DataFrame, key: str = "id") -> DataFrame:
-    """old with the rows of new in place of those with their keys; of new rows with one key the last by all columns stays."""
-    return old.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]))
+def numbered(new: DataFrame, column: str = "_order") -> DataFrame:
+    """new with the order of its rows, for those who don't give one: as they stand in its partitions."""
+    return new.withColumn(column, F.monotonically_increasing_id())
+
+
+def upsert(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
+    """old with the rows of new in place of those with their keys; of new rows with one key the last in order stays."""
+    ranked = new.withColumn("_order", F.col(order)) if order else numbered(new)
+    last = ranked.groupBy(key).agg(F.max_by(F.struct(*new.columns), "_order").alias("_last")).select("_last.*")
+    return old.join(new.select(key), key, "left_anti").unionByName(last)
 
 
 def insert_absent(old: DataFrame, new: DataFrame, key: str = "id", order: str | None = None) -> DataFrame:
     """old with those rows of new whose keys it lacks; the first in order of several."""
-    first = new.withColumn("_r", F.row_number().over(Window.partitionBy(key).orderBy(order or key))).where("_r = 1").drop("_r")
+    ranked = new.withColumn("_order", F.col(order)) if order else numbered(new)
+    first = ranked.groupBy(key).agg(F.min_by(F.struct(*new.columns), "_order").alias("_first")).select("_first.*")
     return old.unionByName(first.join(old.select(key), key, "left_anti"))
 
 
@@ -86,10 +94,13 @@ class Store:
         versions = self._versions(name)
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/{versions[-1]}") if versions else self.spark.createDataFrame([], SCHEMAS[name])
 
+    def _typed(self, name: str, df: DataFrame) -> DataFrame:
+        return df.select(*[F.col(c).cast(t).alias(c) for c, t in self.spark.createDataFrame([], SCHEMAS[name]).dtypes])
+
     def write(self, name: str, df: DataFrame) -> None:
         """A new version; the one before the last is removed."""
         versions = self._versions(name)
-        df.select(*[F.col(c).cast(t).alias(c) for c, t in self.spark.createDataFrame([], SCHEMAS[name]).dtypes]).write.mode("overwrite").parquet(f"{self.path}/{name}/{(versions or [0])[-1] + 1}")
+        self._typed(name, df).write.mode("overwrite").parquet(f"{self.path}/{name}/{(versions or [0])[-1] + 1}")
         jvm, fs = self._fs()
         for v in versions[:-1]:
             fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{v}"), True)
@@ -135,7 +146,15 @@ class Store:
         self.write("entity_mentions", insert_absent(self.read("entity_mentions"), mentions))
 
     def append(self, name: str, rows: DataFrame) -> None:
-        self.write(name, self.read(name).unionByName(rows))
+        """Adds files to the current version; what is there isn't written again."""
+        versions = self._versions(name)
+        if not versions:
+            return self.write(name, rows)
+        self._typed(name, rows).write.mode("append").parquet(f"{self.path}/{name}/{versions[-1]}")
+
+    def get(self, name: str, value, column: str = "id") -> DataFrame:
+        """The rows whose column has a value: a document or note by id, path or content hash."""
+        return self.read(name).where(F.col(column) == F.lit(value))
 
     def purge(self) -> None:
         for name in reversed(list(SCHEMAS)):

@@ -6,9 +6,9 @@ from pyspark.sql import functions as F
 from ..functions.text import WS, citation, export_name, html_title, html_to_text, jaccard, markdown_to_text, short_title, snippet
 from ..operators import compress, filters, search, store
 from ..streaming import events as ev
-from .q_retrieval import BM25_SQL, HYBRID_SQL, KEYS, _questions, hybrid_hits
+from .q_retrieval import BM25_SQL, HYBRID_SQL, _questions, hybrid_hits
 from .registry import query
-from .views import CHUNKS_SQL, chunks, documents, table
+from .views import CHUNKS_SQL, KEYS, chunks, documents, index, table
 
 
 def _docs(spark, sf_dir):
@@ -101,8 +101,8 @@ def key_sentences(spark, sf_dir):
 
 
 def _contexts(spark, sf_dir):
-    hits = search.bm25(chunks(spark, sf_dir), _questions(spark, sf_dir), KEYS, 20)
-    return hits.join(chunks(spark, sf_dir).select(*KEYS, "content"), KEYS).select("query_id", "rank", *KEYS, "score", "content")
+    held = index(spark, sf_dir)
+    return held.search(_questions(spark, sf_dir), 20).join(held.texts.select(*KEYS, "content"), KEYS).select("query_id", "rank", *KEYS, "score", "content")
 
 
 @query("compressed_context")
@@ -232,22 +232,24 @@ def item_assembly(spark, sf_dir):
     return d.select(F.col("o_orderkey").alias("item"), F.col("c_name").alias("creator"), F.col("n_name").alias("library"), F.size("values").cast("long").alias("n_parts"), F.array_join("values", ";").alias("parts"))
 
 
-@query("field_pivot", "SELECT l_orderkey AS item, string_agg(l_linenumber || '=' || l_returnflag, ',' ORDER BY l_linenumber) AS fields FROM (SELECT l_orderkey, l_linenumber, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL) GROUP BY ALL")
+@query("field_pivot", "SELECT l_orderkey AS item, string_agg(f || '=' || value, ',' ORDER BY f) AS fields FROM (SELECT l_orderkey, l_returnflag AS f, arg_max(l_partkey, (l_linenumber, l_partkey))::VARCHAR AS value FROM lineitem GROUP BY ALL) GROUP BY ALL")
 def field_pivot(spark, sf_dir):
-    """Rows of item, field and value as one map an item."""
+    """Rows of item, field and value as one map an item; of a field that comes twice the last value."""
     from ..sources.bibliography import pivot_fields
 
-    m = pivot_fields(table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_linenumber").alias("field"), F.col("l_returnflag").alias("value")))
-    pairs = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat_ws("=", e["key"].cast("string"), e["value"]))
+    rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("item"), F.col("l_returnflag").alias("field"), F.col("l_partkey").cast("string").alias("value"), F.struct("l_linenumber", "l_partkey").alias("place"))
+    m = pivot_fields(rows, order="place")
+    pairs = F.transform(F.array_sort(F.map_entries("fields")), lambda e: F.concat_ws("=", e["key"], e["value"]))
     return m.select("item", F.array_join(pairs, ",").alias("fields"))
 
 
-@query("upsert_documents", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'new' ELSE source END AS source FROM documents UNION ALL SELECT doc_id + 10000000, 'new' FROM documents WHERE doc_id % 7 = 0")
+@query("upsert_documents", "SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN 'last' ELSE source END AS source, CASE WHEN doc_id % 7 = 0 THEN 2 ELSE 0 END AS place FROM documents UNION ALL SELECT doc_id + 10000000, 'new', 0 FROM documents WHERE doc_id % 7 = 0")
 def upsert_documents(spark, sf_dir):
-    """Every seventh document arrives again, and once more under another id."""
-    old = _docs(spark, sf_dir).select("doc_id", "source")
-    again = old.where("doc_id % 7 = 0").select("doc_id", F.lit("new").alias("source"))
-    return store.upsert(old, again.union(again.select(F.col("doc_id") + 10_000_000, "source")), "doc_id")
+    """Every seventh document arrives again, twice, of which the later stays, and once more under another id."""
+    old = _docs(spark, sf_dir).select("doc_id", "source", F.lit(0).alias("place"))
+    again = old.where("doc_id % 7 = 0")
+    batch = lambda shift, source, place: again.select((F.col("doc_id") + shift).alias("doc_id"), F.lit(source).alias("source"), F.lit(place).alias("place"))
+    return store.upsert(old, batch(0, "last", 2).union(batch(0, "new", 1)).union(batch(10_000_000, "new", 0)), "doc_id", "place")
 
 
 @query("insert_absent", "WITH n AS (SELECT c_mktsegment AS id, min(c_name) AS name FROM customer GROUP BY ALL) SELECT * FROM n UNION ALL SELECT n_name, n_name FROM nation WHERE n_name NOT IN (SELECT id FROM n)")
@@ -300,13 +302,23 @@ def search_corpus(spark, sf_dir):
     return kept.select("query_id", *KEYS, "source_type", (F.floor(F.col("score") * 1000 + 0.5) / 1000).alias("similarity"), "rank")
 
 
-@query("rag_prompt", f"WITH {BM25_SQL}, h AS (SELECT query_id, rank, d.source, content FROM sparse JOIN chunks USING (doc_id, chunk_index) JOIN documents d USING (doc_id) WHERE rank < 3) SELECT query_id, md5(string_agg('[Source ' || (rank + 1) || ' - ' || source || ']' || chr(10) || substr(content, 1, 200), chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM h GROUP BY query_id")
+@query("search_compressed")
+def search_compressed(spark, sf_dir):
+    """As search_corpus, with what is left compressed before the limit."""
+    d = documents(spark, sf_dir).select(F.col("id").alias("doc_id"), "source_type")
+    hits = hybrid_hits(spark, sf_dir, 40).join(d, "doc_id").where((F.col("source_type") != "src0") & (F.col("score") >= 0.008))
+    full = hits.select("query_id", "rank", *KEYS, "score").join(index(spark, sf_dir).texts.select(*KEYS, "content"), KEYS)
+    kept = compress.compress(full, ["query_id"], "rank").withColumnRenamed("rank", "place")
+    return search.top(kept, 20, ["query_id"], [F.col("place")]).select("query_id", *KEYS, "level", F.md5(F.col("content").cast("binary")).alias("content_md5"), "rank")
+
+
+@query("rag_prompt", f"WITH {BM25_SQL}, h AS (SELECT query_id, rank, d.source, content FROM sparse JOIN chunks USING (doc_id, chunk_index) JOIN documents d USING (doc_id) WHERE rank < 3) SELECT query_id, md5(string_agg('[Source ' || (rank + 1) || ' - ' || source || ']' || chr(10) || content, chr(10) || chr(10) ORDER BY rank)) AS context_md5 FROM h GROUP BY query_id")
 def rag_prompt(spark, sf_dir):
     """The numbered sources of each question's prompt."""
     from ..plans.service import numbered_sources
 
-    hits = search.bm25(chunks(spark, sf_dir), _questions(spark, sf_dir), KEYS, 3)
-    full = hits.join(chunks(spark, sf_dir).select(*KEYS, F.substring("content", 1, 200).alias("content")), KEYS).join(documents(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("source_type").alias("reference")), "doc_id")
+    held = index(spark, sf_dir)
+    full = held.search(_questions(spark, sf_dir), 3).join(held.texts.select(*KEYS, "content"), KEYS).join(documents(spark, sf_dir).select(F.col("id").alias("doc_id"), F.col("source_type").alias("reference")), "doc_id")
     return numbered_sources(full, "Source").select("query_id", F.md5(F.col("context").cast("binary")).alias("context_md5"))
 
 

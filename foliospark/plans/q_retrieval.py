@@ -5,9 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import search
 
 from .registry import query
-from .views import CHUNKS_SQL, chunks, documents, table
-
-KEYS = ["doc_id", "chunk_index"]
+from .views import CHUNKS_SQL, KEYS, chunks, documents, index, table
 
 
 @query("chunk_words", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, start_word, end_word, md5(content) AS content_md5 FROM chunks")
@@ -31,20 +29,17 @@ idfs AS (SELECT term, count(*) AS df, ln((n - count(*) + 0.5::DOUBLE) / (count(*
 
 @query("bm25_terms", f"WITH {TERMS_SQL} SELECT term, df::BIGINT AS df, round(idf, 6) AS idf FROM idfs")
 def bm25_terms(spark, sf_dir):
-    tokens = search.token_rows(chunks(spark, sf_dir), KEYS)
-    n = tokens.agg(F.count("*").alias("n"))
-    posts = search.postings(tokens, KEYS)
-    return search.document_frequencies(posts.crossJoin(n).select(*KEYS, "term", "n"), 0).drop("idf").crossJoin(n).select("term", "df", F.round(F.log((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6).alias("idf"))
+    return index(spark, sf_dir).terms().select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query("postings", f"WITH {TERMS_SQL} SELECT doc_id, chunk_index, term, tf::BIGINT AS tf FROM posts")
 def postings(spark, sf_dir):
-    return search.postings(search.token_rows(chunks(spark, sf_dir), KEYS), KEYS)
+    return index(spark, sf_dir).postings.select(*KEYS, "term", "tf")
 
 
 @query("chunk_lengths", f"WITH {TERMS_SQL} SELECT doc_id, chunk_index, len(t)::INTEGER AS n_terms FROM toks")
 def chunk_lengths(spark, sf_dir):
-    return search.token_rows(chunks(spark, sf_dir), KEYS).select(*KEYS, F.size("terms").alias("n_terms"))
+    return index(spark, sf_dir).texts.select(*KEYS, F.col("len").alias("n_terms"))
 
 
 def _questions(spark, sf_dir):
@@ -63,7 +58,7 @@ sparse_scores AS (
 @query("bm25_topk", f"WITH {BM25_SQL} SELECT query_id, doc_id, chunk_index, score, rank FROM sparse WHERE rank < 10")
 def bm25_topk(spark, sf_dir):
     """The ten best chunks for each text of benchmark."""
-    return search.bm25(chunks(spark, sf_dir), _questions(spark, sf_dir), KEYS, 10)
+    return index(spark, sf_dir).search(_questions(spark, sf_dir), 10)
 
 
 def _vectors(spark, sf_dir):
@@ -131,22 +126,24 @@ def similar_docs(spark, sf_dir):
 
 
 def _paired_queries(spark, sf_dir):
-    """Benchmark texts, each with the vector of its number as if it were its embedding."""
-    return _questions(spark, sf_dir).join(_vectors(spark, sf_dir), F.col("query_id") == F.col("vec_id")).select("query_id", "text", F.col("embedding").alias("query"))
+    """Benchmark texts, each with the vector of its number as if it were its embedding; none where there is none."""
+    v = _vectors(spark, sf_dir).select("vec_id", F.col("embedding").alias("query"))
+    return _questions(spark, sf_dir).join(v, F.col("query_id") == F.col("vec_id"), "left").select("query_id", "text", "query")
 
 
 def hybrid_hits(spark, sf_dir, k=10):
-    c, q = chunks(spark, sf_dir), _paired_queries(spark, sf_dir)
-    v = _vectors(spark, sf_dir).join(c.where("chunk_index = 0").select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi")
-    dense = search.exact_nearest(v, q.select("query_id", "query"), 50).select("query_id", F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), "rank")
-    sparse = search.bm25(c, q.select("query_id", "text"), KEYS, 50).select("query_id", *KEYS, "rank")
-    return search.hybrid(dense, sparse, c.select(*KEYS, "content"), q.select("query_id", "text"), KEYS, k)
+    """A text without a vector is answered by the lexical side alone."""
+    held, q = index(spark, sf_dir), _paired_queries(spark, sf_dir)
+    v = _vectors(spark, sf_dir).join(held.texts.where("chunk_index = 0").select("doc_id"), F.col("vec_id") == F.col("doc_id"), "left_semi")
+    dense = search.exact_nearest(v, q.where("query is not null").select("query_id", "query"), 50).select("query_id", F.col("vec_id").alias("doc_id"), F.lit(0).alias("chunk_index"), "rank")
+    sparse = held.search(q.select("query_id", "text"), 50).select("query_id", *KEYS, "rank")
+    return search.hybrid(dense, sparse, held.texts.select(*KEYS, "content"), q.select("query_id", "text"), KEYS, k)
 
 
 HYBRID_SQL = BM25_SQL + r""",
-q AS (SELECT item_id AS query_id, text, embedding AS q FROM benchmark JOIN embeddings ON item_id = vec_id),
+q AS (SELECT item_id AS query_id, text, embedding AS q FROM benchmark LEFT JOIN embeddings ON item_id = vec_id),
 dense_hits AS (SELECT query_id, vec_id AS doc_id, 0 AS chunk_index, (row_number() OVER (PARTITION BY query_id ORDER BY round(list_cosine_similarity(q::DOUBLE[], embedding::DOUBLE[]), 6) DESC, vec_id) - 1)::INTEGER AS rank
-  FROM q, embeddings WHERE vec_id IN (SELECT doc_id FROM chunks WHERE chunk_index = 0)),
+  FROM q, embeddings WHERE q IS NOT NULL AND vec_id IN (SELECT doc_id FROM chunks WHERE chunk_index = 0)),
 parts AS (SELECT query_id, doc_id, chunk_index, 0.6::DOUBLE / (61 + rank) AS part, rank AS dense_rank, NULL::INTEGER AS sparse_rank FROM dense_hits WHERE rank < 50
   UNION ALL SELECT query_id, doc_id, chunk_index, 0.4::DOUBLE / (61 + rank), NULL, rank FROM sparse WHERE rank < 50 AND query_id IN (SELECT query_id FROM q)),
 fused AS (SELECT query_id, doc_id, chunk_index, sum(part) AS score, min(dense_rank) AS dense_rank, min(sparse_rank) AS sparse_rank FROM parts GROUP BY ALL),

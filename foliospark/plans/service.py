@@ -6,12 +6,13 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import citation
-from ..operators import filters, graph
+from ..operators import compress, filters, graph, search
 from ..operators.chunk import STANDARD, ChunkSizes, chunk_words
+from ..operators.index import LexicalIndex
 from ..sources.files import extract
 
 # Words of prompts by language.
@@ -68,8 +69,8 @@ def search_notes(parsed: DataFrame, text: str | None = None, tags: list[str] | N
     return parsed.where(hit).select("id", "relative_path", "title", "tags", F.slice(F.transform("wikilinks", lambda l: l["target"]), 1, 10).alias("links")).orderBy("relative_path").limit(limit)
 
 
-def search_items(items: DataFrame, query: str | None = None, author: str | None = None, year: str | None = None, tags: list[str] | None = None, limit: int = 20) -> DataFrame:
-    """Bibliography items by free text, author, year and tags."""
+def search_items(items: DataFrame, query: str | None = None, author: str | None = None, year: str | None = None, tags: list[str] | None = None, limit: int = 20, collection: str | None = None, library: str | None = None) -> DataFrame:
+    """Bibliography items by free text, author, year, tags, a collection's name and a library's."""
     hit = F.lit(True)
     if author:
         hit = hit & filters.author_is(F.lit(None).cast("string"), F.col("creators"), author)
@@ -77,6 +78,10 @@ def search_items(items: DataFrame, query: str | None = None, author: str | None
         hit = hit & filters.year_is(F.col("date"), year)
     if tags:
         hit = hit & filters.tagged(F.col("tags"), tags)
+    if collection:
+        hit = hit & filters.any_has(F.col("collections"), collection)
+    if library:
+        hit = hit & filters.has(F.col("library"), library)
     if query:
         hit = hit & filters.text_has([F.col("title"), F.col("abstract"), F.array_join("tags", " "), F.array_join(F.map_values("fields"), " ")], query)
     return items.where(hit).limit(limit)
@@ -135,21 +140,71 @@ def hash_embedding(text, width: int = 64):
     return F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.aggregate(parts, F.lit(0.0), lambda s, h: s + F.when(F.pmod(h, F.lit(width)) == i, F.signum(F.shiftright(h, 7).cast("double"))).otherwise(0.0)).cast("float"))
 
 
-def find(chunks: DataFrame, vectors: DataFrame, questions: DataFrame, keys: list[str], k: int = 10, lexical: bool = True) -> DataFrame:
-    """The best k chunks (keys, content) for each of questions (query_id, text, query): hybrid, or by vectors alone.
+def find(index: LexicalIndex, vectors: DataFrame, questions: DataFrame, k: int = 10, lexical: bool = True) -> DataFrame:
+    """The best k chunks of index for each of questions (query_id, text, query): hybrid, or by vectors alone.
 
-    vectors (keys, embedding) holds those of chunks. Both sides fetch max(5 k, 50) candidates.
+    vectors (the index's keys, embedding) holds those of chunks. Both sides fetch max(5 k, 50) candidates.
     """
-    from ..operators import search
-
-    wide = max(5 * k, 50)
-    numbered = vectors.withColumn("vec_id", F.struct(*keys))
-    dense = search.exact_nearest(numbered, questions.select("query_id", "query"), wide if lexical else k)
+    keys, wide = index.keys, max(5 * k, 50)
+    dense = search.exact_nearest(vectors.withColumn("vec_id", F.struct(*keys)), questions.where("query is not null").select("query_id", "query"), wide if lexical else k)
     dense = dense.select("query_id", "vec_id.*", "score", "rank")
     if not lexical:
         return dense
-    sparse = search.bm25(chunks, questions.select("query_id", "text"), keys, wide)
-    return search.hybrid(dense.select("query_id", *keys, "rank"), sparse.select("query_id", *keys, "rank"), chunks.select(*keys, "content"), questions.select("query_id", "text"), keys, k)
+    sparse = index.search(questions.select("query_id", "text"), wide)
+    return search.hybrid(dense.select("query_id", *keys, "rank"), sparse.select("query_id", *keys, "rank"), index.texts.select(*keys, "content"), questions.select("query_id", "text"), keys, k)
+
+
+def search_documents(index: LexicalIndex, vectors: DataFrame, documents: DataFrame, questions: DataFrame, k: int = 10, source_types: list[str] | None = None, least: float = 0.0) -> DataFrame:
+    """query_id, rank, keys, score, content, level, and the columns of documents (doc_id, source_type, ...): twice k
+    hybrid hits, those of documents that are there, of some types and of at least some score, compressed, and k of them."""
+    hits = find(index, vectors, questions, 2 * k).join(documents, "doc_id")
+    if source_types:
+        hits = hits.where(F.col("source_type").isin(source_types))
+    full = hits.where(F.col("score") >= least).join(index.texts.select(*index.keys, "content"), index.keys)
+    kept = compress.compress(full.withColumnRenamed("rank", "place"), ["query_id"], "place")
+    return search.top(kept, k, ["query_id"], [F.col("place")]).drop("place")
+
+
+def _evidence(found: DataFrame, described: Column, none: str, questions: DataFrame) -> DataFrame:
+    """query_id, text, elements: the numbered contents of found (query_id, rank, content) under a line that describes each."""
+    block = F.concat(F.lit("["), (F.col("rank") + 1).cast("string"), F.lit("] "), described, F.lit("\n"), F.col("content"))
+    listed = found.groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("rank", block.alias("block")))).alias("s"))
+    listed = listed.select("query_id", F.array_join(F.transform("s", lambda x: x["block"]), "\n\n---\n\n").alias("elements"))
+    return questions.join(listed, "query_id", "left").withColumn("elements", F.coalesce("elements", F.lit(none)))
+
+
+def connections_prompt(found: DataFrame, questions: DataFrame, nodes: DataFrame, edges: DataFrame, beyond: bool = True) -> DataFrame:
+    """query_id, prompt: asks for unexpected connections around each of questions (query_id, text).
+
+    found (query_id, rank, source_type, title, content) are a theme's compressed hits. The map lists up to five nodes
+    (id, label, kind, ord) whose label holds the theme, then up to fifteen of their neighbours.
+    """
+    named = nodes.join(questions, F.contains(F.lower("label"), F.lower("text"))).select("query_id", "id", "label", "kind", "ord")
+    named = search.top(named, 5, ["query_id"], [F.col("ord")])
+    around = graph.arcs(edges).join(named.select("query_id", F.col("id").alias("from")), "from").select("query_id", F.col("to").alias("id")).distinct()
+    around = search.top(around.join(nodes, "id").select("query_id", "id", "label", "kind", "ord"), 15, ["query_id"], [F.col("ord")])
+    line = F.concat(F.lit("- "), F.col("label"), F.lit(" ("), F.col("kind"), F.lit(")"))
+    listed = named.withColumn("part", F.lit(0)).union(around.withColumn("part", F.lit(1))).groupBy("query_id").agg(F.sort_array(F.collect_list(F.struct("part", "rank", line.alias("line")))).alias("m"))
+    listed = listed.select("query_id", F.array_join(F.transform("m", lambda x: x["line"]), "\n").alias("map"))
+    both = _evidence(found, F.concat(F.lit("("), F.col("source_type"), F.lit(") "), F.col("title")), "The corpus holds nothing on this theme.", questions).join(listed, "query_id", "left")
+    reach = "General knowledge may be drawn on beside the corpus." if beyond else "Only what stands in the corpus may be used."
+    return both.select("query_id", F.concat(
+        F.lit("Help a historian to find connections that surprise; do not sum up.\n\n"), F.lit(reach), F.lit("\n\nTheme: "), F.col("text"),
+        F.lit("\n\n## From the corpus\n\n"), F.col("elements"), F.lit("\n\n## Map of the theme\n\n"), F.coalesce("map", F.lit("The graph has no entry for it.")),
+        F.lit("\n\n## Task\n\nName links between these elements that aren't plain, at least one that leads out of the corpus, and questions not asked yet. Argue each. Answer in the theme's language."),
+    ).alias("prompt"))
+
+
+def check_prompt(found: DataFrame, questions: DataFrame, strict: bool = False) -> DataFrame:
+    """query_id, prompt: confronts each hypothesis of questions (query_id, text) with found (query_id, rank, source_type,
+    title, author, year, content), its compressed hits: ten at most where strict, else twenty."""
+    some = found.where(F.col("rank") < (10 if strict else 20))
+    described = F.concat(F.lit("("), F.col("source_type"), F.lit(") "), F.col("title"), F.coalesce(F.concat(F.lit(", "), F.nullif("author", F.lit(""))), F.lit("")), F.coalesce(F.concat(F.lit(" ("), F.nullif("year", F.lit("")), F.lit(")")), F.lit("")))
+    how = "Look above all for what contradicts or weakens it." if strict else "Look for support, contradiction and nuance alike."
+    return _evidence(some, described, "The corpus holds no evidence on it.", questions).select("query_id", F.concat(
+        F.lit("Hypothesis: "), F.col("text"), F.lit(f"\n\n{how}\n\n## From the corpus\n\n"), F.col("elements"),
+        F.lit("\n\n## Task\n\nSort the elements into supporting, contradicting and nuancing ones and say how strong each is. Name sources that are missing. Suggest a better wording where they call for one. Answer in the hypothesis' language."),
+    ).alias("prompt"))
 
 
 def entity_context(mentions: DataFrame, documents: DataFrame, text: str, related: int = 15) -> dict[str, DataFrame]:

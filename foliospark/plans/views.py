@@ -1,9 +1,13 @@
 """The given tables as the library's own: documents, chunks, notes, mentions, files."""
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunk import STANDARD, chunk_words
+from ..operators.index import LexicalIndex
+from ..operators.lineage import shared_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -21,6 +25,22 @@ def chunks(spark, sf_dir: str, sizes=STANDARD) -> DataFrame:
     return chunk_words(documents(spark, sf_dir).select("id", "text"), sizes).select(F.col("id").alias("doc_id"), "chunk_index", "start_word", "end_word", "content")
 
 
+KEYS = ["doc_id", "chunk_index"]
+_indexes: dict = {}
+
+
+def index(spark, sf_dir: str) -> LexicalIndex:
+    """The stored index of the chunks, built when it is first asked for and after documents have changed."""
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    files = sorted(table(spark, sf_dir, "documents").inputFiles())
+    paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
+    state = tuple((f, s.getLen(), s.getModificationTime()) for f, s in zip(files, (p.getFileSystem(conf).getFileStatus(p) for p in paths)))
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _indexes or _indexes[key][0] != state:
+        _indexes[key] = state, LexicalIndex.build(chunks(spark, sf_dir), KEYS, f"{shared_folder(spark)}/foliospark-index-{uuid.uuid4().hex}")
+    return _indexes[key][1]
+
+
 #: The same chunks in DuckDB.
 CHUNKS_SQL = r"""
 _w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),

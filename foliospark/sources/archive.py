@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import html_to_text
 from .bibliography import ordered_list, pivot_fields
-from .sqlite import read_table
+from .sqlite import read_tables
 
 #: Tables and the columns that are read.
 TABLES = {
@@ -52,7 +52,7 @@ class Archive:
     def open(cls, spark: SparkSession, path: str) -> "Archive":
         """path is the database file, or a folder that holds project.tpy."""
         file = path if path.endswith(".tpy") else f"{path.rstrip('/')}/project.tpy"
-        return cls({n: read_table(spark, file, f"SELECT {', '.join(c.split()[0] for c in s.split(', '))} FROM {n}", s) for n, s in TABLES.items()}, file.rpartition("/")[0])
+        return cls(read_tables(spark, file, TABLES), file.rpartition("/")[0])
 
     def name(self) -> DataFrame:
         return self.t["project"].select("name").limit(1)
@@ -80,6 +80,6 @@ class Archive:
         return out.withColumn("title", item_title(F.coalesce("metadata", F.create_map().cast("map<string,string>")), F.col("id"))).withColumn("content", text)
 
     def statistics(self) -> DataFrame:
-        """items, with_notes, with_photos."""
+        """items, with_notes, with_photos and the tags of items, in order."""
         i = self.items()
-        return i.agg(F.count("*").alias("items"), F.count(F.when(F.size("notes") > 0, 1)).alias("with_notes"), F.count(F.when(F.size("photos") > 0, 1)).alias("with_photos"))
+        return i.agg(F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.coalesce("tags", F.array().cast("array<string>")))))).alias("tags"), F.count("*").alias("items"), F.count(F.when(F.size("notes") > 0, 1)).alias("with_notes"), F.count(F.when(F.size("photos") > 0, 1)).alias("with_photos"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .sqlite import read_table
+from .sqlite import read_tables
 
 #: Tables and the columns that are read.
 TABLES = {
@@ -34,9 +34,11 @@ def ordered_list(rows: DataFrame, key: str, order: list[str], value: Column) ->
     return rows.groupBy(key).agg(listed.alias("_s")).select(key, F.transform("_s", lambda x: x["_v"]).alias("values"))
 
 
-def pivot_fields(rows: DataFrame, key: str = "item") -> DataFrame:
-    """key and the map fields of rows (key, field, value); the greatest value of a field that comes twice."""
-    one = rows.groupBy(key, "field").agg(F.max("value").alias("value"))
+def pivot_fields(rows: DataFrame, key: str = "item", order: str | None = None) -> DataFrame:
+    """key and the map fields of rows (key, field, value); of a field that comes twice the last value in order, or the
+    last of the rows as they stand."""
+    ranked = rows.withColumn("_order", F.col(order) if order else F.monotonically_increasing_id())
+    one = ranked.groupBy(key, "field").agg(F.max_by("value", "_order").alias("value"))
     return one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
 
 
@@ -46,8 +48,7 @@ class Bibliography:
 
     @classmethod
     def open(cls, spark: SparkSession, path: str) -> "Bibliography":
-        select = lambda name, schema: ", ".join(f'"{c.split()[0]}"' for c in schema.split(", "))
-        return cls({n: read_table(spark, path, f'SELECT {select(n, s)} FROM "{n}"', s) for n, s in TABLES.items()})
+        return cls(read_tables(spark, path, TABLES))
 
     def libraries(self) -> DataFrame:
         """libraryID, type, name: users' and groups' libraries; users' have a common name."""
@@ -73,13 +74,14 @@ class Bibliography:
         person = F.struct(F.coalesce("firstName", F.lit("")).alias("first"), F.coalesce("lastName", F.lit("")).alias("last"), F.col("creatorType").alias("type"))
         creators = ordered_list(t["itemCreators"].join(t["creators"], "creatorID").join(t["creatorTypes"], "creatorTypeID"), "itemID", ["orderIndex", "creatorID"], person).withColumnRenamed("values", "creators")
         tags = t["itemTags"].join(t["tags"], "tagID").groupBy("itemID").agg(F.sort_array(F.collect_list("name")).alias("tags"))
-        collections = t["collectionItems"].join(t["collections"], "collectionID").groupBy("itemID").agg(F.sort_array(F.collect_list("key")).alias("collection_keys"))
+        collections = t["collectionItems"].join(t["collections"], "collectionID").groupBy("itemID").agg(F.sort_array(F.collect_list("key")).alias("collection_keys"), F.sort_array(F.collect_list("collectionName")).alias("collections"))
         out = i.select("itemID", "key", F.col("typeName").alias("item_type"), "libraryID", "dateAdded").join(fields.withColumnRenamed("item", "itemID"), "itemID", "left")
         for more in (creators, tags, collections, self.attachments()):
             out = out.join(more, "itemID", "left")
+        out = out.join(self.libraries().select("libraryID", F.col("name").alias("library")), "libraryID", "left")
         empty = lambda c: F.coalesce(F.col(c), F.from_json(F.lit("[]"), dict(out.dtypes)[c])).alias(c)
         value = lambda k: F.try_element_at("fields", F.lit(k))
-        return out.select("itemID", "key", "item_type", "libraryID", F.coalesce(F.nullif(value("title"), F.lit("")), F.lit("Untitled")).alias("title"), value("date").alias("date"), value("abstractNote").alias("abstract"), "fields", empty("creators"), empty("tags"), empty("collection_keys"), empty("attachments"), "dateAdded").orderBy(F.desc("dateAdded"), "itemID")
+        return out.select("itemID", "key", "item_type", "libraryID", F.coalesce(F.nullif(value("title"), F.lit("")), F.lit("Untitled")).alias("title"), value("date").alias("date"), value("abstractNote").alias("abstract"), "fields", empty("creators"), empty("tags"), empty("collection_keys"), empty("collections"), "library", empty("attachments"), "dateAdded").orderBy(F.desc("dateAdded"), "itemID")
 
     def attachments(self) -> DataFrame:
         """itemID of the parent, and its attachments."""

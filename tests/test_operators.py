@@ -1,5 +1,6 @@
 """Operators against hand-made cases and plain loops."""
 
+import math
 import random
 
 import pytest
@@ -8,6 +9,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import text
 from foliospark.functions.vectors import cosine
 from foliospark.operators import chunk, compress, entities, filters, graph, notes, search, store
+from foliospark.operators.index import LexicalIndex
 
 
 def one(spark, column, **values):
@@ -54,14 +56,90 @@ def test_word_chunk_cases(spark, n, stops, want):
     assert got[: len(want)] == want
 
 
-def test_bm25_case(spark):
+def test_long_texts_are_chunked_in_linear_time(spark):
+    text = "word " * 999_999 + "end."
+    got = chunk.chunk_words(spark.createDataFrame([(1, text)], "id long, text string"))
+    n, last, longest = got.agg(F.count("*"), F.max("end_word"), F.max(F.length("content"))).first()
+    assert (n, last, longest) == (-(-(1_000_000 - 99) // 425), 1_000_000, 2499)
+
+
+def test_key_sentences_of_long_texts(spark):
+    text = "Short one. " + "This is a sentence of some length, which is over fifty characters. " * 200_000 + "The last one!"
+    got = spark.createDataFrame([(text,)], "t string").select(compress.key_sentences(F.col("t"))).first()[0]
+    assert got.startswith("Short one. This is") and 450 < len(got) <= 500 + 10
+
+
+def test_index_case(spark, tmp_path):
     docs = [(1, 0, "Der Krieg und der Frieden"), (2, 0, "la guerre et la paix, la paix"), (3, 0, "war and peace - straße œuvre")]
     chunks = spark.createDataFrame(docs, "doc_id long, chunk_index int, content string")
-    tokens = {r.doc_id: r.terms for r in search.token_rows(chunks, ["doc_id"]).collect()}
-    assert tokens[3] == ["war", "and", "peace", "stra", "uvre"]
+    assert chunks.where("doc_id = 3").select(text.terms(F.col("content"))).first()[0] == ["war", "and", "peace", "stra", "uvre"]
     queries = spark.createDataFrame([(0, "paix"), (1, "la paix paix"), (2, "der krieg")], "query_id int, text string")
-    got = {(r.query_id, r.doc_id): r.score for r in search.bm25(chunks, queries, ["doc_id", "chunk_index"]).collect()}
-    assert got == {(0, 2): pytest.approx(1.302664), (1, 2): pytest.approx(4.149226), (2, 1): pytest.approx(2.491911)}
+    want = {(0, 2): pytest.approx(1.302664), (1, 2): pytest.approx(4.149226), (2, 1): pytest.approx(2.491911)}
+    index = LexicalIndex.build(chunks, ["doc_id", "chunk_index"], f"file://{tmp_path}/index")
+    found = lambda: {(r.query_id, r.doc_id): r.score for r in index.search(queries).collect()}
+    assert found() == want
+    LexicalIndex.FEW, few = 1, LexicalIndex.FEW
+    assert found() == want
+    LexicalIndex.FEW = few
+    # Added, replaced and deleted chunks count at once, and an index that is opened anew is the same.
+    more = spark.createDataFrame([(4, 0, "paix paix"), (1, 0, "nothing")], "doc_id long, chunk_index int, content string")
+    index.add(more)
+    fresh = LexicalIndex.build(chunks.where("doc_id > 1").union(more), ["doc_id", "chunk_index"], f"file://{tmp_path}/fresh")
+    again = LexicalIndex(spark, f"file://{tmp_path}/index", ["doc_id", "chunk_index"])
+    rows = lambda i: sorted(map(tuple, i.search(queries).collect()))
+    assert rows(again) == rows(fresh) and {r[1] for r in rows(again)} == {2, 4}
+    index.delete(spark.createDataFrame([(4,), (1,)], "doc_id long"))
+    index.add(chunks.where("doc_id = 1"))
+    assert found() == want
+    index.clear()
+    assert found() == {} and index.terms().count() == 0
+    index.add(chunks)
+    assert found() == want
+
+
+@pytest.mark.parametrize("most", [1, search.QUERIES])
+def test_nearest_by_brute_force(spark, monkeypatch, most):
+    monkeypatch.setattr(search, "QUERIES", most)
+    monkeypatch.setattr(search, "VECTORS", 20)
+    rng = random.Random(0)
+    rows = [(k, [rng.gauss(0, 1) for _ in range(4)]) for k in range(60)] + [(60, None), (61, [0.0] * 4), (62, [1.0]), (63, [float("nan")] * 4), (64, [1.0, 2.0, 3.0, 4.0]), (65, [2.0, 4.0, 6.0, 8.0])]
+    asked = [(0, [1.0, 2.0, 3.0, 4.0]), (1, [1.0, 0.0, 0.0, 0.0]), (2, [5.0])]
+
+    def cosine(a, b):
+        if b is None or len(a) != len(b) or any(x != x for x in b) or not any(b):
+            return 0.0
+        return round(sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(x * x for x in b)), 6)
+
+    want = {(q, r, i, s) for q, v in asked for r, (s, i) in enumerate(sorted(((cosine(v, w), i) for i, w in rows), key=lambda x: (-x[0], x[1]))[:7])}
+    got = search.exact_nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), spark.createDataFrame(asked, "query_id int, query array<double>"), 7)
+    assert {(r.query_id, r["rank"], r.vec_id, r.score) for r in got.collect()} == want
+
+
+def test_greedy_dedup_by_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(q, k, " ".join(rng.choice("abcdefg") * 3 for _ in range(rng.randrange(0, 12)))) for q in range(8) for k in range(25)]
+    want = set()
+    for q in range(8):
+        kept = []
+        for _, k, t in (r for r in rows if r[0] == q):
+            w = set(t.split(" "))
+            if not any(len(w & o) / len(w | o) > 0.5 for o in kept):
+                kept.append(w)
+                want.add((q, k))
+    df = spark.createDataFrame(rows, "query_id int, rank int, content string").orderBy(F.rand(1))
+    got = compress.without_near_duplicates(df, ["query_id"], "rank", 0.5)
+    assert {(r.query_id, r["rank"]) for r in got.collect()} == want
+
+
+def test_upserts_and_inserts_keep_their_order(spark):
+    schema = "id string, name string, place int"
+    old = spark.createDataFrame([("a", "old", 0), ("b", "old", 0)], schema)
+    new = spark.createDataFrame([("a", "2", 2), ("a", "9", 9), ("a", "3", 3), ("c", "1", 1), ("c", "0", 0)], schema)
+    rows = lambda df: sorted((r.id, r.name) for r in df.collect())
+    assert rows(store.upsert(old, new, order="place")) == [("a", "9"), ("b", "old"), ("c", "1")]
+    assert rows(store.upsert(old, new)) == [("a", "3"), ("b", "old"), ("c", "0")]
+    assert rows(store.insert_absent(old, new, order="place")) == [("a", "old"), ("b", "old"), ("c", "0")]
+    assert rows(store.insert_absent(old, new)) == [("a", "old"), ("b", "old"), ("c", "1")]
 
 
 def test_fusion_case(spark):
@@ -153,6 +231,11 @@ def test_traversal_cases(spark):
     assert {r.node for r in graph.reachable(edges, starts, 1).collect()} == {"a", "b", "e"}
     near, links = graph.neighbourhood(edges, "a", 1, 2)
     assert near.count() == 2 and links.count() == 2
+    # Only edges by which nodes are found: b-c joins two that a has found already.
+    more = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "b")], "a string, b string")
+    near, links = graph.neighbourhood(more, "a", 1)
+    assert {tuple(r) for r in links.collect()} == {("a", "b"), ("a", "c")} and links.columns == ["a", "b"]
+    assert {tuple(r) for r in graph.neighbourhood(more, "a", 2)[1].collect()} == {("a", "b"), ("a", "c"), ("d", "b")}
     pairs = spark.createDataFrame([("a", "d"), ("a", "x"), ("a", "a")], "start string, target string")
     assert {(r.start, r.target): (r.length, r.path) for r in graph.shortest_paths(edges, pairs).collect()} == {("a", "d"): (3, ["a", "b", "c", "d"]), ("a", "a"): (0, ["a"])}
 

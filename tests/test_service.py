@@ -3,18 +3,34 @@
 from pyspark.sql import functions as F
 
 from foliospark.operators import graph
+from foliospark.operators.index import LexicalIndex
 from foliospark.plans import service
 from foliospark.sources import workspaces
 
 
-def test_find(spark):
+def test_find(spark, tmp_path):
     rows = [(1, 0, "the krakow archive of letters"), (2, 0, "weather and harvest reports"), (3, 0, "letters from the harvest")]
     chunks = spark.createDataFrame(rows, "doc_id long, chunk_index int, content string")
     vectors = chunks.select("doc_id", "chunk_index", service.hash_embedding(F.col("content")).alias("embedding"))
     q = spark.createDataFrame([(0, "krakow archive")], "query_id int, text string").withColumn("query", service.hash_embedding(F.col("text")))
+    index = LexicalIndex.build(chunks, ["doc_id", "chunk_index"], f"file://{tmp_path}/index")
     for lexical in (True, False):
-        best = service.find(chunks, vectors, q, ["doc_id", "chunk_index"], 2, lexical).orderBy("rank").collect()
+        best = service.find(index, vectors, q, 2, lexical).orderBy("rank").collect()
         assert best[0].doc_id == 1 and len(best) == 2
+    documents = spark.createDataFrame([(1, "book", "K"), (3, "note", "L")], "doc_id long, source_type string, title string")
+    got = service.search_documents(index, vectors, documents, q, 2).orderBy("rank").collect()
+    assert [(r.doc_id, r.content, r.level) for r in got] == [(1, rows[0][2], "none"), (3, rows[2][2], "none")]
+    assert [r.doc_id for r in service.search_documents(index, vectors, documents, q, 2, ["note"]).collect()] == [3]
+    nodes = spark.createDataFrame([("n1", "The Krakow archive", "entity", 0), ("n2", "Vistula", "entity", 1), ("n3", "Elbe", "entity", 2)], "id string, label string, kind string, ord int")
+    edges = spark.createDataFrame([("n1", "n2")], "a string, b string")
+    found = service.search_documents(index, vectors, documents, q, 2)
+    prompt = service.connections_prompt(found, q.select("query_id", "text"), nodes, edges, beyond=False).first().prompt
+    assert "Only what stands in the corpus" in prompt and f"[1] (book) K\n{rows[0][2]}\n\n---\n\n[2] (note) L" in prompt
+    assert "- The Krakow archive (entity)\n- Vistula (entity)\n" in prompt and "Elbe" not in prompt
+    dated = found.withColumns({"author": F.lit("Ann"), "year": F.lit("")})
+    assert f"[1] (book) K, Ann\n{rows[0][2]}" in service.check_prompt(dated, q.select("query_id", "text"), strict=True).first().prompt
+    nothing = service.check_prompt(dated.limit(0), q.select("query_id", "text")).first().prompt
+    assert "holds no evidence" in nothing and "krakow archive" in nothing
     assert vectors.first().embedding == chunks.select(service.hash_embedding(F.col("content"))).first()[0] and len(vectors.first().embedding) == 64
 
 

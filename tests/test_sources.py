@@ -44,9 +44,26 @@ def test_bibliography(spark, tmp_path):
     assert [r.key for r in b.items(collection="S").collect()] == ["I10"] and [r.key for r in b.items(library=2).collect()] == ["I11"]
     assert b.items().where("key = 'I10'").select(bibliography.pdf_path(F.col("attachments"), "/data")).first()[0] == "/data/storage/P14/a.pdf"
     assert [r.key for r in service.search_items(b.items(), query="book", author="lee", year="99", tags=["history"]).collect()] == ["I10"]
+    assert [r.key for r in service.search_items(b.items(), collection="su", library="my lib").collect()] == ["I10"]
+    assert service.search_items(b.items(), collection="top").isEmpty() and [r.key for r in service.search_items(b.items(), library="team").collect()] == ["I11"]
     assert b.library_of("I11").first().name == "Team" and b.collection_names(["T"]).first().name == "Top"
 
 
+def test_live_database_with_a_log(spark, tmp_path):
+    """What a program that is still running has written to the log only is read too."""
+    path = tmp_path / "live.sqlite"
+    database(path, bibliography.TABLES, {"libraries": [(1, "user")]})
+    live = sqlite3.connect(path)
+    live.execute("PRAGMA journal_mode=WAL")
+    live.execute("INSERT INTO libraries VALUES (2, 'group')")
+    live.execute("INSERT INTO groups VALUES (2, 'Late')")
+    live.commit()
+    assert (tmp_path / "live.sqlite-wal").stat().st_size > 0
+    got = bibliography.Bibliography.open(spark, f"file://{path}").libraries().collect()
+    assert [(r.libraryID, r.name) for r in got] == [(2, "Late"), (1, "My Library")]
+    live.close()
+
+
 def test_archive(spark, tmp_path):
     dc = "http://purl.org/dc/elements/1.1/"
     rows = {
