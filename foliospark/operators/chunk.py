@@ -31,15 +31,21 @@ def chunk_words(docs: DataFrame, sizes: ChunkSizes = STANDARD, keep_tail: bool =
     unless keep_tail is set. All in columns: no window depends on another.
     """
     stride = sizes.most - sizes.overlap
-    d = docs.select("id", words(F.col("text")).alias("w")).where(F.size("w") > 0).withColumn("n", F.size("w"))
-    # Each window takes its own words, and the one after, along: a row is as long as a window, not as its text.
-    # No expression below names the words' split again.
-    windows = F.transform(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {stride} as int)")), lambda i: F.struct(i.alias("i"), F.slice("w", i * stride + 1, F.lit(sizes.most + 1)).alias("w")))
-    d = d.select("id", "n", F.explode(windows).alias("x")).select("id", "n", F.col("x.i").alias("chunk_index"), "x.w")
-    d = d.withColumn("start_word", F.col("chunk_index") * stride).withColumn("cap", F.least(F.col("start_word") + sizes.most, F.col("n")))
-    at = F.col("cap") - F.col("start_word")
-    stop = F.array_max(F.filter(F.sequence(F.greatest(F.lit(0), at - 50) + 1, at), lambda j: F.get(F.col("w"), j).rlike(r"[.!?;]\z")))
-    d = d.withColumn("size", F.when(F.col("cap") < F.col("n"), F.coalesce(stop + 1, at)).otherwise(at))
+    d = docs.select("id", words(F.col("text")).alias("w")).withColumn("n", F.size("w"))
+
+    def size(i, w):
+        """Of window i, whose words and the one after are w."""
+        cap = F.least(F.lit(sizes.most), F.col("n") - i * stride)
+        stops = F.filter(F.sequence(F.greatest(F.lit(0), cap - 50) + 1, cap), lambda j: F.get(w, j).rlike(r"[.!?;]\z"))
+        return F.when(cap < F.col("n") - i * stride, F.coalesce(F.array_max(stops) + 1, cap)).otherwise(cap)
+
+    def window(i):
+        # A row is as long as a window, not as its text; the array of one binds the window's words.
+        own = F.array(F.slice("w", i * stride + 1, F.lit(sizes.most + 1)))
+        return F.get(F.transform(own, lambda w: F.struct(i.alias("i"), w.alias("w"), size(i, w).alias("size"))), F.lit(0))
+
+    windows = F.when(F.col("n") > 0, F.transform(F.sequence(F.lit(0), F.expr(f"cast((n - 1) div {stride} as int)")), window))
+    d = d.select("id", F.explode(windows).alias("x")).select("id", F.col("x.i").alias("chunk_index"), "x.w", "x.size", (F.col("x.i") * stride).alias("start_word"))
     if not keep_tail:
         d = d.where((F.col("chunk_index") == 0) | (F.col("size") >= sizes.least))
     content = F.array_join(F.slice("w", F.lit(1), F.col("size")), " ")
