@@ -3,8 +3,13 @@
 Strict patterns give the base spans, which always stay. Wider patterns give candidates, on which five
 labelers vote for, against or not at all: strict form, a gazetteer, words before, characters around, and
 layout. Expectation-maximisation over the counts of vote patterns (at most 3^5 a kind) estimates how
-reliable each labeler is and how likely each pattern is personal data. A logistic classifier of spans is
-trained on these likelihoods; candidates that it accepts, and that touch no base span, are added.
+reliable each labeler is and how likely each pattern is personal data. A logistic classifier is trained on
+these likelihoods. It sees the votes and what they don't tell: how a span is written and what stands around
+it. Candidates that it accepts, that are well-formed (as base spans must be, too) and that touch no base span
+are added.
+
+Wide email patterns take local parts of up to 64 characters and labels of up to 63, the longest that mail
+addresses may have.
 """
 
 import math
@@ -32,7 +37,7 @@ _AT, _DOT = (
 #: What sets an address written with words apart from a sentence such as "we met at noon. Then".
 MARKED = r"[@\[({<]|\x20(?:dot|DOT)\x20|[a-z0-9](?:AT|DOT)[a-z0-9]"
 WIDE = {
-    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,64}}(?:{_DOT}[A-Za-z0-9-]{{2,64}}){{1,5}}",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{2,63}})+",
     "ip": r"(?<![0-9])[0-9]{1,3}(?:\x20?[\[({]?\.[\])}]?\x20?[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){11,18}(?![0-9])",
     "phone": r"(?<![0-9])(?:00|\+)?\(?[0-9]{2,4}\)?[\x20./-]{0,2}\(?[0-9]{2,4}\)?(?:[\x20./-]{0,2}[0-9]{2,4}){1,4}(?![0-9])",
@@ -50,6 +55,8 @@ CUES = {
     "card": "card|visa|master|credit|debit|karte|carte|tarjeta|payment",
     "phone": "phone|tel|call|fax|mobile|cell|ruf|appel|llama|contact|whatsapp|sms",
 }
+#: A year, or a date: groups of digits that phone numbers without a prefix rarely have.
+YEAR = r"(?<![0-9])(?:1[0-9]|20)[0-9]{2}(?![0-9])"
 AGAINST = "version|ver\\.|v\\.|isbn|issn|order|invoice|token|key|hash|page|chapter|section|no\\.|nr\\.|doi|price|total"
 
 
@@ -93,24 +100,28 @@ def spans(found: DataFrame, column: str) -> DataFrame:
 
 
 VOTES = ["form", "listed", "cued", "edged", "laid_out"]
+#: What the classifier sees beside the votes, 0 or 1: of the span and of its surroundings.
+TRAITS = ["prefixed", "spaced", "even", "short", "opens_line", "after_mark", "ends_clause"]
 
 
 def vote(c: DataFrame) -> DataFrame:
-    """The labelers' votes on candidates: 1 for, -1 against, 0 for none."""
+    """The labelers' votes on candidates: 1 for, -1 against, 0 for none; and the candidates' traits."""
     k, hit, d = F.col("kind"), F.col("hit"), digits(F.col("hit"))
     n, before, after = F.length(d), F.lower("before"), F.col("after")
     plain = F.regexp_replace(F.regexp_replace(hit, _AT, "@"), _DOT, ".")
     marked = hit.rlike(MARKED)
+    prefixed = hit.rlike(r"^(?:\+|00|\()")
     octets = F.regexp_replace(hit, r"[^0-9.]", "")
     yes, no, none = F.lit(1), F.lit(-1), F.lit(0)
     by_kind = lambda e, i, c, p: F.when(k == "email", e).when(k == "ip", i).when(k == "card", c).otherwise(p)
     either = lambda cond, other=no: F.when(cond, yes).otherwise(other)
     cue = reduce(lambda a, x: a | x, [(k == kind) & before.rlike(rf"(?:^|[^a-z])(?:e-?)?(?:{words})") for kind, words in CUES.items()])
     form = by_kind(
-        either(plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$") & (marked | ~hit.rlike(r"\.\x20"))),
+        # "at" between words without any other sign is prose, unless a cue stands before.
+        either(plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$") & (marked | (cue & ~hit.rlike(r"\.\x20")))),
         either(valid(F.lit("ip"), octets)),
         either(F.when(n.between(12, 19), luhn(d)).otherwise(False)),
-        either(n.between(9, 15)),
+        either(n.between(9, 15) & (prefixed | ~hit.rlike(YEAR))),
     )
     listed = by_kind(
         either(F.lower(plain).rlike(rf"\.(?:{DOMAINS})$"), F.when(marked | cue, none).otherwise(no)),
@@ -125,10 +136,22 @@ def vote(c: DataFrame) -> DataFrame:
         either(hit.rlike(r"[@\[({<]")),
         either(~hit.rlike(r"\x20")),
         either(separators.rlike(r"^(?:\x20{3}|-{3}|)$"), none),
-        either(hit.rlike(r"^(?:\+|00|\()") & ~hit.rlike(r"[./]{2}|\.[0-9]{1,2}\."), either(hit.rlike(r"^[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"), no)),
+        either(prefixed & ~hit.rlike(r"[./]{2}|\.[0-9]{1,2}\."), either(hit.rlike(r"^[0-9]{3}[\x20.-][0-9]{3}[\x20.-][0-9]{4}$"), no)),
     )
     votes = dict(zip(VOTES, (form, listed, cued, edged, laid_out), strict=True))
-    return c.withColumns({name: column.cast("int") for name, column in votes.items()})
+    traits = {
+        "prefixed": prefixed,
+        "spaced": F.contains(hit, F.lit(" ")),
+        "even": F.length(F.regexp_replace(separators, r"(.)(?=.*\1)", "")) <= 1,
+        "short": F.length(hit) <= 16,
+        "opens_line": before.rlike(r"(?:^|\n)[\x20\t]*$"),
+        "after_mark": before.rlike(r"[:=(,;]\x20?$"),
+        "ends_clause": after.rlike(r"^(?:$|[\s,;.)!?])"),
+    }
+    # A part of a longer word or number is not well-formed, whatever it looks like.
+    inside = before.rlike("[a-z0-9]$") | after.rlike("^[A-Za-z0-9]")
+    votes["form"] = F.when(inside, no).otherwise(votes["form"])
+    return c.withColumns({name: column.cast("int") for name, column in (votes | traits).items()})
 
 
 def em(patterns: list, rounds: int = 60) -> dict:
@@ -152,23 +175,27 @@ def em(patterns: list, rounds: int = 60) -> dict:
     return out
 
 
-def classifier(patterns: list, like: dict, rounds: int = 400) -> dict:
-    """Weights of a logistic classifier by kind: one of the kind and one for each vote, fitted to the likelihoods."""
+#: Weight of the pull to 0 on the classifier's weights, in candidates.
+RIDGE = 1.0
+
+
+def classifier(patterns: list, like: dict, rounds: int = 30) -> dict:
+    """Weights of a logistic classifier by kind, one of the kind and one for each vote and trait, from [(kind, votes,
+    traits, count)]: fitted to the likelihoods of the votes by Newton's method."""
+    import numpy as np
+
     out = {}
     for kind in {p[0] for p in patterns}:
-        rows = [(v, n, like[kind, v]) for k, v, n in patterns if k == kind]
-        total = sum(n for _, n, _ in rows)
-        # A prior of one unit for every vote: few candidates don't overrule what labelers say.
-        w = [-0.5, *[1.0] * len(VOTES)]
+        rows = [(v, t, n) for k, v, t, n in patterns if k == kind]
+        x = np.array([(1, *v, *t) for v, t, _ in rows], dtype=float)
+        y, n = np.array([like[kind, v] for v, _, _ in rows]), np.array([c for *_, c in rows], dtype=float)
+        w = np.zeros(x.shape[1])
         for _ in range(rounds):
-            grad = [0.0] * len(w)
-            for v, n, y in rows:
-                x = (1, *v)
-                p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, x, strict=True))))))
-                for j, b in enumerate(x):
-                    grad[j] += n * (p - y) * b / total
-            w = [a - 0.3 * (g + 0.02 * (a - c)) for a, g, c in zip(w, grad, [-0.5, *[1.0] * len(VOTES)], strict=True)]
-        out[kind] = w
+            p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+            curve = (x * (n * p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
+            step = np.linalg.solve(curve, x.T @ (n * (p - y)) + RIDGE * w)
+            w = w - step * min(1.0, 4.0 / max(1e-12, float(np.abs(step).max())))
+        out[kind] = w.tolist()
     return out
 
 
@@ -186,15 +213,18 @@ def find(docs: DataFrame) -> DataFrame:
     found = scratch.write("found", plain.select("row_id", "doc_id", *[trial(k, BASE[k]).alias(f"base_{k}") for k in KINDS], *[trial(k, WIDE[k]).alias(f"wide_{k}") for k in KINDS]))
     base = spans(found, "base").where(valid(F.col("kind"), F.col("hit"))).select("row_id", "kind", "start", "stop", F.lit(True).alias("base"))
     base = scratch.write("base", base)
-    candidates = vote(spans(found, "wide")).select("row_id", "kind", "start", "stop", *VOTES)
+    candidates = vote(spans(found, "wide")).select("row_id", "kind", "start", "stop", *VOTES, *TRAITS)
     candidates = scratch.write("candidates", candidates)
-    patterns = [(r["kind"], tuple(r[v] for v in VOTES), r["count"]) for r in candidates.groupBy("kind", *VOTES).count().collect()]  # at most 4 * 3^5 rows
-    weights = classifier(sorted(patterns), em(sorted(patterns)))
+    seen = candidates.groupBy("kind", *VOTES, *TRAITS).count().collect()  # at most 4 * 3^5 * 2^7 rows, however many candidates
+    patterns = sorted((r["kind"], tuple(r[v] for v in VOTES), tuple(r[t] for t in TRAITS), r["count"]) for r in seen)
+    of_votes: dict = {}
+    for kind, votes, _, n in patterns:
+        of_votes[kind, votes] = of_votes.get((kind, votes), 0) + n
+    weights = classifier(patterns, em([(k, v, n) for (k, v), n in sorted(of_votes.items())]))
     logit = F.lit(-1.0)
     for kind, w in weights.items():
-        logit = F.when(F.col("kind") == kind, F.lit(w[0]) + reduce(lambda a, b: a + b, [F.col(v) * F.lit(x) for v, x in zip(VOTES, w[1:], strict=True)])).otherwise(logit)
-    # Form and edges are the least that a span must have, and no gazetteer that speaks against it.
-    added = candidates.where("form = 1 and edged = 1 and listed >= 0").where(logit > 0).select("row_id", "kind", "start", "stop", F.lit(False).alias("base"))
+        logit = F.when(F.col("kind") == kind, F.lit(w[0]) + reduce(lambda a, b: a + b, [F.col(v) * F.lit(x) for v, x in zip([*VOTES, *TRAITS], w[1:], strict=True)])).otherwise(logit)
+    added = candidates.where("form = 1").where(logit > 0).select("row_id", "kind", "start", "stop", F.lit(False).alias("base"))
     number = F.array_position(F.array(*map(F.lit, KINDS)), F.col("kind")).cast("int")
     both = base.unionByName(added).withColumn("no", number)
     order = Window.partitionBy("row_id").orderBy("start", F.desc("base"), "no")
