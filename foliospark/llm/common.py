@@ -22,12 +22,15 @@ def crc32_of_id(col):
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that the cluster names; a temporary one of our own only where none is set."""
+    """The folder that the cluster names. Where none is set a local session gets a temporary one; on a cluster, whose
+    machines would not see it, that is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         set_by_hand = spark.sparkContext._jsc.sc().getCheckpointDir()
         root = set_by_hand.get() if set_by_hand.isDefined() else None
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="foliospark-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")

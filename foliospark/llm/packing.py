@@ -32,11 +32,11 @@ class Ids:
     """A text's ids as little-endian 32-bit bytes, by the byte-level BPE of a tokenizers file.
 
     The pieces that merges can't leave are looked up in a bounded cache; tests hold the ids against
-    the tokenizers library's own. The strings of added tokens in a text are ordinary text, or with
-    added_tokens their ids, as the library's encode() has them by default.
+    the tokenizers library's own. The strings of added tokens in a text become their ids, as the
+    library's encode() has it; without added_tokens they are ordinary text.
     """
 
-    def __init__(self, path: str, cached: int = 300_000, added_tokens: bool = False):
+    def __init__(self, path: str, cached: int = 300_000, added_tokens: bool = True):
         import json
 
         import tiktoken
@@ -87,7 +87,7 @@ def lengths(n: int, max_len: int = MAX_LEN) -> list[int]:
     return out + [1 << k for k in range(rest.bit_length() - 1, -1, -1) if rest >> k & 1]
 
 
-def pack(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None, with_ids: bool = False, added_tokens: bool = False) -> DataFrame:
+def pack(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None, with_ids: bool = False, added_tokens: bool = True) -> DataFrame:
     """One row per piece of docs (doc_id, text): doc_id, start, length, ids_crc32, doc_tokens, bucket,
     and sequence_id and offset of its place; with_ids adds the ids themselves as an array.
 
@@ -127,4 +127,4 @@ def pack(docs: DataFrame, max_len: int = MAX_LEN, tokenizer: str | None = None,
 
 
 def op10_packing(spark, sf_dir: str) -> DataFrame:
-    return pack(table(spark, sf_dir, "documents"), added_tokens=True)
+    return pack(table(spark, sf_dir, "documents"))

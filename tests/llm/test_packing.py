@@ -12,7 +12,6 @@ def hf_ids(texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(p.default_tokenizer())
-    t.encode_special_tokens = True
     return [e.ids for e in t.encode_batch([x or "" for x in texts], add_special_tokens=False)]
 
 
