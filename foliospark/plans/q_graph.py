@@ -225,18 +225,24 @@ def bfs_neighbors(spark, sf_dir):
     return graph.reachable(_link_graph(spark, sf_dir), _starts(spark, sf_dir), 2)
 
 
-@query("shortest_path", f"WITH RECURSIVE {ARCS_SQL}, r(start, node, d) AS (SELECT 'p' || page_id, 'p' || page_id, 0 FROM pages WHERE page_id % 100 = 0 UNION SELECT start, b, d + 1 FROM r JOIN arcs ON a = node WHERE d < 6), m AS (SELECT start, node, min(d) AS d FROM r GROUP BY ALL) SELECT start, node AS target, d::INTEGER AS length FROM m JOIN pages ON node = 'p' || (page_id + 1) AND start = 'p' || page_id WHERE page_id % 100 = 0")
+@query("shortest_path", f"WITH RECURSIVE {ARCS_SQL}, r(start, node, d) AS (SELECT 'p' || page_id, 'p' || page_id, 0 FROM pages WHERE page_id % 100 = 0 UNION SELECT start, b, d + 1 FROM r JOIN arcs ON a = node WHERE d < 6), m AS (SELECT start, node, min(d) AS d FROM r GROUP BY ALL) SELECT start, node AS target, d::INTEGER AS length FROM m JOIN pages ON start = 'p' || page_id WHERE page_id % 100 = 0 AND (d BETWEEN 1 AND 4 OR node = 'p' || (page_id + 1))")
 def shortest_path(spark, sf_dir):
-    """From every hundredth page to the next, however far. The SQL's recursive form looks six steps far."""
+    """From every hundredth page to all that is within four steps, and to the next page, however far. The SQL's
+    recursive form looks six steps far."""
+    g = _link_graph(spark, sf_dir)
+    near = graph.reachable(g, _starts(spark, sf_dir), 4).where("distance > 0").select("start", F.col("node").alias("target"))
     pairs = table(spark, sf_dir, "pages").where("page_id % 100 = 0").select(F.concat(F.lit("p"), F.col("page_id")).alias("start"), F.concat(F.lit("p"), F.col("page_id") + 1).alias("target"))
-    return graph.shortest_paths(_link_graph(spark, sf_dir), pairs).select("start", "target", "length")
+    return graph.shortest_paths(g, near.union(pairs)).select("start", "target", "length")
 
 
 @query("communities")
 def communities(spark, sf_dir):
     """Community, size and the first members of the link graph."""
     found = graph.communities(_link_graph(spark, sf_dir).withColumn("weight", F.lit(1)))
-    return found.groupBy("community").agg(F.count("*").alias("size"), F.slice(F.sort_array(F.collect_list("node")), 1, 5).alias("sample"))
+    # Five a community are left in each partition before they meet.
+    place = F.row_number().over(Window.partitionBy("community").orderBy("node"))
+    some = found.withColumn("place", place).where("place <= 5").groupBy("community").agg(F.sort_array(F.collect_list("node")).alias("sample"))
+    return found.groupBy("community").agg(F.count("*").alias("size")).join(some, "community")
 
 
 @query("entity_details", f"WITH {MENTIONS_SQL} SELECT name, source AS source_type, count(*)::BIGINT AS n, count(DISTINCT doc_id)::BIGINT AS n_docs FROM mentions JOIN documents USING (doc_id) GROUP BY ALL")
