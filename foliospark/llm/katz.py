@@ -1,34 +1,41 @@
-"""A Katz backoff model of word pairs, counted over all training texts and stored in partitioned tables.
+"""A Katz backoff model of any order, counted over all training texts and stored in partitioned tables.
 
 Texts are read once and kept as blocks: a block has its distinct words' hashes and its documents as
-indexes into them. What a block needs from the corpus it asks for in arrays, one row for each bucket of
-words, so that a question costs bytes rather than rows: first its words' counts, then its pairs' counts,
-then the backoff weights of the words that held-out texts may have to back off from. Buckets add up what
-blocks report and answer in the order of the question. A word that stands before very many others is
-spread over several buckets. Nothing that grows with the corpus goes to the driver or is broadcast.
-
-p(w | h) = (c(h w) - off(c(h w))) / c(h) for a seen pair, else a(h) p(w). off is what Good-Turing discounts
-take off counts up to K (Katz's formula); greater counts lose as much as a count of K, so that each history
-frees some mass. a(h) makes the probabilities after h add up to one exactly; p(w) is discounted likewise
-and leaves what is freed to a single unknown word. After an unseen h the pair's probability is p(w).
+indexes into them. What a block needs from the corpus it asks for in packed arrays, one row for each bucket,
+so that a question costs bytes rather than rows: first its words' counts and numbers, then level by level
+its n-grams' counts. Buckets add up what blocks report and answer in the order of the question; to n-grams
+not seen in training they add what the backoff weight of the history needs. Histories stand for their words'
+numbers, frequent words' are small. A history that stands before very many others is spread over several
+buckets; the weights of these few are asked for once more. There are as many buckets as tokens call for.
+Nothing that grows with the corpus goes to the driver or is broadcast.
+
+p(w | h) = (c(h w) - off(c(h w))) / c(h) for a seen n-gram, else a(h) p(w | h'), h' being h without its first
+word. off is what the level's Good-Turing discounts take off counts up to K (Katz's formula); greater counts
+lose as much as a count of K, so that each history frees some mass. a(h) makes the probabilities after h add
+up to one exactly; p(w) is discounted likewise and leaves what is freed to a single unknown word. After an
+unseen h it is p(w | h'). Before a text stand as many starts as histories are long.
 """
 
 import zlib
 
 import numpy as np
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, raw_texts, table, word_hasher
+from .common import Scratch, mix64, raw_texts, table, word_hasher
 
+#: Words of the longest n-grams.
+ORDER = 3
 #: Good-Turing discounts apply to counts up to K.
 K = 5
-#: Text bytes of a block.
-BLOCK = 6 << 20
+#: Text bytes of a block, and tokens that a bucket counts.
+BLOCK, TOKENS = 6 << 20, 1 << 20
 BLOCKS_AT_ONCE = 1
-START, END = np.uint64(1), np.uint64(2)
+END = np.uint64(2)
+FOLD = np.uint64(0x9E3779B97F4A7C15)
 
-BLOCKS = "g long, words binary, counts binary, doc_ids array<long>, held array<boolean>, lengths binary, tokens binary"
+BLOCKS = "g long, n_tokens long, words binary, counts binary, doc_ids array<long>, held array<boolean>, lengths binary, tokens binary"
 
 
 def taken_off(n: np.ndarray) -> np.ndarray:
@@ -48,7 +55,7 @@ class Unigrams:
     """p(w) by a word's count; what discounts free goes to one unknown word."""
 
     def __init__(self, total: int, types: int, n: np.ndarray):
-        self.total, self.off = total, taken_off(n)
+        self.total, self.types, self.off = total, types, taken_off(n)
         low = n[1 : K + 1]
         freed = float((low * self.off[1 : K + 1]).sum() + (types - low.sum()) * self.off[K + 1])
         self.unknown = freed / total if total else 1.0
@@ -57,6 +64,11 @@ class Unigrams:
         return np.where(c > 0, (c - self.off[np.minimum(c, K + 1)]) / max(1, self.total), self.unknown)
 
 
+def seen_p(c: np.ndarray, history: np.ndarray, off: np.ndarray) -> np.ndarray:
+    """Of n-grams seen c times after a history seen so often."""
+    return (c - off[np.minimum(c, K + 1)]) / np.maximum(history, 1)
+
+
 def _block(g: int, ids: list, held: list, words: list[np.ndarray]):
     lengths = np.array([len(w) + 1 for w in words], dtype=np.int64)
     tokens = np.concatenate([x for w in words for x in (w, np.array([END]))])
@@ -67,7 +79,7 @@ def _block(g: int, ids: list, held: list, words: list[np.ndarray]):
     at = place[at]
     trains = np.repeat(~np.array(held, dtype=bool), lengths)
     counts = np.bincount(at[trains], minlength=len(known)).astype("<i4")
-    return g, known[order].tobytes(), counts.tobytes(), ids, held, lengths.astype("<i4").tobytes(), at.astype("<i4").tobytes()
+    return g, len(tokens), known[order].tobytes(), counts.tobytes(), ids, held, lengths.astype("<i4").tobytes(), at.astype("<i4").tobytes()
 
 
 def make_blocks(docs: DataFrame, held_out_mod: int = 7, held_out_at: int = 2, size: int = BLOCK) -> DataFrame:
@@ -75,7 +87,8 @@ def make_blocks(docs: DataFrame, held_out_mod: int = 7, held_out_at: int = 2, si
         import pyarrow as pa
         from pyspark import TaskContext
 
-        schema = pa.schema([("g", pa.int64()), ("words", pa.binary()), ("counts", pa.binary()), ("doc_ids", pa.list_(pa.int64())), ("held", pa.list_(pa.bool_())), ("lengths", pa.binary()), ("tokens", pa.binary())])
+        kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.binary(), pa.binary()]
+        schema = pa.schema(list(zip(["g", "n_tokens", "words", "counts", "doc_ids", "held", "lengths", "tokens"], kinds, strict=True)))
         g, hasher = TaskContext.get().partitionId() << 32, word_hasher()
         ids, held, words, held_bytes = [], [], [], 0
 
@@ -105,13 +118,26 @@ def _i4(x) -> np.ndarray:
     return np.frombuffer(x, dtype="<i4")
 
 
-def _pack(x: np.ndarray) -> bytes:
-    """Small whole numbers, which most counts are, in about a byte each."""
-    return zlib.compress(x.astype("<i8").tobytes(), 1)
+def _pack(*arrays: np.ndarray) -> bytes:
+    """Whole numbers of 0 or more, each array in as few bytes as its greatest needs, equal places together."""
+    head, body = [len(arrays)], []
+    for x in arrays:
+        most = int(x.max()) if len(x) else 0
+        width = 1 if most < 1 << 8 else 2 if most < 1 << 16 else 4 if most < 1 << 32 else 8
+        head += [len(x), width]
+        body.append(x.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T.tobytes())
+    return zstandard.ZstdCompressor(level=1).compress(np.array(head, dtype="<i8").tobytes() + b"".join(body))
 
 
-def _unpack(x: bytes) -> np.ndarray:
-    return np.frombuffer(zlib.decompress(x), dtype="<i8")
+def _unpack(packed: bytes) -> list[np.ndarray]:
+    raw = zstandard.ZstdDecompressor().decompress(packed)
+    n = int(np.frombuffer(raw, "<i8", 1)[0])
+    head, at, out = np.frombuffer(raw, "<i8", 2 * n, 8), 8 + 16 * n, []
+    for size, width in head.reshape(-1, 2).tolist():
+        planes = np.frombuffer(raw, np.uint8, size * width, at).reshape(width, -1)
+        out.append(np.ascontiguousarray(planes.T).view(f"<u{width}").reshape(-1).astype(np.int64))
+        at += size * width
+    return out
 
 
 def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
@@ -120,37 +146,42 @@ def _bucket(h: np.ndarray, buckets: int) -> np.ndarray:
 
 def _by_bucket(bucket: np.ndarray):
     """The order that sorts by bucket and keeps it otherwise, and (bucket, from, to) for each that is there."""
-    order = np.argsort(bucket, kind="stable")
+    order = np.argsort(bucket.astype(np.uint16) if len(bucket) and bucket.max() < 1 << 16 else bucket, kind="stable")
     sorted_ = bucket[order]
     cuts = np.flatnonzero(np.diff(sorted_)) + 1
     starts, ends = np.concatenate(([0], cuts)), np.concatenate((cuts, [len(order)]))
     return order, [(int(sorted_[a]), a, b) for a, b in zip(starts, ends, strict=True) if b > a]
 
 
+def _table(names: list[str], kinds: list, rows: list):
+    import pyarrow as pa
+
+    columns = list(zip(*rows, strict=True)) or [()] * len(names)
+    return pa.table([pa.array(x, getattr(pa, t)()) for x, t in zip(columns, kinds, strict=True)], names=names)
+
+
+def _batch(*args):
+    return _table(*args).combine_chunks().to_batches(max_chunksize=1 << 20)
+
+
 def ask_words(blocks: DataFrame, buckets: int) -> DataFrame:
     def ask(batches):
-        import pyarrow as pa
-
         for batch in batches:
             for g, words, counts in zip(*[batch[c].to_pylist() for c in ("g", "words", "counts")], strict=True):
                 w, n = _u64(words), _i4(counts)
                 order, parts = _by_bucket(_bucket(w, buckets))
                 w, n = w[order], n[order]
-                yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in parts], pa.int64()), pa.array([g] * len(parts), pa.int64()), pa.array([w[a:b].tobytes() for _, a, b in parts], pa.binary()), pa.array([n[a:b].tobytes() for _, a, b in parts], pa.binary())], names=["bucket", "g", "words", "counts"])
+                yield from _batch(["bucket", "g", "words", "a"], ["int64", "int64", "binary", "binary"], [(k, g, w[a:b].tobytes(), _pack(n[a:b])) for k, a, b in parts])
 
-    return blocks.select("g", "words", "counts").mapInArrow(ask, "bucket long, g long, words binary, counts binary")
+    return blocks.select("g", "words", "counts").mapInArrow(ask, "bucket long, g long, words binary, a binary")
 
 
-ANSWER = "kind int, g long, bucket long, a binary, b binary, c binary"
+ANSWER = "kind int, g long, bucket long, a binary, b binary"
 ANSWERS, TALLY, WEIGHTS = 0, 1, 2
 
 
 def _answers(rows: list):
-    import pyarrow as pa
-
-    columns = list(zip(*rows, strict=True)) or [()] * 6
-    kinds = [pa.int32(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()]
-    return pa.table([pa.array(x, t) for x, t in zip(columns, kinds, strict=True)], names=["kind", "g", "bucket", "a", "b", "c"])
+    return _table(["kind", "g", "bucket", "a", "b"], ["int32", "int64", "int64", "binary", "binary"], rows)
 
 
 def _tally(counts: np.ndarray) -> bytes:
@@ -159,17 +190,20 @@ def _tally(counts: np.ndarray) -> bytes:
     return np.concatenate(([counts.sum(), (counts > 0).sum()], low)).astype("<i8").tobytes()
 
 
-def count_words(asked: DataFrame) -> DataFrame:
+def count_words(asked: DataFrame, buckets: int) -> DataFrame:
+    """Answers: a word's count, and its number: smaller ones are oftener, 0 is the start's."""
+
     def count(found):
-        g, words, counts = (found[c].to_pylist() for c in ("g", "words", "counts"))
+        g, words = found["g"].to_pylist(), [_u64(x) for x in found["words"].to_pylist()]
         bucket = found["bucket"][0].as_py()
-        sizes = [len(w) // 8 for w in words]
-        known, at = np.unique(np.concatenate([_u64(w) for w in words]), return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([_i4(n) for n in counts]), minlength=len(known)).astype("<i8")
-        answer = total[at]
-        ends = np.cumsum(sizes)
-        rows = [(ANSWERS, x, bucket, _pack(answer[e - s : e]), None, None) for x, s, e in zip(g, sizes, ends, strict=True)]
-        return _answers([*rows, (TALLY, -1, bucket, _tally(total), None, None)])
+        ends = np.cumsum([len(w) for w in words])[:-1]
+        known, at = np.unique(np.concatenate(words), return_inverse=True)
+        counts = np.concatenate([_unpack(x)[0] for x in found["a"].to_pylist()])
+        total = np.bincount(at, weights=counts, minlength=len(known)).astype(np.int64)
+        number = np.empty(len(known), dtype=np.int64)
+        number[np.argsort(-total, kind="stable")] = 1 + bucket + np.arange(len(known)) * buckets
+        rows = [(ANSWERS, x, bucket, _pack(c, n), None) for x, c, n in zip(g, np.split(total[at], ends), np.split(number[at], ends), strict=True)]
+        return _answers([*rows, (TALLY, -1, bucket, _tally(total), None)])
 
     return asked.groupBy("bucket").applyInArrow(count, ANSWER)
 
@@ -181,222 +215,313 @@ def tally(answers: DataFrame) -> np.ndarray:
 
 
 def answered(answers: DataFrame, name: str) -> DataFrame:
-    """g and the array of its (bucket, answer)."""
-    return answers.where(F.col("kind") == ANSWERS).groupBy("g").agg(F.collect_list(F.struct("bucket", "a")).alias(name))
-
-
-class Block:
-    """A block's words, pairs and the answers to its questions."""
-
-    def __init__(self, words: bytes, lengths: bytes, tokens: bytes, held: list, buckets: int):
-        self.words, self.buckets = np.concatenate((_u64(words), [START])), buckets
-        self.lengths, self.tokens = _i4(lengths).astype(np.int64), _i4(tokens)
-        self.held = np.array(held, dtype=bool)
-        self.ends = np.cumsum(self.lengths)
-        self.before = np.concatenate((np.zeros(1, dtype=np.int32), self.tokens[:-1]))
-        self.before[self.ends - self.lengths] = len(self.words) - 1
-
-    def read_words(self, answers) -> None:
-        n = len(self.words) - 1
-        self.c = np.zeros(n + 1, dtype=np.int64)
-        order, parts = _by_bucket(_bucket(self.words[:n], self.buckets))
-        found = {r["bucket"]: r["a"] for r in answers}
+    """g and the array of its answers."""
+    return answers.where(F.col("kind") == ANSWERS).groupBy("g").agg(F.collect_list(F.struct("bucket", "a", "b")).alias(name))
+
+
+class Words:
+    """A block's words in the order of their numbers, the start at 0, and where its tokens find them."""
+
+    def __init__(self, words: bytes, tokens: bytes, answers: list, buckets: int):
+        h, found = _u64(words), {r["bucket"]: r["a"] for r in answers}
+        c, number = np.zeros(len(h), dtype=np.int64), np.zeros(len(h), dtype=np.int64)
+        order, parts = _by_bucket(_bucket(h, buckets))
         for k, a, b in parts:
-            self.c[order[a:b]] = _unpack(found[k])
+            c[order[a:b]], number[order[a:b]] = _unpack(found[k])
+        sorted_ = np.argsort(number)
+        place = np.empty(len(h), dtype=np.int64)
+        place[sorted_] = np.arange(1, len(h) + 1)
+        self.at = place[_i4(tokens)]
         # As many texts start as end.
-        self.c[n] = self.c[np.flatnonzero(self.words[:n] == END)[0]]
-
-    def find_pairs(self, total: int) -> None:
-        """Distinct pairs in a fixed order: by bucket, then by word before."""
-        width = len(self.words)
-        pair, at = np.unique(self.before.astype(np.int64) * width + self.tokens, return_inverse=True)
-        first, second = (pair // width).astype(np.int32), (pair % width).astype(np.int32)
-        h, w = self.words[first], self.words[second]
-        spread = np.maximum(1, self.c[first] * 4 * self.buckets // max(1, total) + 1)
-        salt = np.where(spread > 1, (w >> np.uint64(9)) % spread.astype(np.uint64), 0).astype(np.uint64)
-        bucket = _bucket(h + salt * np.uint64(0x9E3779B97F4A7C80), self.buckets)
+        texts = c[np.flatnonzero(h == END)]
+        self.c, self.number = np.concatenate((texts, c[sorted_])), np.concatenate(([0], number[sorted_]))
+        self.hash = mix64(self.number.astype(np.uint64))
+
+    def columns(self, which: np.ndarray) -> list[np.ndarray]:
+        return [self.number[which]]
+
+
+class Grams:
+    """A block's distinct n-grams in the order of their words' numbers, starts alone at 0. below has those a word shorter.
+
+    context is an n-gram's history and lower what it is without its first word, as places in below.
+    """
+
+    def __init__(self, below: "Words | Grams", words: Words, first: np.ndarray, buckets: int, tokens: int):
+        self.below, self.words = below, words
+        before = np.concatenate(([0], below.at[:-1]))
+        before[first] = 0
+        width = len(words.c)
+        key, at = np.unique(before * width + words.at, return_inverse=True)
+        key = np.concatenate(([0], key))
+        self.at = at + 1
+        self.context, self.last = key // width, key % width
+        self.lower = np.zeros(len(key), dtype=np.int64)
+        self.lower[self.at] = below.at
+        self.of = below.c[self.context]
+        spread = self.of // tokens * 4 + 1
+        self.hot = self.of >= tokens
+        salt = np.where(self.hot, mix64(words.number[self.last].astype(np.uint64)) % spread.astype(np.uint64), 0).astype(np.uint64)
+        self.home = _bucket(below.hash, buckets)
+        bucket = _bucket(mix64(below.hash[self.context[1:]] + salt[1:] * FOLD), buckets)
         order, self.parts = _by_bucket(bucket)
-        self.first, self.second = first[order], second[order]
-        place = np.empty(len(order), dtype=np.int32)
-        place[order] = np.arange(len(order), dtype=np.int32)
-        self.at = place[at]
-
-    def wanted_weights(self):
-        """Words that a held-out text may back off from, by bucket."""
-        mine = np.unique(self.before[np.repeat(self.held, self.lengths)])
-        order, parts = _by_bucket(_bucket(self.words[mine], self.buckets))
+        self.order = order + 1
+
+    @property
+    def hash(self) -> np.ndarray:
+        return mix64(self.below.hash[self.context] * FOLD + self.words.number[self.last].astype(np.uint64))
+
+    def columns(self, which: np.ndarray) -> list[np.ndarray]:
+        """The numbers of their words."""
+        return [*self.below.columns(self.context[which]), self.words.number[self.last[which]]]
+
+    def question(self, a: int, b: int, counts: np.ndarray) -> bytes:
+        """Histories, whether they are spread, how often their ends were seen, numbers of last words; last words, how often
+        the block's training texts have the n-gram, and the corpus' have the lower one."""
+        which = self.order[a:b]
+        new = np.flatnonzero(np.diff(self.context[which], prepend=-1))
+        h = which[new]
+        histories = self.below.columns(self.context[h])
+        histories[0] = np.diff(histories[0], prepend=0)
+        ends = self.below.of[self.lower[h]] if isinstance(self.below, Grams) else np.empty(0, dtype=np.int64)
+        runs = np.diff(np.append(new, b - a))
+        return _pack(*histories, self.hot[h], ends, runs, self.words.number[self.last[which]], counts[which], self.below.c[self.lower[which]])
+
+    def read(self, answers: list, off: np.ndarray | None = None) -> None:
+        """Counts and, given the level's discounts, what histories of unseen n-grams need for their weights."""
+        found = {r["bucket"]: r for r in answers}
+        self.c = np.zeros(len(self.context), dtype=np.int64)
+        self.c[0] = self.of[0]
+        if off is not None:
+            self.free, self.p_seen = np.zeros(len(self.below.c)), np.zeros(len(self.below.c))
+        for k, a, b in self.parts:
+            which, row = self.order[a:b], found[k]
+            counts, low = _unpack(row["a"])
+            self.c[which] = counts
+            if off is not None:
+                h = np.unique(self.context[which[counts == 0]])
+                self.free[h] = low.reshape(-1, K + 1) @ off[1:]
+                self.p_seen[h] = np.frombuffer(row["b"], dtype="<f8")
+
+    def spread(self):
+        """The spread histories of unseen n-grams, and these by bucket."""
+        mine = np.unique(self.context[1:][(self.c[1:] == 0) & self.hot[1:]])
+        order, parts = _by_bucket(self.home[mine])
         return mine[order], parts
 
+    def p(self, unigrams: Unigrams, offs: list[np.ndarray]) -> np.ndarray:
+        """Of each n-gram's last word after its history: by its own count, else by the n-gram a word shorter."""
+        below = unigrams.p(self.below.c) if isinstance(self.below, Words) else self.below.p(unigrams, offs[:-1])
+        h, of = self.context, np.maximum(self.of, 1)
+        back = np.where(self.of > 0, self.free[h] / of / (1 - self.p_seen[h]), 1.0)
+        return np.where(self.c > 0, seen_p(self.c, self.of, offs[-1]), back * below[self.lower])
 
-def ask_pairs(blocks: DataFrame, buckets: int, total: int) -> DataFrame:
-    def ask(batches):
-        import pyarrow as pa
 
+PARTS = ["g", "words", "lengths", "tokens", "held"]
+
+
+def _levels(row: dict, buckets: int, tokens: int, to: int, offs: list | None = None) -> list:
+    """A block's words and n-grams of 2 to to words; those below to with their counts, and with offs all of them."""
+    words = Words(row["words"], row["tokens"], row["level_1"], buckets)
+    lengths = _i4(row["lengths"]).astype(np.int64)
+    first, out = np.cumsum(lengths) - lengths, [words]
+    for n in range(2, to + 1):
+        grams = Grams(out[-1], words, first, buckets, tokens)
+        if n < to or offs is not None:
+            grams.read(row[f"level_{n}"], offs[n - 2] if offs else None)
+        out.append(grams)
+    return out
+
+
+def ask_grams(blocks: DataFrame, buckets: int, tokens: int, n: int) -> DataFrame:
+    def ask(batches):
         for batch in batches:
-            for g, words, lengths, tokens, held, answers in zip(*[batch[c].to_pylist() for c in ("g", "words", "lengths", "tokens", "held", "word_counts")], strict=True):
-                b = Block(words, lengths, tokens, held, buckets)
-                b.read_words(answers)
-                b.find_pairs(total)
-                trains = np.repeat(~b.held, b.lengths)
-                n = np.bincount(b.at[trains], minlength=len(b.first)).astype("<i4")
-                rows = []
-                for k, i, j in b.parts:
-                    h = b.first[i:j]
-                    new = np.concatenate(([True], h[1:] != h[:-1]))
-                    runs = np.diff(np.concatenate((np.flatnonzero(new), [j - i]))).astype("<i4")
-                    w = b.second[i:j]
-                    rows.append((k, g, b.words[h[new]].tobytes(), _pack(runs), b.words[w].tobytes(), _pack(n[i:j]), _pack(b.c[w])))
-                names = ["bucket", "g", "before", "runs", "words", "counts", "word_counts"]
-                kinds = [pa.int64(), pa.int64(), *[pa.binary()] * 5]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+            for row in batch.to_pylist():
+                grams = _levels(row, buckets, tokens, n)[-1]
+                trains = np.repeat(~np.array(row["held"], dtype=bool), _i4(row["lengths"]))
+                counts = np.bincount(grams.at[trains], minlength=len(grams.context))
+                yield from _batch(["bucket", "g", "a"], ["int64", "int64", "binary"], [(k, row["g"], grams.question(a, b, counts)) for k, a, b in grams.parts])
+
+    return blocks.select(*PARTS, *[f"level_{k}" for k in range(1, n)]).mapInArrow(ask, "bucket long, g long, a binary")
+
 
-    return blocks.mapInArrow(ask, "bucket long, g long, before binary, runs binary, words binary, counts binary, word_counts binary")
+def _ids(columns: list[np.ndarray]):
+    """A number for each distinct row of columns, and one of its places."""
+    at = np.zeros(len(columns[0]), dtype=np.int64)
+    for c in columns:
+        value, v_at = np.unique(c, return_inverse=True)
+        _, at = np.unique(at * len(value) + v_at, return_inverse=True)
+    place = np.empty(int(at.max()) + 1, dtype=np.int64)
+    place[at] = np.arange(len(at))
+    return at, place
 
 
-def count_pairs(asked: DataFrame, buckets: int, unigrams: Unigrams) -> DataFrame:
-    """Answers; and for each word before, what its weight needs: numbers of followers seen 1..K times and oftener, and the sum of their p(w)."""
+def count_grams(asked: DataFrame, buckets: int, n: int, unigrams: Unigrams, off_below: np.ndarray | None) -> DataFrame:
+    """Answers: counts; and for the histories of n-grams not seen, what weights need: numbers of followers seen 1..K times and
+    oftener, and the sum of their probabilities by the level below. Of spread histories each bucket gives its share."""
 
     def count(found):
-        g, before, runs, words, counts, word_counts = (found[c].to_pylist() for c in ("g", "before", "runs", "words", "counts", "word_counts"))
-        bucket = found["bucket"][0].as_py()
-        sizes = [len(w) // 8 for w in words]
-        h, h_at = np.unique(np.concatenate([np.repeat(_u64(x), _unpack(r)) for x, r in zip(before, runs, strict=True)]), return_inverse=True)
-        w, w_at = np.unique(np.concatenate([_u64(x) for x in words]), return_inverse=True)
-        c_w = np.zeros(len(w), dtype=np.int64)
-        c_w[w_at] = np.concatenate([_unpack(x) for x in word_counts])
-        pair, at = np.unique(h_at * len(w) + w_at, return_inverse=True)
-        total = np.bincount(at, weights=np.concatenate([_unpack(x) for x in counts]), minlength=len(pair)).astype("<i8")
-        answer = total[at]
-        ends = np.cumsum(sizes)
-        rows = [(ANSWERS, x, bucket, _pack(answer[e - s : e]), None, None) for x, s, e in zip(g, sizes, ends, strict=True)]
-        rows.append((TALLY, -1, bucket, _tally(total), None, None))
+        g, bucket = found["g"].to_pylist(), found["bucket"][0].as_py()
+        messages = [_unpack(x) for x in found["a"].to_pylist()]
+        for m in messages:
+            m[0] = np.cumsum(m[0])
+        whole = [np.concatenate(x) for x in zip(*messages, strict=True)]
+        histories, (hot, ends, runs, words, counts, lower) = whole[: n - 1], whole[n - 1 :]
+        h_at, h_place = _ids(histories)
+        of_entry = np.repeat(h_at, runs)
+        w, w_at = np.unique(words, return_inverse=True)
+        gram, at = np.unique(of_entry * len(w) + w_at, return_inverse=True)
+        total = np.bincount(at, weights=counts, minlength=len(gram)).astype(np.int64)
+        c_lower = np.empty(len(gram), dtype=np.int64)
+        c_lower[at] = lower
         seen = total > 0
-        of, c = (pair // len(w))[seen], total[seen]
-        p = np.bincount(of, weights=unigrams.p(c_w[(pair % len(w))[seen]]), minlength=len(h))
-        low = np.bincount(of * (K + 1) + np.minimum(c, K + 1) - 1, minlength=len(h) * (K + 1)).reshape(-1, K + 1).astype("<i4")
-        used = np.flatnonzero(np.bincount(of, minlength=len(h)))
-        order, parts = _by_bucket(_bucket(h[used], buckets))
-        used = used[order]
-        rows += [(WEIGHTS, -1, k, h[used[a:b]].tobytes(), low[used[a:b]].tobytes(), p[used[a:b]].tobytes()) for k, a, b in parts]
+        of, c = (gram // len(w))[seen], total[seen]
+        p = unigrams.p(c_lower[seen]) if n == 2 else seen_p(c_lower[seen], ends[h_place[of]], off_below)
+        p_seen = np.bincount(of, weights=p, minlength=len(h_place))
+        low = np.bincount(of * (K + 1) + np.minimum(c, K + 1) - 1, minlength=len(h_place) * (K + 1)).reshape(-1, K + 1)
+        answer = total[at]
+        size, sizes = np.cumsum([len(m[-1]) for m in messages])[:-1], [len(m[n - 1]) for m in messages]
+        rows, start = [], 0
+        for x, mine, of_mine, k in zip(g, np.split(answer, size), np.split(of_entry, size), sizes, strict=True):
+            # Histories come in the order of the question, which is that of their first entries.
+            lost = np.zeros(len(h_place), dtype=bool)
+            lost[of_mine[mine == 0]] = True
+            asked_for = h_at[start : start + k]
+            h = asked_for[lost[asked_for]]
+            rows.append((ANSWERS, x, bucket, _pack(mine, low[h].reshape(-1)), p_seen[h].tobytes()))
+            start += k
+        rows.append((TALLY, -1, bucket, _tally(total), None))
+        shared = np.flatnonzero((hot[h_place] > 0) & (np.bincount(of, minlength=len(h_place)) > 0))
+        if len(shared):
+            columns = [x[h_place[shared]] for x in histories]
+            order, parts = _by_bucket(_bucket(_hash(columns), buckets))
+            rows += [(WEIGHTS, -1, k, _pack(*[x[order[a:b]] for x in columns], low[shared[order[a:b]]].reshape(-1)), p_seen[shared[order[a:b]]].tobytes()) for k, a, b in parts]
         return _answers(rows)
 
     return asked.groupBy("bucket").applyInArrow(count, ANSWER)
 
 
-def ask_weights(blocks: DataFrame, buckets: int) -> DataFrame:
-    def ask(batches):
-        import pyarrow as pa
+def _hash(columns: list[np.ndarray]) -> np.ndarray:
+    h = mix64(columns[0].astype(np.uint64))
+    for c in columns[1:]:
+        h = mix64(h * FOLD + c.astype(np.uint64))
+    return h
 
+
+def ask_weights(blocks: DataFrame, buckets: int, tokens: int, order: int, offs: list) -> DataFrame:
+    def ask(batches):
         for batch in batches:
-            for g, words, lengths, tokens, held in zip(*[batch[c].to_pylist() for c in ("g", "words", "lengths", "tokens", "held")], strict=True):
-                b = Block(words, lengths, tokens, held, buckets)
-                mine, parts = b.wanted_weights()
-                yield pa.RecordBatch.from_arrays([pa.array([k for k, _, _ in parts], pa.int64()), pa.array([g] * len(parts), pa.int64()), pa.array([b.words[mine[i:j]].tobytes() for _, i, j in parts], pa.binary())], names=["bucket", "g", "words"])
+            for row in batch.to_pylist():
+                rows = []
+                for n, grams in enumerate(_levels(row, buckets, tokens, order, offs)[1:], 2):
+                    mine, parts = grams.spread()
+                    rows += [(n, k, row["g"], _pack(*grams.below.columns(mine[a:b]))) for k, a, b in parts]
+                yield from _batch(["level", "bucket", "g", "a"], ["int32", "int64", "int64", "binary"], rows)
 
-    return blocks.select("g", "words", "lengths", "tokens", "held").mapInArrow(ask, "bucket long, g long, words binary")
+    return blocks.select(*PARTS, *[f"level_{k}" for k in range(1, order + 1)]).mapInArrow(ask, "level int, bucket long, g long, a binary")
 
 
-def answer_weights(pairs: DataFrame, asked: DataFrame, off: np.ndarray) -> DataFrame:
-    """For each word asked for: the mass that discounts free, in occurrences, and the sum of its followers' p(w)."""
+def answer_weights(shares: DataFrame, asked: DataFrame) -> DataFrame:
+    """For each spread history asked for, its shares added up."""
+
     def answer(key, parts, questions):
-        if not questions.num_rows:
-            return _answers([])
-        n, bucket = parts.num_rows, key[0].as_py()
-        wanted = [_u64(x) for x in questions["words"].to_pylist()]
-        if n:
-            known, at = np.unique(np.concatenate([_u64(x) for x in parts["a"].to_pylist()]), return_inverse=True)
-            low = np.concatenate([_i4(x).reshape(-1, K + 1) for x in parts["b"].to_pylist()])
-            free = np.bincount(at, weights=low @ off[1:], minlength=len(known))
-            p = np.bincount(at, weights=np.concatenate([np.frombuffer(x, dtype="<f8") for x in parts["c"].to_pylist()]), minlength=len(known))
-        else:
-            known, free, p = np.empty(0, dtype=np.uint64), np.empty(0), np.empty(0)
+        if not questions.num_rows or not parts.num_rows:
+            return _table(["level", "g", "bucket", "a", "b"], ["int32", "int64", "int64", "binary", "binary"], [])
+        known = [_unpack(x) for x in parts["a"].to_pylist()]
+        wanted = [_unpack(x) for x in questions["a"].to_pylist()]
+        columns = [np.concatenate(x) for x in zip(*[m[:-1] for m in known], *wanted, strict=True)]
+        at, place = _ids(columns)
+        n = sum(len(m[0]) for m in known)
+        low = np.zeros((len(place), K + 1), dtype=np.int64)
+        np.add.at(low, at[:n], np.concatenate([m[-1] for m in known]).reshape(-1, K + 1))
+        p = np.bincount(at[:n], weights=np.concatenate([np.frombuffer(x, dtype="<f8") for x in parts["b"].to_pylist()]), minlength=len(place))
         rows = []
-        for g, w in zip(questions["g"].to_pylist(), wanted, strict=True):
-            i = np.minimum(np.searchsorted(known, w), max(0, len(known) - 1))
-            hit = known[i] == w if len(known) else np.zeros(len(w), dtype=bool)
-            both = np.zeros((2, len(w)))
-            if len(known):
-                both[0], both[1] = np.where(hit, free[i], 0.0), np.where(hit, p[i], 0.0)
-            rows.append((ANSWERS, g, bucket, both.tobytes(), None, None))
-        return _answers(rows)
+        for g, m in zip(questions["g"].to_pylist(), wanted, strict=True):
+            mine = at[n : n + len(m[0])]
+            rows.append((key[0].as_py(), g, key[1].as_py(), _pack(low[mine].reshape(-1)), p[mine].tobytes()))
+            n += len(m[0])
+        return _table(["level", "g", "bucket", "a", "b"], ["int32", "int64", "int64", "binary", "binary"], rows)
 
-    left = pairs.where(F.col("kind") == WEIGHTS).select("bucket", "a", "b", "c")
-    return left.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, ANSWER)
+    return shares.groupBy("level", "bucket").cogroup(asked.groupBy("level", "bucket")).applyInArrow(answer, "level int, g long, bucket long, a binary, b binary")
 
 
-def score_blocks(blocks: DataFrame, buckets: int, total: int, types: int, unigrams: Unigrams, off: np.ndarray) -> DataFrame:
+def score_blocks(blocks: DataFrame, buckets: int, tokens: int, order: int, unigrams: Unigrams, offs: list) -> DataFrame:
     def score(batches):
         import pyarrow as pa
 
-        names = ["g", "words", "lengths", "tokens", "held", "doc_ids", "word_counts", "pair_counts", "weights"]
         for batch in batches:
-            for _, words, lengths, tokens, held, ids, word_counts, pair_counts, weights in zip(*[batch[c].to_pylist() for c in names], strict=True):
-                b = Block(words, lengths, tokens, held, buckets)
-                b.read_words(word_counts)
-                b.find_pairs(total)
-                found = {r["bucket"]: r["a"] for r in pair_counts}
-                c = np.concatenate([_unpack(found[k]) for k, _, _ in b.parts])
-                free, p_seen = np.zeros(len(b.words)), np.zeros(len(b.words))
-                if weights:
-                    mine, parts = b.wanted_weights()
-                    found = {r["bucket"]: np.frombuffer(r["a"], dtype="<f8").reshape(2, -1) for r in weights}
-                    free[mine], p_seen[mine] = np.concatenate([found[k] for k, _, _ in parts], axis=1)
-                # From the pair to the word to the unknown word, for each distinct pair.
-                c_h, p_w = b.c[b.first], unigrams.p(b.c[b.second])
-                back = np.where(c_h > 0, free[b.first] / np.maximum(c_h, 1) / (1 - p_seen[b.first]), 1.0)
-                p = np.where(c > 0, (c - off[np.minimum(c, K + 1)]) / np.maximum(c_h, 1), back * p_w)
-                logs = np.log10(p)[b.at]
-                counts = b.c[b.tokens]
-                base = np.log10((counts + 1.0) / (total + types + 1.0))
-                starts = b.ends - b.lengths
+            for row in batch.to_pylist():
+                levels = _levels(row, buckets, tokens, order, offs)
+                found = {(r["level"], r["bucket"]): r for r in row["weights"] or []}
+                for n, grams in enumerate(levels[1:], 2):
+                    mine, parts = grams.spread()
+                    for k, a, b in parts:
+                        r = found[n, k]
+                        grams.free[mine[a:b]] = _unpack(r["a"])[0].reshape(-1, K + 1) @ offs[n - 2][1:]
+                        grams.p_seen[mine[a:b]] = np.frombuffer(r["b"], dtype="<f8")
+                words, top = levels[0], levels[-1]
+                p = unigrams.p(words.c) if order == 1 else top.p(unigrams, offs)
+                lengths = _i4(row["lengths"]).astype(np.int64)
+                counts, starts, total = words.c[words.at], np.cumsum(lengths) - lengths, unigrams.total
+                base = np.log10((counts + 1.0) / (total + unigrams.types + 1.0))
                 add = lambda x: np.add.reduceat(x, starts)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(ids, pa.int64()), pa.array(held, pa.bool_()), pa.array(b.lengths), pa.array(add((counts > 0).astype(np.int64))), pa.array(np.full(len(ids), total, dtype=np.int64)), pa.array(add(base)), pa.array(add(logs))],
+                    [pa.array(row["doc_ids"], pa.int64()), pa.array(row["held"], pa.bool_()), pa.array(lengths), pa.array(add((counts > 0).astype(np.int64))), pa.array(np.full(len(lengths), total, dtype=np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)[top.at]))],
                     names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
                 )
 
     return blocks.mapInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def katz_scores(docs: DataFrame, held_out_mod: int = 7, held_out_at: int = 2, block_bytes: int = BLOCK) -> DataFrame:
+def katz_scores(docs: DataFrame, held_out_mod: int = 7, held_out_at: int = 2, block_bytes: int = BLOCK, order: int = ORDER, bucket_tokens: int = TOKENS) -> DataFrame:
     """One row per row of docs (doc_id, text): doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     Tokens are the runs without ASCII white space, A-Z lower-cased, and one end. Texts whose id's crc32 mod
-    held_out_mod is held_out_at teach nothing. score is the model's log10 probability of the text's tokens;
-    base_score that of add-one word counts. A null text has the end alone; a null id trains. Without
-    training texts every token is the one unknown word: both scores are 0. An empty table gives an empty
-    result; other columns are not read.
+    held_out_mod is held_out_at teach nothing. score is the model's log10 probability of the text's tokens by
+    n-grams of up to order words; base_score that of add-one word counts. A null text has the end alone; a null id
+    trains. Without training texts every token is the one unknown word: both scores are 0. An empty table gives an
+    empty result; other columns are not read.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark)
-    buckets = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    files = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
     name = f"foliospark_blocks_{scratch.top[-32:]}"
     made = make_blocks(docs, held_out_mod, held_out_at, block_bytes)
     # Bucketed by block: the joins below don't move the blocks.
-    made.write.option("path", f"{scratch.top}/blocks").option("compression", "zstd").bucketBy(buckets, "g").format("parquet").saveAsTable(name)
+    made.write.option("path", f"{scratch.top}/blocks").option("compression", "zstd").bucketBy(files, "g").format("parquet").saveAsTable(name)
     # Blocks are long rows: Python gets a few at once.
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     usual = spark.conf.get(rows)
     spark.conf.set(rows, str(BLOCKS_AT_ONCE))
     try:
-        return _scores(spark.table(name), scratch, buckets)
+        return _scores(spark.table(name), scratch, files, order, bucket_tokens)
     finally:
         spark.conf.set(rows, usual)
         spark.sql(f"DROP TABLE {name}")
 
 
-def _scores(blocks: DataFrame, scratch: Scratch, buckets: int) -> DataFrame:
-    words = scratch.write("words", count_words(ask_words(blocks, buckets)))
-    counted = tally(words)
-    total, types = int(counted[0]), int(counted[1])
-    unigrams = Unigrams(total, types, counted[2:])
-    known = blocks.join(answered(words, "word_counts"), "g")
-    pairs = scratch.write("pairs", count_pairs(ask_pairs(known, buckets, total), buckets, unigrams))
-    off = taken_off(tally(pairs)[2:])
-    weights = scratch.write("weights", answer_weights(pairs, ask_weights(blocks, buckets), off))
-    full = known.join(answered(pairs, "pair_counts"), "g").join(answered(weights, "weights"), "g", "left")
-    scores = scratch.write("scores", score_blocks(full, buckets, total, types, unigrams, off))
-    scratch.drop("words", "pairs", "weights")
+def _scores(blocks: DataFrame, scratch: Scratch, least: int, order: int, tokens: int) -> DataFrame:
+    buckets = max(least, (blocks.agg(F.sum("n_tokens")).first()[0] or 0) // tokens + 1)
+    levels = [scratch.write("level_1", count_words(ask_words(blocks, buckets), buckets))]
+    counted = tally(levels[0])
+    unigrams, offs = Unigrams(int(counted[0]), int(counted[1]), counted[2:]), []
+    known = blocks.join(answered(levels[0], "level_1"), "g")
+    for n in range(2, order + 1):
+        asked = ask_grams(known, buckets, tokens, n)
+        levels.append(scratch.write(f"level_{n}", count_grams(asked, buckets, n, unigrams, offs[-1] if offs else None)))
+        offs.append(taken_off(tally(levels[-1])[2:]))
+        known = known.join(answered(levels[-1], f"level_{n}"), "g")
+    shares = None
+    for n, answers in enumerate(levels[1:], 2):
+        own = answers.where(F.col("kind") == WEIGHTS).select(F.lit(n).alias("level"), "bucket", "a", "b")
+        shares = own if shares is None else shares.union(own)
+    if shares is None or shares.isEmpty():  # no history is spread
+        full = known.withColumn("weights", F.lit(None).cast("array<struct<level:int,bucket:long,a:binary,b:binary>>"))
+    else:
+        weights = scratch.write("weights", answer_weights(shares, ask_weights(known, buckets, tokens, order, offs)))
+        full = known.join(weights.groupBy("g").agg(F.collect_list(F.struct("level", "bucket", "a", "b")).alias("weights")), "g", "left")
+    scores = scratch.write("scores", score_blocks(full, buckets, tokens, order, unigrams, offs))
+    scratch.drop(*[x for x in list(scratch.paths) if x != "scores"])
     return scores
 
 
