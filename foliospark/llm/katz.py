@@ -6,7 +6,7 @@ so that a question costs bytes rather than rows: first its words' counts and num
 its n-grams' counts. Buckets add up what blocks report and answer in the order of the question; to n-grams
 not seen in training they add what the backoff weight of the history needs. Histories stand for their words'
 numbers, frequent words' are small. A history that stands before very many others is spread over several
-buckets; the weights of these few are asked for once more. There are as many buckets as tokens call for.
+buckets, whose shares of the weights of these few are added up afterwards. There are as many buckets as tokens call for.
 Nothing that grows with the corpus goes to the driver or is broadcast.
 
 p(w | h) = (c(h w) - off(c(h w))) / c(h) for a seen n-gram, else a(h) p(w | h'), h' being h without its first
@@ -177,7 +177,7 @@ def ask_words(blocks: DataFrame, buckets: int) -> DataFrame:
 
 
 ANSWER = "kind int, g long, bucket long, a binary, b binary"
-ANSWERS, TALLY, WEIGHTS = 0, 1, 2
+ANSWERS, TALLY, WEIGHTS, WANTED = range(4)
 
 
 def _answers(rows: list):
@@ -214,9 +214,9 @@ def tally(answers: DataFrame) -> np.ndarray:
     return sum(rows, np.zeros(K + 4, dtype=np.int64))
 
 
-def answered(answers: DataFrame, name: str) -> DataFrame:
+def answered(answers: DataFrame, name: str, files: int) -> DataFrame:
     """g and the array of its answers."""
-    return answers.where(F.col("kind") == ANSWERS).groupBy("g").agg(F.collect_list(F.struct("bucket", "a", "b")).alias(name))
+    return answers.repartition(files, "g").groupBy("g").agg(F.collect_list(F.struct("kind", "bucket", "a", "b")).alias(name))
 
 
 class Words:
@@ -289,23 +289,29 @@ class Grams:
 
     def read(self, answers: list, off: np.ndarray | None = None) -> None:
         """Counts and, given the level's discounts, what histories of unseen n-grams need for their weights."""
-        found = {r["bucket"]: r for r in answers}
+        found = {(r["kind"], r["bucket"]): r for r in answers}
         self.c = np.zeros(len(self.context), dtype=np.int64)
         self.c[0] = self.of[0]
         if off is not None:
             self.free, self.p_seen = np.zeros(len(self.below.c)), np.zeros(len(self.below.c))
         for k, a, b in self.parts:
-            which, row = self.order[a:b], found[k]
+            which, row = self.order[a:b], found[ANSWERS, k]
             counts, low = _unpack(row["a"])
             self.c[which] = counts
             if off is not None:
                 h = np.unique(self.context[which[counts == 0]])
                 self.free[h] = low.reshape(-1, K + 1) @ off[1:]
                 self.p_seen[h] = np.frombuffer(row["b"], dtype="<f8")
+        if off is not None:
+            mine, parts = self.spread()
+            for k, a, b in parts:
+                row = found[WEIGHTS, k]
+                self.free[mine[a:b]] = _unpack(row["a"])[0].reshape(-1, K + 1) @ off[1:]
+                self.p_seen[mine[a:b]] = np.frombuffer(row["b"], dtype="<f8")
 
     def spread(self):
-        """The spread histories of unseen n-grams, and these by bucket."""
-        mine = np.unique(self.context[1:][(self.c[1:] == 0) & self.hot[1:]])
+        """The histories that are spread, and these by bucket."""
+        mine = np.unique(self.context[1:][self.hot[1:]])
         order, parts = _by_bucket(self.home[mine])
         return mine[order], parts
 
@@ -340,9 +346,12 @@ def ask_grams(blocks: DataFrame, buckets: int, tokens: int, n: int) -> DataFrame
                 grams = _levels(row, buckets, tokens, n)[-1]
                 trains = np.repeat(~np.array(row["held"], dtype=bool), _i4(row["lengths"]))
                 counts = np.bincount(grams.at[trains], minlength=len(grams.context))
-                yield from _batch(["bucket", "g", "a"], ["int64", "int64", "binary"], [(k, row["g"], grams.question(a, b, counts)) for k, a, b in grams.parts])
+                mine, parts = grams.spread()
+                rows = [(k, row["g"], None, _pack(*grams.below.columns(mine[a:b]))) for k, a, b in parts]
+                rows += [(k, row["g"], grams.question(a, b, counts), None) for k, a, b in grams.parts]
+                yield from _batch(["bucket", "g", "a", "spread"], ["int64", "int64", "binary", "binary"], rows)
 
-    return blocks.select(*PARTS, *[f"level_{k}" for k in range(1, n)]).mapInArrow(ask, "bucket long, g long, a binary")
+    return blocks.select(*PARTS, *[f"level_{k}" for k in range(1, n)]).mapInArrow(ask, "bucket long, g long, a binary, spread binary")
 
 
 def _ids(columns: list[np.ndarray]):
@@ -358,11 +367,16 @@ def _ids(columns: list[np.ndarray]):
 
 def count_grams(asked: DataFrame, buckets: int, n: int, unigrams: Unigrams, off_below: np.ndarray | None) -> DataFrame:
     """Answers: counts; and for the histories of n-grams not seen, what weights need: numbers of followers seen 1..K times and
-    oftener, and the sum of their probabilities by the level below. Of spread histories each bucket gives its share."""
+    oftener, and the sum of their probabilities by the level below. Of spread histories each bucket gives its share, and
+    who wants them is passed on."""
 
     def count(found):
-        g, bucket = found["g"].to_pylist(), found["bucket"][0].as_py()
-        messages = [_unpack(x) for x in found["a"].to_pylist()]
+        bucket, wanted = found["bucket"][0].as_py(), found.filter(found["spread"].is_valid())
+        rows = [(WANTED, x, bucket, a, None) for x, a in zip(wanted["g"].to_pylist(), wanted["spread"].to_pylist(), strict=True)]
+        found = found.filter(found["a"].is_valid())
+        if not found.num_rows:
+            return _answers(rows)
+        g, messages = found["g"].to_pylist(), [_unpack(x) for x in found["a"].to_pylist()]
         for m in messages:
             m[0] = np.cumsum(m[0])
         whole = [np.concatenate(x) for x in zip(*messages, strict=True)]
@@ -381,7 +395,7 @@ def count_grams(asked: DataFrame, buckets: int, n: int, unigrams: Unigrams, off_
         low = np.bincount(of * (K + 1) + np.minimum(c, K + 1) - 1, minlength=len(h_place) * (K + 1)).reshape(-1, K + 1)
         answer = total[at]
         size, sizes = np.cumsum([len(m[-1]) for m in messages])[:-1], [len(m[n - 1]) for m in messages]
-        rows, start = [], 0
+        start = 0
         for x, mine, of_mine, k in zip(g, np.split(answer, size), np.split(of_entry, size), sizes, strict=True):
             # Histories come in the order of the question, which is that of their first entries.
             lost = np.zeros(len(h_place), dtype=bool)
@@ -408,25 +422,12 @@ def _hash(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
-def ask_weights(blocks: DataFrame, buckets: int, tokens: int, order: int, offs: list) -> DataFrame:
-    def ask(batches):
-        for batch in batches:
-            for row in batch.to_pylist():
-                rows = []
-                for n, grams in enumerate(_levels(row, buckets, tokens, order, offs)[1:], 2):
-                    mine, parts = grams.spread()
-                    rows += [(n, k, row["g"], _pack(*grams.below.columns(mine[a:b]))) for k, a, b in parts]
-                yield from _batch(["level", "bucket", "g", "a"], ["int32", "int64", "int64", "binary"], rows)
-
-    return blocks.select(*PARTS, *[f"level_{k}" for k in range(1, order + 1)]).mapInArrow(ask, "level int, bucket long, g long, a binary")
-
-
-def answer_weights(shares: DataFrame, asked: DataFrame) -> DataFrame:
-    """For each spread history asked for, its shares added up."""
+def answer_weights(answers: DataFrame) -> DataFrame:
+    """For each spread history that a block wants, its shares added up."""
 
     def answer(key, parts, questions):
         if not questions.num_rows or not parts.num_rows:
-            return _table(["level", "g", "bucket", "a", "b"], ["int32", "int64", "int64", "binary", "binary"], [])
+            return _answers([])
         known = [_unpack(x) for x in parts["a"].to_pylist()]
         wanted = [_unpack(x) for x in questions["a"].to_pylist()]
         columns = [np.concatenate(x) for x in zip(*[m[:-1] for m in known], *wanted, strict=True)]
@@ -438,11 +439,12 @@ def answer_weights(shares: DataFrame, asked: DataFrame) -> DataFrame:
         rows = []
         for g, m in zip(questions["g"].to_pylist(), wanted, strict=True):
             mine = at[n : n + len(m[0])]
-            rows.append((key[0].as_py(), g, key[1].as_py(), _pack(low[mine].reshape(-1)), p[mine].tobytes()))
+            rows.append((WEIGHTS, g, key[0].as_py(), _pack(low[mine].reshape(-1)), p[mine].tobytes()))
             n += len(m[0])
-        return _table(["level", "g", "bucket", "a", "b"], ["int32", "int64", "int64", "binary", "binary"], rows)
+        return _answers(rows)
 
-    return shares.groupBy("level", "bucket").cogroup(asked.groupBy("level", "bucket")).applyInArrow(answer, "level int, g long, bucket long, a binary, b binary")
+    shares, asked = (answers.where(F.col("kind") == x).select("bucket", "g", "a", "b") for x in (WEIGHTS, WANTED))
+    return shares.groupBy("bucket").cogroup(asked.groupBy("bucket")).applyInArrow(answer, ANSWER)
 
 
 def score_blocks(blocks: DataFrame, buckets: int, tokens: int, order: int, unigrams: Unigrams, offs: list) -> DataFrame:
@@ -452,13 +454,6 @@ def score_blocks(blocks: DataFrame, buckets: int, tokens: int, order: int, unigr
         for batch in batches:
             for row in batch.to_pylist():
                 levels = _levels(row, buckets, tokens, order, offs)
-                found = {(r["level"], r["bucket"]): r for r in row["weights"] or []}
-                for n, grams in enumerate(levels[1:], 2):
-                    mine, parts = grams.spread()
-                    for k, a, b in parts:
-                        r = found[n, k]
-                        grams.free[mine[a:b]] = _unpack(r["a"])[0].reshape(-1, K + 1) @ offs[n - 2][1:]
-                        grams.p_seen[mine[a:b]] = np.frombuffer(r["b"], dtype="<f8")
                 words, top = levels[0], levels[-1]
                 p = unigrams.p(words.c) if order == 1 else top.p(unigrams, offs)
                 lengths = _i4(row["lengths"]).astype(np.int64)
@@ -485,42 +480,42 @@ def katz_scores(docs: DataFrame, held_out_mod: int = 7, held_out_at: int = 2, bl
     spark = docs.sparkSession
     scratch = Scratch(spark)
     files = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
-    name = f"foliospark_blocks_{scratch.top[-32:]}"
-    made = make_blocks(docs, held_out_mod, held_out_at, block_bytes)
-    # Bucketed by block: the joins below don't move the blocks.
-    made.write.option("path", f"{scratch.top}/blocks").option("compression", "zstd").bucketBy(files, "g").format("parquet").saveAsTable(name)
+    # Bucketed by block, as answers are: joins move neither.
+    tables = []
+
+    def by_block(name: str, df: DataFrame) -> DataFrame:
+        tables.append(f"foliospark_{name}_{scratch.top[-32:]}")
+        scratch.paths[name] = f"{scratch.top}/{name}"
+        df.write.option("path", scratch.paths[name]).option("compression", "zstd").bucketBy(files, "g").format("parquet").saveAsTable(tables[-1])
+        return spark.table(tables[-1])
+
     # Blocks are long rows: Python gets a few at once.
     rows = "spark.sql.execution.arrow.maxRecordsPerBatch"
     usual = spark.conf.get(rows)
-    spark.conf.set(rows, str(BLOCKS_AT_ONCE))
     try:
-        return _scores(spark.table(name), scratch, files, order, bucket_tokens)
+        blocks = by_block("blocks", make_blocks(docs, held_out_mod, held_out_at, block_bytes))
+        spark.conf.set(rows, str(BLOCKS_AT_ONCE))
+        return _scores(blocks, scratch, by_block, files, order, bucket_tokens)
     finally:
         spark.conf.set(rows, usual)
-        spark.sql(f"DROP TABLE {name}")
+        for name in tables:
+            spark.sql(f"DROP TABLE IF EXISTS {name}")
 
 
-def _scores(blocks: DataFrame, scratch: Scratch, least: int, order: int, tokens: int) -> DataFrame:
-    buckets = max(least, (blocks.agg(F.sum("n_tokens")).first()[0] or 0) // tokens + 1)
-    levels = [scratch.write("level_1", count_words(ask_words(blocks, buckets), buckets))]
-    counted = tally(levels[0])
+def _scores(blocks: DataFrame, scratch: Scratch, by_block, files: int, order: int, tokens: int) -> DataFrame:
+    buckets = max(files, (blocks.agg(F.sum("n_tokens")).first()[0] or 0) // tokens + 1)
+    kept = lambda answers: answers.where(F.col("kind") == ANSWERS)
+    answers = scratch.write("counted_1", count_words(ask_words(blocks, buckets), buckets))
+    counted = tally(answers)
     unigrams, offs = Unigrams(int(counted[0]), int(counted[1]), counted[2:]), []
-    known = blocks.join(answered(levels[0], "level_1"), "g")
+    known = blocks.join(by_block("level_1", answered(kept(answers), "level_1", files)), "g")
     for n in range(2, order + 1):
         asked = ask_grams(known, buckets, tokens, n)
-        levels.append(scratch.write(f"level_{n}", count_grams(asked, buckets, n, unigrams, offs[-1] if offs else None)))
-        offs.append(taken_off(tally(levels[-1])[2:]))
-        known = known.join(answered(levels[-1], f"level_{n}"), "g")
-    shares = None
-    for n, answers in enumerate(levels[1:], 2):
-        own = answers.where(F.col("kind") == WEIGHTS).select(F.lit(n).alias("level"), "bucket", "a", "b")
-        shares = own if shares is None else shares.union(own)
-    if shares is None or shares.isEmpty():  # no history is spread
-        full = known.withColumn("weights", F.lit(None).cast("array<struct<level:int,bucket:long,a:binary,b:binary>>"))
-    else:
-        weights = scratch.write("weights", answer_weights(shares, ask_weights(known, buckets, tokens, order, offs)))
-        full = known.join(weights.groupBy("g").agg(F.collect_list(F.struct("level", "bucket", "a", "b")).alias("weights")), "g", "left")
-    scores = scratch.write("scores", score_blocks(full, buckets, tokens, order, unigrams, offs))
+        scratch.drop(f"counted_{n - 1}")
+        answers = scratch.write(f"counted_{n}", count_grams(asked, buckets, n, unigrams, offs[-1] if offs else None))
+        offs.append(taken_off(tally(answers)[2:]))
+        known = known.join(by_block(f"level_{n}", answered(kept(answers).union(answer_weights(answers)), f"level_{n}", files)), "g")
+    scores = scratch.write("scores", score_blocks(known, buckets, tokens, order, unigrams, offs))
     scratch.drop(*[x for x in list(scratch.paths) if x != "scores"])
     return scores
 
