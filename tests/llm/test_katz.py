@@ -86,3 +86,11 @@ def test_nothing_to_train_on(spark):
     ids = [k for k in range(200) if zlib.crc32(str(k).encode()) % 7 == 2][:3]
     got = katz.katz_scores(spark.createDataFrame([(k, "a b") for k in ids], "doc_id long, text string")).collect()
     assert [(r.n_tokens, r.n_known, r.base_score, r.score) for r in got] == [(3, 0, 0.0, 0.0)] * 3
+
+
+def test_long_texts_and_clashing_columns(spark):
+    rows = [(1, "a b c d " * 20_000), (2, "x" * 300_000), (3, " ".join(f"w{k % 977}" for k in range(50_000))), (4, "a b w1 w2"), (10, "c d a w3 " * 500)]
+    df = spark.createDataFrame([(*r, 7, "s", 1.0) for r in rows], "doc_id long, text string, g int, words string, score double")
+    got = sorted(map(tuple, katz.katz_scores(df, block_bytes=1 << 17).collect()))
+    for a, b in zip(got, sorted(brute(rows)), strict=True):
+        assert a[:5] == b[:5] and a[5:] == pytest.approx(b[5:], rel=1e-9)
