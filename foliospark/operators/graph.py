@@ -38,31 +38,49 @@ def canonical(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     return edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), "kind", "weight").groupBy("a", "b").agg(F.min_by("kind", "weight").alias("kind"), F.max("weight").alias("weight"))
 
 
-def build(documents: DataFrame, mentions: DataFrame, tags: DataFrame | None = None, links: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+#: Fixed value: the source type of documents that are notes.
+NOTE = "obsidian-note"
+
+
+def build(documents: DataFrame, mentions: DataFrame, tags: DataFrame | None = None, links: DataFrame | None = None, with_documents: bool = True, with_entities: bool = True) -> tuple[DataFrame, DataFrame]:
     """Nodes (id, kind, label, size) and edges (a, b, kind, weight).
 
-    documents (id, title), mentions (document, chunk, entity), tags (document, tag), links (source, note_id).
-    Sizes are 3 for documents, 2 for entities, 1.5 for tags. Edges join documents to their entities and
-    tags, entities that share chunks, and linked documents, each pair once and only where both ends exist.
+    documents (id, title, and source_type where some are notes), mentions (document, chunk, entity), tags (document,
+    tag), links (source, note_id). Sizes are 3 for documents and notes, 2 for entities, 1.5 for tags. Edges join
+    documents to their entities and tags, entities that share chunks, and linked documents, each pair once and only
+    where both ends exist. What is not asked for, or not given, is left out, and edges to it.
     """
     doc, ent, tag = (lambda c, p=p: F.concat(F.lit(p), c.cast("string")) for p in ("doc:", "entity:", "tag:"))
-    nodes = [documents.select(doc(F.col("id")).alias("id"), F.lit("document").alias("kind"), F.col("title").alias("label"), F.lit(3.0).alias("size"))]
-    entities = mentions.select("entity").distinct()
-    nodes.append(entities.select(ent(F.col("entity")).alias("id"), F.lit("entity").alias("kind"), F.col("entity").alias("label"), F.lit(2.0).alias("size")))
-    held = documents.select(F.col("id").alias("document"))
+    kind = F.when(F.col("source_type") == NOTE, "note").otherwise("document") if "source_type" in documents.columns else F.lit("document")
+    shown = documents if with_documents else documents.limit(0)
+    nodes = [shown.select(doc(F.col("id")).alias("id"), kind.alias("kind"), F.col("title").alias("label"), F.lit(3.0).alias("size"))]
+    held = shown.select(F.col("id").alias("document"))
     edge = lambda df, a, b, kind, w: df.select(a.alias("a"), b.alias("b"), F.lit(kind).alias("kind"), w.alias("weight"))
     one = F.lit(1).cast("long")
-    edges = [
-        edge(mentions.select("document", "entity").distinct().join(held, "document", "left_semi"), doc(F.col("document")), ent(F.col("entity")), "mention", one),
-        edge(cooccurrence(mentions, ["document", "chunk"]), ent(F.col("e1")), ent(F.col("e2")), "co-occurrence", F.col("weight")),
-    ]
+    edges = []
+    if with_entities:
+        nodes.append(mentions.select("entity").distinct().select(ent(F.col("entity")).alias("id"), F.lit("entity").alias("kind"), F.col("entity").alias("label"), F.lit(2.0).alias("size")))
+        edges.append(edge(mentions.select("document", "entity").distinct().join(held, "document", "left_semi"), doc(F.col("document")), ent(F.col("entity")), "mention", one))
+        edges.append(edge(cooccurrence(mentions, ["document", "chunk"]), ent(F.col("e1")), ent(F.col("e2")), "co-occurrence", F.col("weight")))
     if tags is not None:
         nodes.append(tags.select("tag").distinct().select(tag(F.col("tag")).alias("id"), F.lit("tag").alias("kind"), F.col("tag").alias("label"), F.lit(1.5).alias("size")))
         edges.append(edge(tags.distinct().join(held, "document", "left_semi"), doc(F.col("document")), tag(F.col("tag")), "tag", one))
     if links is not None:
         ends = links.where("note_id is not null").join(held.withColumnRenamed("document", "source"), "source", "left_semi").join(held.withColumnRenamed("document", "note_id"), "note_id", "left_semi")
         edges.append(edge(ends, doc(F.col("source")), doc(F.col("note_id")), "link", one))
-    return reduce(DataFrame.unionAll, nodes), canonical(reduce(DataFrame.unionAll, edges))
+    none = edge(held.limit(0), doc(F.col("document")), doc(F.col("document")), "link", one)
+    return reduce(DataFrame.unionAll, nodes), canonical(reduce(DataFrame.unionAll, edges or [none]))
+
+
+def statistics(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """entities, documents (notes too), relations and communities of a graph. Nodes without edges are communities of
+    their own; fewer than three nodes form none."""
+    of = lambda *kinds: F.count(F.when(F.col("kind").isin(*kinds), 1))
+    counts = nodes.agg(of("entity").alias("entities"), of("document", "note").alias("documents"), F.count("*").alias("n"))
+    found = communities(edges)
+    groups = found.agg(F.countDistinct("community").alias("joined"), F.count("*").alias("inside"))
+    all_of = counts.crossJoin(edges.agg(F.count("*").alias("relations"))).crossJoin(groups)
+    return all_of.select("entities", "documents", "relations", F.when(F.col("n") < 3, 0).otherwise(F.col("joined") + F.col("n") - F.col("inside")).cast("long").alias("communities"))
 
 
 def arcs(edges: DataFrame) -> DataFrame:
@@ -123,23 +141,77 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int | None = None)
     return done.select("start", "target", (F.size("path") - 1).alias("length"), "path")
 
 
-def communities(edges: DataFrame, rounds: int = 8) -> DataFrame:
-    """node, community: label propagation. In each round a node takes the label that most weight around it
-    has, the smallest of equals, its own counting once; fewer than three nodes form none."""
-    both = edges.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("other"), "weight").union(edges.where("a <> b").select("b", "a", "weight"))
-    both = cut(both)
-    labels = cut(both.select("node").distinct().withColumn("label", F.col("node")))
-    if labels.count() < 3:
-        return labels.limit(0).withColumnRenamed("label", "community")
-    for _ in range(rounds):
-        votes = both.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", F.col("weight").cast("double")).union(labels.select("node", "label", F.lit(1.0)))
-        sums = votes.groupBy("node", "label").agg(F.sum("weight").alias("weight"))
-        new = cut(sums.groupBy("node").agg(F.min(F.struct((-F.col("weight")).alias("w"), "label")).alias("best")).select("node", F.col("best.label").alias("label")))
-        changed = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
-        labels = new
-        if changed:
+#: Modularity that a step must gain for as many nodes to move in the next.
+LEAST = 1e-4
+
+
+def _joined(labels: DataFrame, both: DataFrame, total: float) -> tuple[DataFrame, float]:
+    """node, k, own, label, w for each label next to a node and its own, of labels (node, k, loop, label), with the
+    modularity of that partition."""
+    near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", "w").union(labels.select("node", "label", "loop"))
+    rows = cut(near.groupBy("node", "label").agg(F.sum("w").alias("w")).join(labels.select("node", "k", "loop", F.col("label").alias("own")), "node"))
+    # Each node has one row of its own label.
+    by_label = rows.where("label = own").groupBy("label").agg(F.sum("w").alias("w"), F.sum("k").alias("k"))
+    return rows, by_label.agg(F.sum(F.col("w") / total - F.pow(F.col("k") / total, 2))).first()[0]
+
+
+def _moved(both: DataFrame, labels: DataFrame, total: float) -> tuple[DataFrame, float]:
+    """labels (node, k, loop, label) after nodes have moved to labels next to them for as long as modularity grows.
+
+    Nodes move at once, but only a part of them, by hash, in a step. A step that loses is taken back. After one that
+    gains less than LEAST half as many may move: where two nodes would swap for ever, one of them stays.
+    """
+    rows, best = _joined(labels, both, total)
+    step, part = 0, 2
+    while part <= 16:
+        step += 1
+        held = rows.join(labels.groupBy("label").agg(F.sum("k").alias("held")), "label")
+        mine = F.col("label") == F.col("own")
+        # Loops move with their node and count in every label alike.
+        link = F.when(mine, F.col("w") - F.col("loop")).otherwise(F.col("w"))
+        gain = link - F.col("k") * (F.col("held") - F.when(mine, F.col("k")).otherwise(0.0)) / F.lit(total)
+        each = held.select("node", "own", "label", gain.alias("gain"), mine.alias("mine"))
+        to = each.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "label")).alias("to"), F.max(F.when(F.col("mine"), F.col("gain"))).alias("stay"))
+        wish = F.when(-F.col("to.loss") > F.col("stay") + 1e-9, F.col("to.label"))
+        chosen = F.when(F.pmod(F.xxhash64("node", F.lit(step)), F.lit(part)) == 0, F.col("better"))
+        new = cut(labels.join(to.select("node", wish.alias("better")), "node").select("node", "k", "loop", F.coalesce(chosen, "label").alias("label"), F.col("better").isNotNull().alias("moves")))
+        if new.where("moves").isEmpty():
+            break
+        new = new.drop("moves")
+        new_rows, quality = _joined(new, both, total)
+        part = 2 if quality > best + LEAST else part * 2
+        if quality > best:
+            labels, rows, best = new, new_rows, quality
+    return labels, best
+
+
+def communities(edges: DataFrame) -> DataFrame:
+    """node, community of weighted edges, without loops: modularity by levels (Louvain's method).
+
+    Nodes move between communities while that raises modularity; then communities become nodes, and so on, until a
+    level brings nothing. A community bears its first node's name; fewer than three nodes form none.
+    """
+    pair = F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")
+    level = cut(edges.where("a <> b").select(*pair, F.col("weight").cast("double").alias("w")).groupBy("a", "b").agg(F.sum("w").alias("w")))
+    member = cut(level.select(F.col("a").alias("node")).union(level.select("b")).distinct().withColumn("community", F.col("node")))
+    if member.limit(3).count() < 3:
+        return member.limit(0)
+    total, best = 2.0 * level.agg(F.sum("w")).first()[0], -1.0
+    while True:
+        both = level.where("a <> b").select(F.col("a").alias("node"), F.col("b").alias("other"), "w").union(level.where("a <> b").select("b", "a", "w"))
+        loops = level.where("a = b").select(F.col("a").alias("node"), (2 * F.col("w")).alias("w"))
+        ends = both.select("node", "w", F.lit(0.0).alias("loop")).union(loops.select("node", "w", F.col("w").alias("loop")))
+        labels = cut(ends.groupBy("node").agg(F.sum("w").alias("k"), F.sum("loop").alias("loop")).withColumn("label", F.col("node")))
+        labels, quality = _moved(both, labels, total)
+        if quality <= best + 1e-9:
             break
-    return labels.withColumnRenamed("label", "community")
+        best = quality
+        to = labels.select("node", "label")
+        member = cut(member.join(to.withColumnRenamed("node", "community"), "community").select("node", F.col("label").alias("community")))
+        ends = level.join(to.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
+        level = cut(ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
+    first = member.groupBy("community").agg(F.min("node").alias("first"))
+    return member.join(first, "community").select("node", F.col("first").alias("community"))
 
 
 def modularity(edges: DataFrame, found: DataFrame) -> float:

@@ -1,6 +1,7 @@
 """Cuts lineage in iterative operators, and names the folder for tables that operators write."""
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -22,9 +23,8 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df, written to the shared folder."""
-    sc = df.sparkSession.sparkContext
-    root = shared_folder(df.sparkSession)
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(root)
-    return df.checkpoint()
+    """df, written to the shared folder as a table and read again. Its size is then known: what is guessed through a
+    chain of checkpoints multiplies with every join, until planning takes longer than the work."""
+    path = f"{shared_folder(df.sparkSession)}/foliospark-cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -268,6 +268,53 @@ def test_communities_split_two_cliques(spark):
     assert graph.modularity(edges, found) > 0.4
 
 
+def test_communities_by_brute_force(spark):
+    rng = random.Random(3)
+    # Four planted groups, a node that hangs on one of them, a pair of its own, a loop and a repeated edge.
+    group = {f"n{i:02}": i % 4 for i in range(32)}
+    rows = [(x, y, 1 + rng.randrange(3)) for x in group for y in group if x < y and rng.random() < (0.7 if group[x] == group[y] else 0.04)]
+    rows += [("n00", "z", 2), ("p", "q", 1), ("p", "p", 5), ("q", "p", 1)]
+    edges = spark.createDataFrame(rows, "a string, b string, weight int")
+    found = graph.communities(edges)
+    of = {r.node: r.community for r in found.collect()}
+    assert of.keys() == group.keys() | {"z", "p", "q"} and all(min(n for n in of if of[n] == c) == c for c in set(of.values()))
+    assert all((of[x] == of[y]) == (group[x] == group[y]) for x in group for y in group) and of["z"] == of["n00"] and of["p"] == of["q"] == "p"
+    plain = [(x, y, w) for x, y, w in rows if x != y]
+    total, degree = sum(w for *_, w in plain), {}
+    for x, y, w in plain:
+        degree[x], degree[y] = degree.get(x, 0) + w, degree.get(y, 0) + w
+
+    def quality(of):
+        held = {}
+        for n, k in degree.items():
+            held[of[n]] = held.get(of[n], 0) + k
+        return sum(w for x, y, w in plain if of[x] == of[y]) / total - sum((k / (2 * total)) ** 2 for k in held.values())
+
+    assert graph.modularity(edges, found) == pytest.approx(quality(of))
+    # No node alone could go elsewhere and gain.
+    assert all(quality(of | {n: c}) <= quality(of) + 1e-9 for n in of for c in set(of.values()))
+    assert graph.communities(edges.where("a = 'p'")).count() == 0
+
+
+def test_graph_flags_and_statistics(spark):
+    docs = spark.createDataFrame([(1, "A", "book"), (2, "B", "obsidian-note"), (3, "C", "book")], "id long, title string, source_type string")
+    m = spark.createDataFrame([(1, 0, "e1"), (1, 0, "e2"), (2, 0, "e1")], "document long, chunk int, entity string")
+    tags = spark.createDataFrame([(2, "t")], "document long, tag string")
+    links = spark.createDataFrame([(2, 1)], "source long, note_id long")
+    kinds = lambda df: sorted(r.kind for r in df.collect())
+    nodes, edges = graph.build(docs, m, tags, links)
+    assert kinds(nodes) == ["document", "document", "entity", "entity", "note", "tag"]
+    assert kinds(edges) == ["co-occurrence", "link", "mention", "mention", "mention", "tag"]
+    r = graph.statistics(nodes, edges).first()
+    # The document without edges is a community beside the one or more of the others.
+    assert (r.entities, r.documents, r.relations) == (2, 3, 6) and 2 <= r.communities <= 4
+    nodes, edges = graph.build(docs, m, with_documents=False)
+    assert kinds(nodes) == ["entity", "entity"] and kinds(edges) == ["co-occurrence"] and graph.statistics(nodes, edges).first().communities == 0
+    nodes, edges = graph.build(docs, m, with_entities=False)
+    assert kinds(nodes) == ["document", "document", "note"] and kinds(edges) == []
+    assert kinds(graph.build(docs, m, None, links, with_entities=False)[1]) == ["link"]
+
+
 def test_links_resolve_in_three_ways(spark):
     notes_ = spark.createDataFrame([(1, "f/a.md", "Alpha"), (2, "b.md", "f/a")], "id long, relative_path string, title string")
     links = spark.createDataFrame([(9, "f/a"), (9, "b.md"), (9, "Alpha"), (9, "none")], "source long, target string")
