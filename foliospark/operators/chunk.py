@@ -54,28 +54,35 @@ def chunk_words(docs: DataFrame, sizes: ChunkSizes = STANDARD, keep_tail: bool =
 
 def _cut_pages(pages: list[tuple[int, str]], sizes: ChunkSizes):
     """One document's (page_number, text) in order; yields (index, page_number, content)."""
-    buffer, page_at, index = "", pages[0][0] if pages else None, 0
+    words, on = [], []
     for number, text in pages:
-        buffer = f"{buffer} {text}".strip() if buffer else text
-        while len(held := buffer.split()) >= sizes.most:
-            window = " ".join(held[: sizes.most])
-            at = max(window.rfind(x) for x in (". ", "! ", "? "))
-            window = window[: at + 1] if at > len(window) / 2 else window
-            taken = window.split()
-            yield index, page_at, window
+        found = text.split()
+        words += found
+        on += [number] * len(found)
+    start, size, page, index = 0, sizes.most, 1, 0
+    while start + size <= len(words):
+        window = " ".join(words[start : start + size])
+        at = max(window.rfind(x) for x in (". ", "! ", "? "))
+        if at > len(window) / 2:
+            window = window[: at + 1]
+        taken = len(window.split())
+        if taken >= sizes.least:
+            yield index, page, window
             index += 1
-            rest = held[max(0, len(taken) - sizes.overlap) :]
-            buffer, page_at = " ".join(rest), number
-    if len(buffer.split()) >= sizes.least:
-        yield index, page_at, buffer.strip()
+        page = on[start + size - 1]
+        # The next window has the overlap, what the cut left, and at least one word more.
+        step = max(0, taken - sizes.overlap)
+        start, size = start + step, max(sizes.most, size - step + 1)
+    if len(words) - start >= max(1, sizes.least):
+        yield index, page, " ".join(words[start:])
 
 
 def chunk_pages(pages: DataFrame, sizes: ChunkSizes = STANDARD) -> DataFrame:
     """id, chunk_index, page_number, content of pages (id, page_number, text).
 
     A buffer runs over a document's pages and is cut where it is full, at the last sentence end beyond its
-    half; what a cut leaves, and an overlap, open the next chunk. A last chunk needs the least words. A chunk
-    bears the page at which its buffer was opened. Documents go through one at a time.
+    half; what a cut leaves, and an overlap, open the next chunk. Chunks of fewer than the least words are left out.
+    A chunk bears the page at which the cut before it fell, the first chunk page 1. Documents go through one at a time.
     """
 
     def cut(key, table):

@@ -26,9 +26,21 @@ def front_matter(note: Column) -> Column:
     return F.map_from_entries(_last_by_key(F.transform(lines, entry)))
 
 
+def _bound(value: Column, use) -> Column:
+    """use(value), with value computed once however often use names it."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _first_by(values: Column, key) -> Column:
+    """Of an array the first value of each key, in the array's order. Sorted by key, so that long arrays stay cheap."""
+    placed = F.array_sort(F.transform(values, lambda v, i: F.struct(key(v).alias("key"), i.alias("i"), v.alias("v"))))
+    first = lambda s: F.filter(F.transform(s, lambda x, j: F.when((j == 0) | ~x["key"].eqNullSafe(F.get(s, j - 1)["key"]), F.struct(x["i"].alias("i"), x["v"].alias("v")))), lambda x: x.isNotNull())
+    return F.transform(F.array_sort(_bound(placed, first)), lambda x: x["v"])
+
+
 def _last_by_key(entries: Column) -> Column:
     """Of an array of (key, value) the last of each key."""
-    return F.filter(F.transform(entries, lambda e, i: F.when(F.size(F.filter(F.slice(entries, i + 2, F.size(entries)), lambda x: x["key"] == e["key"])) == 0, e)), lambda e: e.isNotNull())
+    return _first_by(F.reverse(entries), lambda e: e["key"])
 
 
 def front_tags(front: Column) -> Column:
@@ -44,8 +56,7 @@ def inline_tags(text: Column) -> Column:
 def tags(note: Column) -> Column:
     """Front matter's and then inline tags, each once whatever its case, in its first spelling."""
     every = F.concat(front_tags(front_matter(note)), inline_tags(body(note)))
-    low = lambda a: F.transform(a, lambda t: F.lower(t))
-    return F.filter(F.transform(every, lambda t, i: F.when(~F.array_contains(low(F.slice(every, 1, F.greatest(i, F.lit(1)))), F.lower(t)) | (i == 0), t)), lambda t: t.isNotNull())
+    return _first_by(every, F.lower)
 
 
 def title(note: Column, path: Column) -> Column:
@@ -55,23 +66,33 @@ def title(note: Column, path: Column) -> Column:
     return F.coalesce(given, heading, F.regexp_replace(F.regexp_extract(path, r"([^/]+)\z", 1), r"\.md\z", ""))
 
 
+def _placed(text: Column, pattern: str, make) -> Column:
+    """make(match, start, end) for each match of pattern, with its place in characters."""
+    found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    # What lies before each match, from the pieces between matches.
+    gaps = F.transform(F.split(text, pattern), F.length)
+    add = lambda a, x: F.struct((a["at"] + x["gap"] + F.length(x["m"])).alias("at"), F.concat(a["out"], F.array((a["at"] + x["gap"]).cast("int"))).alias("out"))
+    starts = F.aggregate(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), found, lambda g, m: F.struct(g.alias("gap"), m.alias("m"))), F.struct(F.lit(0).alias("at"), F.array().cast("array<int>").alias("out")), add)["out"]
+    return F.zip_with(found, starts, lambda m, s: make(m, s, s + F.length(m)))
+
+
 def wikilinks(text: Column) -> Column:
-    """target, heading and display of each [[target#heading|display]]; those with neither are left out."""
-    raw = F.regexp_extract_all(text, F.lit(r"\[\[([^\]]+)\]\]"), F.lit(1))
+    """target, heading, display, start and end (in characters) of each [[target#heading|display]]; those with neither target nor heading are left out."""
 
-    def link(x):
+    def link(m, start, end):
+        x = F.regexp_extract(m, r"\A\[\[([\s\S]+)\]\]\z", 1)
         place = F.get(F.split(x, r"\|", 2), 0)
         parts = F.split(place, "#", 2)
         none = lambda c: F.nullif(trimmed(c), F.lit(""))
-        return F.struct(trimmed(F.get(parts, 0)).alias("target"), none(F.get(parts, 1)).alias("heading"), none(F.get(F.split(x, r"\|", 2), 1)).alias("display"))
+        return F.struct(trimmed(F.get(parts, 0)).alias("target"), none(F.get(parts, 1)).alias("heading"), none(F.get(F.split(x, r"\|", 2), 1)).alias("display"), start.alias("start"), end.alias("end"))
 
-    return F.filter(F.transform(raw, link), lambda x: (x["target"] != "") | x["heading"].isNotNull())
+    return F.filter(_placed(text, r"\[\[[^\]]+\]\]", link), lambda x: (x["target"] != "") | x["heading"].isNotNull())
 
 
 def headings(text: Column) -> Column:
-    """level, text of each heading."""
-    found = F.regexp_extract_all(text, F.lit(r"(?m)^(#{1,6}\s+.+)$"), F.lit(1))
-    return F.transform(found, lambda h: F.struct(F.length(F.regexp_extract(h, "^(#+)", 1)).alias("level"), trimmed(F.regexp_replace(h, r"^#+\s+", "")).alias("text")))
+    """level, text and start (in characters) of each heading."""
+    one = lambda m, start, end: F.struct(F.length(F.regexp_extract(m, "^(#+)", 1)).alias("level"), trimmed(F.regexp_replace(m, r"^#+\s+", "")).alias("text"), start.alias("start"))
+    return _placed(text, r"(?m)^#{1,6}\s+.+$", one)
 
 
 def parse(notes: DataFrame) -> DataFrame:

@@ -344,6 +344,9 @@ def test_notes(spark):
     assert n.tags == ["A", "b", "tag/sub"] and n.frontmatter["list"] == "x, y"
     assert [(x.target, x.heading, x.display) for x in n.wikilinks] == [("Folder/Target", "Sec", "shown"), ("", "Only", None)]
     assert [(h.level, h.text) for h in n.headings] == [(1, "Heading"), (2, "Sub")]
+    assert [n.text[x.start : x.end] for x in n.wikilinks] == ["[[Folder/Target#Sec|shown]]", "[[#Only]]"]
+    assert [n.text[h.start :].split("\n")[0] for h in n.headings] == ["# Heading", "## Sub"]
+    assert got["e.md"].wikilinks == [] and got["e.md"].headings == [] and got["e.md"].tags == []
     assert {(r.id, r.source) for r in notes.backlinks(notes.parse(df)).collect()} == {(n.id, got["Folder/Target.md"].id), (got["Folder/Target.md"].id, n.id)}
 
 
@@ -352,6 +355,11 @@ def test_page_and_section_chunks(spark):
     got = chunk.chunk_pages(pages, chunk.ChunkSizes(200, 20, 10)).orderBy("id", "chunk_index").collect()
     assert {r.id for r in got} == {1} and all(len(r.content.split()) <= 200 for r in got)
     assert got[0].page_number == 1 and got[-1].page_number == 2
+    # Cuts under the least words are left out; the first chunk is page 1's, whatever the first page's number.
+    opening, rest = "a" * 30 + ".", "b " * 6 + "c " * 9
+    two = spark.createDataFrame([(1, 7, f"{opening} {rest}"), (1, 8, "d " * 5), (2, 5, "x " * 12)], "id int, page_number int, text string")
+    got = [(r.id, r.chunk_index, r.page_number, r.content) for r in chunk.chunk_pages(two, chunk.ChunkSizes(10, 2, 3)).orderBy("id", "chunk_index").collect()]
+    assert got == [(1, 0, 7, f"{opening} {rest.strip()}"), (1, 1, 7, "c c d d d d d"), (2, 0, 1, " ".join("x" * 10)), (2, 1, 5, "x x x x")]
     body = "intro\n# A\n" + "Sentence here. " * 300 + "\n# B\ntail"
     rows = chunk.chunk_sections(spark.createDataFrame([(1, body), (2, None)], "id int, body string")).orderBy("chunk_index").collect()
     assert rows[0].content == "intro" and rows[-1].section_title == "B" and len(rows) > 3
