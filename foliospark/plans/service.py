@@ -55,6 +55,13 @@ def ingest(files: DataFrame, known: DataFrame, sizes: ChunkSizes = STANDARD, pdf
     return documents.drop("text"), chunks, state
 
 
+def counters(state: DataFrame) -> DataFrame:
+    """ingested, skipped and errors (what can't be read) of an ingest's status."""
+    of = lambda hit: F.count(F.when(hit, 1))
+    status = F.col("status")
+    return state.agg(of(status == "ingested").alias("ingested"), of(status == "skipped").alias("skipped"), of(~status.isin("ingested", "skipped")).alias("errors"))
+
+
 def search_notes(parsed: DataFrame, text: str | None = None, tags: list[str] | None = None, link: str | None = None, front: tuple[str, str | None] | None = None, limit: int = 20) -> DataFrame:
     """Parsed notes by text in title or body, tags, link target and front matter."""
     hit = F.lit(True)
@@ -87,6 +94,35 @@ def search_items(items: DataFrame, query: str | None = None, author: str | None
     return items.where(hit).limit(limit)
 
 
+def search_indexed_items(documents: DataFrame, chunks: DataFrame, query: str | None = None, hits: DataFrame | None = None, author: str | None = None, year: str | None = None, tags: list[str] | None = None, limit: int = 20, collection: str | None = None, library: str | None = None) -> DataFrame:
+    """The same over indexed items, with an excerpt of their first chunk.
+
+    documents (doc_id, title, author, creators, year, abstract, tags, collections, library), chunks (doc_id,
+    chunk_index, content). query is looked for in titles and abstracts; hits (doc_id) are those of a search in contents.
+    """
+    hit = F.lit(True)
+    if author:
+        hit = hit & filters.author_is(F.col("author"), F.col("creators"), author)
+    if year:
+        hit = hit & filters.year_is(F.col("year"), year)
+    if tags:
+        hit = hit & filters.tagged(F.col("tags"), tags)
+    if collection:
+        hit = hit & filters.any_has(F.col("collections"), collection)
+    if library:
+        hit = hit & filters.has(F.col("library"), library)
+    some = documents.where(hit)
+    if query:
+        named = filters.has(F.col("title"), query) | filters.has(F.col("abstract"), query)
+        if hits is not None:
+            some = some.join(hits.select("doc_id", F.lit(True).alias("_hit")).distinct(), "doc_id", "left").where(named | F.col("_hit")).drop("_hit")
+        else:
+            some = some.where(named)
+    some = some.orderBy("doc_id").limit(limit)
+    first = chunks.join(some.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min_by(F.substring("content", 1, 300), "chunk_index").alias("excerpt"))
+    return some.withColumn("abstract", F.substring("abstract", 1, 500)).join(first, "doc_id", "left")
+
+
 def explore(nodes: DataFrame, edges: DataFrame, text: str, depth: int = 2, most: int = 100) -> dict:
     """The neighbourhood of the node that text names, or suggestions."""
     start = graph.find_node(nodes, text).first()
@@ -207,10 +243,11 @@ def check_prompt(found: DataFrame, questions: DataFrame, strict: bool = False) -
     ).alias("prompt"))
 
 
-def entity_context(mentions: DataFrame, documents: DataFrame, text: str, related: int = 15) -> dict[str, DataFrame]:
+def entity_context(mentions: DataFrame, documents: DataFrame, text: str, related: int = 15, notes: DataFrame | None = None) -> dict[str, DataFrame]:
     """Of entities whose name contains text: themselves, their documents with a first excerpt, related entities, and tags.
 
-    mentions (doc_id, chunk_index, name, excerpt), documents (doc_id, title, tags).
+    mentions (doc_id, chunk_index, name, excerpt), documents (doc_id, title, tags; file_path where there are notes).
+    Tags are those of the documents, and of notes (relative_path, tags) that are files of documents of their titles.
     """
     named = mentions.where(filters.has(F.col("name"), text))
     entities = named.groupBy("name").agg(F.count("*").alias("occurrences"))
@@ -220,5 +257,9 @@ def entity_context(mentions: DataFrame, documents: DataFrame, text: str, related
     one, other = filters.has(F.col("e1"), text), filters.has(F.col("e2"), text)
     pairs = near.where(one & ~other).select(F.col("e2").alias("name"), "weight").union(near.where(other & ~one).select("e1", "weight"))
     ranked = pairs.groupBy("name").agg(F.sum("weight").alias("weight")).orderBy(F.desc("weight"), "name").limit(related)
-    tags = found.select(F.explode("tags").alias("tag")).distinct().orderBy("tag")
+    tags = found.select(F.explode("tags").alias("tag"))
+    if notes is not None:
+        paths = documents.join(found.select("title"), "title", "left_semi").select(F.col("file_path").alias("relative_path"))
+        tags = tags.union(notes.join(paths, "relative_path", "left_semi").select(F.explode("tags")))
+    tags = tags.distinct().orderBy("tag")
     return {"entities": entities, "documents": found, "related": ranked, "tags": tags}

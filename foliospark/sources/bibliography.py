@@ -42,6 +42,12 @@ def pivot_fields(rows: DataFrame, key: str = "item", order: str | None = None) -
     return one.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("fields"))
 
 
+def for_display(named: DataFrame) -> DataFrame:
+    """Libraries or collections (name) as readers see them: in French order, of libraries (type) users' first."""
+    french = F.collate(F.col("name"), "fr")
+    return named.orderBy(F.col("type") != "user", french) if "type" in named.columns else named.orderBy(french)
+
+
 class Bibliography:
     def __init__(self, tables: dict[str, DataFrame]):
         self.t = tables

@@ -34,6 +34,28 @@ def scan_vault(spark: SparkSession, folder: str, ignored: list[str] | None = Non
     return out.where(~bad)
 
 
+def read_note(spark: SparkSession, folder: str, relative_path: str) -> DataFrame:
+    """relative_path, body of one note of a vault."""
+    read = spark.read.text(f"{folder.rstrip('/')}/{relative_path}", wholetext=True)
+    return read.select(F.lit(relative_path).alias("relative_path"), F.col("value").alias("body"))
+
+
+def extract_pages(files: DataFrame, reader: Callable) -> tuple[DataFrame, DataFrame]:
+    """documents (path, title, author, and other fields, page_count, text, file_hash) and pages (path, page_number, text)
+    of PDF files (path, content).
+
+    reader is a function from a column of bytes to structs of pages, an array of (number, items), and info, a struct
+    of text fields; title is the file's name where info has none. Pages are rows for chunk_pages.
+    """
+    pdf = files.where(F.lower("path").endswith(".pdf")).select("path", F.sha2("content", 256).alias("file_hash"), reader(F.col("content")).alias("r"))
+    stem = F.regexp_replace(F.regexp_extract("path", r"([^/]+)\z", 1), r"\.[^.]+\z", "")
+    info = [c for c in pdf.select("r.info.*").columns if c != "title"]
+    given = F.nullif(F.trim("r.info.title"), F.lit("")) if "title" in pdf.select("r.info.*").columns else F.lit(None).cast("string")
+    documents = pdf.select("path", F.coalesce(given, stem).alias("title"), *[F.col(f"r.info.{c}") for c in info], F.size("r.pages").alias("page_count"), pages_to_text(F.col("r.pages")).alias("text"), "file_hash")
+    pages = pdf.select("path", F.explode("r.pages").alias("p")).select("path", F.col("p.number").alias("page_number"), page_text(F.col("p")).alias("text"))
+    return documents, pages
+
+
 def extract(files: DataFrame, pdf: Callable | None = None) -> DataFrame:
     """path, format, title, text, status of files (path, content).
 
@@ -51,7 +73,11 @@ def extract(files: DataFrame, pdf: Callable | None = None) -> DataFrame:
     return out.withColumn("status", F.when(F.col("text").isNull(), "unsupported").otherwise("ok"))
 
 
+def page_text(page):
+    """A page's (items: texts) text, collapsed."""
+    return F.trim(F.regexp_replace(F.array_join(page["items"], " "), r"\s+", " "))
+
+
 def pages_to_text(pages):
-    """Of an array of pages (number, items: texts): the pages' texts, collapsed, with blank lines between."""
-    one = lambda p: F.trim(F.regexp_replace(F.array_join(p["items"], " "), r"\s+", " "))
-    return F.array_join(F.transform(pages, one), "\n\n")
+    """Of an array of pages (number, items): the pages' texts, with blank lines between."""
+    return F.array_join(F.transform(pages, page_text), "\n\n")

@@ -209,6 +209,33 @@ def test_entities_with_a_model(spark):
     assert [(r.name, r.type, r.context) for r in got] == [("Émile Zola", "PERSON", "Émile Zola")]
 
 
+def test_entities_of_documents_in_one_plan(spark):
+    pad = lambda t: t + " " + "." * 100
+    chunks = spark.createDataFrame([(1, 0, pad("Anna met Bern")), (1, 1, pad("the émile zola")), (1, 2, pad("none")), (1, 3, pad("skipped")), (1, 5, pad("alone")), (2, 0, pad("known")), (3, 0, pad("fails")), (4, 0, "short")], "doc_id long, chunk_index int, content string")
+    documents, known = chunks.select("doc_id").distinct(), spark.createDataFrame([(2,)], "doc_id long")
+
+    asked = set()
+
+    def ask(text):
+        assert text.startswith("Find the persons")
+        text = text.split("Text:\n", 1)[1]
+        if "fails" in text or "known" in text or "skipped" in text:
+            raise ValueError
+        if text.startswith("alone"):
+            if text not in asked:
+                asked.add(text)
+                raise TimeoutError
+            return '[{"name": "emile zola", "type": "PER"}, {"name": "Elbe", "type": "place", "mention_text": "not there"}]'
+        assert text.startswith("[Section 1]\nAnna") and "\n\n[Section 2]\nthe" in text
+        return '[{"name": "Émile Zola", "type": "person"}, {"name": "EMILE ZOLA", "type": "PERSON", "mention_text": "Émile Zola"}, {"name": "Anna", "type": "PER"}]'
+
+    found, mentions = entities.process(documents, chunks, known, entities.asking(ask), "en")
+    ids = {r.entity_id: r.name for r in found.collect()}
+    assert sorted(ids.values()) == ["Anna", "EMILE ZOLA", "Elbe"]
+    got = sorted((ids[r.entity_id], r.doc_id, r.chunk_index) for r in mentions.collect())
+    assert got == [("Anna", 1, 0), ("EMILE ZOLA", 1, 1), ("EMILE ZOLA", 1, 1), ("EMILE ZOLA", 1, 5), ("Elbe", 1, 5)]
+
+
 def test_sampling_case(spark):
     rows = spark.createDataFrame([(1, i, "x" * (50 if i == 1 else 200)) for i in range(12)], "doc_id int, chunk_index int, content string")
     assert sorted(r.chunk_index for r in entities.sample(rows).collect()) == [0, 2, 5, 10]

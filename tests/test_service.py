@@ -43,6 +43,27 @@ def test_entity_context(spark):
     assert [(r.name, r.weight) for r in got["related"].collect()] == [("Bern", 2)] and [r.tag for r in got["tags"].collect()] == ["a", "b"]
 
 
+def test_note_tags_of_entities(spark):
+    m = spark.createDataFrame([(1, 0, "Anna", "x"), (2, 0, "Bern", "y")], "doc_id long, chunk_index int, name string, excerpt string")
+    d = spark.createDataFrame([(1, "one", "a.md", ["b"]), (2, "two", "c.md", None), (3, "one", "d.md", None)], "doc_id long, title string, file_path string, tags array<string>")
+    notes = spark.createDataFrame([("a.md", ["b", "n"]), ("c.md", ["other"]), ("d.md", ["z"])], "relative_path string, tags array<string>")
+    assert [r.tag for r in service.entity_context(m, d, "ann", notes=notes)["tags"].collect()] == ["b", "n", "z"]
+
+
+def test_counters_and_indexed_items(spark):
+    state = spark.createDataFrame([("a", "ingested"), ("b", "skipped"), ("c", "unsupported"), ("d", "ingested")], "path string, status string")
+    assert tuple(service.counters(state).first()) == (2, 1, 1)
+    d = spark.createDataFrame(
+        [(1, "War", "Ann Lee", None, "1999", None, ["#A"], ["My Coll"], "Lib"), (2, "Peace", None, [("Leo", "T")], "2001", "on war", None, None, None), (3, "Sea", None, None, None, None, None, None, None)],
+        "doc_id long, title string, author string, creators array<struct<first:string,last:string>>, year string, abstract string, tags array<string>, collections array<string>, library string",
+    )
+    chunks = spark.createDataFrame([(1, 1, "later"), (1, 0, "x" * 400), (3, 0, "waves")], "doc_id long, chunk_index int, content string")
+    ids = lambda **k: [r.doc_id for r in service.search_indexed_items(d, chunks, **k).orderBy("doc_id").collect()]
+    assert ids(query="war") == [1, 2] and ids(query="war", hits=d.where("doc_id = 3")) == [1, 2, 3]
+    assert ids(author="leo t") == [2] and ids(year="199") == [1] and ids(tags=["a"]) == [1] and ids(collection="coll", library="lib") == [1] and ids(limit=2) == [1, 2]
+    assert [r.excerpt for r in service.search_indexed_items(d, chunks).orderBy("doc_id").collect()] == ["x" * 300, None, "waves"]
+
+
 def test_explore_and_members(spark):
     nodes = spark.createDataFrame([("entity:a", "a", 0), ("entity:b", "bee", 1)], "id string, label string, ord int")
     edges = spark.createDataFrame([("entity:a", "entity:b", 1)], "a string, b string, weight int")

@@ -36,6 +36,9 @@ def test_bibliography(spark, tmp_path):
     b = bibliography.Bibliography.open(spark, f"file://{tmp_path}/b.sqlite")
     assert [(r.libraryID, r.name) for r in b.libraries().collect()] == [(2, "Team"), (1, "My Library")]
     assert [(r.key, r.parentKey) for r in b.collections().collect()] == [("S", "T"), ("T", None)]
+    assert [r.libraryID for r in bibliography.for_display(b.libraries()).collect()] == [1, 2]
+    names = spark.createDataFrame([(n,) for n in ("Zola", "zone", "Étude", "etat", "Eau", "ça", "Cb")], "name string")
+    assert [r.name for r in bibliography.for_display(names).collect()] == ["ça", "Cb", "Eau", "etat", "Étude", "Zola", "zone"]
     items = b.items().collect()
     assert [(r.key, r.title) for r in items] == [("I11", "Untitled"), ("I10", "A Book")]
     book = items[1]
@@ -104,6 +107,23 @@ def test_files_and_ingest(spark, tmp_path):
     assert [r.relative_path for r in files.scan_vault(spark, f"file://{tmp_path}", ["draft.md"]).collect()] == ["b.md"]
 
 
+def test_pages_of_pdf_files_and_one_note(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    (tmp_path / "Paper.PDF").write_text("  One  a|b ~Two")
+    (tmp_path / "n.md").write_text("# N\ntext")
+
+    def reader(content):
+        pages = F.transform(F.split(content.cast("string"), "~"), lambda p, i: F.struct((i + 1).alias("number"), F.split(p, r"\|").alias("items")))
+        return F.struct(pages.alias("pages"), F.struct(F.lit(" ").alias("title"), F.lit("Ann").alias("author")).alias("info"))
+
+    documents, pages = files.extract_pages(files.scan(spark, f"file://{tmp_path}"), reader)
+    d = documents.first()
+    assert (d.title, d.author, d.page_count, d.text) == ("Paper", "Ann", 2, "One a b\n\nTwo")
+    assert [(r.page_number, r.text) for r in pages.orderBy("page_number").collect()] == [(1, "One a b"), (2, "Two")]
+    assert files.read_note(spark, f"file://{tmp_path}", "n.md").first().body == "# N\ntext"
+
+
 def test_audit_log(spark, tmp_path):
     folder = f"{tmp_path}/log"
     for k, kind in enumerate(("tool", "resource", "prompt")):
