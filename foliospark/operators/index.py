@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from .search import B, K1, top
+from .search import B, K1, exact_nearest, top, valid_vectors
 
 
 class LexicalIndex:
@@ -115,3 +115,60 @@ class LexicalIndex:
 
 def idf(n, df):
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
+
+
+class VectorIndex:
+    """Stored vectors (keys, embedding) of one width, in a folder, with exact search by blocks. Each addition is a
+    generation's further files; each deletion writes a new generation, and readers see whole ones only."""
+
+    def __init__(self, spark: SparkSession, path: str, keys: list[str], width: int):
+        self.spark, self.path, self.keys, self.width = spark, path.rstrip("/"), keys, width
+
+    @classmethod
+    def build(cls, vectors: DataFrame, keys: list[str], path: str, width: int) -> "VectorIndex":
+        """An index of vectors (keys, embedding) in an empty folder. Those of another width, or not finite, are left out."""
+        index = cls(vectors.sparkSession, path, keys, width)
+        index._write(vectors, 0, "append")
+        return index
+
+    def _fs(self):
+        jvm = self.spark.sparkContext._jvm
+        p = jvm.org.apache.hadoop.fs.Path(self.path)
+        return jvm.org.apache.hadoop.fs.Path, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+
+    def _generation(self) -> int:
+        at, fs = self._fs()
+        names = [f.getPath().getName() for f in fs.listStatus(at(self.path))] if fs.exists(at(self.path)) else []
+        found = [int(g) for g in names if g.isdigit() and fs.exists(at(f"{self.path}/{g}/_SUCCESS"))]
+        if not found:
+            raise ValueError(f"no index at {self.path}")
+        return max(found)
+
+    def _write(self, vectors: DataFrame, generation: int, mode: str) -> None:
+        valid_vectors(vectors.select(*self.keys, F.col("embedding").cast("array<float>").alias("embedding")), self.width).write.mode(mode).parquet(f"{self.path}/{generation}")
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.spark.read.parquet(f"{self.path}/{self._generation()}")
+
+    def add(self, vectors: DataFrame) -> None:
+        """Vectors (keys, embedding); those whose keys are known are replaced."""
+        if not vectors.select(*self.keys).join(self.vectors.select(*self.keys), self.keys, "left_semi").isEmpty():
+            self.delete(vectors)
+        self._write(vectors, self._generation(), "append")
+
+    def delete(self, gone: DataFrame) -> None:
+        """Without the vectors of gone (some or all of keys)."""
+        by = [k for k in self.keys if k in gone.columns]
+        old = self._generation()
+        self._write(self.vectors.join(gone.select(*by).distinct(), by, "left_anti"), old + 1, "overwrite")
+        path, fs = self._fs()
+        fs.delete(path(f"{self.path}/{old}"), True)
+
+    def clear(self) -> None:
+        self.delete(self.vectors.select(*self.keys))
+
+    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """query_id, keys, score, rank: the k nearest for each of queries (query_id, query)."""
+        found = exact_nearest(self.vectors.select(F.struct(*self.keys).alias("vec_id"), "embedding"), queries, k)
+        return found.select("query_id", "vec_id.*", "score", "rank")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from foliospark.functions import text
 from foliospark.functions.vectors import cosine
 from foliospark.operators import chunk, compress, entities, filters, graph, notes, search, store
-from foliospark.operators.index import LexicalIndex
+from foliospark.operators.index import LexicalIndex, VectorIndex
 
 
 def one(spark, column, **values):
@@ -97,6 +97,24 @@ def test_index_case(spark, tmp_path):
     assert found() == want
 
 
+def test_stored_vectors(spark, tmp_path):
+    schema = "doc_id long, chunk_index int, embedding array<double>"
+    rows = [(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0]), (2, 0, [1.0, 1.0]), (3, 0, [1.0]), (4, 0, None), (5, 0, [float("nan"), 1.0])]
+    path = f"file://{tmp_path}/vectors"
+    index = VectorIndex.build(spark.createDataFrame(rows, schema), ["doc_id", "chunk_index"], path, 2)
+    asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, query array<double>")
+    found = lambda: [(r.doc_id, r.chunk_index, r.score) for r in VectorIndex(spark, path, index.keys, 2).search(asked, 2).orderBy("rank").collect()]
+    assert index.vectors.count() == 3 and found() == [(1, 0, 1.0), (2, 0, 0.707107)]
+    index.add(spark.createDataFrame([(1, 0, [0.0, 1.0]), (6, 0, [5.0, 0.0])], schema))
+    assert index.vectors.count() == 4 and found() == [(6, 0, 1.0), (2, 0, 0.707107)]
+    index.delete(spark.createDataFrame([(6,), (2,)], "doc_id long"))
+    assert found() == [(1, 0, 0.0), (1, 1, 0.0)]
+    index.clear()
+    assert found() == []
+    with pytest.raises(ValueError):
+        VectorIndex(spark, f"file://{tmp_path}/none", index.keys, 2).search(asked)
+
+
 @pytest.mark.parametrize("most", [1, search.QUERIES])
 def test_nearest_by_brute_force(spark, monkeypatch, most):
     monkeypatch.setattr(search, "QUERIES", most)
