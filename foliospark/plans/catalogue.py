@@ -1,7 +1,4 @@
-"""Imports the modules that register queries."""
+"""The modules that register queries; importing this one fills the registry."""
 
 from . import q_corpus, q_graph, q_retrieval  # noqa: F401
-
-
-def load() -> dict:
-    return {}
+from .registry import QUERIES, SQL  # noqa: F401
