@@ -1,6 +1,6 @@
 """The queries of this package, and DuckDB SQL for those that SQL can express."""
 
-from . import ann, exact_dedup, fixity, katz, mixing, near_dedup, packing, pii, quality, toxicity
+from . import alignment, ann, exact_dedup, fixity, katz, mixing, near_dedup, packing, pii, quality, toxicity
 
 QUERIES = {
     "op1_fixity_audit": fixity.op1_fixity_audit,
@@ -13,5 +13,6 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
+    "op13_alignment": alignment.op13_alignment,
 }
 SQL = {"op1_fixity_audit": fixity.OP1_SQL, "op2_near_dedup": near_dedup.OP2_SQL, "op6_source_mixing": mixing.OP6_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
