@@ -1,6 +1,6 @@
 """The queries of this package, and DuckDB SQL for those that SQL can express."""
 
-from . import alignment, ann, exact_dedup, fixity, katz, mixing, near_dedup, packing, pii, quality, spelling, toxicity
+from . import alignment, ann, exact_dedup, fixity, katz, language, mixing, near_dedup, packing, pii, quality, spelling, toxicity
 
 QUERIES = {
     "op1_fixity_audit": fixity.op1_fixity_audit,
@@ -13,6 +13,7 @@ QUERIES = {
     "op8_pii": pii.op8_pii,
     "op9_exact_dedup": exact_dedup.op9_exact_dedup,
     "op10_packing": packing.op10_packing,
+    "op11_language": language.op11_language,
     "op12_spelling": spelling.op12_spelling,
     "op13_alignment": alignment.op13_alignment,
 }
