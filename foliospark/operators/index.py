@@ -1,97 +1,121 @@
-"""A stored lexical index: written once, added to and deleted from, and read by queries for their own terms."""
+"""Stored indexes: written once, added to and deleted from, and read by queries for what they ask. Both lie in segments
+(segments.py): an addition is one commit, a deletion writes keys only, and searches planned before still answer."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import uuid
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import terms
-from .search import B, K1, exact_nearest, top, valid_vectors
-
+from ..functions.vectors import cosine, finite
+from .search import B, K1, QUERIES, VECTORS, exact_nearest, top, valid_vectors
+from .segments import Segments, Snapshot
 
-class LexicalIndex:
-    """Two tables in a folder: postings (keys, term, tf, len), in files that hold ranges of terms, and texts (keys,
-    len, content). Frequencies of terms are counted over the postings that a query reads anyway, so that they are
-    right after every change. Each deletion writes a new generation of both tables; readers see whole ones.
-    """
 
-    #: Up to this many terms are looked up in the files' statistics; more are joined.
-    FEW = 500
+class Stored:
+    """What both indexes share. Keys tell rows apart; a row that is added again replaces the one before."""
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str]):
         self.spark, self.path, self.keys = spark, path.rstrip("/"), keys
+        self.segments = Segments(spark, path, keys)
+
+    def snapshot(self) -> Snapshot:
+        """The index as it is now; plans made from it stay good until vacuum()."""
+        now = self.segments.snapshot()
+        if now.properties["keys"] != self.keys:
+            raise ValueError(f"the index at {self.path} has the keys {now.properties['keys']}, not {self.keys}")
+        return now
+
+    @staticmethod
+    def _figures(rows: DataFrame) -> dict:
+        raise NotImplementedError
+
+    def _count(self, now: Snapshot, gone: DataFrame, by: list[str]) -> dict:
+        return self._figures(now.table(self.MAIN).join(gone, by, "left_semi"))
+
+    def add(self, rows: DataFrame) -> None:
+        """Adds rows; those whose keys are known are replaced. One commit."""
+        now = self.snapshot()
+        keys = rows.select(*self.keys).distinct()
+        self._append(rows, now, keys, self._count(now, keys, self.keys) if now.state["segments"] else {})
+
+    def delete(self, gone: DataFrame) -> None:
+        """Without the rows of gone (some or all of keys). Only their keys are written."""
+        self.snapshot()
+        self.segments.delete(gone, self._count)
+
+    def clear(self) -> None:
+        now = self.snapshot()
+        self.segments.commits.put(now.number + 1, now.state | {"segments": [], "tombstones": []})
+
+    def vacuum(self, keep: int = 2) -> None:
+        """Removes files that none of the newest keep states needs. Nobody may be writing meanwhile."""
+        self.segments.vacuum(keep)
+
+    def size(self) -> int:
+        return int(self.snapshot().total("rows"))
+
+
+class LexicalIndex(Stored):
+    """Two tables: postings (keys, term, tf, len), in files that hold ranges of terms, and texts (keys, len, content).
+    Frequencies of terms are counted over the postings that a query reads anyway, so that they are right after every
+    change; how many texts there are and how long is written with each commit."""
+
+    MAIN = "texts"
+    #: Up to this many terms are looked up in the files' statistics; more are joined.
+    FEW = 500
 
     @classmethod
     def build(cls, chunks: DataFrame, keys: list[str], path: str) -> "LexicalIndex":
         """An index of chunks (keys, content), each of its own keys, in an empty folder."""
         index = cls(chunks.sparkSession, path, keys)
-        index._append(chunks, 0)
+        texts = chunks.select(*keys, F.lit(0).alias("len"), F.col("content").cast("string"))
+        postings = chunks.select(*keys, F.lit(0).alias("len"), F.lit("").alias("term"), F.lit(0).cast("long").alias("tf"))
+        now = index.segments.create({"keys": keys}, {"texts": texts.schema, "postings": postings.schema})
+        index._append(chunks, now, None, {})
         return index
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm.org.apache.hadoop.fs.Path, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _generation(self) -> int | None:
-        at, fs = self._fs()
-        if not fs.exists(at(self.path)):
-            return None
-        found = [f.getPath().getName() for f in fs.listStatus(at(self.path))]
-        return max((int(g) for g in found if g.isdigit() and fs.exists(at(f"{self.path}/{g}/postings/_SUCCESS"))), default=None)
-
-    def _table(self, name: str) -> DataFrame:
-        generation = self._generation()
-        if generation is None:
-            raise ValueError(f"no index at {self.path}")
-        return self.spark.read.parquet(f"{self.path}/{generation}/{name}")
-
     @property
     def texts(self) -> DataFrame:
-        return self._table("texts")
+        return self.snapshot().table("texts")
 
     @property
     def postings(self) -> DataFrame:
-        return self._table("postings")
+        return self.snapshot().table("postings")
 
-    def _write(self, texts: DataFrame, postings: DataFrame, generation: int, mode: str) -> None:
-        texts.write.mode(mode).parquet(f"{self.path}/{generation}/texts")
-        # Postings come last: a generation counts once they are there. A term of very many is split over files.
-        postings.repartitionByRange("term", *self.keys).sortWithinPartitions("term").write.mode(mode).parquet(f"{self.path}/{generation}/postings")
+    @staticmethod
+    def _figures(rows: DataFrame) -> dict:
+        r = rows.agg(F.count("*").alias("rows"), F.sum("len").alias("len")).first()
+        return {"rows": r["rows"], "len": r["len"] or 0}
 
-    def _append(self, chunks: DataFrame, generation: int) -> None:
-        made = chunks.select(*self.keys, "content", terms(F.col("content")).alias("terms"))
-        at = f"{self.path}/{generation}"
-        made.select(*self.keys, F.size("terms").alias("len"), "content", "terms").write.mode("overwrite").parquet(f"{at}/incoming")
+    def _append(self, chunks: DataFrame, now: Snapshot, replaced: DataFrame | None, counted: dict, alone: bool = False) -> None:
         # Texts are cut and split into terms once; both tables come from what that wrote.
-        made = self.spark.read.parquet(f"{at}/incoming")
-        postings = made.select(*self.keys, "len", F.explode("terms").alias("term")).groupBy(*self.keys, "len", "term").agg(F.count("*").alias("tf"))
-        self._write(made.drop("terms"), postings, generation, "append")
-        path, fs = self._fs()
-        fs.delete(path(f"{at}/incoming"), True)
-
-    def add(self, chunks: DataFrame) -> None:
-        """Chunks (keys, content); those whose keys are known are replaced."""
-        if not chunks.select(*self.keys).join(self.texts.select(*self.keys), self.keys, "left_semi").isEmpty():
-            self.delete(chunks)
-        self._append(chunks, self._generation() or 0)
-
-    def delete(self, gone: DataFrame) -> None:
-        """Without the chunks of gone (some or all of keys)."""
-        by = [k for k in self.keys if k in gone.columns]
-        gone = gone.select(*by).distinct()
-        old = self._generation()
-        self._write(self.texts.join(gone, by, "left_anti"), self.postings.join(gone, by, "left_anti"), old + 1, "overwrite")
-        path, fs = self._fs()
-        fs.delete(path(f"{self.path}/{old}"), True)
-
-    def clear(self) -> None:
-        self.delete(self.texts.select(*self.keys))
+        name = uuid.uuid4().hex
+        incoming = f"{self.path}/_incoming/{name}"
+        chunks.select(*self.keys, "content", terms(F.col("content")).alias("terms")).write.parquet(incoming)
+        made = self.spark.read.parquet(incoming)
+        texts = made.select(*self.keys, F.size("terms").alias("len"), "content")
+        postings = made.select(*self.keys, F.size("terms").alias("len"), F.explode("terms").alias("term")).groupBy(*self.keys, "len", "term").agg(F.count("*").alias("tf"))
+        tables = {
+            "texts": lambda path: texts.write.parquet(path),
+            # A term of very many is split over files.
+            "postings": lambda path: postings.repartitionByRange("term", *self.keys).sortWithinPartitions("term").write.parquet(path),
+        }
+        self.segments.write(now, tables, lambda: self._figures(texts), replaced, counted, alone)
+        self.segments.commits.delete("_incoming", name)
+
+    def compact(self) -> None:
+        """One segment of what is left, without tombstones."""
+        now = self.snapshot()
+        self._append(now.table("texts"), now, None, {}, alone=True)
 
     def terms(self) -> DataFrame:
         """term, df, idf of all terms."""
-        n = self.texts.count()
-        df = self.postings.groupBy("term").agg(F.count("*").alias("df"))
+        now = self.snapshot()
+        n = int(now.total("rows"))
+        df = now.table("postings").groupBy("term").agg(F.count("*").alias("df"))
         return df.withColumn("idf", idf(F.lit(n), F.col("df")))
 
     def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
@@ -99,11 +123,13 @@ class LexicalIndex:
 
         A term that a query repeats counts as often.
         """
-        n, avgdl = self.texts.agg(F.count("*"), F.avg("len")).first()
+        now = self.snapshot()
+        n, postings = int(now.total("rows")), now.table("postings")
+        avgdl = now.total("len") / n if n else 1.0
         asked = queries.select("query_id", F.explode(terms(F.col("text"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("qtf"))
         wanted = asked.select("term").distinct()
         few = [r["term"] for r in wanted.limit(self.FEW + 1).collect()]
-        held = self.postings.where(F.col("term").isin(few)) if len(few) <= self.FEW else self.postings.join(wanted, "term", "left_semi")
+        held = postings.where(F.col("term").isin(few)) if len(few) <= self.FEW else postings.join(wanted, "term", "left_semi")
         known = held.groupBy("term").agg(F.count("*").alias("df")).select("term", idf(F.lit(n), F.col("df")).alias("idf"))
         norm = F.col("tf") + K1 * ((1 - B) + B * F.col("len") / F.lit(avgdl))
         part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
@@ -117,58 +143,225 @@ def idf(n, df):
     return F.log((n - df + 0.5) / (df + 0.5) + 1)
 
 
-class VectorIndex:
-    """Stored vectors (keys, embedding) of one width, in a folder, with exact search by blocks. Each addition is a
-    generation's further files; each deletion writes a new generation, and readers see whole ones only."""
+class VectorIndex(Stored):
+    """Vectors of one width in inverted lists: each lies with the centroid that is nearest to it, as a code of one byte
+    a dimension and, in a second table, as it is. A query looks into the lists whose centroids are nearest to it, ranks
+    their codes, and ranks the best again by the vectors themselves. Other lists' files are not read.
+
+    Centroids come from at most SAMPLE vectors. How many lists a query looks into is measured on these, too, where the
+    exact neighbours are known: enough for REACH of them. Vectors without clusters need most of the lists for that.
+    """
+
+    MAIN = "vectors"
+    SAMPLE, LISTS, REACH, NEIGHBOURS, AGAIN = 16_384, 4_096, 0.97, 10, 4
 
     def __init__(self, spark: SparkSession, path: str, keys: list[str], width: int):
-        self.spark, self.path, self.keys, self.width = spark, path.rstrip("/"), keys, width
+        super().__init__(spark, path, keys)
+        self.width = width
 
     @classmethod
-    def build(cls, vectors: DataFrame, keys: list[str], path: str, width: int) -> "VectorIndex":
-        """An index of vectors (keys, embedding) in an empty folder. Those of another width, or not finite, are left out."""
+    def build(cls, vectors: DataFrame, keys: list[str], path: str, width: int, lists: int | None = None, seed: int = 7) -> "VectorIndex":
+        """An index of vectors (keys, embedding) in an empty folder. Those of another width, zero or not finite, are
+        left out. There are as many lists as the root of the rows' number, LISTS at most, if lists isn't given."""
         index = cls(vectors.sparkSession, path, keys, width)
-        index._write(vectors, 0, "append")
+        good = index._valid(vectors)
+        n = good.count()
+        share = 1.0 if n <= cls.SAMPLE else cls.SAMPLE * 0.9 / n
+        sample = _matrix(good.where(F.rand(seed) < share).select("embedding").limit(cls.SAMPLE).toArrow(), width)
+        centroids, probes = fit_lists(sample, lists or max(1, min(cls.LISTS, round(n**0.5))), cls.REACH, cls.NEIGHBOURS, seed)
+        name = uuid.uuid4().hex
+        rows = [(k, c) for k, c in enumerate(centroids.tolist())]
+        index.spark.createDataFrame(rows, "list int, centroid array<double>").coalesce(1).write.parquet(f"{index.path}/_centroids/{name}")
+        kinds = good.select(*keys, "embedding", F.lit(0).alias("list")).schema
+        codes = good.select(*keys, F.lit(0.0).cast("float").alias("scale"), F.lit(b"").alias("code"), F.lit(0).alias("list")).schema
+        now = index.segments.create({"keys": keys, "width": width, "centroids": name, "probes": probes}, {"vectors": kinds, "codes": codes})
+        index._append(vectors, now, None, {})
         return index
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm.org.apache.hadoop.fs.Path, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def _generation(self) -> int:
-        at, fs = self._fs()
-        names = [f.getPath().getName() for f in fs.listStatus(at(self.path))] if fs.exists(at(self.path)) else []
-        found = [int(g) for g in names if g.isdigit() and fs.exists(at(f"{self.path}/{g}/_SUCCESS"))]
-        if not found:
-            raise ValueError(f"no index at {self.path}")
-        return max(found)
-
-    def _write(self, vectors: DataFrame, generation: int, mode: str) -> None:
-        valid_vectors(vectors.select(*self.keys, F.col("embedding").cast("array<float>").alias("embedding")), self.width).write.mode(mode).parquet(f"{self.path}/{generation}")
+    def snapshot(self) -> Snapshot:
+        now = super().snapshot()
+        if now.properties["width"] != self.width:
+            raise ValueError(f"the index at {self.path} has vectors of width {now.properties['width']}, not {self.width}")
+        return now
 
     @property
     def vectors(self) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{self._generation()}")
-
-    def add(self, vectors: DataFrame) -> None:
-        """Vectors (keys, embedding); those whose keys are known are replaced."""
-        if not vectors.select(*self.keys).join(self.vectors.select(*self.keys), self.keys, "left_semi").isEmpty():
-            self.delete(vectors)
-        self._write(vectors, self._generation(), "append")
-
-    def delete(self, gone: DataFrame) -> None:
-        """Without the vectors of gone (some or all of keys)."""
-        by = [k for k in self.keys if k in gone.columns]
-        old = self._generation()
-        self._write(self.vectors.join(gone.select(*by).distinct(), by, "left_anti"), old + 1, "overwrite")
-        path, fs = self._fs()
-        fs.delete(path(f"{self.path}/{old}"), True)
-
-    def clear(self) -> None:
-        self.delete(self.vectors.select(*self.keys))
-
-    def search(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """query_id, keys, score, rank: the k nearest for each of queries (query_id, query)."""
+        return self.snapshot().table("vectors").drop("list")
+
+    @staticmethod
+    def _figures(rows: DataFrame) -> dict:
+        return {"rows": rows.count()}
+
+    def _valid(self, vectors: DataFrame) -> DataFrame:
+        vectors = vectors.select(*self.keys, F.col("embedding").cast("array<float>").alias("embedding"))
+        return valid_vectors(vectors, self.width).where(F.exists("embedding", lambda x: x != 0))
+
+    def _centroids(self, now: Snapshot):
+        import numpy as np
+
+        held = self.spark.read.schema("list int, centroid array<double>").parquet(f"{self.path}/_centroids/{now.properties['centroids']}").orderBy("list").collect()
+        return np.array([r["centroid"] for r in held])
+
+    def _append(self, vectors: DataFrame, now: Snapshot, replaced: DataFrame | None, counted: dict, alone: bool = False) -> None:
+        centroids, width = self._centroids(now), self.width
+        good = self._valid(vectors)
+
+        def place(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            for batch in batches:
+                v = _matrix(batch, width)
+                of = (v @ centroids.T).argmax(axis=1) if len(v) else np.empty(0)
+                scale = np.abs(v).max(axis=1) / 127 if len(v) else np.empty(0)
+                codes = np.rint(v / scale[:, None]).astype(np.int8) if len(v) else []
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scale, pa.float32()), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array(of, pa.int32())], names=[*batch.schema.names, "scale", "code", "list"])
+
+        kinds = ", ".join(f"`{c}` {k}" for c, k in good.dtypes)
+        name = uuid.uuid4().hex
+        good.mapInArrow(place, f"{kinds}, scale float, code binary, list int").write.parquet(f"{self.path}/_incoming/{name}")
+        placed = self.spark.read.parquet(f"{self.path}/_incoming/{name}")
+        # A list of very many rows is split over tasks and files.
+        dealt = placed.withColumn("_part", F.pmod(F.xxhash64(*self.keys), F.lit(8))).repartition("list", "_part").drop("_part")
+        tables = {
+            "vectors": lambda path: dealt.select(*self.keys, "embedding", "list").write.partitionBy("list").parquet(path),
+            "codes": lambda path: dealt.select(*self.keys, "scale", "code", "list").write.partitionBy("list").parquet(path),
+        }
+        self.segments.write(now, tables, lambda: self._figures(placed), replaced, counted, alone)
+        self.segments.commits.delete("_incoming", name)
+
+    def compact(self) -> None:
+        """One segment of what is left, with the same lists. Where vectors have become others, build the index anew."""
+        now = self.snapshot()
+        self._append(now.table("vectors"), now, None, {}, alone=True)
+
+    def exact(self, queries: DataFrame, k: int = 10) -> DataFrame:
+        """query_id, keys, score, rank: the k nearest for each of queries (query_id, query), by all vectors."""
         found = exact_nearest(self.vectors.select(F.struct(*self.keys).alias("vec_id"), "embedding"), queries, k)
         return found.select("query_id", "vec_id.*", "score", "rank")
+
+    def search(self, queries: DataFrame, k: int = 10, probes: int | None = None, keep: Column | None = None) -> DataFrame:
+        """query_id, keys, score, rank: about the k nearest for each of queries (query_id, query), looked for in probes
+        lists. With a condition on keys, twice k are looked for, and the best k of those that meet it stay. Queries of
+        another width, zero or not finite, find nothing."""
+        now = self.snapshot()
+        centroids, width, keys, many = self._centroids(now), self.width, self.keys, self.AGAIN * k * (1 if keep is None else 2)
+        probes = min(len(centroids), probes or now.properties["probes"])
+        asked = queries.select("query_id", F.col("query").cast("array<double>").alias("query"))
+        asked = asked.where((F.size("query") == width) & finite(F.col("query")) & F.exists("query", lambda x: x != 0))
+        codes, vectors = now.table("codes"), now.table("vectors")
+        key_kinds = ", ".join(f"`{c}` {t}" for c, t in codes.dtypes if c in keys)
+        kinds = f"query_id {asked.schema['query_id'].dataType.simpleString()}, {key_kinds}, list int, near double"
+
+        def ranked(questions, of_lists, held):
+            """The best of held (codes of any lists) for each question that looks into their lists."""
+            import numpy as np
+            import pyarrow as pa
+
+            q = _matrix(questions, width, "query")
+            v = np.frombuffer(b"".join(held["code"].to_pylist()), np.int8).reshape(-1, width).astype(np.float32)
+            v /= np.linalg.norm(v, axis=1, keepdims=True)
+            lists = held["list"].to_numpy()
+            which, at, score = [], [], []
+            for i, near in enumerate(of_lists):
+                mine = np.flatnonzero(np.isin(lists, near))
+                s = v[mine] @ q[i].astype(np.float32)
+                if len(s) > many:
+                    best = np.argpartition(-s, many - 1)[:many]
+                    mine, s = mine[best], s[best]
+                which += [i] * len(mine)
+                at.append(mine)
+                score.append(s)
+            at = np.concatenate(at) if at else np.empty(0, np.int64)
+            take = pa.array(at, pa.int64())
+            columns = [questions["query_id"].take(pa.array(which, pa.int64())), *[held[c].take(take) for c in keys], held["list"].take(take), pa.array(np.concatenate(score).astype(float) if score else [], pa.float64())]
+            return pa.table(columns, names=["query_id", *keys, "list", "near"])
+
+        if asked.limit(QUERIES + 1).count() <= QUERIES:
+            questions = asked.toArrow().combine_chunks()
+            of_lists = nearest_lists(_matrix(questions, width, "query"), centroids, probes)
+            wanted = sorted({x for near in of_lists.tolist() for x in near})
+            codes, vectors = codes.where(F.col("list").isin(wanted)), vectors.where(F.col("list").isin(wanted))
+
+            def near(batches):
+                import pyarrow as pa
+
+                for batch in batches:
+                    yield from ranked(questions, of_lists, pa.Table.from_batches([batch])).to_batches()
+
+            found = codes.mapInArrow(near, kinds)
+        else:
+
+            def spread(batches):
+                import numpy as np
+                import pyarrow as pa
+
+                for batch in batches:
+                    near = nearest_lists(_matrix(batch, width, "query"), centroids, probes)
+                    take = pa.array(np.repeat(np.arange(len(near)), near.shape[1]), pa.int64())
+                    yield pa.RecordBatch.from_arrays([*[c.take(take) for c in batch.columns], pa.array(near.ravel(), pa.int32())], names=[*batch.schema.names, "list"])
+
+            each = asked.mapInArrow(spread, f"query_id {asked.schema['query_id'].dataType.simpleString()}, query array<double>, list int")
+            # A list's queries and codes are both split, so that no group grows with the list.
+            of_q = each.groupBy("list").agg(F.ceil(F.count("*") / QUERIES).cast("int").alias("blocks"))
+            of_v = codes.groupBy("list").agg(F.ceil(F.count("*") / VECTORS).cast("int").alias("parts"))
+            sizes = of_q.join(of_v, "list")
+            deal = lambda df, key, mine, n, other, m: df.join(sizes, "list").withColumn(mine, F.pmod(F.xxhash64(*key), F.col(n)).cast("int")).withColumn(other, F.explode(F.sequence(F.lit(0), F.col(m) - 1))).drop("blocks", "parts")
+            left = deal(each, [F.col("query_id").cast("string")], "block", "blocks", "part", "parts")
+            right = deal(codes, keys, "part", "parts", "block", "blocks")
+
+            def meet(questions, held):
+                if not questions.num_rows or not held.num_rows:
+                    return ranked(questions.slice(0, 0), [], held.slice(0, 0))
+                near = questions["list"].to_pylist()
+                return ranked(questions.combine_chunks(), [[x] for x in near], held.combine_chunks())
+
+            found = left.groupBy("list", "block", "part").cogroup(right.groupBy("list", "block", "part")).applyInArrow(meet, kinds)
+        best = top(found, many, ["query_id"], [F.desc("near"), *keys]).select("query_id", *keys, "list")
+        exact = vectors.join(best, [*keys, "list"]).join(asked, "query_id").select("query_id", *keys, F.round(cosine(F.col("query"), F.col("embedding")), 6).alias("score"))
+        if keep is not None:
+            exact = top(exact, 2 * k, ["query_id"], [F.desc("score"), *keys]).drop("rank").where(keep)
+        return top(exact, k, ["query_id"], [F.desc("score"), *keys])
+
+
+def _matrix(table, width: int, column: str = "embedding"):
+    """Unit vectors of an Arrow table's or batch's column of lists, all of one width."""
+    import numpy as np
+    import pyarrow as pa
+
+    values = table[column]
+    values = values.combine_chunks() if isinstance(values, pa.ChunkedArray) else values
+    v = values.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, width)
+    v = v / np.abs(v).max(axis=1, keepdims=True)
+    return v / np.linalg.norm(v, axis=1, keepdims=True)
+
+
+def nearest_lists(q, centroids, probes: int):
+    import numpy as np
+
+    return np.argsort(-(q @ centroids.T), axis=1, kind="stable")[:, :probes].astype(np.int32)
+
+
+def fit_lists(sample, lists: int, reach: float, neighbours: int, seed: int, rounds: int = 12):
+    """Centroids (unit vectors) of a sample of unit vectors, and in how many of its nearest lists a query finds the
+    share reach of its neighbours: measured on vectors of the sample, against all others of it."""
+    import numpy as np
+
+    if not len(sample):
+        return np.eye(1, sample.shape[1]), 1
+    rng = np.random.default_rng(seed)
+    c = sample[rng.choice(len(sample), min(lists, len(sample)), replace=False)]
+    for _ in range(rounds):
+        of = (sample @ c.T).argmax(axis=1)
+        sums = np.zeros_like(c)
+        np.add.at(sums, of, sample)
+        norm = np.linalg.norm(sums, axis=1, keepdims=True)
+        c = np.where(norm > 1e-12, sums / np.maximum(norm, 1e-12), c)
+    of = (sample @ c.T).argmax(axis=1)
+    asked = rng.choice(len(sample), min(300, len(sample)), replace=False)
+    s = sample[asked] @ sample.T
+    s[np.arange(len(asked)), asked] = -2
+    near = np.argsort(-s, axis=1)[:, : min(neighbours, len(sample) - 1)]
+    place = np.argsort(np.argsort(-(sample[asked] @ c.T), axis=1, kind="stable"), axis=1)
+    depth = np.sort(np.take_along_axis(place, of[near], axis=1).ravel())
+    return c, int(depth[min(len(depth) - 1, int(np.ceil(reach * len(depth))) - 1)]) + 1 if len(depth) else 1

@@ -103,7 +103,7 @@ def test_stored_vectors(spark, tmp_path):
     path = f"file://{tmp_path}/vectors"
     index = VectorIndex.build(spark.createDataFrame(rows, schema), ["doc_id", "chunk_index"], path, 2)
     asked = spark.createDataFrame([(0, [1.0, 0.0])], "query_id int, query array<double>")
-    found = lambda: [(r.doc_id, r.chunk_index, r.score) for r in VectorIndex(spark, path, index.keys, 2).search(asked, 2).orderBy("rank").collect()]
+    found = lambda: [(r.doc_id, r.chunk_index, r.score) for r in VectorIndex(spark, path, index.keys, 2).exact(asked, 2).orderBy("rank").collect()]
     assert index.vectors.count() == 3 and found() == [(1, 0, 1.0), (2, 0, 0.707107)]
     index.add(spark.createDataFrame([(1, 0, [0.0, 1.0]), (6, 0, [5.0, 0.0])], schema))
     assert index.vectors.count() == 4 and found() == [(6, 0, 1.0), (2, 0, 0.707107)]
