@@ -20,6 +20,8 @@ from .common import Scratch, bound_batches, table
 RUN, LEAST = r"[A-Za-zÀ-ÿ]", 7
 #: A form is at least as many times as frequent as its word.
 TIMES = 10
+#: Words whose rotations one task makes.
+TASK_WORDS = 20_000
 #: Longer prefixes are fingerprinted.
 LITERAL = 256
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -137,7 +139,8 @@ def group_spellings(words: DataFrame, times: int = TIMES, literal: int = LITERAL
     # Ids grow with the words, so that ties are broken by ids, and long words are shuffled once.
     by_word = words.select("word", "n").repartitionByRange("word").sortWithinPartitions("word").select(F.monotonically_increasing_id().alias("id"), "word", "n")
     words = scratch.write("words", by_word)
-    near = scratch.write("near", near_words(words.repartition("id"), literal))
+    # A word has some twenty rotations: tasks are made for them, not for the words' few bytes.
+    near = scratch.write("near", near_words(words.repartition(max(1, -(-words.count() // TASK_WORDS)), "id"), literal))
     found = words.join(near, "id", "left").select("id", "word", "n", F.coalesce("n_near", F.lit(0)).cast("long").alias("n_near"), *[F.when(F.col("best_n") >= times * F.col("n"), F.col(c)).alias(c) for c in ("best", "best_n")])
     up = scratch.write("up", found.where("best is not null").select("id", F.col("best").alias("form")))
     # Words with a form are few; theirs and the roots' names are looked up for them alone.
