@@ -1,6 +1,5 @@
 """Queries on documents, conversations, events and store semantics."""
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions.text import WS, citation, export_name, html_title, html_to_text, jaccard, markdown_to_text, short_title, snippet
@@ -142,9 +141,10 @@ def export_conversation(spark, sf_dir):
 )
 def export_names(spark, sf_dir):
     """File names of exports; names already taken get a number."""
+    from ..sources.exports import name_of, places
+
     d = documents(spark, sf_dir).select(F.col("id").alias("doc_id"), F.regexp_replace(export_name(F.lit("2024-01-01"), F.col("title")), r"\.md\z", "").alias("stem"))
-    k = F.row_number().over(Window.partitionBy("stem").orderBy("doc_id")) - 1
-    return d.select("doc_id", F.concat("stem", F.when(k > 0, F.concat(F.lit("-"), k.cast("string"))).otherwise(""), F.lit(".md")).alias("file_name"))
+    return places(d, "stem", ["doc_id"]).select("doc_id", name_of(F.col("stem"), F.col("place")).alias("file_name"))
 
 
 @query("citations", "SELECT doc_id, concat_ws(' - ', nullif(source, ''), nullif(substr(text, 1, 40), ''), '(' || nullif(lang, '') || ')', CASE WHEN doc_id % 3 > 0 THEN 'p. ' || doc_id % 3 END) AS reference FROM documents")

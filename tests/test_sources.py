@@ -5,6 +5,7 @@ import json
 import sqlite3
 import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from foliospark.plans import service
@@ -154,7 +155,45 @@ def test_exports(spark, tmp_path):
     body = row.select(exports.exchange(F.col("q"), F.col("a"), F.col("r"), F.lit("2024-01-01"))).first()[0]
     assert body.startswith('---\ntitle: "Why?"\ndate: 2024-01-01\n') and "1. A - (1999)" in body
     exports.write_notes(spark.createDataFrame([("n.md", body)], "file_name string, body string"), f"{tmp_path}/out")
-    assert spark.read.text(f"{tmp_path}/out", wholetext=True).first()[0] == body + "\n"
+    assert (tmp_path / "out/n.md").read_text() == body
+
+
+def test_notes_keep_what_is_there(spark, tmp_path):
+    top = tmp_path / "vault"
+    (top / "sub").mkdir(parents=True)
+    for name, text in {"mine.md": "mine", "a.md": "old a", "a-2.md": "old a-2", "sub/x.md": "deep", "b-1.md": "old b-1"}.items():
+        (top / name).write_text(text)
+    before = {str(p.relative_to(top)): p.read_text() for p in top.rglob("*.md")}
+    rows = [(1, "a.md", "first"), (2, "a.md", "second"), (3, "a.md", "third"), (4, "b.md", "b"), (5, "b.md", "bb"), (6, "a-4.md", "its own name"), (7, "new.md", "né\n"), (8, "new.md", None)]
+    notes = spark.createDataFrame(rows, "at int, file_name string, body string").repartition(3)
+    named = {r["at"]: r.file_name for r in exports.write_notes(notes, str(top), ["at"]).collect()}
+    assert named == {1: "a-1.md", 2: "a-3.md", 3: "a-5.md", 4: "b.md", 5: "b-2.md", 6: "a-4.md", 7: "new.md", 8: "new-1.md"}
+    after = {str(p.relative_to(top)): p.read_text() for p in top.rglob("*") if p.is_file()}
+    assert {k: after[k] for k in before} == before
+    assert {k: v for k, v in after.items() if k not in before} == {named[at]: body or "" for at, _, body in rows}
+    # A second run adds further files; nothing is changed.
+    exports.write_notes(notes.where("at in (1, 7)"), f"file://{top}", ["at"])
+    again = {str(p.relative_to(top)): p.read_text() for p in top.rglob("*") if p.is_file()}
+    assert {k: again[k] for k in after} == after and {k for k in again if k not in after} == {"a-6.md", "new-2.md"}
+
+
+def test_a_task_that_runs_again_writes_nothing_twice(tmp_path):
+    writer = exports.NoteWriter({"path": str(tmp_path)})
+    rows = [{"file_name": "a.md", "body": "x"}, {"file_name": "b.md", "body": "y"}]
+    assert writer.write(iter(rows)).n == 2 and writer.write(iter(rows)).n == 0
+    (tmp_path / "b.md").write_text("somebody else's")
+    with pytest.raises(FileExistsError):
+        writer.write(iter(rows))
+    assert sorted(p.name for p in tmp_path.iterdir()) == ["a.md", "b.md"] and (tmp_path / "b.md").read_text() == "somebody else's"
+    with pytest.raises(ValueError):
+        writer.write(iter([{"file_name": "../a.md", "body": "x"}]))
+
+
+def test_places_within_a_common_stem(spark):
+    rows = [("export", k) for k in range(500)] + [("other", 3), ("other", 1), (None, 1)]
+    got = exports.places(spark.createDataFrame(rows, "stem string, k int").repartition(5), "stem", ["k"]).collect()
+    assert sorted((r.k, r.place) for r in got if r.stem == "export") == [(k, k) for k in range(500)]
+    assert sorted((r.stem or "", r.k, r.place) for r in got if r.stem != "export") == [("", 1, 0), ("other", 1, 0), ("other", 3, 1)]
 
 
 def test_debounce_case(spark):
