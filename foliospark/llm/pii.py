@@ -35,9 +35,9 @@ _AT, _DOT = (
     rf"(?:\x20?[\[({{<]?{sign}[\])}}>]?\x20?|{_OPEN}(?:{word.lower()}|{word}){_CLOSE}|(?<=[a-z0-9]){word}(?=[a-z0-9]))" for sign, word in (("@", "AT"), (r"\.", "DOT"))
 )
 #: What sets an address written with words apart from a sentence such as "we met at noon. Then".
-MARKED = r"[@\[({<]|\x20(?:dot|DOT)\x20|[a-z0-9](?:AT|DOT)[a-z0-9]"
+MARKED = r"[\[({<]|(?<!\x20)@|@(?!\x20)|\x20(?:dot|DOT)\x20|[a-z0-9](?:AT|DOT)[a-z0-9]"
 WIDE = {
-    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{2,63}})+",
+    "email": rf"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{{1,64}}(?:\x20(?:dot|DOT)\x20[A-Za-z0-9_%+-]{{1,64}}){{0,3}}{_AT}[A-Za-z0-9-]{{1,63}}(?:{_DOT}[A-Za-z0-9-]{{2,63}})+",
     "ip": r"(?<![0-9])[0-9]{1,3}(?:\x20?[\[({]?\.[\])}]?\x20?[0-9]{1,3}){3}(?![0-9])",
     "card": r"(?<![0-9])[0-9](?:[\x20._/-]{0,2}[0-9]){11,18}(?![0-9])",
     "phone": r"(?<![0-9])(?:00|\+)?\(?[0-9]{2,4}\)?[\x20./-]{0,2}\(?[0-9]{2,4}\)?(?:[\x20./-]{0,2}[0-9]{2,4}){1,4}(?![0-9])",
@@ -61,11 +61,17 @@ AGAINST = "version|ver\\.|v\\.|isbn|issn|order|invoice|token|key|hash|page|chapt
 
 
 def matches(text: Column, pattern: str) -> Column:
-    """Of each match in order: characters since the last one, some of them, the match, some that follow."""
-    parts, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    zipped = F.arrays_zip(parts.alias("gap"), hits.alias("hit"), F.slice(parts, F.lit(2), F.size(parts)).alias("after"))
-    found = F.filter(zipped, lambda x: x["hit"].isNotNull())
-    return F.transform(found, lambda x: F.struct(F.length(x["gap"]).alias("gap"), F.right(x["gap"], F.lit(24)).alias("before"), x["hit"].alias("hit"), F.left(x["after"], F.lit(8)).alias("after")))
+    """Of each match in order: characters since the last one, some of them, the match, some that follow.
+
+    The pattern is searched once: matches are marked by two control characters, which no pattern knows and which
+    stand in for others in texts that have them, and the marked text is cut at these.
+    """
+    marked = F.regexp_replace(F.translate(text, "\0\1", "\2\2"), pattern, "\0$0\1")
+    # [what precedes the first match], then [match, what follows] each.
+    cells = F.transform(F.split(marked, "\0", -1), lambda x: F.split(x, "\1", -1))
+    each = lambda e: F.transform(F.slice(e, F.lit(2), F.size(e)), lambda x, i: found(F.element_at(F.get(e, i), -1), x))
+    found = lambda gap, x: F.struct(F.length(gap).alias("gap"), F.right(gap, F.lit(24)).alias("before"), F.get(x, F.lit(0)).alias("hit"), F.left(F.get(x, F.lit(1)), F.lit(8)).alias("after"))
+    return F.get(F.transform(F.array(cells), each), F.lit(0))
 
 
 def digits(x: Column) -> Column:
@@ -112,26 +118,29 @@ def vote(c: DataFrame) -> DataFrame:
     marked = hit.rlike(MARKED)
     prefixed = hit.rlike(r"^(?:\+|00|\()")
     octets = F.regexp_replace(hit, r"[^0-9.]", "")
+    known = F.lower(plain).rlike(rf"\.(?:{DOMAINS})$")
+    separators = F.regexp_replace(hit, "[0-9]", "")
+    even = F.length(F.regexp_replace(separators, r"(.)(?=.*\1)", "")) <= 1
     yes, no, none = F.lit(1), F.lit(-1), F.lit(0)
     by_kind = lambda e, i, c, p: F.when(k == "email", e).when(k == "ip", i).when(k == "card", c).otherwise(p)
     either = lambda cond, other=no: F.when(cond, yes).otherwise(other)
     cue = reduce(lambda a, x: a | x, [(k == kind) & before.rlike(rf"(?:^|[^a-z])(?:e-?)?(?:{words})") for kind, words in CUES.items()])
     form = by_kind(
-        # "at" between words without any other sign is prose, unless a cue stands before.
-        either(plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$") & (marked | (cue & ~hit.rlike(r"\.\x20")))),
+        # "at", or "@" between blanks, without any other sign is prose, unless a cue stands before, or a common domain behind "@".
+        either(plain.rlike(r"^[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}$") & (marked | ((cue | (hit.rlike("@") & known)) & ~hit.rlike(r"\.\x20")))),
         either(valid(F.lit("ip"), octets)),
-        either(F.when(n.between(12, 19), luhn(d)).otherwise(False)),
-        either(n.between(9, 15) & (prefixed | ~hit.rlike(YEAR))),
+        # Groups divided now by points and now by blanks are other figures, such as places on a map.
+        either(F.when(n.between(12, 19), luhn(d) & even).otherwise(False)),
+        either(n.between(9, 15) & (prefixed | (~hit.rlike(YEAR) & even))),
     )
     listed = by_kind(
-        either(F.lower(plain).rlike(rf"\.(?:{DOMAINS})$"), F.when(marked | cue, none).otherwise(no)),
+        either(known, F.when(marked | cue, none).otherwise(no)),
         F.when(octets.rlike(r"^(?:0|127|255)\."), no).when(octets.rlike(r"^(?:[0-9]\.){3}[0-9]$"), no).otherwise(none),
         either(d.rlike(rf"^(?:{CARDS})$"), none),
         either(d.rlike(rf"^(?:00)?(?:{CALLING})[0-9]{{8,11}}$"), none),
     )
     cued = F.when(cue, yes).when(before.rlike(rf"(?:^|[^a-z])(?:{AGAINST})[^a-z]*$"), no).otherwise(none)
     edged = F.when(before.rlike(r"[A-Za-z0-9_=\"'#$€£-]$") | after.rlike(r"^[A-Za-z0-9_\"'%$€£]"), no).otherwise(yes)
-    separators = F.regexp_replace(hit, "[0-9]", "")
     laid_out = by_kind(
         either(hit.rlike(r"[@\[({<]")),
         either(~hit.rlike(r"\x20")),
@@ -142,7 +151,7 @@ def vote(c: DataFrame) -> DataFrame:
     traits = {
         "prefixed": prefixed,
         "spaced": F.contains(hit, F.lit(" ")),
-        "even": F.length(F.regexp_replace(separators, r"(.)(?=.*\1)", "")) <= 1,
+        "even": even,
         "short": F.length(hit) <= 16,
         "opens_line": before.rlike(r"(?:^|\n)[\x20\t]*$"),
         "after_mark": before.rlike(r"[:=(,;]\x20?$"),

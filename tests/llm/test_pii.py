@@ -4,6 +4,8 @@ import random
 import re
 from collections import Counter
 
+import pytest
+
 from foliospark.llm import pii
 
 PATTERNS = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
@@ -127,3 +129,15 @@ def test_classifier_is_at_its_optimum():
 
     w = pii.classifier(patterns, like)["ip"]
     assert all(loss(w) <= loss([a + d * (i == j) for i, a in enumerate(w)]) + 1e-9 for j in range(len(w)) for d in (-0.01, 0.01))
+
+
+@pytest.mark.parametrize("filler", [0, 30])
+def test_figures_and_sentences_are_no_personal_data(spark, filler):
+    texts = ["GPS 52.5200 13.4050 here", "meet me @ noon. Thanks", "write to john dot doe at gmail dot com today", "mail jane @ example.com now", "call +49 30 1234567, or 030-123-4567", "\0\1 x@y.org \0"]
+    texts += [f"mail user{k} at host{k} dot org, phone 030 555 01{k:02d}, see 10.1.{k}.7" for k in range(filler)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.spans for r in pii.find(rows).collect()}
+    assert got[0] == got[1] == ""
+    assert got[5] == "email:3:10"
+    if filler:
+        assert got[2] == "email:9:38"
