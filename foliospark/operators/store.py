@@ -1,14 +1,19 @@
 """Tables with the store's semantics: upserts that cascade, inserts that keep the first, deletes, purges.
 
-A store is a folder of Parquet tables, each in numbered versions; a table's current version is the newest
-that is complete. Writers add a version and readers see whole ones only.
+A store is a folder of Parquet tables and commits (commits.py) that name the folders of each table's rows. Every
+change, however many tables it touches, is one commit: readers see all of it or nothing, also where a writer fails
+half-way.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .commits import Changed, Commits  # noqa: F401  Changed is what writers meet
+
 #: Tables, their columns, and what hangs on what.
 SCHEMAS = {
     "documents": "id string, file_path string, title string, author string, year string, source_type string, source_ref string, file_format string, page_count int, language string, summary string, summary_embedding array<float>, metadata map<string,string>, created_at string, indexed_at string, file_hash string, file_modified_at string",
@@ -58,13 +63,16 @@ def insert_absent(old: DataFrame, new: DataFrame, key: str = "id", order: str |
 
 
 def cascade(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> dict[str, DataFrame]:
-    """tables without the rows of table whose id is in ids (id), and without all that hangs on them."""
+    """tables without the rows of table whose id is in ids (id), and without all that hangs on them. Tables that nothing
+    is taken from stay the same objects."""
     out = dict(tables)
     todo = [(table, ids.select("id"))]
     while todo:
         name, gone = todo.pop()
         for child, column in CASCADES.get(name, []):
             hit = out[child].join(gone.select(F.col("id").alias(column)), column, "left_semi")
+            if hit.isEmpty():
+                continue
             if "id" in out[child].columns:
                 todo.append((child, hit.select("id")))
             out[child] = out[child].join(gone.select(F.col("id").alias(column)), column, "left_anti")
@@ -74,88 +82,111 @@ def cascade(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> dict[st
 
 
 class Store:
+    #: Commits whose rows are kept for readers that began before the newest.
+    KEEP = 2
+
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")
+        self.commits = Commits(spark, path)
 
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        p = jvm.org.apache.hadoop.fs.Path(self.path)
-        return jvm, p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+    def _now(self) -> tuple[int, dict]:
+        number, state = self.commits.newest()
+        return number, (state or {"tables": {}})["tables"]
 
-    def _versions(self, name: str) -> list[int]:
-        jvm, fs = self._fs()
-        top = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        if not fs.exists(top):
-            return []
-        found = [f.getPath().getName() for f in fs.listStatus(top)]
-        return sorted(int(v) for v in found if v.isdigit() and fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{v}/_SUCCESS")))
+    def _read(self, name: str, tables: dict) -> DataFrame:
+        paths = [f"{self.path}/{d}" for d in tables.get(name, [])]
+        return self.spark.read.schema(SCHEMAS[name]).parquet(*paths) if paths else self.spark.createDataFrame([], SCHEMAS[name])
 
     def read(self, name: str) -> DataFrame:
-        versions = self._versions(name)
-        return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.path}/{name}/{versions[-1]}") if versions else self.spark.createDataFrame([], SCHEMAS[name])
+        return self._read(name, self._now()[1])
+
+    def read_all(self) -> dict[str, DataFrame]:
+        """All tables, as one commit has them."""
+        tables = self._now()[1]
+        return {n: self._read(n, tables) for n in SCHEMAS}
 
     def _typed(self, name: str, df: DataFrame) -> DataFrame:
         return df.select(*[F.col(c).cast(t).alias(c) for c, t in self.spark.createDataFrame([], SCHEMAS[name]).dtypes])
 
+    def _commit(self, number: int, tables: dict, written: dict[str, DataFrame], added: dict[str, DataFrame] | None = None) -> None:
+        """One commit after number: written take the place of tables, added go to what they have. Raises Changed where
+        somebody else has committed since number was read."""
+        tables = dict(tables)
+        for name, df, new in [*((n, d, True) for n, d in written.items()), *((n, d, False) for n, d in (added or {}).items())]:
+            folder = f"{name}/{uuid.uuid4().hex}"
+            self._typed(name, df).write.parquet(f"{self.path}/{folder}")
+            tables[name] = [folder] if new else [*tables.get(name, []), folder]
+        self.commits.put(number + 1, {"tables": tables})
+        self._clean()
+
+    def _clean(self) -> None:
+        """Removes the rows that only commits before the newest KEEP name."""
+        numbers = self.commits.numbers()
+        folders = lambda some: {d for n in some for t in self.commits.get(n)["tables"].values() for d in t}
+        for d in folders(numbers[: -self.KEEP]) - folders(numbers[-self.KEEP :]):
+            self.commits.delete(d)
+        self.commits.forget(self.KEEP)
+
     def write(self, name: str, df: DataFrame) -> None:
-        """A new version; the one before the last is removed."""
-        versions = self._versions(name)
-        self._typed(name, df).write.mode("overwrite").parquet(f"{self.path}/{name}/{(versions or [0])[-1] + 1}")
-        jvm, fs = self._fs()
-        for v in versions[:-1]:
-            fs.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}/{v}"), True)
-
-    def _write_changed(self, before: dict, after: dict) -> None:
-        for name, df in after.items():
-            if df is not before[name]:
-                self.write(name, df)
+        """df in place of a table."""
+        self._commit(*self._now(), {name: df})
 
     def delete(self, name: str, ids: DataFrame) -> None:
         """Rows by id, and all that hangs on them."""
-        # Children first: a reader never sees rows whose parents are gone.
-        before = {n: self.read(n) for n in SCHEMAS}
+        number, tables = self._now()
+        before = {n: self._read(n, tables) for n in SCHEMAS}
         after = cascade(before, name, ids)
-        ordered = [n for n in reversed(list(SCHEMAS)) if after[n] is not before[n]]
-        self._write_changed({n: before[n] for n in ordered}, {n: after[n] for n in ordered})
+        self._commit(number, tables, {n: d for n, d in after.items() if d is not before[n]})
+
+    def _put(self, name: str, rows: DataFrame) -> None:
+        """Rows in place of those with their ids, and without what hung on these. Where no id is known, files are added
+        and nothing else is written."""
+        number, tables = self._now()
+        rows = empty_to_null(rows)
+        before = {n: self._read(n, tables) for n in SCHEMAS}
+        if before[name].join(rows.select("id"), "id", "left_semi").isEmpty():
+            return self._commit(number, tables, {}, {name: upsert(self._read(name, {}), rows)})
+        after = cascade(before, name, rows.select("id"))
+        after[name] = upsert(after[name], rows)
+        self._commit(number, tables, {n: d for n, d in after.items() if d is not before[n]})
 
     def add_documents(self, docs: DataFrame) -> None:
         """Replacing a document deletes it first: its chunks and their mentions go."""
-        self.delete("documents", docs.select("id"))
-        self.write("documents", upsert(self.read("documents"), empty_to_null(docs)))
+        self._put("documents", docs)
 
     def add_chunks(self, chunks: DataFrame) -> None:
-        self.delete("chunks", chunks.select("id"))
-        self.write("chunks", upsert(self.read("chunks"), empty_to_null(chunks)))
+        self._put("chunks", chunks)
 
     def add_notes(self, notes: DataFrame) -> None:
-        self.delete("vault_notes", notes.select("id"))
-        self.write("vault_notes", upsert(self.read("vault_notes"), empty_to_null(notes)))
-
-    def replace_links(self, links: DataFrame) -> None:
-        """All outgoing links of the notes in links give way to these."""
-        old = self.read("vault_links")
-        self.write("vault_links", old.join(links.select("source_note_id").distinct(), "source_note_id", "left_anti").unionByName(links))
+        self._put("vault_notes", notes)
+
+    def replace_links(self, links: DataFrame, notes: DataFrame | None = None) -> None:
+        """All outgoing links of notes (id) give way to links. Without notes, those that links come from are meant: a
+        note whose links are all gone must be named."""
+        number, tables = self._now()
+        of = links.select("source_note_id")
+        if notes is not None:
+            of = of.union(notes.select(F.col("id").alias("source_note_id")))
+        kept = self._read("vault_links", tables).join(of.distinct(), "source_note_id", "left_anti")
+        self._commit(number, tables, {"vault_links": kept.unionByName(self._typed("vault_links", links))})
 
     def add_entities(self, entities: DataFrame, mentions: DataFrame) -> None:
         """Known ids keep their first name. A mention of an unknown chunk or entity is an error."""
-        all_entities = insert_absent(self.read("entities"), entities)
-        lost = mentions.join(self.read("chunks").select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti").union(mentions.join(all_entities.select(F.col("id").alias("entity_id")), "entity_id", "left_anti").select(*mentions.columns))
+        number, tables = self._now()
+        all_entities = insert_absent(self._read("entities", tables), entities)
+        lost = mentions.join(self._read("chunks", tables).select(F.col("id").alias("chunk_id")), "chunk_id", "left_anti").union(mentions.join(all_entities.select(F.col("id").alias("entity_id")), "entity_id", "left_anti").select(*mentions.columns))
         if not lost.isEmpty():
             raise ValueError("a mention refers to a chunk or an entity that is not there")
-        self.write("entities", all_entities)
-        self.write("entity_mentions", insert_absent(self.read("entity_mentions"), mentions))
+        self._commit(number, tables, {"entities": all_entities, "entity_mentions": insert_absent(self._read("entity_mentions", tables), mentions)})
 
     def append(self, name: str, rows: DataFrame) -> None:
-        """Adds files to the current version; what is there isn't written again."""
-        versions = self._versions(name)
-        if not versions:
-            return self.write(name, rows)
-        self._typed(name, rows).write.mode("append").parquet(f"{self.path}/{name}/{versions[-1]}")
+        """Adds files; what is there isn't written again."""
+        self._commit(*self._now(), {}, {name: rows})
 
     def get(self, name: str, value, column: str = "id") -> DataFrame:
         """The rows whose column has a value: a document or note by id, path or content hash."""
         return self.read(name).where(F.col(column) == F.lit(value))
 
     def purge(self) -> None:
-        for name in reversed(list(SCHEMAS)):
-            self.write(name, self.spark.createDataFrame([], SCHEMAS[name]))
+        number, _ = self._now()
+        self._commit(number, {}, {})

@@ -437,3 +437,61 @@ def test_store(spark, tmp_path):
     assert [r.id for r in s.read("chunks").collect()] == ["d2-0"] and [r.id for r in s.read("entity_mentions").collect()] == ["m2"]
     s.purge()
     assert all(s.read(n).isEmpty() for n in store.SCHEMAS)
+
+
+def filled(spark, name, rows, names):
+    given = [x.split()[0] for x in names.split(", ")]
+    return spark.createDataFrame(rows, names).select("*", *[F.lit(None).cast(t).alias(c) for c, t in spark.createDataFrame([], store.SCHEMAS[name]).dtypes if c not in given])
+
+
+def test_a_change_of_several_tables_is_one_commit(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    docs = lambda *rows: filled(spark, "documents", rows, "id string, title string")
+    chunks = lambda *rows: filled(spark, "chunks", rows, "id string, document_id string")
+    s.add_documents(docs(("a", "A"), ("b", "B"), ("b", "B2")))
+    s.add_chunks(chunks(("a1", "a"), ("b1", "b")))
+    held = s.read_all()
+    ids = lambda name: sorted(r.id for r in s.read(name).collect())
+    number = s.commits.newest()[0]
+    s.add_documents(docs(("a", "A2")))
+    assert s.commits.newest()[0] == number + 1 and ids("chunks") == ["b1"]
+    # Who began before still reads what was there.
+    assert {r.id for r in held["chunks"].collect()} == {"a1", "b1"} and {r.title for r in held["documents"].collect()} == {"A", "B2"}
+    # A writer that fails between two tables changes nothing.
+    s.add_chunks(chunks(("a2", "a")))
+    before = {n: sorted(map(str, d.collect())) for n, d in s.read_all().items()}
+    typed, seen = s._typed, []
+
+    def failing(name, df):
+        seen.append(name)
+        if len(seen) == 2:
+            raise OSError("disk full")
+        return typed(name, df)
+
+    s._typed = failing
+    with pytest.raises(OSError):
+        s.add_documents(docs(("a", "A3")))
+    s._typed = typed
+    assert len(seen) == 2 and {n: sorted(map(str, d.collect())) for n, d in s.read_all().items()} == before
+    # New ids add files; nothing is written again.
+    tables = s.commits.newest()[1]["tables"]
+    s.add_documents(docs(("c", "C")))
+    after = s.commits.newest()[1]["tables"]
+    assert after["documents"][:-1] == tables["documents"] and after["chunks"] == tables["chunks"]
+    # Of two writers that began with one state the second is told.
+    stale = s._now()
+    s.append("documents", docs(("d", "D")))
+    with pytest.raises(store.Changed):
+        s._commit(*stale, {"documents": docs(("z", "Z"))})
+    assert ids("documents") == ["a", "b", "c", "d"]
+    # Lookups by id, path and hash.
+    s.write("documents", filled(spark, "documents", [("x", "/p/x.md", "h1"), ("y", "/p/y.md", "h2")], "id string, file_path string, file_hash string"))
+    assert [s.get("documents", v, c).first().id for v, c in (("x", "id"), ("/p/y.md", "file_path"), ("h2", "file_hash"))] == ["x", "y", "y"]
+
+
+def test_links_of_notes_without_links_go(spark, tmp_path):
+    s = store.Store(spark, f"file://{tmp_path}/store")
+    links = lambda *rows: filled(spark, "vault_links", rows, "source_note_id string, target_relative_path string")
+    s.replace_links(links(("n1", "a.md"), ("n1", "b.md"), ("n2", "a.md"), ("n3", "c.md")))
+    s.replace_links(links(("n1", "z.md")), spark.createDataFrame([("n1",), ("n2",)], "id string"))
+    assert sorted((r.source_note_id, r.target_relative_path) for r in s.read("vault_links").collect()) == [("n1", "z.md"), ("n3", "c.md")]
