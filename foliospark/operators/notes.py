@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.frontmatter import nested
 from ..functions.text import FRONT_MATTER, trimmed
 
 
@@ -26,6 +27,11 @@ def front_matter(note: Column) -> Column:
     return F.map_from_entries(_last_by_key(F.transform(lines, entry)))
 
 
+def front(note: Column) -> Column:
+    """The whole front matter with nested maps and lists, as a variant; an empty object where it is invalid."""
+    return nested(front_text(note))
+
+
 def _bound(value: Column, use) -> Column:
     """use(value), with value computed once however often use names it."""
     return F.get(F.transform(F.array(value), use), F.lit(0))
@@ -96,10 +102,11 @@ def headings(text: Column) -> Column:
 
 
 def parse(notes: DataFrame) -> DataFrame:
-    """notes (relative_path, body) with id, title, frontmatter, tags, wikilinks, headings, text, file_hash."""
+    """notes (relative_path, body) with id, title, frontmatter (flat entries), front (all of it, a variant), tags, wikilinks,
+    headings, text, file_hash."""
     n = F.col("body")
     text = body(n)
-    return notes.select(F.md5(F.col("relative_path").cast("binary")).alias("id"), "relative_path", title(n, F.col("relative_path")).alias("title"), front_matter(n).alias("frontmatter"), tags(n).alias("tags"), wikilinks(text).alias("wikilinks"), headings(text).alias("headings"), text.alias("text"), F.sha2(n.cast("binary"), 256).alias("file_hash"))
+    return notes.select(F.md5(F.col("relative_path").cast("binary")).alias("id"), "relative_path", title(n, F.col("relative_path")).alias("title"), front_matter(n).alias("frontmatter"), front(n).alias("front"), tags(n).alias("tags"), wikilinks(text).alias("wikilinks"), headings(text).alias("headings"), text.alias("text"), F.sha2(n.cast("binary"), 256).alias("file_hash"))
 
 
 def backlinks(parsed: DataFrame) -> DataFrame:

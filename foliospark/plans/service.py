@@ -6,7 +6,7 @@ import json
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions.text import citation
@@ -55,11 +55,32 @@ def ingest(files: DataFrame, known: DataFrame, sizes: ChunkSizes = STANDARD, pdf
     return documents.drop("text"), chunks, state
 
 
-def counters(state: DataFrame) -> DataFrame:
-    """ingested, skipped and errors (what can't be read) of an ingest's status."""
+def _counts() -> list:
     of = lambda hit: F.count(F.when(hit, 1))
     status = F.col("status")
-    return state.agg(of(status == "ingested").alias("ingested"), of(status == "skipped").alias("skipped"), of(~status.isin("ingested", "skipped")).alias("errors"))
+    return [of(status == "ingested").alias("ingested"), of(status == "skipped").alias("skipped"), of(~status.isin("ingested", "skipped")).alias("errors")]
+
+
+def counters(state: DataFrame) -> DataFrame:
+    """ingested, skipped and errors (what can't be read) of an ingest's status."""
+    return state.agg(*_counts())
+
+
+def counted(state: DataFrame) -> tuple[DataFrame, Callable[[], dict]]:
+    """An ingest's status, and a function that gives its counters once that status has been written or collected: they
+    are counted in the same pass, and the files aren't read again."""
+    seen = Observation()
+    return state.observe(seen, *_counts()), lambda: dict(seen.get)
+
+
+def sync_counted(before: DataFrame, after: DataFrame, key: str, version: str) -> tuple[DataFrame, Callable[[], dict]]:
+    """key and status (added, changed, removed, same) of a source's rows against those that were read before, and a
+    function that gives the number of each, counted while the status is written."""
+    a, b = before.select(F.col(key), F.col(version).alias("_a"), F.lit(True).alias("_in_a")), after.select(F.col(key), F.col(version).alias("_b"), F.lit(True).alias("_in_b"))
+    status = F.when(F.col("_in_a").isNull(), "added").when(F.col("_in_b").isNull(), "removed").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed").otherwise("same")
+    seen = Observation()
+    found = a.join(b, key, "full_outer").select(key, status.alias("status"))
+    return found.observe(seen, *[F.count(F.when(F.col("status") == s, 1)).alias(s) for s in ("added", "changed", "removed", "same")]), lambda: dict(seen.get)
 
 
 def search_notes(parsed: DataFrame, text: str | None = None, tags: list[str] | None = None, link: str | None = None, front: tuple[str, str | None] | None = None, limit: int = 20) -> DataFrame:

@@ -76,7 +76,7 @@ class Bibliography:
             i = i.join(inside, "itemID", "left_semi")
         elif library is not None:
             i = i.where(F.col("libraryID") == library)
-        fields = pivot_fields(t["itemData"].join(t["fields"], "fieldID").join(t["itemDataValues"], "valueID").select(F.col("itemID").alias("item"), F.col("fieldName").alias("field"), "value"))
+        fields = pivot_fields(t["itemData"].join(t["fields"], "fieldID").join(t["itemDataValues"], "valueID").select(F.col("itemID").alias("item"), F.col("fieldName").alias("field"), "value", "fieldID"), order="fieldID")
         person = F.struct(F.coalesce("firstName", F.lit("")).alias("first"), F.coalesce("lastName", F.lit("")).alias("last"), F.col("creatorType").alias("type"))
         creators = ordered_list(t["itemCreators"].join(t["creators"], "creatorID").join(t["creatorTypes"], "creatorTypeID"), "itemID", ["orderIndex", "creatorID"], person).withColumnRenamed("values", "creators")
         tags = t["itemTags"].join(t["tags"], "tagID").groupBy("itemID").agg(F.sort_array(F.collect_list("name")).alias("tags"))

@@ -86,3 +86,15 @@ def test_prompts(spark):
     q = spark.createDataFrame([(0, "why?")], "query_id int, text string")
     p = service.prompts(hits, q, "en").first().prompt
     assert "[Source 1 - Ann - T - (1999) - p. 3]\ntext\n\n[Source 2 - U]\nmore" in p and p.endswith("Question : why?")
+
+
+def test_counters_in_the_same_pass(spark, tmp_path):
+    state = spark.createDataFrame([("a", "ingested"), ("b", "skipped"), ("c", "ingested"), ("d", "unreadable")], "path string, status string")
+    seen, get = service.counted(state)
+    seen.write.parquet(f"{tmp_path}/state")
+    assert get() == {"ingested": 2, "skipped": 1, "errors": 1}
+    before = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", None), ("d", None)], "key string, version string")
+    after = spark.createDataFrame([("b", "2"), ("c", None), ("d", "1"), ("e", "1")], "key string, version string")
+    found, get = service.sync_counted(before, after, "key", "version")
+    assert {r.key: r.status for r in found.collect()} == {"a": "removed", "b": "changed", "c": "same", "d": "changed", "e": "added"}
+    assert get() == {"added": 1, "changed": 2, "removed": 1, "same": 1}
