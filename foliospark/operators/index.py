@@ -66,6 +66,8 @@ class LexicalIndex(Stored):
     MAIN = "texts"
     #: Up to this many terms are looked up in the files' statistics; more are joined.
     FEW = 500
+    #: Up to this many weights of terms in queries are sent to the tasks; more are joined.
+    WEIGHTS = 100_000
 
     @classmethod
     def build(cls, chunks: DataFrame, keys: list[str], path: str) -> "LexicalIndex":
@@ -131,13 +133,89 @@ class LexicalIndex(Stored):
         few = [r["term"] for r in wanted.limit(self.FEW + 1).collect()]
         held = postings.where(F.col("term").isin(few)) if len(few) <= self.FEW else postings.join(wanted, "term", "left_semi")
         known = held.groupBy("term").agg(F.count("*").alias("df")).select("term", idf(F.lit(n), F.col("df")).alias("idf"))
-        norm = F.col("tf") + K1 * ((1 - B) + B * F.col("len") / F.lit(avgdl))
-        part = F.col("qtf") * F.col("idf") * F.col("tf") * (K1 + 1) / norm
         # A query's terms are few: what is known of them is joined before it meets the postings.
-        hits = held.join(asked.join(known, "term"), "term").withColumn("part", part)
-        scored = hits.groupBy("query_id", *self.keys).agg(F.round(F.sum("part"), 6).alias("score")).where("score > 0")
+        asked = asked.join(known, "term").select("query_id", "term", (F.col("qtf") * F.col("idf")).alias("weight"))
+        norm = F.col("tf") + K1 * ((1 - B) + B * F.col("len") / F.lit(avgdl))
+        held = held.select(*self.keys, "term", (F.col("tf") * (K1 + 1) / norm).alias("part"))
+        weights = asked.limit(self.WEIGHTS + 1).toArrow()
+        if weights.num_rows <= self.WEIGHTS and len(queries_of := weights["query_id"].unique()) <= QUERIES:
+            scored = self._score(held, weights, queries_of, k)
+        else:
+            scored = held.join(asked, "term").groupBy("query_id", *self.keys).agg(F.sum(F.col("weight") * F.col("part")).alias("score"))
+        scored = scored.withColumn("score", F.round("score", 6)).where("score > 0")
         return top(scored, k, ["query_id"], [F.desc("score"), *self.keys])
 
+    def _score(self, held: DataFrame, weights, queries_of, k: int) -> DataFrame:
+        """query_id, keys, score of held (keys, term, part): each posting is shuffled once, to its chunk, however many
+        queries (at most QUERIES) have its term; a task adds up all queries' scores of its chunks and keeps the best k
+        of each query, and those that equal the last of them."""
+        import numpy as np
+
+        keys = self.keys
+        query_of = {q: i for i, q in enumerate(queries_of.to_pylist())}
+        by_term: dict = {}
+        for q, term, w in zip(*(weights[c].to_pylist() for c in ("query_id", "term", "weight")), strict=True):
+            by_term.setdefault(term, []).append((query_of[q], w))
+        number = {t: i for i, t in enumerate(by_term)}
+        pairs = [by_term[t] for t in number]
+        at = np.concatenate([[0], np.cumsum([len(x) for x in pairs])]).astype(np.int64)
+        of = np.array([q for x in pairs for q, _ in x], np.int64)
+        weight = np.array([w for x in pairs for _, w in x], np.float64)
+        n = len(query_of)
+
+        def best_of(batches):
+            import numpy as np
+            import pyarrow as pa
+
+            def best(rows):
+                """The best chunks among whole ones: rows are postings in order of keys."""
+                new = np.ones(rows.num_rows, bool)
+                if rows.num_rows > 1:
+                    same = np.ones(rows.num_rows - 1, bool)
+                    for c in keys:
+                        v = rows[c].combine_chunks().dictionary_encode(null_encoding="encode").indices.to_numpy(zero_copy_only=False)
+                        same &= v[1:] == v[:-1]
+                    new[1:] = ~same
+                chunk = np.cumsum(new) - 1
+                first = np.flatnonzero(new)
+                term = np.array([number[t] for t in rows["term"].to_pylist()], np.int64)
+                part = rows["part"].to_numpy()
+                size = at[term + 1] - at[term]
+                row = np.repeat(np.arange(len(term)), size)
+                pick = np.arange(len(row)) - np.repeat(np.cumsum(size) - size, size) + np.repeat(at[term], size)
+                score = np.bincount(of[pick] * len(first) + chunk[row], weight[pick] * part[row], n * len(first)).reshape(n, len(first))
+                # Scores are rounded later: what may equal the last of k then is kept.
+                cut = np.partition(score, -k, axis=1)[:, -k] if len(first) > k else np.zeros(n)
+                q, c = np.nonzero((score >= cut[:, None] - 1e-6) & (score > 0))
+                take = pa.array(first[c], pa.int64())
+                columns = [queries_of.take(pa.array(q, pa.int64())), *[rows[x].take(take) for x in keys], pa.array(score[q, c])]
+                return pa.table(columns, names=["query_id", *keys, "score"]).to_batches()
+
+            rest = None
+            for batch in batches:
+                rows = pa.Table.from_batches([batch]) if rest is None else pa.concat_tables([rest, pa.Table.from_batches([batch])])
+                # The last chunk may go on in the next batch.
+                last = rows.num_rows - 1
+                tail = [rows[c][last] for c in keys]
+                while last > 0 and all(rows[c][last - 1] == t for c, t in zip(keys, tail, strict=True)):
+                    last -= 1
+                if last > 0:
+                    yield from best(rows.slice(0, last).combine_chunks())
+                rest = rows.slice(last).combine_chunks()
+            if rest is not None and rest.num_rows:
+                yield from best(rest)
+
+        kinds = dict(held.dtypes)
+        schema = ", ".join([f"query_id {pa_kind(queries_of.type)}", *[f"`{c}` {kinds[c]}" for c in keys], "score double"])
+        return held.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(best_of, schema)
+
+
+def pa_kind(kind) -> str:
+    """Spark's name of an Arrow type."""
+    from pyspark.sql.pandas.types import from_arrow_type
+
+    return from_arrow_type(kind).simpleString()
+
 
 def idf(n, df):
     return F.log((n - df + 0.5) / (df + 0.5) + 1)

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from ..operators import search
 
 from .registry import query
-from .views import CHUNKS_SQL, KEYS, chunks, documents, index, table
+from .views import CHUNKS_SQL, KEYS, chunks, documents, index, table, vector_index
 
 
 @query("chunk_words", f"WITH {CHUNKS_SQL} SELECT doc_id, chunk_index, start_word, end_word, md5(content) AS content_md5 FROM chunks")
@@ -90,6 +90,23 @@ def cosine_topk_filtered(spark, sf_dir):
     return search.nearest_then_filter(_vectors(spark, sf_dir), _every_hundredth(spark, sf_dir), 10, F.col("label").isin(1, 3, 5, 7))
 
 
+@query("vector_index_topk")
+def vector_index_topk(spark, sf_dir):
+    """The 10 nearest by the stored inverted lists, for every hundredth vector."""
+    return vector_index(spark, sf_dir).search(_every_hundredth(spark, sf_dir), 10)
+
+
+@query("vector_index_recall", "SELECT vec_id AS query_id, least(10, (SELECT count(*) FROM embeddings))::BIGINT AS n_found, TRUE AS reached FROM embeddings WHERE vec_id % 100 = 0")
+def vector_index_recall(spark, sf_dir):
+    """How many neighbours the inverted lists find for each query, and whether nine in ten of all are the exact ones."""
+    held, asked = vector_index(spark, sf_dir), _every_hundredth(spark, sf_dir)
+    found = held.search(asked, 10).select("query_id", "vec_id")
+    right = found.join(held.exact(asked, 10).select("query_id", "vec_id", F.lit(1).alias("right")), ["query_id", "vec_id"], "left")
+    each = right.groupBy("query_id").agg(F.count("*").alias("n_found"), F.sum("right").alias("right"))
+    total = each.agg((F.sum("right") >= 0.9 * F.sum("n_found")).alias("reached"))
+    return each.select("query_id", "n_found").crossJoin(total)
+
+
 @query("valid_vectors", "SELECT count(*)::BIGINT AS n_valid, (SELECT count(*) FROM embeddings)::BIGINT AS n_all FROM embeddings WHERE len(embedding) = 64 AND list_bool_and(list_transform(embedding, lambda x: isfinite(x)))")
 def valid_vectors(spark, sf_dir):
     v = _vectors(spark, sf_dir)

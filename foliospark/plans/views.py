@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunk import STANDARD, chunk_words
-from ..operators.index import LexicalIndex
+from ..operators.index import LexicalIndex, VectorIndex
 from ..operators.lineage import shared_folder
 
 
@@ -29,18 +29,28 @@ KEYS = ["doc_id", "chunk_index"]
 _indexes: dict = {}
 
 
-def index(spark, sf_dir: str) -> LexicalIndex:
-    """The stored index of the chunks, built when it is first asked for and after documents have changed."""
+def _stored(spark, sf_dir: str, name: str, build):
+    """An index of a given table, built when it is first asked for and after the table's files have changed."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
-    files = sorted(table(spark, sf_dir, "documents").inputFiles())
+    files = sorted(table(spark, sf_dir, name).inputFiles())
     paths = [jvm.org.apache.hadoop.fs.Path(f) for f in files]
     state = tuple((f, s.getLen(), s.getModificationTime()) for f, s in zip(files, (p.getFileSystem(conf).getFileStatus(p) for p in paths)))
-    key = spark.sparkContext.applicationId, sf_dir
+    key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _indexes or _indexes[key][0] != state:
-        _indexes[key] = state, LexicalIndex.build(chunks(spark, sf_dir), KEYS, f"{shared_folder(spark)}/foliospark-index-{uuid.uuid4().hex}")
+        _indexes[key] = state, build(f"{shared_folder(spark)}/foliospark-index-{uuid.uuid4().hex}")
     return _indexes[key][1]
 
 
+def index(spark, sf_dir: str) -> LexicalIndex:
+    """The stored index of the chunks."""
+    return _stored(spark, sf_dir, "documents", lambda path: LexicalIndex.build(chunks(spark, sf_dir), KEYS, path))
+
+
+def vector_index(spark, sf_dir: str) -> VectorIndex:
+    """The stored index of the given vectors."""
+    return _stored(spark, sf_dir, "embeddings", lambda path: VectorIndex.build(table(spark, sf_dir, "embeddings"), ["vec_id"], path, 64))
+
+
 #: The same chunks in DuckDB.
 CHUNKS_SQL = r"""
 _w AS (SELECT doc_id, list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '') AS w FROM documents),
