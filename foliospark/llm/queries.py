@@ -17,4 +17,4 @@ QUERIES = {
     "op12_spelling": spelling.op12_spelling,
     "op13_alignment": alignment.op13_alignment,
 }
-SQL = {"op1_fixity_audit": fixity.OP1_SQL, "op2_near_dedup": near_dedup.OP2_SQL, "op6_source_mixing": mixing.OP6_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL}
+SQL = {"op1_fixity_audit": fixity.OP1_SQL, "op2_near_dedup": near_dedup.OP2_SQL, "op6_source_mixing": mixing.OP6_SQL, "op9_exact_dedup": exact_dedup.OP9_SQL, "op12_spelling": spelling.OP12_SQL}

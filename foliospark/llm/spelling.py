@@ -153,3 +153,22 @@ def group_spellings(words: DataFrame, times: int = TIMES, literal: int = LITERAL
 def op12_spelling(spark, sf_dir: str) -> DataFrame:
     scratch = Scratch(spark)
     return group_spellings(scratch.write("counted", count_words(table(spark, sf_dir, "documents"))))
+
+
+#: The same in DuckDB: crc32 byte by byte (all characters have one or two), neighbours by what is left of a word without
+#: one character.
+OP12_SQL = f"""WITH RECURSIVE
+runs AS (SELECT doc_id, unnest(regexp_extract_all(text, '{RUN}{{{LEAST},}}')) AS r FROM documents),
+low AS (SELECT doc_id, translate(r, '{_UPPER}', '{_LOWER}') AS w, count(*) AS n FROM runs GROUP BY ALL),
+crcs AS (SELECT list_transform(range(256), lambda i: list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END, i)) AS t),
+bytes AS (SELECT w, n, t, flatten(list_transform(string_split(coalesce(doc_id::VARCHAR, '') || ':' || w, ''), lambda x: CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT] ELSE [192 + (unicode(x)::BIGINT >> 6), 128 + (unicode(x)::BIGINT & 63)] END)) AS b FROM low, crcs),
+hashed AS (SELECT w, n, xor(list_reduce(b, lambda c, x: xor(c >> 8, t[(xor(c, x) & 255) + 1]), 4294967295::BIGINT), 4294967295::BIGINT) AS h FROM bytes),
+edited AS (SELECT CASE WHEN h % 31 = 0 THEN substr(w, 1, h % length(w)) || substr(w, h % length(w) + 2) ELSE w END AS word, n FROM hashed),
+words AS (SELECT word, sum(n)::BIGINT AS n FROM edited WHERE length(word) >= {LEAST} GROUP BY word HAVING sum(n) >= 2),
+cuts AS (SELECT word, n, i, substr(word, 1, i) || substr(word, i + 2) AS rest FROM (SELECT word, n, unnest(range(length(word))) AS i FROM words)),
+near AS (SELECT a.word, b.word AS other, b.n AS m FROM cuts a JOIN cuts b ON a.rest = b.rest AND a.i = b.i WHERE a.word <> b.word
+  UNION SELECT c.word, v.word, v.n FROM cuts c JOIN words v ON c.rest = v.word UNION SELECT v.word, c.word, c.n FROM cuts c JOIN words v ON c.rest = v.word),
+best AS (SELECT word, other, m, count(*) OVER (PARTITION BY word) AS n_near FROM near QUALIFY row_number() OVER (PARTITION BY word ORDER BY m DESC, other) = 1),
+forms AS (SELECT word, n, coalesce(n_near, 0)::BIGINT AS n_near, CASE WHEN m >= {TIMES} * n THEN other END AS form, CASE WHEN m >= {TIMES} * n THEN m END AS form_n FROM words LEFT JOIN best USING (word)),
+ups AS (SELECT word, word AS root, 0 AS steps FROM forms UNION ALL SELECT u.word, f.form, u.steps + 1 FROM ups u JOIN forms f ON f.word = u.root WHERE f.form IS NOT NULL)
+SELECT word, form, root, n, n_near, form_n FROM forms JOIN (SELECT word, arg_max(root, steps) AS root FROM ups GROUP BY word) USING (word)"""
