@@ -333,14 +333,15 @@ def near_dedup(docs: DataFrame, percent: int = PERCENT, row: str | None = None)
     width = 2 * ROWS
     keys = F.explode(F.array(*[F.xxhash64(F.lit(i), F.substring("regs", width * i + 1, width)) for i in range(BANDS)])).alias("key")
     bands = classes.select("set_id", keys)
-    shared = bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    # What is known of keys is written before bands meet it: Spark can then split a key that very many share.
+    shared = scratch.write("shared", bands.groupBy("key").agg(F.count("*").alias("n")).where("n > 1"))
     bands = scratch.write("bands", bands.join(shared, "key"))
     # Who shares the most buckets with the most others is likely to be in the middle of a group.
     n = bands.count()
     bands = scratch.write("bands", bands.drop("n").join(bands.groupBy("set_id").agg(F.sum("n").alias("degree")), "set_id"), n)
     sets = Sets(docs, classes, scratch, not rows.groupBy("k").count().where("count > 1").isEmpty())
     # First each bucket's members against the one of them that is most in the middle.
-    hubs = bands.groupBy("key").agg(F.max(F.struct("degree", "set_id")).alias("h")).select("key", F.col("h.set_id").alias("hub"))
+    hubs = scratch.write("hubs", bands.groupBy("key").agg(F.max(F.struct("degree", "set_id")).alias("h")).select("key", F.col("h.set_id").alias("hub")), n)
     pairs = bands.join(hubs, "key").where("hub <> set_id").select(F.least("set_id", "hub").alias("a"), F.greatest("set_id", "hub").alias("b")).distinct()
     tried = scratch.write("tried", pairs, n)
     links = _links(tried, classes, sets, percent, scratch)
