@@ -1,13 +1,11 @@
 """The given tables as the library's own: documents, chunks, notes, mentions, files."""
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.chunk import STANDARD, chunk_words
 from ..operators.index import LexicalIndex, VectorIndex
-from ..operators.lineage import shared_folder
+from ..operators.lineage import own_folder
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,7 +35,7 @@ def _stored(spark, sf_dir: str, name: str, build):
     state = tuple((f, s.getLen(), s.getModificationTime()) for f, s in zip(files, (p.getFileSystem(conf).getFileStatus(p) for p in paths)))
     key = spark.sparkContext.applicationId, sf_dir, name
     if key not in _indexes or _indexes[key][0] != state:
-        _indexes[key] = state, build(f"{shared_folder(spark)}/foliospark-index-{uuid.uuid4().hex}")
+        _indexes[key] = state, build(own_folder(spark, "index"))
     return _indexes[key][1]
 
 
