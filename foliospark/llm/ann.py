@@ -2,16 +2,18 @@
 
 Trees are fitted on a bounded sample: each node splits at the median of a random projection. Every row is
 then put into one leaf of each tree. A query walks all trees through one priority queue, nearest margins
-first, until the leaves that it has reached hold a share of all rows. The share is measured on the sample:
-there exact neighbours of some rows are known, and with them how far a walk must go to reach nearly all.
-Clustered vectors need little, vectors without clusters much. Leaves meet their queries in groups that are
-cut to a bounded size; there candidates are ranked by their exact cosine.
+first, until the leaves that it has reached hold a share of all distinct vectors. The share is measured on the
+sample: there exact neighbours of some rows are known, and with them how far a walk must go to reach nearly all.
+Clustered vectors need little, vectors without clusters much. Equal vectors count once in the sample and in walks,
+so that a vector on very many rows neither fills the sample nor ends a walk. Leaves meet their queries in cells:
+blocks of rows by blocks of queries, both of bounded size; there candidates are ranked by their exact cosine.
 """
 
 import heapq
 from functools import reduce
 
 import numpy as np
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,8 +22,8 @@ from .common import Scratch, table
 TREES, SAMPLE, LEAF = 8, 16_384, 64
 #: Of the neighbours of PROBES rows of the sample, walks must reach this part; and LEAST rows in any case.
 RECALL, PROBES, LEAST = 0.94, 256, 4096
-#: Rows of a leaf that meet queries in one group.
-GROUP = 2048
+#: Bytes of vectors, of rows and of queries alike, that meet in one cell; a block has FEWEST of them at least.
+BLOCK, FEWEST = 4 << 20, 256
 TOP = 5
 
 
@@ -133,7 +135,7 @@ def neighbours(vectors: DataFrame, is_query, top: int = TOP, **how) -> DataFrame
     spark = vectors.sparkSession
     scratch = Scratch(spark)
     rows = scratch.write("rows", usable(vectors))
-    widths = {r["width"]: r["count"] for r in rows.groupBy(F.size("v").alias("width")).count().collect()}
+    widths = {r["width"]: r["n"] for r in rows.groupBy(F.size("v").alias("width")).agg(F.approx_count_distinct(F.xxhash64("v")).alias("n")).collect()}
     if not widths:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     found = [search(rows.where(F.size("v") == w), n, is_query, scratch, top, **how) for w, n in sorted(widths.items())]
@@ -142,49 +144,65 @@ def neighbours(vectors: DataFrame, is_query, top: int = TOP, **how) -> DataFrame
     return best.withColumn("rank", rank).where(F.col("rank") <= top).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
 
 
-def search(rows: DataFrame, n: int, is_query, scratch: Scratch, top: int, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, recall: float = RECALL, share: float | None = None, least: int = LEAST, seed: int = 5) -> DataFrame:
-    """query_id, vec_id, score: at least the top best found of the n written rows (id, v), of one length, for those with is_query.
+def search(rows: DataFrame, n: int, is_query, scratch: Scratch, top: int, trees: int = TREES, sample: int = SAMPLE, leaf: int = LEAF, recall: float = RECALL, share: float | None = None, least: int = LEAST, block: int | None = None, seed: int = 5) -> DataFrame:
+    """query_id, vec_id, score: at least the top best found of the written rows (id, v), of one length, for those with
+    is_query. They hold about n distinct vectors.
 
-    Trees are fitted on about sample rows and split leaves of more than leaf of them. share sets the rows that a
-    query reaches, as a share of all; by default it is measured so that a part recall of neighbours is met.
+    Trees are fitted on at most sample distinct vectors and split leaves of more than leaf of them. share sets what a
+    query reaches, as a share of distinct vectors; by default it is measured so that a part recall of neighbours is
+    met. block sets how many rows, and how many queries, meet in one cell, on average at most.
     """
-    part = F.pmod(F.xxhash64("id", F.lit(seed)), F.lit(1 << 30))
-    some = rows.where(part < F.lit(int((1 << 30) * min(1.0, sample / n)))).select("v").toPandas()["v"] if n > sample else rows.select("v").toPandas()["v"]
+    spark = rows.sparkSession
+    part = F.pmod(F.xxhash64("v", F.lit(seed)), F.lit(1 << 30))
+    # A quarter more than asked for, since n is an estimate; the limit holds.
+    some = rows.select("v", part.alias("part")).where(F.col("part") < F.lit(int((1 << 30) * min(1.0, 1.25 * sample / n)))).distinct()
+    some = some.orderBy("part", "v").limit(sample).select("v").toPandas()["v"]
     fitted_on = np.stack(some.to_numpy()) if len(some) else np.ones((1, 1))
     fitted_on = fitted_on / np.linalg.norm(fitted_on, axis=1, keepdims=True)
     rng = np.random.default_rng(seed)
     forest = [Tree(fitted_on, leaf, rng) for _ in range(trees)]
+    block = block or max(FEWEST, BLOCK // (8 * fitted_on.shape[1]))
 
     def place(batches):
         import pyarrow as pa
 
+        done = TaskContext.get().partitionId() << 33
         for batch in batches:
             v = _matrix(batch["v"])
+            row = pa.array(np.arange(done, done + len(v)), pa.int64())
+            done += len(v)
             u = v / np.linalg.norm(v, axis=1, keepdims=True)
             for k, tree in enumerate(forest):
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k), pa.int32()), pa.array(tree.assign(u), pa.int32()), batch["id"], batch["v"]], names=["tree", "leaf", "id", "v"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(v), k), pa.int32()), pa.array(tree.assign(u), pa.int32()), row, batch["id"], batch["v"]], names=["tree", "leaf", "row", "id", "v"])
 
     if share is None:
         share = share_needed(fitted_on, forest, top, recall, PROBES)
-    index = scratch.write("index", rows.mapInArrow(place, "tree int, leaf int, id long, v array<double>"))
-    sizes = [np.zeros(t.leaves, dtype=np.int64) for t in forest]
-    for r in index.groupBy("tree", "leaf").count().collect():  # one row a leaf, of a number that the sample bounds
-        sizes[r["tree"]][r["leaf"]] = r["count"]
+    index = scratch.write("index", rows.mapInArrow(place, "tree int, leaf int, row long, id long, v array<double>"))
+    held, sizes = {}, [np.zeros(t.leaves, dtype=np.int64) for t in forest]
+    for r in index.groupBy("tree", "leaf").agg(F.count("*").alias("n"), F.approx_count_distinct(F.xxhash64("v")).alias("distinct")).collect():  # one row a leaf, of a number that the sample bounds
+        held[r["tree"], r["leaf"]], sizes[r["tree"]][r["leaf"]] = r["n"], r["distinct"]
     wanted = max(least, share * n)
-    groups = [np.maximum(1, -(-s // GROUP)) for s in sizes]
 
     def probe(batches):
         import pyarrow as pa
 
+        done = TaskContext.get().partitionId() << 33
         for batch in batches:
             v = _matrix(batch["v"])
-            for at, (query, x) in enumerate(zip(batch["id"].to_pylist(), v, strict=True)):
-                found = [(k, at_leaf, g) for k, at_leaf in reach(x / np.linalg.norm(x), forest, sizes, wanted) if sizes[k][at_leaf] for g in range(groups[k][at_leaf])]
-                yield pa.RecordBatch.from_arrays([*[pa.array([f[j] for f in found], pa.int32()) for j in range(3)], pa.array([query] * len(found), pa.int64()), pa.array([x.tolist()] * len(found), pa.list_(pa.float64()))], names=["tree", "leaf", "g", "id", "v"])
-
-    probes = rows.where(is_query).mapInArrow(probe, "tree int, leaf int, g int, id long, v array<double>")
-    spread = F.create_map(*[F.lit(x) for k in range(trees) for at in np.flatnonzero(groups[k] > 1) for x in (int(k * (1 << 20) + at), int(groups[k][at]))]) if any((g > 1).any() for g in groups) else None
-    g = F.lit(0) if spread is None else F.pmod(F.xxhash64("id"), F.coalesce(F.try_element_at(spread, F.col("tree") * (1 << 20) + F.col("leaf")), F.lit(1))).cast("int")
+            for query, x in zip(batch["id"].to_pylist(), v, strict=True):
+                found = [f for f in reach(x / np.linalg.norm(x), forest, sizes, wanted) if f in held]
+                m = len(found)
+                yield pa.RecordBatch.from_arrays([*[pa.array([f[j] for f in found], pa.int32()) for j in range(2)], pa.array([done] * m, pa.int64()), pa.array([query] * m, pa.int64()), pa.array([x.tolist()] * m, pa.list_(pa.float64()))], names=["tree", "leaf", "row", "id", "v"])
+                done += 1
+
+    probes = scratch.write("probes", rows.where(is_query).mapInArrow(probe, "tree int, leaf int, row long, id long, v array<double>"))
+    asked = {(r["tree"], r["leaf"]): r["count"] for r in probes.groupBy("tree", "leaf").count().collect()}
+    # Blocks go by rows' numbers, not by ids: one id may stand on very many rows. A leaf that no query reaches goes nowhere.
+    cells = F.broadcast(spark.createDataFrame([(*k, -(-held[k] // block), -(-q // block)) for k, q in asked.items()], "tree int, leaf int, g_n int, h_n int"))
+    own = lambda of: F.pmod(F.xxhash64("row", "id"), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    candidates = index.join(cells, ["tree", "leaf"]).select("tree", "leaf", own("g_n").alias("g"), every("h_n").alias("h"), "id", "v")
+    queries = probes.join(cells, ["tree", "leaf"]).select("tree", "leaf", every("g_n").alias("g"), own("h_n").alias("h"), "id", "v")
 
     def meet(key, queries, candidates):
         import pyarrow as pa
@@ -219,7 +237,9 @@ def search(rows: DataFrame, n: int, is_query, scratch: Scratch, top: int, trees:
                                 break
         return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["query_id", "vec_id", "score"])
 
-    return probes.groupBy("tree", "leaf", "g").cogroup(index.withColumn("g", g).groupBy("tree", "leaf", "g")).applyInArrow(meet, "query_id long, vec_id long, score double")
+    cell = ["tree", "leaf", "g", "h"]
+    return queries.groupBy(*cell).cogroup(candidates.groupBy(*cell)).applyInArrow(meet, "query_id long, vec_id long, score double")
+
 
 def op7_neighbours(spark, sf_dir: str) -> DataFrame:
     return neighbours(table(spark, sf_dir, "embeddings"), F.col("id") % 50 == 0)

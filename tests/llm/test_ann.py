@@ -89,3 +89,40 @@ def test_repeated_rows_leave_room_for_others(spark):
     rows = [(k, rng.standard_normal(8).astype("f4").tolist()) for k in range(120)]
     got, want = run(spark, rows * 6, leaf=1024), brute(rows)
     assert [r[:3] for r in got] == [r[:3] for r in want] and len(want) == 15
+
+
+def test_one_vector_on_a_third_of_all_rows(spark, monkeypatch):
+    """Copies neither fill the sample nor end walks, and cells of rows and queries are small."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((40, 16))
+    x = centres[rng.integers(0, 40, 4000)] + 0.3 * rng.standard_normal((4000, 16))
+    hot = x[50].tolist()
+    rows = [(k, v.tolist()) for k, v in enumerate(x)] + [(50, hot)] * 1000 + [(4001 + k, hot) for k in range(1000)]
+    cells = []
+    real = ann.Scratch.write
+
+    def write(self, name, df, n=None):
+        out = real(self, name, df, n)
+        if name in ("index", "probes"):
+            cells.append(out)
+        return out
+
+    monkeypatch.setattr(ann.Scratch, "write", write)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(map(tuple, ann.neighbours(df, F.col("id") % 50 == 0, sample=1000, least=0, block=64).collect()))
+    want = brute(rows)
+    assert [r for r in got if r[0] == 50] and [r[:3] for r in got if r[0] == 50] == [r[:3] for r in want if r[0] == 50]
+    assert len(got) == len(want) and len({r[::2][:2] for r in got} & {r[::2][:2] for r in want}) >= 0.9 * len(want)
+    index, probes = cells
+    assert index.count() == 8 * len(rows)
+    # Walks end before all leaves, and blocks are cut by rows although a third bear one id.
+    assert probes.count() < 0.8 * index.select("tree", "leaf").distinct().count() * 1100
+    assert probes.select("id", "row").distinct().count() == sum(i % 50 == 0 for i, _ in rows)
+
+
+def test_cells_of_any_size_give_the_same(spark):
+    rng = np.random.default_rng(6)
+    rows = [(k, v.tolist()) for k, v in enumerate(rng.standard_normal((700, 8)))]
+    want = [r[:3] for r in brute(rows)]
+    for block in (30, 4096):
+        assert [r[:3] for r in run(spark, rows, leaf=100, block=block)] == want
