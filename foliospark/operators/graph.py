@@ -114,31 +114,46 @@ def neighbourhood(edges: DataFrame, start: str, depth: int = 2, most: int = 100)
     return kept, edges.join(ends, same, "left_semi")
 
 
+#: Levels of a search that one plan walks back.
+WALK = 6
+
+
 def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int | None = None) -> DataFrame:
     """start, target, length, path of pairs (start, target) that a path joins, of at most depth edges if that is given; of equal ones the first in order.
 
-    A pair is searched until its target is found or nothing new can be reached.
+    Each start is searched once, whatever the number of its targets, until all are found or nothing new can be
+    reached. A level of the search holds nodes with the node before them, numbered in the order of their paths, so
+    that no path is kept meanwhile; paths are then walked back from the targets, a row for each pair.
     """
-    both = arcs(edges)
-    left = pairs.distinct()
-    frontier = cut(left.select("start", "target", F.col("start").alias("node"), F.array("start").alias("path")))
-    hits = frontier.where("node = target")
-    done, seen, step = hits, frontier.select("start", "target", "node"), 0
-    while depth is None or step < depth:
-        step += 1
-        over = hits.select("start", "target").distinct()
-        frontier = frontier.join(over, ["start", "target"], "left_anti")
-        ahead = frontier.join(both, F.col("node") == F.col("from")).groupBy("start", "target", F.col("to").alias("node")).agg(F.min("path").alias("path"))
-        ahead = ahead.join(seen, ["start", "target", "node"], "left_anti")
-        frontier = cut(ahead.withColumn("path", F.concat("path", F.array("node"))))
-        if frontier.isEmpty():
+    both, todo = cut(arcs(edges)), cut(pairs.distinct())
+    kind = dict(todo.dtypes)["start"]
+    found = [todo.where("start = target")]
+    todo = todo.where("start <> target")
+    levels = [cut(todo.select("start").distinct().select("start", F.col("start").alias("node"), F.lit(None).cast(kind).alias("before"), F.lit(0).cast("long").alias("place")))]
+    while depth is None or len(levels) <= depth:
+        last = levels[-1].join(todo.select("start").distinct(), "start", "left_semi").select("start", F.col("node").alias("from"), "place")
+        ahead = last.join(both, "from").groupBy("start", F.col("to").alias("node")).agg(F.min(F.struct("place", "from")).alias("by"))
+        # What is next to a level lies in the one before it, in itself, or is new.
+        for near in levels[-2:]:
+            ahead = ahead.join(near, ["start", "node"], "left_anti")
+        # Numbers rise with the order of rows, over all partitions of a sorted table.
+        ahead = ahead.orderBy("start", "by.place", "node").select("start", "node", F.col("by.from").alias("before"), F.monotonically_increasing_id().alias("place"))
+        level = cut(ahead)
+        if level.isEmpty():
             break
-        hits = frontier.where("node = target")
-        seen, done = seen.union(frontier.select("start", "target", "node")), done.union(hits)
-        if step % 8 == 0:  # long searches: plans stay short, and found pairs take no more room
-            done = cut(done)
-            seen = cut(seen.join(done.select("start", "target"), ["start", "target"], "left_anti"))
-    return done.select("start", "target", (F.size("path") - 1).alias("length"), "path")
+        levels.append(level)
+        here = level.select("start", F.col("node").alias("target"), F.lit(True).alias("here"))
+        each = cut(todo.join(here, ["start", "target"], "left"))
+        found.append(each.where("here").drop("here"))
+        todo = each.where("here is null").drop("here")
+    rows = lambda k: found[k].select("start", "target", F.lit(k).alias("length"), F.col("target").alias("node"), F.array("target").alias("path"))
+    walk = rows(len(levels) - 1)
+    for k in range(len(levels) - 1, 0, -1):
+        walk = walk.join(levels[k].select("start", "node", "before"), ["start", "node"])
+        walk = walk.select("start", "target", "length", F.col("before").alias("node"), F.concat(F.array("before"), "path").alias("path")).union(rows(k - 1))
+        if k % WALK == 0:
+            walk = cut(walk)
+    return walk.select("start", "target", "length", "path")
 
 
 #: Modularity that a step must gain for as many nodes to move in the next.
@@ -235,7 +250,8 @@ def suggestions(nodes: DataFrame, text: str, most: int = 5) -> DataFrame:
 
 
 def tree(parents: DataFrame) -> DataFrame:
-    """key, root, depth, path of parents (key, parent): keys whose parent is missing are roots. By joins of a frontier."""
+    """key, root, depth, path of parents (key, parent): keys whose parent is missing are roots. By joins of a frontier.
+    Keys in a cycle of parents, or below one, have no root: they stay as rows with root, depth and path null."""
     p = cut(parents.select("key", "parent"))
     keys = p.select(F.col("key").alias("parent"))
     frontier = p.join(keys, "parent", "left_anti").select("key", F.col("key").alias("root"), F.lit(0).alias("depth"), F.col("key").cast("string").alias("path"))
@@ -244,8 +260,10 @@ def tree(parents: DataFrame) -> DataFrame:
         below = p.join(frontier.select(F.col("key").alias("parent"), "root", "depth", "path"), "parent")
         frontier = cut(below.select("key", "root", (F.col("depth") + 1).alias("depth"), F.concat_ws("/", "path", F.col("key").cast("string")).alias("path")))
         if frontier.isEmpty():
-            return out
+            break
         out = out.union(frontier)
+    none = [F.lit(None).cast(kind).alias(name) for name, kind in out.dtypes[1:]]
+    return out.union(p.join(out.select("key"), "key", "left_anti").select("key", *none).distinct())
 
 
 def folders(paths: DataFrame) -> DataFrame:

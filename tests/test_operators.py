@@ -302,6 +302,51 @@ def test_paths_have_no_longest_length(spark, tmp_path):
     assert got == {("p0", "p1", 10), ("p0", "ww0", 1), ("p0", "p2", 2), ("p0", "ww1", 3), ("p0", "p3", 4)}
 
 
+def test_paths_equal_a_plain_search(spark):
+    """The first in order of the shortest paths, of many pairs with starts in common, with and without a depth."""
+    import random
+    from collections import deque
+
+    rng = random.Random(3)
+    names = [f"n{i:02}" for i in range(40)]
+    links = [(rng.choice(names), rng.choice(names)) for _ in range(50)] + [("n01", "n01"), ("n01", "n02"), ("n02", "n01")]
+    near = {}
+    for a, b in links:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+
+    def plain(s, t, depth):
+        best, queue = {s: [s]}, deque([s])
+        while queue:  # neighbours in order: the first path to reach a node is the first in order of the shortest
+            x = queue.popleft()
+            for y in sorted(near.get(x, ())):
+                if y not in best:
+                    best[y] = best[x] + [y]
+                    queue.append(y)
+        return best[t] if t in best and (depth is None or len(best[t]) - 1 <= depth) else None
+
+    wanted = [(rng.choice(names[:6]), rng.choice(names)) for _ in range(60)] + [("n00", "n00"), ("gone", "gone"), ("gone", "n00"), (None, "n00"), ("n00", None)]
+    edges, pairs = spark.createDataFrame(links, "a string, b string"), spark.createDataFrame(wanted, "start string, target string")
+    for depth in (None, 3, 0):
+        got = {(r.start, r.target): (r.length, r.path) for r in graph.shortest_paths(edges, pairs, depth).collect()}
+        want = {(s, t): plain(s, t, depth) for s, t in wanted if s and t}
+        assert got == {k: (len(p) - 1, p) for k, p in want.items() if p}
+    assert graph.shortest_paths(edges, pairs.limit(0)).count() == 0 and graph.shortest_paths(edges.limit(0), pairs).count() == 2
+
+
+def test_many_targets_on_a_long_chain(spark):
+    edges = spark.createDataFrame([(f"n{i:02}", f"n{i + 1:02}") for i in range(40)], "a string, b string")
+    pairs = spark.createDataFrame([("n00", f"n{i:02}") for i in range(11, 41)], "start string, target string")
+    got = {r.target: r.path for r in graph.shortest_paths(edges, pairs).collect()}
+    assert got == {f"n{i:02}": [f"n{j:02}" for j in range(i + 1)] for i in range(11, 41)}
+
+
+def test_trees_report_cycles(spark):
+    rows = [("a", None), ("b", "a"), ("c", "b"), ("x", "y"), ("y", "x"), ("z", "x"), ("own", "own")]
+    got = {(r.key, r.root, r.depth, r.path) for r in graph.tree(spark.createDataFrame(rows, "key string, parent string")).collect()}
+    assert got == {("a", "a", 0, "a"), ("b", "a", 1, "a/b"), ("c", "a", 2, "a/b/c")} | {(k, None, None, None) for k in ("x", "y", "z", "own")}
+
+
 def test_communities_split_two_cliques(spark):
     rows = [(f"{s}{i}", f"{s}{j}", 1) for s in "xy" for i in range(5) for j in range(i)] + [("x0", "y0", 1)]
     edges = spark.createDataFrame(rows, "a string, b string, weight int")
