@@ -52,8 +52,9 @@ def counts_by_type(events: DataFrame, late: str = "10 minutes", window: str = "1
 
 
 def latest(spark: SparkSession, store, names: list[str]) -> dict[str, DataFrame]:
-    """The newest whole version of each of a store's tables, for a batch that starts now."""
-    return {n: store.read(n) for n in names}
+    """A store's tables, all as its newest commit has them, for a batch that starts now."""
+    tables = store.read_all()
+    return {n: tables[n] for n in names}
 
 
 def progress(query) -> DataFrame:

@@ -98,3 +98,24 @@ def test_counters_in_the_same_pass(spark, tmp_path):
     found, get = service.sync_counted(before, after, "key", "version")
     assert {r.key: r.status for r in found.collect()} == {"a": "removed", "b": "changed", "c": "same", "d": "changed", "e": "added"}
     assert get() == {"added": 1, "changed": 2, "removed": 1, "same": 1}
+
+
+def test_search_notes(spark):
+    from foliospark.operators import notes
+
+    rows = [
+        ("b.md", "---\ntags: [Trade, old]\nauthor: Ann Lee\n---\n# Harbours\nShips went to [[Town#Port|the town]]."),
+        ("a.md", "---\nauthor: Bob\n---\nOf ships and men #trade/sea"),
+        ("c.md", "# Ships\n[[Other]]"),
+        ("d.md", ""),
+        ("e.md", None),
+    ]
+    parsed = notes.parse(spark.createDataFrame(rows, "relative_path string, body string"))
+    found = lambda **how: [r.relative_path for r in service.search_notes(parsed, **how).collect()]
+    # Title or body, in the order of paths.
+    assert found(text="SHIPS") == ["a.md", "b.md", "c.md"] and found(text="harbours") == ["b.md"]
+    assert found(tags=["old"]) == ["b.md"] and found(link="town") == ["b.md"]
+    assert found(front=("author", None)) == ["a.md", "b.md"] and found(front=("author", "lee")) == ["b.md"] and found(front=("nothing", None)) == []
+    assert found(text="ships", front=("author", "bob")) == ["a.md"] and found(text="ships", limit=2) == ["a.md", "b.md"]
+    assert [r.links for r in service.search_notes(parsed, link="town").collect()] == [["Town"]]
+    assert len(found()) == 5

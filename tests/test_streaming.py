@@ -4,7 +4,7 @@ import time
 from pyspark.sql import functions as F
 
 from foliospark.operators.commits import Commits
-from foliospark.streaming import queues
+from foliospark.streaming import events, queues
 from foliospark.streaming.watching import folder_events, vault_events
 
 
@@ -193,3 +193,24 @@ def test_progress_outlives_recent_progress(spark, tmp_path):
     finally:
         spark.conf.set("spark.sql.streaming.numRecentProgressUpdates", kept)
         spark.streams.removeListener(log)
+
+
+def test_batches_see_one_commit(spark, tmp_path):
+    from foliospark.operators.store import SCHEMAS, Store
+
+    s = Store(spark, f"file://{tmp_path}/store")
+    names = spark.createDataFrame([], SCHEMAS["documents"]).columns
+    docs = lambda i: spark.createDataFrame([(i,)], "id string").select(*[F.col(c) if c == "id" else F.lit(None).alias(c) for c in names])
+    s.write("documents", docs("a"))
+    now = events.latest(spark, s, ["documents", "chunks"])
+    s.write("documents", docs("b"))
+    # A batch that began before keeps what it began with; the next sees the change.
+    assert [r.id for r in now["documents"].collect()] == ["a"] and now["chunks"].count() == 0
+    assert [r.id for r in events.latest(spark, s, ["documents"])["documents"].collect()] == ["b"]
+
+
+def test_counts_by_type(spark):
+    rows = [("2024-01-01 00:10:00", "add"), ("2024-01-01 00:50:00", "add"), ("2024-01-01 00:50:00", "unlink"), ("2024-01-01 01:00:00", "add"), ("2024-01-01 01:30:00", None)]
+    got = events.counts_by_type(spark.createDataFrame(rows, "ts string, event_type string").withColumn("ts", F.to_timestamp("ts")))
+    got = {(r.window.start.hour, r.event_type, r.n) for r in got.select("window", "event_type", "n").collect()}
+    assert got == {(0, "add", 2), (0, "unlink", 1), (1, "add", 1), (1, None, 1)}
