@@ -230,13 +230,24 @@ def _evidence(found: DataFrame, described: Column, none: str, questions: DataFra
     return questions.join(listed, "query_id", "left").withColumn("elements", F.coalesce("elements", F.lit(none)))
 
 
+def _holding(nodes: DataFrame, questions: DataFrame) -> DataFrame:
+    """nodes beside each of questions (query_id, text) that their label holds, whatever the case. They meet by the first
+    three characters of the text, or all of a shorter one, which a label that holds it has somewhere."""
+    parts = F.transform(F.sequence(F.lit(1), F.length("_low")), lambda i: F.array(*[F.col("_low").substr(i, F.lit(n)) for n in (1, 2, 3)]))
+    # An empty text is in every label.
+    starts = F.array_distinct(F.concat(F.array(F.lit("")), F.flatten(parts)))
+    held = nodes.withColumn("_low", F.lower("label")).withColumn("_start", F.explode(starts))
+    asked = questions.select("query_id", F.lower("text").alias("_theme")).withColumn("_start", F.substring("_theme", 1, 3))
+    return held.join(asked, "_start").where(F.contains("_low", "_theme")).drop("_low", "_start", "_theme")
+
+
 def connections_prompt(found: DataFrame, questions: DataFrame, nodes: DataFrame, edges: DataFrame, beyond: bool = True) -> DataFrame:
     """query_id, prompt: asks for unexpected connections around each of questions (query_id, text).
 
     found (query_id, rank, source_type, title, content) are a theme's compressed hits. The map lists up to five nodes
     (id, label, kind, ord) whose label holds the theme, then up to fifteen of their neighbours.
     """
-    named = nodes.join(questions, F.contains(F.lower("label"), F.lower("text"))).select("query_id", "id", "label", "kind", "ord")
+    named = _holding(nodes, questions).select("query_id", "id", "label", "kind", "ord")
     named = search.top(named, 5, ["query_id"], [F.col("ord")])
     around = graph.arcs(edges).join(named.select("query_id", F.col("id").alias("from")), "from").select("query_id", F.col("to").alias("id")).distinct()
     around = search.top(around.join(nodes, "id").select("query_id", "id", "label", "kind", "ord"), 15, ["query_id"], [F.col("ord")])

@@ -119,3 +119,13 @@ def test_search_notes(spark):
     assert found(text="ships", front=("author", "bob")) == ["a.md"] and found(text="ships", limit=2) == ["a.md", "b.md"]
     assert [r.links for r in service.search_notes(parsed, link="town").collect()] == [["Town"]]
     assert len(found()) == 5
+
+
+def test_themes_in_labels(spark):
+    labels = ["Harbour", "the harbour's BAR", "ab", "", None, "b", "Éab", "bar bar"]
+    themes = ["har", "BAR", "ab", "b", "", None, "harbour", "éa", "zz"]
+    nodes = spark.createDataFrame([(k, x) for k, x in enumerate(labels)], "id int, label string")
+    found = service._holding(nodes, spark.createDataFrame([(k, x) for k, x in enumerate(themes)], "query_id int, text string"))
+    want = sorted((q, k) for q, t in enumerate(themes) for k, x in enumerate(labels) if t is not None and x is not None and t.lower() in x.lower())
+    assert sorted((r.query_id, r.id) for r in found.collect()) == want
+    assert "NestedLoop" not in found._jdf.queryExecution().toString() and "Cartesian" not in found._jdf.queryExecution().toString()
