@@ -56,7 +56,7 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, most: float = MO
     added = ["size", "source_size", "target", "copies", "taken"]
     d = docs.select(*[F.col(f"`{c}`") for c in docs.columns if c not in {prefix + x for x in added}])
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    # The text is read once here; the passes below work on three narrow columns.
+    # The passes below work on three narrow columns; texts are counted a second time only for the rows that come out.
     narrow = scratch.write("narrow", docs.select("source", size.alias("size"), hash48(seed).alias("h")))
     totals = narrow.groupBy("source").agg(F.sum("size").alias("source_size"))
     state = targets(totals, weights, share, most).withColumn("full", F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
