@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from foliospark.operators import index as stored
+from foliospark.operators import search
 from foliospark.operators.index import LexicalIndex
 
 KEYS = ["doc_id", "chunk_index"]
@@ -34,3 +35,11 @@ def test_terms_are_counted_where_the_chunk_is():
     (out,) = stored._counted([batch])
     assert out["len"].to_pylist() == [3, None, 0, 1]
     assert [dict(zip(t, n, strict=True)) for t, n in zip(out["term"].to_pylist(), out["tf"].to_pylist(), strict=True)] == [{"b": 2, "a": 1}, {}, {}, {"a": 1}]
+
+
+def test_few_questions_leave_contents_where_they_are(spark):
+    hits = spark.createDataFrame([(0, 1, 0, 0)], "query_id int, doc_id long, chunk_index int, rank int")
+    contents = spark.range(1000).select(F.col("id").alias("doc_id"), F.lit(0).alias("chunk_index"), F.lit("war").alias("content"))
+    asked = spark.createDataFrame([(0, "peace")], "query_id int, text string")
+    found = search.hybrid(hits, hits, contents, asked, KEYS, 3)
+    assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
