@@ -20,17 +20,50 @@ def cooccurrence(mentions: DataFrame, place: list[str], entity: str = "entity")
     return left.join(right, place).where("e1 < e2").groupBy("e1", "e2").agg(F.sum(F.col("n1") * F.col("n2")).cast("long").alias("weight"))
 
 
+def _ways(notes: DataFrame) -> DataFrame:
+    """target, note_id: what names a note, its path without .md, its path, or its title."""
+    ways = [F.replace(F.col("relative_path"), F.lit(".md"), F.lit("")), F.col("relative_path"), F.col("title")]
+    return reduce(DataFrame.unionAll, [notes.select(w.alias("target"), F.col("id").alias("note_id")) for w in ways]).where("target is not null").distinct()
+
+
+#: Links of a target, and notes that it names, that meet in one cell, about.
+CELL = 1024
+
+
 def resolve_links(links: DataFrame, notes: DataFrame) -> DataFrame:
     """links (source, target) with note_id, null where no note is meant, of notes (id, relative_path, title).
 
-    A target names a note by its path without .md, by its path, or by its title. Three equi-joins and a
-    union do what a disjunctive join would need a nested loop for; a link that one note answers in several
-    ways is kept once.
+    A target names a note by its path without .md, by its path, or by its title. Equi-joins and a union do what a
+    disjunctive join would need a nested loop for; a note that a link means in several ways is there once. Links of a
+    target and the notes that it names are both split, so that a common target is no single task's.
     """
-    l = links.select("source", "target").distinct()
-    ways = [F.replace(F.col("relative_path"), F.lit(".md"), F.lit("")), F.col("relative_path"), F.col("title")]
-    found = reduce(DataFrame.unionAll, [l.join(notes.select(F.col("id").alias("note_id"), w.alias("target")), "target").select("source", "target", "note_id") for w in ways]).distinct()
-    return links.join(found, ["source", "target"], "left")
+    links, ways = cut(links), cut(_ways(notes))
+    many = lambda df, n: df.groupBy("target").agg(F.ceil(F.count("*") / CELL).alias(n))
+    sizes = cut(many(ways, "_parts").join(many(links, "_blocks"), "target"))
+    # Partitions by what is made of them: their rows say little about that.
+    cells = sizes.agg(F.sum(F.col("_parts") * F.col("_blocks"))).first()[0] or 1
+    spread = lambda df: df.repartition(-(-cells // 8), "target", "_block", "_part")
+    deal = lambda df, key, mine, n, other, m: df.withColumn(mine, F.pmod(F.xxhash64(key), F.coalesce(n, F.lit(1)))).withColumn(other, F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce(m, F.lit(1)) - 1)))
+    left = deal(links.join(sizes, "target", "left"), "source", "_block", F.col("_blocks"), "_part", F.col("_parts"))
+    right = deal(ways.join(sizes, "target"), "note_id", "_part", F.col("_parts"), "_block", F.col("_blocks")).drop("_blocks", "_parts")
+    # A cell may hold no notes: only links of targets that name none stay without.
+    met = spread(left).join(spread(right), ["target", "_block", "_part"], "left").where("note_id is not null or _parts is null")
+    return met.select("source", "target", *[c for c in links.columns if c not in ("source", "target")], "note_id")
+
+
+def backlinks(links: DataFrame, notes: DataFrame) -> DataFrame:
+    """note_id, n_backlinks, first_source of notes that links (source, target) of other notes mean, as resolve_links
+    finds them. Sources are counted once for each set of targets that name a note, not for each note."""
+    l = cut(links.select("source", "target").where("source is not null").distinct())
+    named = cut(_ways(notes).join(l.select("target").distinct(), "target", "left_semi"))
+    own = named.join(l, (F.col("note_id") == F.col("source")) & (named["target"] == l["target"]), "left_semi").select("note_id").distinct().withColumn("own", F.lit(True))
+    sets = cut(named.groupBy("note_id").agg(F.sort_array(F.collect_set("target")).alias("targets")))
+    each = cut(sets.select("targets").distinct().select("targets", F.explode("targets").alias("target")).join(l, "target").select("targets", "source").distinct())
+    first = each.groupBy("targets").agg(F.count("*").alias("n"), F.min("source").alias("first"))
+    second = each.join(first, "targets").where("source > first").groupBy("targets").agg(F.min("source").alias("second"))
+    found = sets.join(first, "targets").join(second, "targets", "left").join(own, "note_id", "left")
+    n = F.col("n") - F.when(F.col("own"), 1).otherwise(0)
+    return found.select("note_id", n.alias("n_backlinks"), F.when(F.col("first") == F.col("note_id"), F.col("second")).otherwise(F.col("first")).alias("first_source")).where("n_backlinks > 0")
 
 
 def canonical(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -88,17 +121,55 @@ def arcs(edges: DataFrame) -> DataFrame:
     return edges.select(F.col("a").alias("from"), F.col("b").alias("to")).union(edges.select("b", "a")).distinct()
 
 
+#: Starts that are searched from in one row: the bits of a number.
+BITS = 64
+
+
+def distances(edges: DataFrame, starts: DataFrame, depth: int, pairs: DataFrame | None = None) -> DataFrame:
+    """start, node, distance of all nodes within depth steps of starts (start); of pairs (start, target), whose starts
+    are among these, the target too, however far.
+
+    Starts are searched from in blocks: a row holds a node and the block's starts that have come to it, as bits.
+    """
+    both = cut(arcs(edges))
+    kind = dict(both.dtypes)["from"]
+    starts = starts.select(F.col("start").cast(kind).alias("start")).where("start is not null").distinct()
+    buckets = starts.count() // (BITS * 3 // 4) + 1
+    place = F.row_number().over(Window.partitionBy("bucket").orderBy("start")) - 1
+    dealt = starts.withColumn("bucket", F.pmod(F.xxhash64("start"), F.lit(buckets))).withColumn("place", place)
+    numbered = cut(dealt.select("start", (F.col("bucket") + buckets * F.floor(F.col("place") / BITS)).alias("block"), F.pmod("place", F.lit(BITS)).alias("bit")))
+    levels = [cut(numbered.select("block", F.col("start").alias("node"), F.expr("shiftleft(1L, bit)").alias("mask")).groupBy("block", "node").agg(F.bit_or("mask").alias("mask")))]
+    found = [levels[0]]
+    todo, far = None, []
+    if pairs is not None:
+        wanted = pairs.select(F.col("start").cast(kind).alias("start"), F.col("target").cast(kind).alias("node")).distinct().where("start <> node")
+        todo = cut(wanted.join(both.select(F.col("from").alias("node")).distinct(), "node", "left_semi").join(numbered, "start"))
+    while len(levels) <= depth or (todo is not None and not todo.isEmpty()):
+        step = len(levels)
+        ahead = levels[-1].join(both, F.col("node") == F.col("from")).groupBy("block", F.col("to").alias("node")).agg(F.bit_or("mask").alias("mask"))
+        # What is next to a level lies in the one before it, in itself, or is new.
+        for near in levels[-2:]:
+            ahead = ahead.join(near.withColumnRenamed("mask", "known"), ["block", "node"], "left").select("block", "node", F.expr("mask & ~coalesce(known, 0L)").alias("mask"))
+        level = cut(ahead.where("mask <> 0"))
+        if level.isEmpty():
+            break
+        levels.append(level)
+        if step <= depth:
+            found.append(level)
+        if todo is not None:
+            each = cut(todo.join(level, ["block", "node"], "left").withColumn("here", F.expr("mask is not null and shiftright(mask, bit) & 1L = 1")))
+            if step > depth:
+                far.append(each.where("here").select("start", "node", F.lit(step).alias("distance")))
+            todo = each.where("not here").drop("mask", "here")
+    names = numbered.groupBy("block").agg(F.collect_list(F.struct("bit", "start")).alias("starts"))
+    rows = reduce(DataFrame.unionAll, [x.withColumn("distance", F.lit(k)) for k, x in enumerate(found)]).join(names, "block")
+    near = rows.select(F.explode(F.expr("filter(starts, s -> shiftright(mask, s.bit) & 1L = 1)")).alias("s"), "node", "distance").select("s.start", "node", "distance")
+    return reduce(DataFrame.unionAll, far, near)
+
+
 def reachable(edges: DataFrame, starts: DataFrame, depth: int) -> DataFrame:
     """start, node, distance of all nodes within depth steps of starts (start)."""
-    both = arcs(edges)
-    seen = frontier = cut(starts.select("start", F.col("start").alias("node"), F.lit(0).alias("distance")))
-    for step in range(1, depth + 1):
-        ahead = frontier.join(both, F.col("node") == F.col("from")).select("start", F.col("to").alias("node")).distinct()
-        frontier = cut(ahead.join(seen, ["start", "node"], "left_anti").select("start", "node", F.lit(step).alias("distance")))
-        if frontier.isEmpty():
-            break
-        seen = seen.union(frontier)
-    return seen
+    return distances(edges, starts, depth)
 
 
 def neighbourhood(edges: DataFrame, start: str, depth: int = 2, most: int = 100) -> tuple[DataFrame, DataFrame]:
@@ -160,11 +231,17 @@ def shortest_paths(edges: DataFrame, pairs: DataFrame, depth: int | None = None)
 LEAST = 1e-4
 
 
+def _dealt(df: DataFrame) -> DataFrame:
+    """df for a join by shuffle: tables of nodes that are joined in each of many steps would all go through the driver
+    if they were broadcast."""
+    return df.hint("merge")
+
+
 def _joined(labels: DataFrame, both: DataFrame, total: float) -> tuple[DataFrame, float]:
     """node, k, own, label, w for each label next to a node and its own, of labels (node, k, loop, label), with the
     modularity of that partition."""
-    near = both.join(labels.select(F.col("node").alias("other"), "label"), "other").select("node", "label", "w").union(labels.select("node", "label", "loop"))
-    rows = cut(near.groupBy("node", "label").agg(F.sum("w").alias("w")).join(labels.select("node", "k", "loop", F.col("label").alias("own")), "node"))
+    near = both.join(_dealt(labels.select(F.col("node").alias("other"), "label")), "other").select("node", "label", "w").union(labels.select("node", "label", "loop"))
+    rows = cut(near.groupBy("node", "label").agg(F.sum("w").alias("w")).join(_dealt(labels.select("node", "k", "loop", F.col("label").alias("own"))), "node"))
     # Each node has one row of its own label.
     by_label = rows.where("label = own").groupBy("label").agg(F.sum("w").alias("w"), F.sum("k").alias("k"))
     return rows, by_label.agg(F.sum(F.col("w") / total - F.pow(F.col("k") / total, 2))).first()[0]
@@ -180,7 +257,7 @@ def _moved(both: DataFrame, labels: DataFrame, total: float) -> tuple[DataFrame,
     step, part = 0, 2
     while part <= 16:
         step += 1
-        held = rows.join(labels.groupBy("label").agg(F.sum("k").alias("held")), "label")
+        held = rows.join(_dealt(labels.groupBy("label").agg(F.sum("k").alias("held"))), "label")
         mine = F.col("label") == F.col("own")
         # Loops move with their node and count in every label alike.
         link = F.when(mine, F.col("w") - F.col("loop")).otherwise(F.col("w"))
@@ -189,7 +266,7 @@ def _moved(both: DataFrame, labels: DataFrame, total: float) -> tuple[DataFrame,
         to = each.groupBy("node").agg(F.min(F.struct((-F.col("gain")).alias("loss"), "label")).alias("to"), F.max(F.when(F.col("mine"), F.col("gain"))).alias("stay"))
         wish = F.when(-F.col("to.loss") > F.col("stay") + 1e-9, F.col("to.label"))
         chosen = F.when(F.pmod(F.xxhash64("node", F.lit(step)), F.lit(part)) == 0, F.col("better"))
-        new = cut(labels.join(to.select("node", wish.alias("better")), "node").select("node", "k", "loop", F.coalesce(chosen, "label").alias("label"), F.col("better").isNotNull().alias("moves")))
+        new = cut(labels.join(_dealt(to.select("node", wish.alias("better"))), "node").select("node", "k", "loop", F.coalesce(chosen, "label").alias("label"), F.col("better").isNotNull().alias("moves")))
         if new.where("moves").isEmpty():
             break
         new = new.drop("moves")
@@ -221,12 +298,12 @@ def communities(edges: DataFrame) -> DataFrame:
         if quality <= best + 1e-9:
             break
         best = quality
-        to = labels.select("node", "label")
+        to = _dealt(labels.select("node", "label"))
         member = cut(member.join(to.withColumnRenamed("node", "community"), "community").select("node", F.col("label").alias("community")))
         ends = level.join(to.select(F.col("node").alias("a"), F.col("label").alias("x")), "a").join(to.select(F.col("node").alias("b"), F.col("label").alias("y")), "b")
         level = cut(ends.groupBy(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).agg(F.sum("w").alias("w")))
     first = member.groupBy("community").agg(F.min("node").alias("first"))
-    return member.join(first, "community").select("node", F.col("first").alias("community"))
+    return member.join(_dealt(first), "community").select("node", F.col("first").alias("community"))
 
 
 def modularity(edges: DataFrame, found: DataFrame) -> float:

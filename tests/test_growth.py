@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from foliospark.operators import graph
 from foliospark.operators import index as stored
 from foliospark.operators import search
 from foliospark.operators.index import LexicalIndex
@@ -43,3 +44,41 @@ def test_few_questions_leave_contents_where_they_are(spark):
     asked = spark.createDataFrame([(0, "peace")], "query_id int, text string")
     found = search.hybrid(hits, hits, contents, asked, KEYS, 3)
     assert "BroadcastHashJoin" in plan(found) and "SortMergeJoin" not in plan(found)
+
+
+def test_a_common_target_is_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(graph, "CELL", 8)
+    links = spark.createDataFrame([(i, "x") for i in range(60)] + [(i, "y") for i in range(3)] + [(7, "none"), (None, "y")], "source long, target string")
+    notes = spark.createDataFrame([(i, f"p{i}.md", "x") for i in range(50)] + [(90, "y.md", "y"), (91, "z.md", None)], "id long, relative_path string, title string")
+    met = graph.resolve_links(links, notes)
+    want = {(i, "x", k) for i in range(60) for k in range(50)} | {(i, "y", 90) for i in range(3)} | {(7, "none", None), (None, "y", 90)}
+    assert met.count() == len(want) and set(map(tuple, met.collect())) == want
+    tasks = met.where("target = 'x'").groupBy(F.spark_partition_id()).count().collect()
+    assert len(tasks) > 3 and max(r["count"] for r in tasks) < 1500
+
+
+def test_backlinks_are_counted_without_pairs(spark):
+    rows = [(i, "x") for i in range(60)] + [(i, "q") for i in range(40, 80)] + [(5, "solo"), (None, "x")]
+    links = spark.createDataFrame(rows + rows, "source long, target string")
+    notes = spark.createDataFrame([(0, "a.md", "x"), (1, "b.md", "x"), (99, "q.md", "x"), (45, "q.md", "x"), (5, "solo.md", "-"), (6, "c.md", "nothing")], "id long, relative_path string, title string")
+    found = graph.backlinks(links, notes)
+    assert {tuple(r) for r in found.collect()} == {(0, 59, 1), (1, 59, 0), (99, 80, 0), (45, 79, 0)}
+    slow = graph.resolve_links(links.distinct(), notes).where("note_id is not null and source <> note_id").groupBy("note_id").agg(F.countDistinct("source").alias("n_backlinks"), F.min("source").alias("first_source"))
+    assert {tuple(r) for r in slow.collect()} == {tuple(r) for r in found.collect()}
+
+
+def test_starts_are_searched_from_as_bits(spark, monkeypatch):
+    monkeypatch.setattr(graph, "BITS", 4)
+    edges = spark.createDataFrame([(f"n{i:03}", f"n{i + 1:03}") for i in range(12)] + [("x", "y")], "a string, b string")
+    starts = spark.createDataFrame([(f"n{i:03}",) for i in range(13)] * 2 + [("lonely",)], "start string")
+    pairs = spark.createDataFrame([("n000", "n009"), ("n000", "n002"), ("n001", "y"), ("n003", "gone")], "start string, target string")
+    got = [tuple(r) for r in graph.distances(edges, starts, 2, pairs).collect()]
+    want = {(f"n{i:03}", f"n{j:03}", abs(i - j)) for i in range(13) for j in range(13) if abs(i - j) <= 2} | {("lonely", "lonely", 0), ("n000", "n009", 9)}
+    assert len(got) == len(want) and set(got) == want
+
+
+def test_steps_of_communities_send_no_table_through_the_driver(spark):
+    labels = spark.createDataFrame([("a", 1.0, 0.0, "a"), ("b", 1.0, 0.0, "b")], "node string, k double, loop double, label string")
+    both = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "node string, other string, w double")
+    joined = both.join(graph._dealt(labels.select(F.col("node").alias("other"), "label")), "other")
+    assert "Broadcast" not in plan(joined) and joined.count() == 2
