@@ -10,14 +10,32 @@ from pyspark.sql import functions as F
 from .lineage import cut
 
 
+#: Pairs that a task makes and adds up, about.
+PAIRS = 1 << 21
+
+
 def cooccurrence(mentions: DataFrame, place: list[str], entity: str = "entity") -> DataFrame:
     """e1, e2, weight of mentions (place, entity): pairs e1 < e2 of one place, by the products of their counts there.
 
-    Mentions are counted by place first, so that the self-join sees each entity of a place once.
+    Mentions are counted by place first, so that the self-join sees each entity of a place once. Pairs are counted
+    before they are made: there are as many tasks as they call for, and where these are more than the session's, the
+    sums are made in as many partitions, too.
     """
-    n = mentions.groupBy(*place, entity).agg(F.count("*").alias("n"))
-    left, right = n.select(*place, F.col(entity).alias("e1"), F.col("n").alias("n1")), n.select(*place, F.col(entity).alias("e2"), F.col("n").alias("n2"))
-    return left.join(right, place).where("e1 < e2").groupBy("e1", "e2").agg(F.sum(F.col("n1") * F.col("n2")).cast("long").alias("weight"))
+    conf = mentions.sparkSession.conf
+    n = cut(mentions.groupBy(*place, entity).agg(F.count("*").alias("n")))
+    k = n.groupBy(*place).agg(F.count("*").alias("k"))
+    parts = int((k.agg(F.sum(F.expr("k * (k - 1) div 2"))).first()[0] or 0) // PAIRS) + 1
+    dealt = n.repartition(parts, *place)
+    left, right = dealt.select(*place, F.col(entity).alias("e1"), F.col("n").alias("n1")), dealt.select(*place, F.col(entity).alias("e2"), F.col("n").alias("n2"))
+    weights = left.join(right.hint("merge"), place).where("e1 < e2").groupBy("e1", "e2").agg(F.sum(F.col("n1") * F.col("n2")).cast("long").alias("weight"))
+    usual = conf.get("spark.sql.shuffle.partitions")
+    if parts <= int(usual):
+        return weights
+    conf.set("spark.sql.shuffle.partitions", str(parts))
+    try:
+        return cut(weights)
+    finally:
+        conf.set("spark.sql.shuffle.partitions", usual)
 
 
 def _ways(notes: DataFrame) -> DataFrame:

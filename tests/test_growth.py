@@ -82,3 +82,26 @@ def test_steps_of_communities_send_no_table_through_the_driver(spark):
     both = spark.createDataFrame([("a", "b", 1.0), ("b", "a", 1.0)], "node string, other string, w double")
     joined = both.join(graph._dealt(labels.select(F.col("node").alias("other"), "label")), "other")
     assert "Broadcast" not in plan(joined) and joined.count() == 2
+
+
+def test_pairs_have_as_many_tasks_as_they_call_for(spark, monkeypatch):
+    monkeypatch.setattr(graph, "PAIRS", 20)
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    rows = [(p, f"e{(p + k) % 12:02}") for p in range(40) for k in range(5)] + [(1, "e01"), (None, "e00"), (None, "e01")]
+    got = {(r.e1, r.e2): r.weight for r in graph.cooccurrence(spark.createDataFrame(rows, "place int, entity string"), ["place"]).collect()}
+    want = {}
+    for p in range(40):
+        here = [e for q, e in rows if q == p]
+        for a in here:
+            for b in here:
+                if a < b:
+                    want[a, b] = want.get((a, b), 0) + 1
+    assert got == want and spark.conf.get("spark.sql.shuffle.partitions") == usual
+
+
+def test_vectors_meet_centroids_in_bounded_slices():
+    import pyarrow as pa
+
+    batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["id"])
+    cut = list(stored._sliced([batch], 4096))
+    assert max(b.num_rows for b in cut) * 4096 <= stored.MET and [x for b in cut for x in b["id"].to_pylist()] == list(range(1000))
