@@ -62,18 +62,19 @@ def insert_absent(old: DataFrame, new: DataFrame, key: str = "id", order: str |
     return old.unionByName(first.join(old.select(key), key, "left_anti"))
 
 
-def cascade(tables: dict[str, DataFrame], table: str, ids: DataFrame) -> dict[str, DataFrame]:
-    """tables without the rows of table whose id is in ids (id), and without all that hangs on them. Tables that nothing
-    is taken from stay the same objects."""
+def cascade(tables: dict[str, DataFrame], table: str, ids: DataFrame, look: bool = False) -> dict[str, DataFrame]:
+    """tables without the rows of table whose id is in ids (id), and without all that hangs on them. These are plans,
+    and none is computed here. With look it is looked up, table by table, whether anything goes, and tables that nothing
+    is taken from stay the same objects: for tables that are stored, as a derived one is derived anew each time."""
     out = dict(tables)
     todo = [(table, ids.select("id"))]
     while todo:
         name, gone = todo.pop()
         for child, column in CASCADES.get(name, []):
             hit = out[child].join(gone.select(F.col("id").alias(column)), column, "left_semi")
-            if hit.isEmpty():
+            if look and hit.isEmpty():
                 continue
-            if "id" in out[child].columns:
+            if child in CASCADES:
                 todo.append((child, hit.select("id")))
             out[child] = out[child].join(gone.select(F.col("id").alias(column)), column, "left_anti")
         if name == table:
@@ -135,7 +136,7 @@ class Store:
         """Rows by id, and all that hangs on them."""
         number, tables = self._now()
         before = {n: self._read(n, tables) for n in SCHEMAS}
-        after = cascade(before, name, ids)
+        after = cascade(before, name, ids, look=True)
         self._commit(number, tables, {n: d for n, d in after.items() if d is not before[n]})
 
     def _put(self, name: str, rows: DataFrame) -> None:
@@ -146,7 +147,7 @@ class Store:
         before = {n: self._read(n, tables) for n in SCHEMAS}
         if before[name].join(rows.select("id"), "id", "left_semi").isEmpty():
             return self._commit(number, tables, {}, {name: upsert(self._read(name, {}), rows)})
-        after = cascade(before, name, rows.select("id"))
+        after = cascade(before, name, rows.select("id"), look=True)
         after[name] = upsert(after[name], rows)
         self._commit(number, tables, {n: d for n, d in after.items() if d is not before[n]})
 

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from foliospark.operators import graph
+from foliospark.operators import graph, store
 from foliospark.operators import index as stored
 from foliospark.operators import search
 from foliospark.operators.index import LexicalIndex
@@ -105,3 +105,35 @@ def test_vectors_meet_centroids_in_bounded_slices():
     batch = pa.RecordBatch.from_arrays([pa.array(range(1000))], names=["id"])
     cut = list(stored._sliced([batch], 4096))
     assert max(b.num_rows for b in cut) * 4096 <= stored.MET and [x for b in cut for x in b["id"].to_pylist()] == list(range(1000))
+
+
+def test_a_cascade_computes_no_table_until_it_is_read(spark):
+    sc = spark.sparkContext
+    read = sc.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(b.num_rows)
+            yield b
+
+    docs = spark.createDataFrame([(f"d{i}",) for i in range(10)], "id string")
+    chunks = spark.createDataFrame([(f"d{i}-{k}", f"d{i}") for i in range(10) for k in range(3)] + [("lone", None)], "id string, document_id string").mapInArrow(counted, "id string, document_id string")
+    mentions = spark.createDataFrame([(f"m{i}", "e", f"d{i}-0") for i in range(10)] + [("m", "e", None)], "id string, entity_id string, chunk_id string")
+    gone = spark.createDataFrame([("d1",), ("d4",), ("d4",), ("none",), (None,)], "id string")
+    sc.setJobGroup("cascade", "")
+    left = store.cascade({"documents": docs, "chunks": chunks, "entity_mentions": mentions}, "documents", gone)
+    jobs = sc.statusTracker().getJobIdsForGroup("cascade")
+    sc.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs and read.value == 0
+    assert left["chunks"].count() == 25 and read.value == 31
+    ids = {n: {r.id for r in d.collect()} for n, d in left.items()}
+    kept = [i for i in range(10) if i not in (1, 4)]
+    assert ids == {"documents": {f"d{i}" for i in kept}, "chunks": {f"d{i}-{k}" for i in kept for k in range(3)} | {"lone"}, "entity_mentions": {f"m{i}" for i in kept} | {"m"}}
+
+
+def test_a_cascade_that_looks_leaves_tables_that_lose_nothing(spark):
+    tables = {"documents": spark.createDataFrame([("a",), ("b",)], "id string"), "chunks": spark.createDataFrame([("a1", "a"), ("b1", "b")], "id string, document_id string"), "entity_mentions": spark.createDataFrame([("m", "e", "b1")], "id string, entity_id string, chunk_id string")}
+    cut = lambda i: store.cascade(tables, "documents", spark.createDataFrame([(i,)], "id string"), look=True)
+    assert {n: [r.id for r in d.collect()] for n, d in cut("a").items()} == {"documents": ["b"], "chunks": ["b1"], "entity_mentions": ["m"]}
+    assert {n for n, d in cut("a").items() if d is tables[n]} == {"entity_mentions"} and not any(d is tables[n] for n, d in cut("b").items())
+    assert {n for n, d in cut("none").items() if d is tables[n]} == {"chunks", "entity_mentions"}
